@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +24,31 @@ def get_session(app_name: str = "graphloom", master: str | None = None, **conf:
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package (once per application), for functions that run in Python there."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="graphloom-")) / "graphloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
+def with_package(query):
+    """``query`` (spark, sf_dir), run after the executors have been given the package."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run

@@ -6,7 +6,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import pytest  # noqa: E402
 
-from graphloom.session import get_session  # noqa: E402
+from graphloom.session import get_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,5 +16,6 @@ def spark():
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "3g"},
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()
