@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup, token_counts
+from graphloom.llm import exact_dedup, packing, token_counts, token_store
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_token_store": token_store.op10_token_store,
 }
 
 ORACLES = {
