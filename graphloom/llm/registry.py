@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup, packing, token_counts, token_store
+from graphloom.llm import exact_dedup, line_dedup, packing, token_counts, token_store, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op6_warc": warc.op6_warc,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_store": token_store.op10_token_store,
 }
 
 ORACLES = {
+    "op4_line_dedup": line_dedup.OP4_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
