@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,11 @@ def crc32_of_id(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
 
 
+def byte_lengths(texts: pa.Array) -> np.ndarray:
+    """UTF-8 length of each text, 0 for null."""
+    return np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+
+
 def chunks_by_bytes(lengths: np.ndarray, most: int) -> Iterator[slice]:
     """Slices of consecutive rows of at most ``most`` bytes each; a longer row is a slice of its own."""
     start, total = 0, 0

@@ -118,7 +118,7 @@ def cut_documents(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+            sizes = common.byte_lengths(texts)
             for part in common.chunks_by_bytes(sizes, batch_bytes):
                 ids, counts = encoder().ids([t or "" for t in texts[part.start : part.stop].to_pylist()])
                 raw, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup, line_dedup, packing, token_counts, token_store, warc
+from graphloom.llm import exact_dedup, line_dedup, ngram_join, packing, token_counts, token_store, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op6_warc": warc.op6_warc,
     "op7_best_fit_packing": packing.op7_best_fit_packing,

@@ -35,7 +35,7 @@ def token_counts(
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+            sizes = common.byte_lengths(texts)
             out = [np.zeros(0, np.int64)]
             for part in common.chunks_by_bytes(sizes, batch_bytes):
                 out.append(encoder().lengths([t or "" for t in texts[part.start : part.stop].to_pylist()]))

@@ -150,8 +150,8 @@ def write_store(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
-            ranges = np.searchsorted(bounds, np.asarray(pa.compute.fill_null(names, -(1 << 63))), "right")
+            sizes = common.byte_lengths(texts)
+            ranges = np.searchsorted(bounds, np.asarray(names.fill_null(-(1 << 63))), "right")
             for part in common.chunks_by_bytes(sizes, BATCH_BYTES):
                 ids, counts = encoder().ids([t or "" for t in texts[part.start : part.stop].to_pylist()])
                 ends = np.cumsum(counts)
