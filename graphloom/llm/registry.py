@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from graphloom.llm import exact_dedup, line_dedup, ngram_join, packing, token_counts, token_store, warc
+from graphloom.llm import decontamination, exact_dedup, line_dedup, ngram_join, packing, token_counts, token_store, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_warc": warc.op6_warc,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
