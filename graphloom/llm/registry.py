@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontamination, exact_dedup, line_dedup, ngram_join, packing, token_counts, token_store, warc
+from graphloom.llm import (
+    decontamination,
+    exact_dedup,
+    line_dedup,
+    ngram_join,
+    packing,
+    quality,
+    token_counts,
+    token_store,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_warc": warc.op6_warc,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_store": token_store.op10_token_store,
 }
