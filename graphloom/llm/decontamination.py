@@ -34,7 +34,7 @@ SEGMENT_BYTES = 8_000_000
 BLOCK_BYTES = 32_000_000
 
 INDEX_FIELDS = (
-    "segment long, doc_ids array<long>, n_words array<int>, terms array<binary>, lens array<int>, gaps array<int>"
+    "segment long, doc_ids array<long>, text_keys array<long>, n_words array<int>, terms array<binary>, lens array<int>, gaps array<int>"
 )
 
 
@@ -53,7 +53,7 @@ def build_index(
         fixed = broadcast.value is not None
         number = {t: i for i, t in enumerate(broadcast.value or ())}
         for batch in batches:
-            names, texts = batch.column(1), batch.column(2)
+            names, texts, keys = batch.column(1), batch.column(2), batch.column(3)
             first = batch.column(0)[0].as_py() if batch.num_rows else 0
             for part in common.chunks_by_bytes(common.byte_lengths(texts), segment_bytes):
                 if not fixed:
@@ -75,15 +75,16 @@ def build_index(
                 gaps = np.diff(order, prepend=0)
                 gaps[starts] = order[starts]
                 text_of = broadcast.value if fixed else list(number)
-                row = [first + part.start, names[part.start : part.stop].to_pylist(), counts, [text_of[t] for t in terms_here], lens, gaps]
-                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                row = [first + part.start, names[part.start : part.stop].to_pylist(), keys[part.start : part.stop].to_pylist(), counts, [text_of[t] for t in terms_here], lens, gaps]
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([v], k) for v, k in zip(row, kinds, strict=True)],
-                    names=["segment", "doc_ids", "n_words", "terms", "lens", "gaps"],
+                    names=["segment", "doc_ids", "text_keys", "n_words", "terms", "lens", "gaps"],
                 )
 
     numbered = docs.select(
-        F.monotonically_increasing_id().alias("at"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column)
+        F.monotonically_increasing_id().alias("at"), F.col(id_column).cast("long").alias("doc_id"), F.col(text_column),
+        F.xxhash64(F.col(text_column)).alias("text_key"),
     )
     return numbered.mapInArrow(index, INDEX_FIELDS)
 
@@ -231,7 +232,7 @@ def contamination(
     docs: DataFrame, items: DataFrame, width: int = WINDOW, id_column: str = "doc_id", text_column: str = "text",
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """(segment, place, doc_id, n_words, n_hit, n_items, items_sha256, items, contaminated) of each row of ``docs``."""
+    """(segment, place, doc_id, text_key, n_words, n_hit, n_items, items_sha256, items, contaminated) of each row."""
     many, blocks = _blocks(items, block_bytes)
     hits, terms = None, None  # for a test set of many blocks all terms are indexed, once
     if many == 1:
@@ -251,14 +252,14 @@ def contamination(
         F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
     rows = index.select(
-        "segment", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("place", "d")
-    ).select("segment", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").cast("long").alias("n_words"))
+        "segment", F.posexplode(F.arrays_zip("doc_ids", "text_keys", "n_words")).alias("place", "d")
+    ).select("segment", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.text_keys").alias("text_key"), F.col("d.n_words").cast("long").alias("n_words"))
     items_found = F.coalesce("items", F.array().cast("array<string>"))
     return (
         rows.join(hits, ["segment", "place"], "left")
         .withColumn("n_hit", F.coalesce(_merged(F.col("spans")), F.lit(0)).cast("long"))
         .select(
-            "segment", "place", "doc_id", "n_words", "n_hit",
+            "segment", "place", "doc_id", "text_key", "n_words", "n_hit",
             F.size(items_found).cast("long").alias("n_items"),
             F.sha2(F.array_join(items_found, ",").cast("binary"), 256).alias("items_sha256"),
             items_found.alias("items"),
@@ -267,6 +268,14 @@ def contamination(
     )
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` without the contaminated ones."""
+    found = contamination(docs, items, id_column=id_column, text_column=text_column).filter("contaminated")
+    dropped = common.stage(found.select(F.col("doc_id").alias("x_id"), F.col("text_key").alias("x_key")).distinct(), "dropped")
+    here = F.col(id_column).eqNullSafe(F.col("x_id")) & (F.xxhash64(F.col(text_column)) == F.col("x_key"))
+    return docs.join(dropped, here, "left_anti")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"

@@ -163,7 +163,7 @@ def shingle_order(docs: DataFrame, text_column: str, width: int, most: int = FRE
 
 
 def document_sets(docs: DataFrame, order: Order, id_column: str, text_column: str, width: int) -> DataFrame:
-    """(doc_id, n, class, grp, prefix) of each document: fingerprints of its set and of (prefix, size)."""
+    """(doc_id, text_key, n, class, grp, prefix) of each document: fingerprints of its set and of (prefix, size)."""
     memo = common.lazily(common.HashMemo)
     shared = docs.sparkSession.sparkContext.broadcast(order)  # at most FREQUENT entries of 16 bytes
 
@@ -174,16 +174,18 @@ def document_sets(docs: DataFrame, order: Order, id_column: str, text_column: st
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(part.start, part.stop - part.start),
+                        batch.column(2).slice(part.start, part.stop - part.start),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_fingerprint(s) for s in sets], pa.int64()),
                         pa.array([_fingerprint(p, len(s)) for p, s in zip(prefixes, sets, strict=True)], pa.int64()),
                         pa.array([p.astype("<u8").tobytes() for p in prefixes], pa.binary()),
                     ],
-                    names=["doc_id", "n", "class", "grp", "prefix"],
+                    names=["doc_id", "text_key", "n", "class", "grp", "prefix"],
                 )
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column)).mapInArrow(
-        describe, "doc_id long, n long, class long, grp long, prefix binary"
+    text = F.col(text_column)
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text, F.xxhash64(text).alias("text_key")).mapInArrow(
+        describe, "doc_id long, text_key long, n long, class long, grp long, prefix binary"
     )
 
 
@@ -362,7 +364,7 @@ def components(edges: DataFrame) -> DataFrame:
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, classes, links).
 
-    members: (doc_id, n_shingles, class, component_id), a row per document. classes: (class, grp, n, rep).
+    members: (doc_id, text_key, n_shingles, class, component_id), a row per document. classes: (class, grp, n, rep).
     links: (a, b, common, together): the verified links between classes that its components rest on.
     """
     order = shingle_order(docs, text_column, width)
@@ -424,15 +426,34 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     )
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = common.stage(named.join(least, "label").select(F.col("class").alias("f_class"), "component_id"), "components")
-    members = sets.select("doc_id", "n", "class").join(
+    members = sets.select("doc_id", "text_key", "n", "class").join(
         final, (F.col("class") == F.col("f_class")) & (F.col("n") > 0), "left"
     ).select(
-        "doc_id", F.col("n").alias("n_shingles"), "class",
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), "class",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
     return members, classes, links
 
 
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id (rows without an id stay)."""
+    members, _, _ = similar_documents(docs, id_column, text_column, width)
+    keys = common.stage(
+        members.filter("doc_id IS NOT NULL").groupBy("doc_id", "text_key")
+        .agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "keys",
+    )
+    here = (F.col(id_column) == F.col("x_id")) & (F.xxhash64(F.col(text_column)) == F.col("x_key"))
+    key = [F.col("doc_id").alias("x_id"), F.col("text_key").alias("x_key")]
+    dropped = common.stage(keys.filter("doc_id <> component_id").select(*key), "dropped")
+    kept = docs.join(dropped, here, "left_anti")
+    repeated = common.stage(keys.filter("n > 1 AND doc_id = component_id").select(*key), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    # Rows of the same id and text are one document: one of them stays.
+    once = kept.join(repeated, here, "left_semi").dropDuplicates([id_column, text_column])
+    return kept.join(repeated, here, "left_anti").unionAll(once)
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _, _ = similar_documents(common.table(spark, sf_dir, "documents"))
     return members.select("doc_id", "n_shingles", "component_id")

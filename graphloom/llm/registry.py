@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from graphloom.llm import (
     decontamination,
     exact_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_store": token_store.op10_token_store,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -2,7 +2,7 @@ r"""Operator 8: toxic spans by a linear-chain conditional random field.
 
 Labels are given for documents, so tokens are labelled first: in toxic training documents, a token is toxic if one of
 its features (the word, its beginnings and ends) is in at least one of a hundred toxic documents, behind as
-many different words, and at least twenty times as frequent there as in clean ones; all others are clean. On these a
+many different words, and at least twenty times as frequent there as in clean ones, beyond what chance gives; all others are clean. On these a
 two-tag chain is trained (feature weights by hashing, transitions, start). Forward-backward marginals
 tag the tokens of whole texts; a logistic fit turns their largest and their sum into the document's score.
 
@@ -134,7 +134,9 @@ def fit(sample: list[tuple[str, int]], rounds: int = 30, rate: float = 0.3, deca
     for bag, label in zip(bags, y.tolist(), strict=True):
         seen[label].update({f for w in set(bag) for f in features[number[w]].tolist()})
     toxic, clean = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    least = max(3, SUPPORT * toxic)
+    # So often that chance, over all features, would hardly give it to one that toxicity has nothing to do with.
+    chance = -np.log(min(0.9, toxic / (toxic + clean)))
+    least = max(3, SUPPORT * toxic, np.log(10 * len({*seen[0], *seen[1]})) / chance)
     marked = np.zeros(BUCKETS, bool)
     for f, n in seen[1].items():
         marked[f] = n >= least and n / toxic >= RATIO * (seen[0][f] + 0.1) / clean
