@@ -1,6 +1,17 @@
-"""The registry of named queries and their DuckDB oracles."""
+"""All named queries and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from graphloom.plans import (  # noqa: F401  importing them registers their queries
+    browse_queries,
+    corpus_queries,
+    governance_queries,
+    lifecycle_queries,
+    mapping_queries,
+    metrics_queries,
+    resolution_queries,
+    retrieval_queries,
+)
+from graphloom.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
