@@ -1 +1,99 @@
-"""Queries."""
+"""Records to graph: JSON, XML and literals."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.functions import literals
+from graphloom.plans.registry import query
+from graphloom.sources.tables import load
+
+
+@query("SELECT event_id, 'event:' || event_id AS record_id, event_type AS entity_type, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
+def json_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed fields of JSON records, read through VARIANT."""
+    v = F.try_parse_json("props")
+    return load(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("event:"), "event_id").alias("record_id"), F.col("event_type").alias("entity_type"), F.try_variant_get(v, "$.k", "bigint").alias("k")
+    )
+
+
+@query("SELECT k AS path, count(*) AS n_records, count(DISTINCT props::JSON ->> '$.k') AS n_values FROM (SELECT props, unnest(json_keys(props::JSON)) AS k FROM events) GROUP BY 1")
+def json_field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the JSON records, in how many records it is, and its number of values."""
+    kept = load(spark, sf_dir, "events").select(F.explode(F.from_json("props", "map<string,string>")).alias("path", "value"))
+    return kept.groupBy("path").agg(F.count(F.lit(1)).alias("n_records"), F.count_distinct("value").alias("n_values"))
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS language, length(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)) AS title_chars,
+len(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS n_links, len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs FROM pages""")
+def page_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, title, links and paragraphs of raw pages (which are not well-formed XML)."""
+    html = F.col("html")
+    return load(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_extract(html, '<html lang="([a-z]+)"', 1).alias("language"),
+        F.length(F.regexp_extract(html, "(?s)<title>(.*?)</title>", 1)).cast("long").alias("title_chars"),
+        F.size(F.regexp_extract_all(html, F.lit('<a href="([^"]*)"'), F.lit(1))).cast("long").alias("n_links"),
+        F.size(F.regexp_extract_all(html, F.lit("(<p[ >])"), F.lit(1))).cast("long").alias("n_paragraphs"),
+    )
+
+
+@query("SELECT o_orderkey AS record_id, count(l_linenumber) AS n_lines, min(l_linenumber) AS first_line FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def xml_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as XML records, mapped by XPath."""
+    l = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.format_string("<line n='%d'/>", "l_linenumber"))).alias("lines")
+    )
+    o = load(spark, sf_dir, "orders").select("o_orderkey").join(l, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    xml = o.select("o_orderkey", F.concat(F.lit("<order>"), F.coalesce(F.array_join("lines", ""), F.lit("")), F.lit("</order>")).alias("xml"))
+    first = F.expr("array_min(transform(xpath(xml, '/order/line/@n'), x -> int(x)))")
+    return xml.select(F.col("o_orderkey").alias("record_id"), F.xpath_int("xml", F.lit("count(/order/line)")).cast("long").alias("n_lines"), first.alias("first_line"))
+
+
+@query(r"""WITH v AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN value::VARCHAR WHEN 1 THEN 'True' WHEN 2 THEN '2024-02-30' WHEN 3 THEN '2024-01-05' WHEN 4 THEN ' 007 ' ELSE 'https://a.example/x y' END AS raw,
+ CASE event_id % 6 WHEN 0 THEN 'FLOAT' WHEN 1 THEN 'BOOLEAN' WHEN 2 THEN 'DATE' WHEN 3 THEN 'DATE' WHEN 4 THEN 'INTEGER' ELSE 'URI' END AS datatype FROM events)
+SELECT event_id, datatype, CASE datatype WHEN 'BOOLEAN' THEN 'true' WHEN 'INTEGER' THEN '7' WHEN 'DATE' THEN CASE WHEN raw = '2024-01-05' THEN raw END
+ WHEN 'FLOAT' THEN CASE WHEN strpos(raw, '.') > 0 THEN regexp_replace(regexp_replace(raw, '0+$', ''), '\.$', '') ELSE raw END END AS canonical FROM v""")
+def literal_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical text of typed values; null where the value is not of its type."""
+    k = F.col("event_id") % 6
+    raw = (
+        F.when(k == 0, F.col("value").cast("string")).when(k == 1, "True").when(k == 2, "2024-02-30").when(k == 3, "2024-01-05").when(k == 4, " 007 ")
+        .otherwise("https://a.example/x y")
+    )
+    kind = F.when(k == 0, "FLOAT").when(k == 1, "BOOLEAN").when((k == 2) | (k == 3), "DATE").when(k == 4, "INTEGER").otherwise("URI")
+    v = load(spark, sf_dir, "events").select("event_id", raw.alias("raw"), kind.alias("datatype"))
+    return v.select("event_id", "datatype", literals.canonical(F.col("raw"), F.col("datatype")).alias("canonical"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(CASE l_returnflag WHEN 'A' THEN l_quantity * 1000 WHEN 'R' THEN l_quantity * 0.01 ELSE l_quantity END, 6) AS metres FROM lineitem""")
+def unit_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities in kilometres, centimetres or metres, by a table of units."""
+    l = load(spark, sf_dir, "lineitem").withColumn("unit", F.when(F.col("l_returnflag") == "A", "km").when(F.col("l_returnflag") == "R", "cm").otherwise("m"))
+    return literals.to_base_unit(l, "l_quantity", "unit").select("l_orderkey", "l_linenumber", F.round("base_value", 6).alias("metres"))
+
+
+@query("""WITH p AS (SELECT c_custkey, c_mktsegment AS own, CASE WHEN n_regionkey = 0 THEN NULL ELSE 'R' || n_regionkey END AS inherited FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey AS entity_id, coalesce(CASE WHEN c_custkey % 2 = 0 THEN own END, inherited) AS value,
+CASE WHEN c_custkey % 2 = 0 AND inherited IS NOT NULL THEN 'LOCAL_WINS' WHEN c_custkey % 2 = 0 THEN 'LOCAL' WHEN inherited IS NOT NULL THEN 'INHERITED' ELSE 'MISSING' END AS origin FROM p""")
+def context_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A property inherited from the scope above unless the record has its own."""
+    c, n = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
+    scope = n.select("n_nationkey", F.when(F.col("n_regionkey") != 0, F.concat(F.lit("R"), "n_regionkey")).alias("inherited"))
+    own = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))
+    both = c.join(scope, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("own", own)
+    origin = (
+        F.when(F.col("own").isNotNull() & F.col("inherited").isNotNull(), "LOCAL_WINS").when(F.col("own").isNotNull(), "LOCAL")
+        .when(F.col("inherited").isNotNull(), "INHERITED").otherwise("MISSING")
+    )
+    return both.select(F.col("c_custkey").alias("entity_id"), F.coalesce("own", "inherited").alias("value"), origin.alias("origin"))
+
+
+@query("SELECT count(*) AS mapped, 0::BIGINT AS missing, 0::BIGINT AS unexpected FROM events")
+def mapped_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping the same records again gives the same rows: differences both ways."""
+    once, again = json_mapping(spark, sf_dir), json_mapping(spark, sf_dir)
+    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    one = count(once, "mapped").crossJoin(count(once.exceptAll(again), "missing"))  # single rows
+    return one.crossJoin(count(again.exceptAll(once), "unexpected"))
