@@ -9,9 +9,10 @@ A document's set holds its distinct 5-word shingles. Two documents link when 100
 3. Classes with the same prefix (the first n - ceil(0.8 n) + 1 shingles) and the same size are one group.
    Groups that share a prefix shingle are paired if their sizes and the shingle's places allow a link.
 4. Pairs are expanded to classes and verified on the whole sets, computed anew from the texts.
-5. A shingle shared by very many groups is first joined as a star around pivots. Only what is not in one
-   component after that is paired in full, in blocks of bounded size, so no link between different texts is
-   lost while copies of one text are not expanded into all pairs.
+5. A shingle shared by very many groups is first joined as a star around pivots. Lists that are not in one
+   component after that are paired in full, in pairs of blocks of bounded size whose sets are intersected
+   inside the task; of the links between components, only as many leave it as connect its sets. So no
+   component is missed, and a large group is not expanded into all pairs.
 
 Words are ``[^\x20\x09-\x0D]+`` after lower-casing A-Z. Shingles are compared by 64-bit hashes.
 Defined results: a document of fewer than five words has its whole sequence as its one shingle; one
@@ -35,8 +36,8 @@ from graphloom.llm import common
 WIDTH = 5
 #: Most shingles in the frequency table that the executors get, and the least frequency of one in it.
 FREQUENT, LEAST_FREQUENT = 500_000, 16
-#: A shingle of more groups is joined as stars first; blocks of the full pairing hold about BLOCK groups.
-STAR_ABOVE, BLOCK = 64, 1024
+#: A shingle of more groups is joined as stars first; blocks of the full pairing hold about so many groups and shingles.
+STAR_ABOVE, BLOCK, BLOCK_SHINGLES = 64, 1024, 1_000_000
 BATCH_BYTES = 16_000_000
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -217,25 +218,25 @@ def list_pairs(groups: DataFrame) -> DataFrame:
                 )
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "a", "b", "n", "place"]
+        names = ["token", "a", "b", "n"]
 
-        def out(token, a, b, n, place) -> pa.RecordBatch:  # noqa: ANN001
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (token, a, b, n, place)], names=names)
+        def out(*columns) -> pa.RecordBatch:  # noqa: ANN002
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
         rest = [np.zeros(0, np.int64)] * 4  # the rows of the last list, which the next batch may continue
         long_token, pivot = None, None
 
         def long_list(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal pivot
-            token, g, n, place = rows
+            token, g, n, _ = rows
             pivots = np.zeros(len(g), np.int64)
             for k in range(len(g)):
                 if pivot is None or 4 * n[k] > 5 * pivot[1]:
                     pivot = (g[k], n[k])
                 pivots[k] = pivot[0]
             star = pivots != g
-            yield out(token, g, pa.nulls(len(g), pa.int64()), n, place)
-            yield out(token[star], np.minimum(g, pivots)[star], np.maximum(g, pivots)[star], n[star], place[star])
+            yield out(token, g, pa.nulls(len(g), pa.int64()), n)
+            yield out(*(x[star] for x in (token, np.minimum(g, pivots), np.maximum(g, pivots), n)))
 
         def short_lists(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             token, g, n, place = rows
@@ -248,7 +249,7 @@ def list_pairs(groups: DataFrame) -> DataFrame:
                 found.append(np.stack([np.minimum(g[i], g[i + k]), np.maximum(g[i], g[i + k])]))
             if found and (pairs := np.unique(np.concatenate(found, axis=1), axis=1)).size:
                 none = pa.nulls(pairs.shape[1], pa.int64())
-                yield out(none, pairs[0], pairs[1], none, none)
+                yield out(none, pairs[0], pairs[1], none)
 
         def done(rows: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal rest, long_token, pivot
@@ -278,43 +279,92 @@ def list_pairs(groups: DataFrame) -> DataFrame:
 
     entries = groups.mapInArrow(spread, "token long, grp long, n long, place long")
     return entries.repartition("token").sortWithinPartitions("token", "n", "grp").mapInArrow(
-        pair, "token long, a long, b long, n long, place long"
+        pair, "token long, a long, b long, n long"
     )
 
 
-def full_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b): pairs of groups in long lists that are not in one component yet, paired in blocks."""
-    known = members.join(labels.select(F.col("grp").alias("l_grp"), "label"), F.col("a") == F.col("l_grp"), "left").select(
-        "token", "a", "n", "place", F.coalesce("label", "a").alias("label")
-    )
-    open_lists = (
-        known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
-        .filter("lo <> hi").select(F.col("token").alias("o_token"), F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    )
-    dealt = known.join(open_lists, F.col("token") == F.col("o_token")).withColumn(
-        "own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
-    )
+def open_lists(members: DataFrame, spans: DataFrame) -> DataFrame:
+    """(token, grp, blocks): the members of long lists that hold more than one component."""
+    known = members.join(spans.select(F.col("grp"), "lo", "hi"), F.col("a") == F.col("grp")).select("token", "grp", "n", "lo", "hi")
+    still = known.groupBy(F.col("token").alias("o_token")).agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+    ).filter("lo <> hi").select("o_token", "blocks")
+    return known.join(still, F.col("token") == F.col("o_token")).select("token", "grp", "blocks")
+
+
+def class_sets(wanted: DataFrame, docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
+    """(class, set) of the classes (class, rep) from their documents' whole texts."""
+    memo = common.lazily(common.HashMemo)
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in _sets(batch, memo(), width, 0):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_fingerprint(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
+                    names=["class", "set"],
+                )
+
+    some = docs.join(wanted.select(F.col("rep").alias("w_rep")).distinct(), F.col(id_column) == F.col("w_rep"), "left_semi")
+    found = some.select(text_column).mapInArrow(describe, "class long, set binary")
+    return found.join(wanted.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+
+
+def full_links(members: DataFrame) -> DataFrame:
+    """(a, b, common, together): links between components among the members (token, class, label, set, blocks) of lists.
+
+    Each list is cut into blocks, and each pair of blocks is one bounded task, which intersects all its sets at once.
+    Of a task's links, those are returned that its components need to hang together: fewer than it has sets.
+    """
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     keyed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "a", "n", "place", "label", "own"
+        "token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "class", "label", "set", "own"
     )
 
-    def cross(table: pa.Table) -> pa.Table:
-        g, n, place, label, own = (np.asarray(table[c]) for c in ("a", "n", "place", "label", "own"))
-        i, j = int(table["i"][0].as_py()), int(table["j"][0].as_py())
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found = []
-        for x in left:
-            y = right[(label[right] != label[x]) & ((g[right] > g[x]) if i == j else True)]
-            y = y[_allowed(n[x], place[x], n[y], place[y])]
-            found.append(np.stack([np.minimum(g[x], g[y]), np.maximum(g[x], g[y])]))
-        pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
-    return keyed.groupBy("token", "i", "j").applyInArrow(cross, "a long, b long").distinct()
+    def link(table: pa.Table) -> pa.Table:
+        name, label, own = (np.asarray(table[c]) for c in ("class", "label", "own"))
+        sets = [np.frombuffer(x, "<u8") for x in table["set"].to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        by = np.argsort(values, kind="stable")
+        values, row = values[by], row[by]
+        column = np.cumsum(np.diff(values, prepend=values[:1]) != 0)
+        shared = np.bincount(column) > 1
+        keep = shared[column]
+        column, row = (np.cumsum(shared) - 1)[column[keep]], row[keep]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for start in range(0, int(shared.sum()), 2048):
+            a, b = np.searchsorted(column, [start, start + 2048])
+            part = np.zeros((len(sets), 2048), np.float32)
+            part[row[a:b], column[a:b] - start] = 1
+            both += part @ part.T
+        total = sizes[:, None] + sizes[None, :] - both
+        linked = (100 * both >= 80 * total) & (label[:, None] != label[None, :])
+        if table["i"][0].as_py() != table["j"][0].as_py():
+            linked &= own[:, None] != own[None, :]
+        unseen, tree = np.ones(len(sets), bool), [np.zeros((2, 0), np.int64)]
+        for root in range(len(sets)):
+            stack = [root] if unseen[root] else []
+            unseen[root] = False
+            while stack:
+                here = stack.pop()
+                new = np.flatnonzero(linked[here] & unseen)
+                tree.append(np.stack([np.full(len(new), here), new]))
+                unseen[new] = False
+                same = np.flatnonzero((label == label[here]) & unseen)
+                unseen[same] = False
+                stack += [*new.tolist(), *same.tolist()]
+        x, y = np.concatenate(tree, axis=1)
+        return pa.table({
+            "a": np.minimum(name[x], name[y]), "b": np.maximum(name[x], name[y]),
+            "common": both[x, y].astype(np.int64), "together": total[x, y].astype(np.int64),
+        })
+
+    return keyed.groupBy("token", "i", "j").applyInArrow(link, "a long, b long, common long, together long")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: str, text_column: str, width: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: classes) that link, by their whole sets; (a, b, common, together)."""
+    """(a, b, common, together, linked) of ``pairs`` (a, b: classes), by their whole sets."""
     ids = classes.select("class", "rep")
     pairs = pairs.join(ids.toDF("a", "a_id"), "a").join(ids.toDF("b", "b_id"), "b")
     needed = pairs.select(F.explode(F.array("a_id", "b_id")).alias("need")).distinct()
@@ -339,12 +389,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: s
                 if left_class != a or _fingerprint(right) != b:
                     continue  # another row with the same id
                 both = len(left) + len(right) - len(np.union1d(left, right))
-                if 180 * both >= 80 * (len(left) + len(right)):
-                    rows.append((a, b, both, len(left) + len(right) - both))
+                rows.append((a, b, both, len(left) + len(right) - both))
             columns = zip(*rows, strict=True) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "common", "together"])
 
-    return both.mapInArrow(verify, "a long, b long, common long, together long")
+    return both.mapInArrow(verify, "a long, b long, common long, together long").withColumn(
+        "linked", 100 * F.col("common") >= 80 * F.col("together")
+    )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -384,43 +435,49 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     outer = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select("x", "y")
     inner = classes.join(many.filter("size > 1").select("grp", "first"), "grp").select("first", "class").filter("first <> class")
     pairs = outer.unionAll(inner).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    check = lambda p: verified(p, classes, docs, id_column, text_column, width)
-    links = common.stage(check(pairs), "links")
-    labels = components(links)
+    check = lambda p: common.stage(verified(p, classes, docs, id_column, text_column, width), "checked")
+    checked = check(pairs)
+    labels = components(checked.filter("linked"))
+
+    def spans_of(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The component of each class, and the least and greatest component of each group."""
+        label = classes.join(labels, F.col("class") == F.col("v"), "left").select(
+            "grp", "class", F.coalesce("label", "class").alias("label")
+        )
+        by_grp = label.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
+        return label, common.stage(by_grp, "spans")
 
     # What the stars leave open: long lists, and groups of several classes, that are not in one component.
-    label = classes.join(labels, F.col("class") == F.col("v"), "left").select(
-        "grp", "class", F.coalesce("label", "class").alias("label")
-    )
-    spans = common.stage(
-        label.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")),
-        "spans",
-    )
-    long_lists = lists.filter("b IS NULL").select("token", "a", "n", "place")
-    long_pairs = full_pairs(long_lists, spans.select("grp", F.col("lo").alias("label")))
+    label, spans = spans_of(labels)
+    still = common.stage(open_lists(lists.filter("b IS NULL").select("token", "a", "n"), spans), "open-lists")
+    if still.limit(1).count():
+        wanted = classes.join(still.select("grp").distinct(), "grp", "left_semi").select("class", "rep")
+        sets_of = common.stage(class_sets(wanted, docs, id_column, text_column, width), "class-sets")
+        members = still.join(label, "grp").join(sets_of, "class").select("token", "class", "label", "set", "blocks")
+        checked = checked.unionAll(common.stage(full_links(members).distinct().withColumn("linked", F.lit(True)), "checked"))
+        labels = components(checked.filter("linked"))
+        label, spans = spans_of(labels)
     several = spans.filter("size > 1")
     open_pairs = (
         near.join(several.select(F.col("grp").alias("a")), "a", "left_semi")
         .unionAll(near.join(several.select(F.col("grp").alias("b")), "b", "left_semi").select("a", "b"))
         .unionAll(several.select("grp", F.col("grp").alias("b")))
-        .unionAll(long_pairs).distinct()
     )
     side = lambda s: spans.select(F.col("grp").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"))
-    unsettled = open_pairs.join(side("a"), "a").join(side("b"), "b").filter(
+    unsettled = open_pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(
         "NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)"
     ).select("a", "b")
     member = label.select("grp", "class", "label")
     expanded = (
         unsettled.join(member.toDF("a", "x", "lx"), "a").join(member.toDF("b", "y", "ly"), "b").filter("lx <> ly")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        .join(pairs, ["a", "b"], "left_anti")
+        .join(checked.select("a", "b"), ["a", "b"], "left_anti")
     )
     expanded = common.stage(expanded, "open")
     if expanded.limit(1).count():
-        more = common.stage(check(expanded), "links")
-        if more.limit(1).count():
-            links = links.unionAll(more)
-            labels = components(links)
+        checked = checked.unionAll(check(expanded))
+        labels = components(checked.filter("linked"))
+    links = checked.filter("linked").select("a", "b", "common", "together")
     named = classes.join(labels, F.col("class") == F.col("v"), "left").select(
         "class", "rep", F.coalesce("label", "class").alias("label")
     )

@@ -160,12 +160,16 @@ def fit(sample: list[tuple[str, int]], rounds: int = 30, rate: float = 0.3, deca
     told = np.array([[(pair & ~tag[:, :-1] & ~tag[:, 1:]).sum(), (pair & ~tag[:, :-1] & tag[:, 1:]).sum()], [(pair & tag[:, :-1] & ~tag[:, 1:]).sum(), (pair & tag[:, :-1] & tag[:, 1:]).sum()]])
     squares, other = np.full(BUCKETS, 1e-3, np.float32), np.full(6, 1e-3)
     uses = np.bincount(ids[real], minlength=len(number))
-    for _ in range(rounds):
-        e = (model.emission[features].sum(1) + model.bias)[ids]
+    rng = np.random.default_rng(7)
+    for turn in range(rounds):
+        # Every other round leaves features out, so that a word's beginning is enough for forms not seen before.
+        some = np.flatnonzero(rng.random(features.shape[1]) < 0.5) if turn % 2 else np.arange(features.shape[1])
+        used = features[:, some if len(some) else [1]]
+        e = (model.emission[used].sum(1) + model.bias)[ids]
         p, expected, _ = model.marginals(e, real, pairs=True)
         off = np.where(real, tag - p, 0)
         by_word = np.bincount(ids.ravel(), off.ravel(), len(number))
-        g = np.bincount(features.ravel(), np.repeat(by_word, features.shape[1]), BUCKETS).astype(np.float32)
+        g = np.bincount(used.ravel(), np.repeat(by_word, used.shape[1]), BUCKETS).astype(np.float32)
         g -= decay * len(ids) * model.emission
         g[~usable] = 0
         squares += g * g

@@ -60,10 +60,10 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
-w AS (SELECT user_id, event_id, p, at AS start, 1 AS used, true AS admitted FROM e WHERE p = 1
-  UNION ALL SELECT e.user_id, e.event_id, e.p, CASE WHEN e.at - w.start >= 43200000000 THEN e.at ELSE w.start END,
-    CASE WHEN e.at - w.start >= 43200000000 THEN 1 WHEN w.used < 2 THEN w.used + 1 ELSE w.used END, e.at - w.start >= 43200000000 OR w.used < 2
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+w AS (SELECT user_id, event_id, p, us AS start, 1 AS used, true AS admitted FROM e WHERE p = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.p, CASE WHEN e.us - w.start >= 43200000000 THEN e.us ELSE w.start END,
+    CASE WHEN e.us - w.start >= 43200000000 THEN 1 WHEN w.used < 2 THEN w.used + 1 ELSE w.used END, e.us - w.start >= 43200000000 OR w.used < 2
   FROM w JOIN e ON e.user_id = w.user_id AND e.p = w.p + 1)
 SELECT user_id, event_id, admitted FROM w""")
 def rate_limit_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
