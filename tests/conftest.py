@@ -2,7 +2,7 @@ import os
 import sys
 
 os.environ.setdefault("TZ", "UTC")
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 import pytest  # noqa: E402
 
