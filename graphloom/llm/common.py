@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,6 +69,15 @@ def release() -> None:
 atexit.register(release)
 
 
+def trim() -> None:
+    """Give back to the system what earlier tasks of this Python worker, which Spark reuses, have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give_back:
+        give_back(0)
+
+
 def crc32_of_id(doc_id: str = "doc_id"):
     """crc32 of the id as text: what the folds of the contracts are dealt by."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -92,7 +103,7 @@ def chunks_by_bytes(lengths: np.ndarray, most: int) -> Iterator[slice]:
 class HashMemo(dict):
     """64-bit hashes of words (bytes), each computed once; emptied when it holds ``most`` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 250_000):
         super().__init__()
         self.most = most
 

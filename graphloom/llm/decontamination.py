@@ -50,6 +50,7 @@ def build_index(
     broadcast = docs.sparkSession.sparkContext.broadcast(None if terms is None else sorted(terms))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         fixed = broadcast.value is not None
         number = {t: i for i, t in enumerate(broadcast.value or ())}
         for batch in batches:
@@ -183,6 +184,7 @@ def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], width:
     )  # at most a block of items
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         phrase_sets, item_terms = queries.value
         vocabulary = sorted({t for _, phrases, _ in phrase_sets for p in phrases for t in p})
         number = {t: k for k, t in enumerate(vocabulary)}

@@ -121,6 +121,7 @@ def shingle_order(docs: DataFrame, text_column: str, width: int, most: int = FRE
     memo = common.lazily(common.HashMemo)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         shift, edges = np.uint64(64 - bits), np.array([(r << bits) // ranges for r in range(ranges + 1)], object)
         edges = np.array([int(e) for e in edges[1:-1]], np.uint64)
         for batch in batches:
@@ -169,6 +170,7 @@ def document_sets(docs: DataFrame, order: Order, id_column: str, text_column: st
     shared = docs.sparkSession.sparkContext.broadcast(order)  # at most FREQUENT entries of 16 bytes
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for batch in batches:
             for part, sets in _sets(batch, memo(), width):
                 prefixes = [shared.value.prefix(s, prefix_length(len(s))) if len(s) else s for s in sets]
@@ -200,6 +202,7 @@ def list_pairs(groups: DataFrame) -> DataFrame:
     """Pairs of groups that share a prefix shingle (``b`` set), and the members of long lists (``b`` null)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -218,6 +221,7 @@ def list_pairs(groups: DataFrame) -> DataFrame:
                 )
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         names = ["token", "a", "b", "n"]
 
         def out(*columns) -> pa.RecordBatch:  # noqa: ANN002
@@ -298,6 +302,7 @@ def class_sets(wanted: DataFrame, docs: DataFrame, id_column: str, text_column:
     memo = common.lazily(common.HashMemo)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for batch in batches:
             for _, sets in _sets(batch, memo(), width, 0):
                 yield pa.RecordBatch.from_arrays(
@@ -376,6 +381,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: s
     memo = common.lazily(common.HashMemo)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         last, left, left_class = None, None, None
         for batch in batches:
             rows = []

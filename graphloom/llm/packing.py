@@ -116,6 +116,7 @@ def cut_documents(
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             sizes = common.byte_lengths(texts)
@@ -165,6 +166,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
 
     def placed(plan: np.ndarray):
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.trim()
             shift = np.int64(1) << 48
             keys = plan[:, 0] * shift + plan[:, 1]
             for batch in batches:

@@ -38,7 +38,7 @@ class PieceEncoder:
     white space is dropped and letters are lower-cased (word vocabularies).
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 400_000):
+    def __init__(self, path: str, spaced: bool, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

@@ -42,7 +42,7 @@ class _WordCodes(dict):
     """A word's shape bucket, word bucket and figures, packed into one number; emptied when full."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         shape = word[:64]
         for pattern, by in _RUNS:
@@ -125,11 +125,16 @@ def fit(sample: list[tuple[str, int]], epochs: int = 12, batch: int = 128, rate:
     if len(set(y.tolist())) < 2:
         empty.constant = float(y.mean()) if len(y) else 0.5
         return empty
-    x, bags = passage_features([t for t, _ in sample], _WordCodes())
+    codes = _WordCodes()
+    parts = [passage_features([t for t, _ in sample[k : k + 256]], codes) for k in range(0, len(sample), 256)]
+    x, bags = (np.concatenate(c) for c in zip(*parts, strict=True))
+    del parts, codes
     rng = np.random.default_rng(seed)
     shape = {"w": (SIZE, HIDDEN), "b": (HIDDEN,), "v": (HIDDEN, GATES), "u": (HIDDEN, GATES), "a": (GATES,), "c": (HIDDEN,), "d": ()}
     weights = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if s else np.zeros(())).astype(np.float32) for k, s in shape.items()}
-    model = Model(x.mean(0), 1 / (x.std(0) + 0.02), weights)
+    mean = x.mean(0)
+    spread = np.concatenate([x[:, k : k + 32].std(0) for k in range(0, SIZE, 32)])
+    model = Model(mean, 1 / (spread + 0.02), weights)
     first = {k: np.zeros_like(w) for k, w in weights.items()}
     second = {k: np.zeros_like(w) for k, w in weights.items()}
     starts, step = np.cumsum(bags) - bags, 0
@@ -167,6 +172,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        common.trim()
         for texts in batches:
             out = [np.zeros(0)]
             for part in common.chunks_by_bytes(common.byte_lengths(texts), BATCH_BYTES):

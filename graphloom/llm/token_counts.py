@@ -34,6 +34,7 @@ def token_counts(
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        common.trim()
         for texts in batches:
             sizes = common.byte_lengths(texts)
             out = [np.zeros(0, np.int64)]

@@ -148,6 +148,7 @@ def write_store(
     width = "<u2" if _vocabulary_size(vocabulary) <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
             sizes = common.byte_lengths(texts)
@@ -164,6 +165,7 @@ def write_store(
                 )
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         now, part, names, parts, total = None, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -204,6 +206,7 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     fields = "range_no long, part long, place long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for batch in batches:
             for content in batch.column(0):
                 f = TokenFile(content.as_py())

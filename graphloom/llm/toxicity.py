@@ -199,7 +199,7 @@ class _WordScores(dict):
         self.model = model
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         value = self[word] = self.model.word_score(word)
         return value
@@ -221,6 +221,7 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        common.trim()
         for texts in batches:
             out = [np.zeros(0)]
             for part in common.chunks_by_bytes(common.byte_lengths(texts), BATCH_BYTES):
@@ -236,6 +237,7 @@ def toxic_spans(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     scores = common.lazily(lambda: _WordScores(shared.value))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for batch in batches:
             rows = []
             for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):

@@ -127,6 +127,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
             } | more, part)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 columns = [c.to_pylist() for c in batch.slice(start, 256).columns]
@@ -166,6 +167,7 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
         return int(parts[2]) if len(parts) > 2 and parts[2] else None
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k]) for n, k in
                             (x.split() for x in raw.split(", "))])
         for batch in batches:
@@ -209,6 +211,7 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for batch in batches:
             yield rows_out([
                 page(origin, kind, url, digest, refers, block, None)
@@ -216,6 +219,7 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
             ])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         first, parts, total, fault = None, [], None, None
 
         def done() -> tuple:
