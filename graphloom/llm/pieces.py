@@ -38,7 +38,7 @@ class PieceEncoder:
     white space is dropped and letters are lower-cased (word vocabularies).
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 150_000):
+    def __init__(self, path: str, spaced: bool, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -50,64 +50,70 @@ class PieceEncoder:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.core: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
         self.lens = np.zeros(1 << 12, np.int64)
         self.used = self.rows = 0
 
     def _model_ids(self, text: str) -> list[int]:
-        if (ids := self.core.get(text)) is None:
-            mapped = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
-            ids = self.core[text] = [t.id for t in self.model.tokenize(mapped)]
+        mapped = text if text.isascii() else "".join(map(self.letters.__getitem__, text.encode()))
+        return [t.id for t in self.model.tokenize(mapped)]
+
+    def _mark_ids(self, marks: str) -> list[int]:
+        if (ids := self.marks.get(marks)) is None:
+            ids = self.marks[marks] = self._model_ids(marks) if marks else []
         return ids
 
-    def _plain_ids(self, piece: str, first: bool) -> list[int] | None:
+    def _plain_ids(self, piece: str) -> list[int] | None:
         if not (match := _PLAIN.fullmatch(piece)):
             return None
         word, marks = match.groups()
         if not self.spaced:
-            return (self._model_ids(word.lower()) if word else []) + (self._model_ids(marks) if marks else [])
-        if first or not piece:
+            return (self._model_ids(word.lower()) if word else []) + self._mark_ids(marks)
+        if not piece or piece.startswith("\0first"):
             return None
-        space = self.letters[32]
         if not word:
-            return [t.id for t in self.model.tokenize(space + marks)]
-        key = " " + word
-        if (ids := self.core.get(key)) is None:
-            mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            ids = self.core[key] = [t.id for t in self.model.tokenize(space + mapped)]
-        return ids + (self._model_ids(marks) if marks else [])
-
-    def _add(self, key: str, ids: list[int]) -> None:
-        end = self.used + len(ids)
+            return [t.id for t in self.model.tokenize(self.letters[32] + marks)]
+        mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+        return [t.id for t in self.model.tokenize(self.letters[32] + mapped)] + self._mark_ids(marks)
+
+    def _add(self, keys: list[str], lens: list[int], ids: list[int]) -> None:
+        """Keep the ids of these pieces, one piece's after another's."""
+        end, rows = self.used + len(ids), self.rows + len(keys)
         if end > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(end, len(self.pool)), np.uint32)])
-        if self.rows == len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.lens = np.concatenate([self.lens, np.zeros_like(self.lens)])
+        if rows > len(self.starts):
+            more = np.zeros(max(rows, len(self.starts)), np.int64)
+            self.starts, self.lens = np.concatenate([self.starts, more]), np.concatenate([self.lens, more])
         self.pool[self.used : end] = ids
-        self.starts[self.rows], self.lens[self.rows] = self.used, len(ids)
-        self.known[key] = self.rows
-        self.rows, self.used = self.rows + 1, end
+        self.lens[self.rows : rows] = lens
+        self.starts[self.rows : rows] = self.used + np.cumsum(lens) - lens
+        self.known.update(zip(keys, range(self.rows, rows), strict=True))
+        self.rows, self.used = rows, end
 
     def _learn(self, new: list[str]) -> None:
         """Encode the pieces of ``new``; a key with a leading NUL and "first" marks a text's first piece."""
-        odd: list[str] = []
+        odd, keys, lens, flat = [], [], [], []
         for key in new:
-            first = key.startswith("\0first")
-            ids = None if len(key) > LONG_PIECE else self._plain_ids(key, first)
+            ids = None if len(key) > LONG_PIECE else self._plain_ids(key)
             if ids is None:
                 odd.append(key)
             else:
-                self._add(key, ids)
+                keys.append(key)
+                lens.append(len(ids))
+                flat += ids
         if odd:
             texts = [k[6:] if k.startswith("\0first") else " " + k if self.spaced else k for k in odd]
             texts = [_LETTER_DIGIT.split(t) if self.spaced and len(t) > 4096 else [t] for t in texts]
-            flat = [p for t in texts for p in t]
-            done = iter(self.tokenizer.encode_batch(flat, add_special_tokens=False))
+            done = iter(self.tokenizer.encode_batch([p for t in texts for p in t], add_special_tokens=False))
             for key, parts in zip(odd, texts, strict=True):
-                self._add(key, [i for _ in parts for i in next(done).ids])
+                before = len(flat)
+                for _ in parts:
+                    flat += next(done).ids
+                keys.append(key)
+                lens.append(len(flat) - before)
+        self._add(keys, lens, flat)
 
     def pieces(self, text: str) -> list[str]:
         """Keys of the text's pieces, in order; together they are the whole text."""
