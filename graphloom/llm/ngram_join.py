@@ -405,17 +405,25 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_column: s
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(v, label): the smallest node reachable from each node of ``edges`` (a, b), by minima and pointer jumps."""
-    ways = common.stage(edges.select("a", "b").unionAll(edges.select("b", "a")).distinct(), "edges")
-    labels = common.stage(ways.groupBy(F.col("a").alias("v")).agg(F.least(F.col("v"), F.min("b")).alias("label")), "labels")
-    while True:
-        near = ways.join(labels.toDF("b", "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
-        lower = labels.join(near.toDF("v", "l"), "v").select("v", "label", F.least("label", "l").alias("low"))
-        jump = lower.join(labels.toDF("low", "far"), "low", "left")
-        step = common.stage(jump.select("v", F.least("low", F.coalesce("far", "low")).alias("label"), (F.col("label") != F.least("low", F.coalesce("far", "low"))).alias("moved")), "labels")
-        if not step.filter("moved").limit(1).count():
-            return step.select("v", "label")
-        labels = step.select("v", "label")
+    """(v, label): the smallest node reachable from each node of ``edges`` (a, b).
+
+    Each node takes its smallest neighbour's own choice if that is smaller; then edges are drawn between what has been
+    chosen, and those inside one choice go. So the edges that are left shrink from round to round.
+    """
+    undirected = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = common.stage(edges.select(*undirected("a", "b")).filter("a <> b").distinct(), "edges")
+    found = None
+    while found is None or left.limit(1).count():
+        ways = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = ways.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("low")).select("v", F.least("v", "low").alias("low"))
+        low = common.stage(low, "lowest")
+        chosen = common.stage(low.join(low.toDF("low", "label"), "low").select("v", "label"), "labels")
+        drawn = left.join(chosen.toDF("a", "x"), "a").join(chosen.toDF("b", "y"), "b").select(*undirected("x", "y"))
+        left = common.stage(drawn.filter("a <> b").distinct(), "edges")
+        found = chosen if found is None else common.stage(
+            found.join(chosen.toDF("label", "far"), "label", "left").select("v", F.coalesce("far", "label").alias("label")), "labels"
+        )
+    return found
 
 
 def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
