@@ -69,8 +69,20 @@ def release() -> None:
 atexit.register(release)
 
 
-def trim() -> None:
-    """Give back to the system what earlier tasks of this Python worker, which Spark reuses, have freed."""
+_held: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """A value that stays with this Python worker, which Spark reuses, until a task that doesn't keep it trims."""
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
+
+
+def trim(keep: tuple | None = None) -> None:
+    """Drop what earlier tasks of this Python worker hold, but ``keep``, and give back to the system what they have freed."""
+    for key in [k for k in _held if k != keep]:
+        del _held[key]
     gc.collect()
     pa.default_memory_pool().release_unused()
     give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
-from graphloom.llm.pieces import PieceEncoder
+from graphloom.llm.pieces import worker_encoder
 
 BATCH_BYTES = 4_000_000
 #: Rows of the plan that one lookup carries; a longer plan is split by length and looked up in turns.
@@ -111,17 +111,16 @@ def cut_documents(
     text_column: str = "text", batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of each piece of each document."""
-    encoder = common.lazily(lambda: PieceEncoder(vocabulary, spaced))
     end = np.array([end_id], "<u4").tobytes()
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.trim()
+        encoder = worker_encoder(vocabulary, spaced)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             sizes = common.byte_lengths(texts)
             for part in common.chunks_by_bytes(sizes, batch_bytes):
-                ids, counts = encoder().ids([t or "" for t in texts[part.start : part.stop].to_pylist()])
+                ids, counts = encoder.ids([t or "" for t in texts[part.start : part.stop].to_pylist()])
                 raw, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []
                 for name, n in zip(names[part], counts.tolist(), strict=True):
                     for piece, start in enumerate(range(0, n + 1, capacity)):

@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from graphloom.llm import common
+
 _SPACE_AFTER_SPACE = re.compile(r"\s[ ]")
 _CUT = re.compile(r"(?<=\S)(?=[ ])")
 _LETTER_DIGIT = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
@@ -158,3 +160,10 @@ class PieceEncoder:
         at = np.repeat(self.starts[rows] - total[:-1], lens) + np.arange(total[-1])
         ends = np.cumsum(counts)
         return self.pool[at], total[ends] - total[ends - counts]
+
+
+def worker_encoder(path: str, spaced: bool) -> PieceEncoder:
+    """This Python worker's encoder for the vocabulary; its tasks share it and its bounded memo."""
+    key = ("pieces", path, spaced)
+    common.trim(keep=key)
+    return common.held(key, lambda: PieceEncoder(path, spaced))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
-from graphloom.llm.pieces import PieceEncoder
+from graphloom.llm.pieces import worker_encoder
 
 BATCH_BYTES = 4_000_000
 
@@ -29,17 +29,16 @@ def token_counts(
     docs: DataFrame, vocabulary: str, spaced: bool = True, id_column: str = "doc_id", text_column: str = "text",
     limit: int = 512, batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
-    """(id, n_bytes, n_tokens, over_limit) of each row; ``spaced`` as in ``PieceEncoder``."""
-    encoder = common.lazily(lambda: PieceEncoder(vocabulary, spaced))
+    """(id, n_bytes, n_tokens, over_limit) of each row; ``spaced`` as in ``pieces.PieceEncoder``."""
 
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        common.trim()
+        encoder = worker_encoder(vocabulary, spaced)
         for texts in batches:
             sizes = common.byte_lengths(texts)
             out = [np.zeros(0, np.int64)]
             for part in common.chunks_by_bytes(sizes, batch_bytes):
-                out.append(encoder().lengths([t or "" for t in texts[part.start : part.stop].to_pylist()]))
+                out.append(encoder.lengths([t or "" for t in texts[part.start : part.stop].to_pylist()]))
             yield pa.array(np.concatenate(out), pa.int64())
 
     text = F.col(text_column)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
-from graphloom.llm.pieces import PieceEncoder
+from graphloom.llm.pieces import worker_encoder
 
 MAGIC = b"GLDAC\x01"
 END = "GLDACEND"
@@ -143,18 +143,17 @@ def write_store(
     text_column: str = "text", per_range: int = DOCS_PER_RANGE, ids_per_file: int = IDS_PER_FILE,
 ) -> None:
     """Encode ``docs`` and write their ids under ``path``, in ascending order of their ids."""
-    encoder = common.lazily(lambda: PieceEncoder(vocabulary, spaced))
     bounds = np.array(range_bounds(docs, id_column, per_range), np.int64)
     width = "<u2" if _vocabulary_size(vocabulary) <= 1 << 16 else "<u4"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.trim()
+        encoder = worker_encoder(vocabulary, spaced)
         for batch in batches:
             names, texts = batch.column(0), batch.column(1)
             sizes = common.byte_lengths(texts)
             ranges = np.searchsorted(bounds, np.asarray(names.fill_null(-(1 << 63))), "right")
             for part in common.chunks_by_bytes(sizes, BATCH_BYTES):
-                ids, counts = encoder().ids([t or "" for t in texts[part.start : part.stop].to_pylist()])
+                ids, counts = encoder.ids([t or "" for t in texts[part.start : part.stop].to_pylist()])
                 ends = np.cumsum(counts)
                 whole = np.insert(ids, ends, end_id).astype(width)
                 raw, stops = whole.tobytes(), (ends + np.arange(1, len(ends) + 1)) * whole.itemsize
@@ -211,7 +210,8 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
             for content in batch.column(0):
                 f = TokenFile(content.as_py())
                 n = len(f.doc_ids)
-                crcs = [zlib.crc32(f.document(k).astype("<u4").tobytes()) for k in range(n)]
+                raw, ends = memoryview(f.tokens(0, f.n_ids).astype("<u4").tobytes()), (f.starts * 4).tolist()
+                crcs = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 columns = [[f.range_no] * n, [f.part] * n, list(range(n)), f.doc_ids, f.starts[:-1], np.diff(f.starts), crcs]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, pa.int64()) for c in columns],
