@@ -97,8 +97,14 @@ class PieceEncoder:
     def _learn(self, new: list[str]) -> None:
         """Encode the pieces of ``new``; a key with a leading NUL and "first" marks a text's first piece."""
         odd, keys, lens, flat = [], [], [], []
+        words, tokenize = not self.spaced, self.model.tokenize
         for key in new:
-            ids = None if len(key) > LONG_PIECE else self._plain_ids(key)
+            if len(key) > LONG_PIECE:
+                ids = None
+            elif words and key.isascii() and key.isalpha():
+                ids = [t.id for t in tokenize(key.lower())]
+            else:
+                ids = self._plain_ids(key)
             if ids is None:
                 odd.append(key)
             else:
