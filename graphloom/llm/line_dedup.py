@@ -5,7 +5,8 @@ documents is repeated. Its first occurrence (smallest doc_id, then place) stays;
 lines, and the covered lines of a text, merged, are removed.
 
 Defined results: lines are what stands between line feeds, compared as they are; windows of blank lines alone are not
-counted. A text of fewer than three lines has no window and stays. A null text stays null with 0 lines. Null ids come
+counted. A text of fewer than three lines is one window of all its lines, so it meets only whole texts of the same
+lines; the query's SQL has no such windows, so with ``short`` false those texts stay. A null text stays null with 0 lines. Null ids come
 before all others. Rows with the same id and text are one document and fare alike. A text whose
 lines are all covered becomes empty, and ``n_removed`` equals ``n_lines``. Other columns are kept as they
 are, but for lines, fence, covered, n_lines and n_removed, which are the operator's own.
@@ -28,19 +29,19 @@ def _key(id_column: str, text_column: str) -> dict[str, Column]:
     return {"gl_id": F.col(id_column), "gl_text": F.xxhash64(F.col(text_column))}
 
 
-def windows(docs: DataFrame, id_column: str, text_column: str, size: int = WINDOW) -> DataFrame:
-    """(gl_id, gl_text, at, h1, h2): the windows of each text by their 128-bit hash."""
+def windows(docs: DataFrame, id_column: str, text_column: str, size: int = WINDOW, short: bool = True) -> DataFrame:
+    """(gl_id, gl_text, at, long, h1, h2): the windows of each text, of ``long`` lines, by their 128-bit hash."""
     lines = F.split(F.col(text_column), "\n", -1)
     split = docs.select(*(c.alias(k) for k, c in _key(id_column, text_column).items()), lines.alias("lines")).filter(
-        F.size("lines") >= size
+        F.size("lines") >= (1 if short else size)
     )
     window = lambda i: F.slice("lines", i + 1, size)
     found = F.transform(
-        F.sequence(F.lit(0), F.size("lines") - size),
+        F.sequence(F.lit(0), F.greatest(F.size("lines") - size, F.lit(0))),
         lambda i: F.when(
             F.exists(window(i), lambda x: x.rlike(r"[^\t\r ]")),
             F.struct(
-                i.alias("at"), F.xxhash64(window(i)).alias("h1"), F.xxhash64(F.lit(1), window(i)).alias("h2")
+                i.alias("at"), F.least(F.size("lines"), F.lit(size)).alias("long"), F.xxhash64(window(i)).alias("h1"), F.xxhash64(F.lit(1), window(i)).alias("h2")
             ),
         ),
     )
@@ -49,7 +50,7 @@ def windows(docs: DataFrame, id_column: str, text_column: str, size: int = WINDO
     )
 
 
-def covered_places(found: DataFrame, size: int = WINDOW) -> DataFrame:
+def covered_places(found: DataFrame) -> DataFrame:
     """(gl_id, gl_text, covered): the places of lines that later occurrences cover, of each document that has some."""
     place = F.struct("gl_id", "gl_text", "at")
     repeated = (
@@ -61,15 +62,17 @@ def covered_places(found: DataFrame, size: int = WINDOW) -> DataFrame:
     later = found.join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") + F.lit(0) == F.col("r2") + F.lit(0))).filter(
         ~place.eqNullSafe(F.col("first"))
     )
-    return later.groupBy("gl_id", "gl_text").agg(F.collect_set("at").alias("starts")).select(
+    return later.groupBy("gl_id", "gl_text").agg(F.collect_set("at").alias("starts"), F.max("long").alias("long")).select(
         "gl_id", "gl_text",
-        F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (size - 1))))).alias("covered"),
+        F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + F.col("long") - 1)))).alias("covered"),
     )
 
 
-def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WINDOW) -> DataFrame:
+def drop_repeated_lines(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WINDOW, short: bool = True
+) -> DataFrame:
     """``docs`` with its texts without covered lines, and ``n_lines`` and ``n_removed``."""
-    covered = covered_places(windows(docs, id_column, text_column, size), size).select(
+    covered = covered_places(windows(docs, id_column, text_column, size, short)).select(
         F.col("gl_id").alias("c_id"), F.col("gl_text").alias("c_text"), "covered"
     )
     key = _key(id_column, text_column)
@@ -91,7 +94,7 @@ def drop_repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return drop_repeated_lines(docs).select(
+    return drop_repeated_lines(docs, short=False).select(
         "doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     )
 

@@ -63,6 +63,30 @@ def test_repeated_lines_go_but_the_first(spark):
     assert line_dedup.drop_repeated_lines(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def deduplicated(texts: list[str], size: int = 3) -> list[tuple[str, int]]:
+    """(text left, lines removed), window by window; a text of fewer lines is one window."""
+    seen, out = set(), []
+    for text in texts:
+        lines, gone = text.split("\n"), set()
+        for i in range(max(1, len(lines) - size + 1)):
+            window = tuple(lines[i : i + size])
+            if any(x.strip("\t\r ") for x in window):
+                gone |= set(range(i, i + len(window))) if window in seen else set()
+                seen.add(window)
+        out.append(("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone)))
+    return out
+
+
+def test_texts_of_one_or_two_lines_are_windows_too(spark):
+    rng = random.Random(3)
+    passage = " ".join(f"w{i}" for i in range(60))
+    texts = [passage, passage, f"{passage}\nb", f"{passage}\nb", f"b\n{passage}", "", "", " \n", " \n", f"{passage}\nb\nc", passage]
+    texts += ["\n".join(rng.choice("ab ") for _ in range(rng.randint(1, 6))) for _ in range(80)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_repeated_lines(frame(spark, texts)).collect()}
+    assert got == dict(enumerate(deduplicated(texts)))
+    assert got[1] == ("", 1) and got[3] == ("", 2) and got[10] == ("", 1)
+
+
 def test_a_long_text_of_one_line_over_and_over(spark):
     text = "\n".join(["again"] * 20_000)
     (row,) = line_dedup.drop_repeated_lines(frame(spark, [text])).collect()
