@@ -49,30 +49,37 @@ def property_cardinality(entities: DataFrame, facts: DataFrame, required: bool,
     return entities.join(counts, F.col("entity_id") == F.col("c_id"), "left").select("entity_id", code.alias("code")).filter("code IS NOT NULL")
 
 
-def hierarchy(edges: DataFrame, spark: SparkSession, most_depth: int = 20) -> DataFrame:
-    """(node, depth, root) below the roots of child -> parent edges, level by level; nodes on cycles never appear."""
-    edges = edges.select("child", "parent").distinct()
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows``, computed once and cut from their lineage: in the shared checkpoint folder, or in the session where there is none."""
+    shared = rows.sparkSession.sparkContext.getCheckpointDir()
+    return rows.checkpoint() if shared else rows.localCheckpoint()
+
+
+def hierarchy(edges: DataFrame, spark: SparkSession) -> DataFrame:
+    """(node, depth, root) below the roots of child -> parent edges, level by level to the last.
+
+    Nodes on cycles, or between two, never appear, and nothing is reached through them.
+    """
+    edges = settled(edges.select("child", "parent").distinct())
     roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
-    level = roots.select("node", F.lit(0).alias("depth"), F.col("node").alias("root"))
-    out = level
-    for depth in range(1, most_depth + 1):
-        level = edges.join(level.select(F.col("node").alias("parent"), "root"), "parent").select(
+    level = settled(roots.select("node", F.lit(0).alias("depth"), F.col("node").alias("root")))
+    edges = settled(edges.join(in_cycles(edges).select(F.col("node").alias("child")), "child", "left_anti"))
+    out, depth = level, 0
+    while level.limit(1).count():
+        depth += 1
+        level = settled(edges.join(level.select(F.col("node").alias("parent"), "root"), "parent").select(
             F.col("child").alias("node"), F.lit(depth).alias("depth"), "root"
-        )
-        if not level.limit(1).count():
-            break
+        ))
         out = out.unionByName(level)
     return out
 
 
-def in_cycles(edges: DataFrame, most_steps: int = 20) -> DataFrame:
-    """(node): what is left after removing, again and again, nodes without parents and nodes without children."""
-    left = edges.select("child", "parent").distinct()
-    n = left.count()
-    for _ in range(most_steps):
+def in_cycles(edges: DataFrame) -> DataFrame:
+    """(node): what is left after removing nodes without parents and nodes without children until nothing changes."""
+    left = settled(edges.select("child", "parent").distinct())
+    before, n = None, left.count()
+    while n not in (0, before):
         left = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        left = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent")
+        left = settled(left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"))
         before, n = n, left.count()
-        if n in (0, before):
-            break
     return left.select(F.col("child").alias("node")).distinct()
