@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,25 +48,47 @@ def ladder(candidates: DataFrame, authorities: DataFrame) -> DataFrame:
     )
 
 
-def similar_names(names: DataFrame, authorities: DataFrame, least: float, most: int, most_authorities: int = 10_000) -> DataFrame:
-    """(id, authority_id, ratio, rank): the most similar authorities by matching blocks; authorities are a bounded dictionary.
+def similar_names(names: DataFrame, authorities: DataFrame, least: float, most: int, block: int = 10_000) -> DataFrame:
+    """(id, authority_id, ratio, rank): the most similar authorities by matching blocks, of all authorities.
 
-    The dictionary is carried to the names if it is within its bound; otherwise only authorities that share a word are compared.
+    Authorities are cut into blocks of about ``block`` rows, names into blocks of a tenth; a pair of blocks is a task. Only
+    pairs whose lengths and characters in common, which bound the ratio from above, let it reach ``least`` are aligned.
     """
-    listed = authorities.select("authority_id", "authority_key").orderBy("authority_id").limit(most_authorities + 1).collect()
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
-
-    if len(listed) <= most_authorities:
-        known = F.array(*[F.struct(F.lit(r[0]).alias("authority_id"), F.lit(r[1]).alias("authority_key")) for r in listed])
-        pairs = names.select("id", "name_key", F.explode(known).alias("x")).select("id", "name_key", "x.*")
-    else:
-        word = lambda df, c: df.withColumn("word", F.explode(F.array_distinct(F.split(c, " "))))
-        pairs = word(names, "name_key").join(word(authorities, "authority_key"), "word").drop("word").distinct()
+
+    def blocks(rows: DataFrame, columns: list[str], name: str, size: int) -> tuple[DataFrame, int]:
+        rows = rows.select(*columns).dropna(subset=columns[1:])
+        n = max(1, -(-rows.count() // size))
+        dealt = rows.groupBy(F.pmod(F.xxhash64(*columns), F.lit(n)).alias("part"))
+        return dealt.agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part"), n
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for left, right in zip(batch["names"], batch["known"], strict=True):
+                column = {c: k for k, c in enumerate(sorted({c for r in right for c in r["authority_key"]}))}
+                counts = np.zeros((len(right), len(column)), np.int32)
+                for k, r in enumerate(right):
+                    for c, n in Counter(r["authority_key"]).items():
+                        counts[k, column[c]] = n
+                lengths = np.array([len(r["authority_key"]) for r in right])
+                rows = []
+                for x in left:
+                    both = np.zeros(len(right), np.int64)
+                    for c, n in Counter(x["name_key"]).items():
+                        if c in column:
+                            both += np.minimum(counts[:, column[c]], n)
+                    total = lengths + len(x["name_key"])
+                    bound = np.where(total > 0, 2 * both / np.maximum(total, 1), 1.0)
+                    for k in np.flatnonzero(bound >= least - 1e-6).tolist():
+                        ratio = SequenceMatcher(None, x["name_key"], right[k]["authority_key"], autojunk=False).ratio()
+                        if ratio >= least - 1e-6:
+                            rows.append((x["id"], right[k]["authority_id"], ratio))
+                yield pd.DataFrame(rows, columns=["id", "authority_id", "ratio"])
+
+    (left, n), (right, m) = blocks(names, ["id", "name_key"], "names", max(1, block // 10)), blocks(authorities, ["authority_id", "authority_key"], "known", block)
+    kinds = f"id {dict(names.dtypes)['id']}, authority_id {dict(authorities.dtypes)['authority_id']}, ratio double"
     order = Window.partitionBy("id").orderBy(F.desc("ratio"), "authority_id")
-    scored = pairs.withColumn("ratio", F.round(ratio("name_key", "authority_key"), 6)).filter(F.col("ratio") >= least)
+    scored = left.crossJoin(right).repartition(n * m).mapInPandas(compare, kinds)
+    scored = scored.withColumn("ratio", F.round("ratio", 6)).filter(F.col("ratio") >= least)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("id", "authority_id", "ratio", "rank")
 
 
