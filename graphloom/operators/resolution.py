@@ -48,6 +48,55 @@ def ladder(candidates: DataFrame, authorities: DataFrame) -> DataFrame:
     )
 
 
+def full_ladder(candidates: DataFrame, authorities: DataFrame, identified: bool = False, least: float = 0.84) -> DataFrame:
+    """(candidate_id, step, match_id, confidence) for candidates and authorities (id, code, identity, name, aliases) of one entity type.
+
+    The canonical key decides first. With ``identified`` (a type that declares identity properties) these decide the rest, and a
+    candidate without them conflicts. Otherwise follow the governed alias, the exact name and the most similar name, where a
+    candidate's name and aliases all count. Several matches of an exact step conflict.
+    """
+    names = lambda rows, *c: rows.select("id", F.explode(F.array_distinct(F.transform(
+        F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in c]), name_key
+    ))).alias("key")).filter("key <> ''")
+    name, aliases = F.array("name"), F.col("aliases")
+    of = lambda rows, c: rows.select("id", F.col(c).alias("key"))
+
+    def hits(wanted: DataFrame, known: DataFrame, x: str) -> DataFrame:
+        both = wanted.join(known.select(F.col("id").alias("t_id"), "key"), "key")
+        return both.groupBy("id").agg(F.count_distinct("t_id").alias(f"{x}_n"), F.min("t_id").alias(f"{x}_id"))
+
+    by_key = hits(of(candidates, "code"), of(authorities, "code"), "k")
+    found = candidates.select("id", "identity").join(by_key, "id", "left")
+    key = F.when(F.col("k_n") > 1, "CONFLICT").when(F.col("k_n") == 1, "CANONICAL_KEY")
+    match, confidence = F.when(F.col("k_n") == 1, F.col("k_id")), F.when(F.col("k_n") == 1, 1.0)
+    if identified:
+        found = found.join(hits(of(candidates, "identity"), of(authorities, "identity"), "i"), "id", "left")
+        step = key.when(F.col("identity").isNull() | (F.col("i_n") > 1), "CONFLICT").when(F.col("i_n") == 1, "IDENTITY_PROPERTIES")
+        none = F.col("k_n").isNull() & (F.col("i_n") == 1)
+        match, confidence = match.when(none, F.col("i_id")), confidence.when(none, 1.0)
+    else:
+        called = names(candidates, name, aliases)
+        by_alias, by_name = hits(called, names(authorities, aliases), "a"), hits(called, names(authorities, name), "m")
+        rest = called
+        for exact in (by_key, by_alias, by_name):
+            rest = rest.join(exact.select("id"), "id", "left_anti")
+        near = similar_names(
+            rest.withColumnRenamed("key", "name_key"), names(authorities, name, aliases).toDF("authority_id", "authority_key"), least, 1
+        ).select("id", F.col("authority_id").alias("s_id"), "ratio")
+        found = found.join(by_alias, "id", "left").join(by_name, "id", "left").join(near, "id", "left")
+        step = (
+            key.when(F.col("a_n") > 1, "CONFLICT").when(F.col("a_n") == 1, "GOVERNED_ALIAS")
+            .when(F.col("m_n") > 1, "CONFLICT").when(F.col("m_n") == 1, "EXACT_NAME").when(F.col("ratio").isNotNull(), "SIMILAR_NAME")
+        )
+        for open_, x, value in (
+            (F.col("k_n").isNull() & (F.col("a_n") == 1), "a_id", F.lit(0.995)),
+            (F.coalesce("k_n", "a_n").isNull() & (F.col("m_n") == 1), "m_id", F.lit(0.98)),
+            (F.coalesce("k_n", "a_n", "m_n").isNull(), "s_id", F.col("ratio")),
+        ):
+            match, confidence = match.when(open_, F.col(x)), confidence.when(open_, value)
+    return found.select(F.col("id").alias("candidate_id"), step.otherwise("NO_MATCH").alias("step"), match.alias("match_id"), confidence.alias("confidence"))
+
+
 def similar_names(names: DataFrame, authorities: DataFrame, least: float, most: int, block: int = 10_000) -> DataFrame:
     """(id, authority_id, ratio, rank): the most similar authorities by matching blocks, of all authorities.
 

@@ -67,6 +67,16 @@ def resolution_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolution.ladder(c, s.filter("entity_type = 'PARTY'"))
 
 
+@query()
+def resolution_ladder_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps: canonical key, governed alias, exact name, similar name of at least 0.84; parties declare no identity properties."""
+    c, s = _parties(spark, sf_dir)
+    named = lambda rows, table, key, name: rows.join(
+        load(spark, sf_dir, table).select(F.col(key).alias("id"), F.array(name).alias("aliases")), "id"
+    ).withColumn("identity", F.lit(None).cast("string"))
+    return resolution.full_ladder(named(c, "customer", "c_custkey", "c_name"), named(s.filter("entity_type = 'PARTY'"), "supplier", "s_suppkey", "s_name"))
+
+
 @query()
 def similar_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers whose name key resembles a nation's: the best by matching blocks (Ratcliff-Obershelp), at least 0.1."""

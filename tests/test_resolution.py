@@ -1,4 +1,4 @@
-"""Similar names against brute force."""
+"""Similar names against brute force, and the steps of the ladder."""
 
 from __future__ import annotations
 
@@ -29,3 +29,30 @@ def test_similar_names_equal_brute_force_at_every_size(spark, least, block):
     n, a = spark.createDataFrame(names, "id long, name_key string"), spark.createDataFrame(known, "authority_id int, authority_key string")
     got = {tuple(r) for r in resolution.similar_names(n, a, least, 3, block).collect()}
     assert got == brute(names, known, least, 3)
+
+
+PARTY = "id long, code string, identity string, name string, aliases array<string>"
+
+
+def test_each_step_of_the_ladder(spark):
+    authorities = spark.createDataFrame([
+        (1, "k1", "i1", "Acme Works", ["ACME"]), (2, "k2", "i2", "Bolt and Nut", ["twin"]), (3, "k3", "i3", "Cable House", ["twin"]),
+        (4, "k4", "i4", "Same", []), (5, "k5", "i4", "Same", None), (6, "k6", None, "Elsewhere Ltd", ["Zanzibar trading"]),
+    ], PARTY)
+    rows = [
+        (10, "k1", None, "x", None), (11, "z", "i2", "acme", None), (12, "z", None, "other", ["Twin"]), (13, "z", None, "CABLE-house", None),
+        (14, "z", None, "same", []), (15, "z", "i4", "Cabel House", None), (16, None, "i9", "nothing like it", None), (17, "z", "i1", "zanzibar tradin", None),
+    ]
+    candidates = spark.createDataFrame(rows, PARTY)
+    got = {r.candidate_id: (r.step, r.match_id, r.confidence) for r in resolution.full_ladder(candidates, authorities).collect()}
+    ratio = lambda a, b: round(SequenceMatcher(None, a, b).ratio(), 6)
+    assert got == {
+        10: ("CANONICAL_KEY", 1, 1.0), 11: ("GOVERNED_ALIAS", 1, 0.995), 12: ("CONFLICT", None, None), 13: ("EXACT_NAME", 3, 0.98),
+        14: ("CONFLICT", None, None), 15: ("SIMILAR_NAME", 3, ratio("cabel house", "cable house")), 16: ("NO_MATCH", None, None),
+        17: ("SIMILAR_NAME", 6, ratio("zanzibar tradin", "zanzibar trading")),
+    }
+    got = {r.candidate_id: (r.step, r.match_id) for r in resolution.full_ladder(candidates, authorities, identified=True).collect()}
+    assert got == {
+        10: ("CANONICAL_KEY", 1), 11: ("IDENTITY_PROPERTIES", 2), 12: ("CONFLICT", None), 13: ("CONFLICT", None), 14: ("CONFLICT", None),
+        15: ("CONFLICT", None), 16: ("NO_MATCH", None), 17: ("IDENTITY_PROPERTIES", 1),
+    }
