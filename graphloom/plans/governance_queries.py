@@ -28,6 +28,12 @@ def isolated_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.isolated(_parts(spark, sf_dir), supplies(spark, sf_dir).filter("subject % 10 = 0"))
 
 
+@query("SELECT p_partkey AS entity_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)")
+def isolated_entities_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts without an edge from any supplier."""
+    return audit.isolated(_parts(spark, sf_dir), supplies(spark, sf_dir))
+
+
 @query(f"WITH {SUPPLIES_SQL} SELECT subject AS entity_id, count(DISTINCT object) AS degree FROM supplies GROUP BY 1 HAVING count(DISTINCT object) > 520")
 def anomalous_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.hubs(supplies(spark, sf_dir), 520, inclusive=False)

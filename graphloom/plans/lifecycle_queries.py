@@ -107,6 +107,13 @@ def incremental_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.to_compute(d.filter("doc_id % 3 = 0"), d.filter("doc_id % 3 = 1"), ["checksum", "lang"])
 
 
+@query("SELECT DISTINCT sha256(text) AS checksum, lang FROM documents WHERE doc_id % 3 = 0 AND (sha256(text), lang) NOT IN (SELECT sha256(text), lang FROM documents WHERE doc_id % 3 <> 0)")
+def incremental_inputs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inputs of one batch whose artifacts the earlier batch, all other documents, did not make."""
+    d = load(spark, sf_dir, "documents").select("doc_id", "lang", checksum(F.col("text")).alias("checksum"))
+    return lifecycle.to_compute(d.filter("doc_id % 3 = 0"), d.filter("doc_id % 3 <> 0"), ["checksum", "lang"])
+
+
 @query("SELECT count(*) AS chunks, count(e.vec_id) AS embedded, round(count(e.vec_id) / count(*), 6) AS coverage FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
 def embedding_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, e = load(spark, sf_dir, "documents").select("doc_id"), load(spark, sf_dir, "embeddings").select("vec_id")
