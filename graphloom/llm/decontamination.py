@@ -6,8 +6,9 @@ lie, so postings are never shuffled. Only terms that occur in the test set are i
 
 A search takes the shortest posting list of each phrase, shifts it to where the phrase would start, and
 intersects it with the shifted lists of the next terms, from the rarest to the most frequent, until
-all terms agree: an exact phrase match. A proximity search takes the rarest terms of an item and returns the
-places where all of them stand within a span. Test sets larger than a block are searched block by
+all terms agree: an exact phrase match. A proximity search takes the rarest terms of an item, by their postings in the whole
+index, and returns the places of the rarest with all of them within a span; terms that no document has are passed over, and an
+item of which too few terms are left has no such places. Test sets larger than a block are searched block by
 block, and the hits are merged per document.
 
 Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z. Defined results: null texts have no words; an item
@@ -135,10 +136,10 @@ class _Postings:
         return alive[row], start
 
     def near(self, slots: list[int], within: int) -> np.ndarray:
-        """Positions of the rarest of these terms with all others at most ``within`` words away."""
+        """Positions of the first of these terms with all others at most ``within`` words away in the same document."""
         if min(slots) < 0:
             return np.zeros(0, np.int64)
-        lists = sorted((self.positions[self.starts[s] : self.starts[s] + self.lens[s]] for s in slots), key=len)
+        lists = [self.positions[self.starts[s] : self.starts[s] + self.lens[s]] for s in slots]
         at = lists[0]
         doc = np.searchsorted(self.doc_starts, at, "right")
         for other in lists[1:]:
@@ -168,11 +169,26 @@ def _blocks(items: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tupl
     return blocks, map(block, range(blocks))
 
 
+def rarest_terms(index: DataFrame, items: list[tuple[str | None, list[bytes]]], near_terms: int) -> list[list[bytes]]:
+    """Each item's ``near_terms`` terms (or all, if it has fewer) of fewest postings in the whole index, the rarest first."""
+    wanted = index.sparkSession.createDataFrame([(t,) for t in sorted({t for _, words in items for t in words})], "term binary")
+    counts = index.select(F.explode(F.arrays_zip("terms", "lens")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(
+        F.sum("t.lens").alias("n")
+    )
+    postings = {bytes(r["term"]): r["n"] for r in counts.join(wanted, "term", "left_semi").collect()}  # of a block's terms
+    found = []
+    for _, words in items:
+        terms = set(words)
+        have = sorted((postings[t], t) for t in terms if t in postings)[:near_terms]
+        found.append([t for _, t in have] if len(have) == min(near_terms, len(terms)) else [])
+    return found
+
+
 def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], width: int = WINDOW, near: int | None = None, near_terms: int = 3) -> DataFrame:
     """(segment, place, doc_id, item, kind, start, stop): matches in documents, in words from the document's start.
 
     kind is 'phrase' for windows found word by word, and with ``near`` also 'near' for places where the
-    item's ``near_terms`` rarest terms stand within that many words of the rarest one. item numbers ``items``.
+    item's ``near_terms`` rarest terms in the whole index stand within that many words of the rarest one. item numbers ``items``.
     """
     by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
     for i, (_, words) in enumerate(items):
@@ -180,7 +196,7 @@ def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], width:
             by_length.setdefault(len(window), {}).setdefault(window, set()).add(i)
     queries = index.sparkSession.sparkContext.broadcast(
         ([(n, list(found), [sorted(s) for s in found.values()]) for n, found in sorted(by_length.items())],
-         [sorted(set(words)) for _, words in items] if near is not None else [])
+         rarest_terms(index, items, near_terms) if near is not None else [])
     )  # at most a block of items
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +220,8 @@ def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], width:
                     for w, place, start in zip(which.tolist(), places.tolist(), local.tolist(), strict=True):
                         rows += [(segment, place, doc_ids[place], i, "phrase", start, start + n) for i in owners[w]]
                 for i, terms in enumerate(item_terms):
-                    have = sorted((int(lists.lens[lists.slot[t]]) if t in lists.slot else 0, t) for t in terms)[:near_terms]
-                    if have:
-                        at = lists.near([lists.slot.get(t, -1) for _, t in have], near)
+                    if terms:
+                        at = lists.near([lists.slot.get(t, -1) for t in terms], near)
                         places = np.searchsorted(lists.doc_starts, at, "right") - 1
                         local = at - lists.doc_starts[places]
                         rows += [(segment, p, doc_ids[p], i, "near", s, s + 1) for p, s in zip(places.tolist(), local.tolist(), strict=True)]
@@ -232,31 +247,40 @@ def _merged(spans: F.Column) -> F.Column:
 
 def contamination(
     docs: DataFrame, items: DataFrame, width: int = WINDOW, id_column: str = "doc_id", text_column: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int = BLOCK_BYTES, near: int | None = None, near_terms: int = 3, segment_bytes: int = SEGMENT_BYTES,
 ) -> DataFrame:
-    """(segment, place, doc_id, text_key, n_words, n_hit, n_items, items_sha256, items, contaminated) of each row."""
+    """(segment, place, doc_id, text_key, n_words, n_hit, n_items, items_sha256, items, contaminated) of each row.
+
+    With ``near`` also near_items, the items of proximity matches, and n_near, their places; the other columns are of phrases alone.
+    """
     many, blocks = _blocks(items, block_bytes)
     hits, terms = None, None  # for a test set of many blocks all terms are indexed, once
     if many == 1:
         (only,) = blocks
         blocks, terms = [only], {t for _, words in only for t in words}
-    index = common.stage(build_index(docs, terms, id_column, text_column), "index")
+    index = common.stage(build_index(docs, terms, id_column, text_column, segment_bytes), "index")
+    phrase = F.col("kind") == "phrase"
     for block in blocks:
         names = index.sparkSession.createDataFrame(
             [(i, name) for i, (name, _) in enumerate(block)], "item int, item_id string"
         )
-        found = search(index, block, width).filter("kind = 'phrase'").join(names, "item").groupBy("segment", "place").agg(
-            F.collect_set(F.struct("start", "stop")).alias("spans"), F.collect_set("item_id").alias("items")
+        found = search(index, block, width, near, near_terms).join(names, "item").groupBy("segment", "place").agg(
+            F.collect_set(F.when(phrase, F.struct("start", "stop"))).alias("spans"), F.collect_set(F.when(phrase, F.col("item_id"))).alias("items"),
+            *[F.collect_set(F.when(~phrase, c)).alias(k) for k, c in (("near_items", F.col("item_id")), ("near_places", F.col("start"))) if near is not None],
         )
         found = common.stage(found, "hits") if many > 1 else found
         hits = found if hits is None else hits.unionAll(found)
     hits = hits.groupBy("segment", "place").agg(
-        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(k)))).alias(k) for k in ("near_items", "near_places") if near is not None],
     )
     rows = index.select(
         "segment", F.posexplode(F.arrays_zip("doc_ids", "text_keys", "n_words")).alias("place", "d")
     ).select("segment", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.text_keys").alias("text_key"), F.col("d.n_words").cast("long").alias("n_words"))
     items_found = F.coalesce("items", F.array().cast("array<string>"))
+    near_found = [] if near is None else [
+        F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items"), F.coalesce(F.size("near_places"), F.lit(0)).cast("long").alias("n_near"),
+    ]
     return (
         rows.join(hits, ["segment", "place"], "left")
         .withColumn("n_hit", F.coalesce(_merged(F.col("spans")), F.lit(0)).cast("long"))
@@ -265,7 +289,7 @@ def contamination(
             F.size(items_found).cast("long").alias("n_items"),
             F.sha2(F.array_join(items_found, ",").cast("binary"), 256).alias("items_sha256"),
             items_found.alias("items"),
-            ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+            ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), *near_found,
         )
     )
 

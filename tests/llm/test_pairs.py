@@ -138,6 +138,20 @@ def test_proximity_matches(spark):
     assert {(r.doc_id, r.kind) for r in found} == {(0, "near")}
 
 
+def test_proximity_does_not_depend_on_segments(spark):
+    texts = ["red x x green x blue the the the", "the the red green blue", "red " + "x " * 30 + "green blue", "the blue blue blue"]
+    docs = frame(spark, texts).coalesce(1)
+    items = spark.createDataFrame([("i", "the red green blue absent"), ("j", "red unseen unknown")], "item_id string, text string")
+    for segment_bytes in (1, 60, 8_000_000):  # a document a segment, then some, then all
+        for block_bytes in (decontamination.BLOCK_BYTES, 20):
+            rows = decontamination.contamination(docs, items, near=6, near_terms=3, segment_bytes=segment_bytes, block_bytes=block_bytes).collect()
+            assert {(r.doc_id, tuple(r.near_items), r.n_near, r.n_hit) for r in rows} == {(0, ("i",), 1, 0), (1, ("i",), 1, 0), (2, (), 0, 0), (3, (), 0, 0)}
+    # The second document's segment lacks a frequent word of the item.
+    index = decontamination.build_index(docs, segment_bytes=1)
+    found = decontamination.search(index, [("i", [b"red", b"green", b"blue", b"x"])], near=6).collect()
+    assert {r.doc_id for r in found if r.kind == "near"} == {0, 1}
+
+
 def test_exact_dedup(spark):
     docs = frame(spark, ODD, extra=True)
     rows = exact_dedup.exact_duplicates(docs).collect()
