@@ -1,7 +1,8 @@
 r"""Encoding with the ``tokenizers`` library, each distinct piece of text once.
 
 A text is cut where its tokens cannot cross: before a white-space character that follows a
-character which is not one. Pieces recur, so each is encoded once and kept in a bounded memo.
+character which is not one. Pieces recur, so each is encoded once and kept in a memo that is bounded in
+pieces and in their characters. A text's first piece has no space before it: its key is a tuple, all others' are strings.
 Plain pieces (Latin letters, then ASCII punctuation) go straight to the vocabulary's BPE model,
 all others through ``encode_batch``; both give what encoding the whole text gives.
 """
@@ -19,8 +20,10 @@ _SPACE_AFTER_SPACE = re.compile(r"\s[ ]")
 _CUT = re.compile(r"(?<=\S)(?=[ ])")
 _LETTER_DIGIT = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:$%&#*]*)")
-#: A piece longer than this is cut further and never kept in the memo.
+#: Longer pieces are left to the library.
 LONG_PIECE = 64
+#: The memo is emptied before a batch when its pieces have so many characters; long pieces without spaces fill it early.
+MEMO_CHARS = 8_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -51,7 +54,8 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str | tuple[str], int] = {}
+        self.chars = 0
         self.marks: dict[str, list[int]] = {}
         self.pool = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 12, np.int64)
@@ -73,14 +77,14 @@ class PieceEncoder:
         word, marks = match.groups()
         if not self.spaced:
             return (self._model_ids(word.lower()) if word else []) + self._mark_ids(marks)
-        if not piece or piece.startswith("\0first"):
+        if not piece:
             return None
         if not word:
             return [t.id for t in self.model.tokenize(self.letters[32] + marks)]
         mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
         return [t.id for t in self.model.tokenize(self.letters[32] + mapped)] + self._mark_ids(marks)
 
-    def _add(self, keys: list[str], lens: list[int], ids: list[int]) -> None:
+    def _add(self, keys: list, lens: list[int], ids: list[int]) -> None:
         """Keep the ids of these pieces, one piece's after another's."""
         end, rows = self.used + len(ids), self.rows + len(keys)
         if end > len(self.pool):
@@ -94,13 +98,17 @@ class PieceEncoder:
         self.known.update(zip(keys, range(self.rows, rows), strict=True))
         self.rows, self.used = rows, end
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode the pieces of ``new``; a key with a leading NUL and "first" marks a text's first piece."""
+    def _learn(self, new: list) -> None:
+        """Encode the pieces of ``new``."""
         odd, keys, lens, flat = [], [], [], []
         words, tokenize = not self.spaced, self.model.tokenize
         for key in new:
-            if len(key) > LONG_PIECE:
+            if type(key) is tuple:
                 ids = None
+                self.chars += len(key[0])
+            elif len(key) > LONG_PIECE:
+                ids = None
+                self.chars += len(key)
             elif words and key.isascii() and key.isalpha():
                 ids = [t.id for t in tokenize(key.lower())]
             else:
@@ -112,7 +120,7 @@ class PieceEncoder:
                 lens.append(len(ids))
                 flat += ids
         if odd:
-            texts = [k[6:] if k.startswith("\0first") else " " + k if self.spaced else k for k in odd]
+            texts = [k[0] if type(k) is tuple else " " + k if self.spaced else k for k in odd]
             texts = [_LETTER_DIGIT.split(t) if self.spaced and len(t) > 4096 else [t] for t in texts]
             done = iter(self.tokenizer.encode_batch([p for t in texts for p in t], add_special_tokens=False))
             for key, parts in zip(odd, texts, strict=True):
@@ -123,7 +131,7 @@ class PieceEncoder:
                 lens.append(len(flat) - before)
         self._add(keys, lens, flat)
 
-    def pieces(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list:
         """Keys of the text's pieces, in order; together they are the whole text."""
         if not self.spaced:
             return [p for p in text.replace("\n", " ").split(" ") if p]
@@ -133,14 +141,13 @@ class PieceEncoder:
         if not parts[0] or _SPACE_AFTER_SPACE.search(text):
             cut = _CUT.split(text)
             parts = [cut[0]] + [p[1:] for p in cut[1:]]
-        parts[0] = "\0first" + parts[0]
-        return parts
+        return [(parts[0],), *parts[1:]]
 
     def rows_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The memo's row of each piece of the texts, and each text's number of pieces."""
-        if self.rows >= self.most:
+        if self.rows >= self.most or self.chars >= MEMO_CHARS:
             self.clear()
-        flat: list[str] = []
+        flat: list = []
         counts = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             before = len(flat)

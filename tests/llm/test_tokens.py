@@ -17,6 +17,10 @@ from graphloom.llm.pieces import PieceEncoder
 FILES = {True: "byte_bpe_50k.json", False: "word_bpe_49k.json"}
 
 
+#: Texts with a NUL, alone and before words.
+NULS = ["a \0firstb c", "\0firstabc", "\0first", " \0 \0x", "\0"]
+
+
 def library_ids(texts: list, name: str) -> list[list[int]]:
     t = Tokenizer.from_file(public_tokenizers.path(name))
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
@@ -27,7 +31,7 @@ def test_pieces_encode_as_the_whole_text(spaced):
     rng = random.Random(1)
     letters = "aB é\n\t .,'s’!<|>endoftext12ß$ ́ 日İΣ\x1c\u0085"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 50))) for _ in range(3000)]
-    texts += [t or "" for t in ODD] + ["a1b2" * 3000, " lead  two\n \n x", "it's 'twas IT'S don't"]
+    texts += [t or "" for t in ODD] + NULS + ["a1b2" * 3000, " lead  two\n \n x", "it's 'twas IT'S don't"]
     encoder = PieceEncoder(public_tokenizers.path(FILES[spaced]), spaced, most=500)
     want = library_ids(texts, FILES[spaced])
     at = 0
@@ -41,17 +45,18 @@ def test_pieces_encode_as_the_whole_text(spaced):
 
 
 def test_token_counts(spark):
-    docs = frame(spark, ODD, extra=True)
+    texts = ODD + NULS + ["spaceless" * 400_000, "many words " * 300_000]
+    docs = frame(spark, texts, extra=True)
     rows = token_counts.token_counts(docs, public_tokenizers.path(FILES[True]), batch_bytes=1000).collect()
-    want = [len(x) for x in library_ids(ODD, FILES[True])]
+    want = [len(x) for x in library_ids(texts, FILES[True])]
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in rows}
-    assert len(rows) == len(ODD) + 2
-    assert all(got[i] == (len((t or "").encode()), want[i], want[i] > 512) for i, t in enumerate(ODD))
+    assert len(rows) == len(texts) + 2
+    assert all(got[i] == (len((t or "").encode()), want[i], want[i] > 512) for i, t in enumerate(texts))
     assert token_counts.token_counts(spark.createDataFrame([], DOCS), public_tokenizers.path(FILES[True])).count() == 0
 
 
 def test_store_round_trip(spark):
-    texts = ODD + ["some more words here"] * 5
+    texts = ODD + NULS + ["some more words here"] * 5
     docs = frame(spark, texts, extra=True)
     rows = token_store.store_and_read(docs, public_tokenizers.path(FILES[False]), 2).collect()
     ids = [[*x, 2] for x in library_ids([*texts, "a text without an id", texts[0]], FILES[False])]
@@ -123,10 +128,18 @@ def test_plans_pack_everything_tightly():
         packing.best_fit_plan({11: 1}, 10)
 
 
+def test_the_memo_is_bounded_in_characters(monkeypatch):
+    monkeypatch.setattr("graphloom.llm.pieces.MEMO_CHARS", 10_000)
+    encoder = PieceEncoder(public_tokenizers.path(FILES[True]), True)
+    for k in range(40):
+        encoder.lengths([f"{k}" + "x" * 3000])
+    assert sum(len(p[0]) for p in encoder.known) < 20_000
+
+
 @pytest.mark.parametrize("plan_rows", [packing.PLAN_ROWS, 3])
 def test_packing(spark, plan_rows, monkeypatch):
     monkeypatch.setattr(packing, "PLAN_ROWS", plan_rows)
-    texts = ODD + ["short one"] * 20
+    texts = ODD + NULS + ["short one"] * 20
     docs = frame(spark, texts)
     rows = packing.pack_documents(docs, public_tokenizers.path(FILES[False]), 64).collect()
     ids = {i: [*x, 1] for i, x in enumerate(library_ids(texts, FILES[False]))}
