@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own where it is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, a folder of our own on a local master alone."""
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_root is None:
         _own_root = tempfile.mkdtemp(prefix="graphloom-")
     return f"file://{_own_root}"
@@ -90,6 +92,17 @@ def trim(keep: tuple | None = None) -> None:
         give_back(0)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns that no column of ``df`` has (Spark compares them without case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def crc32_of_id(doc_id: str = "doc_id"):
     """crc32 of the id as text: what the folds of the contracts are dealt by."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary"))
@@ -112,6 +125,10 @@ def chunks_by_bytes(lengths: np.ndarray, most: int) -> Iterator[slice]:
         yield slice(start, len(lengths))
 
 
+#: Words of more bytes are not kept in memos, so that a memo's bytes are bounded as its words are.
+LONG_WORD = 64
+
+
 class HashMemo(dict):
     """64-bit hashes of words (bytes), each computed once; emptied when it holds ``most`` words."""
 
@@ -120,9 +137,11 @@ class HashMemo(dict):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
     def hashes(self, words: list[bytes]) -> np.ndarray:

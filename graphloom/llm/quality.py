@@ -4,11 +4,13 @@ A document is a bag of passages of 64 words. Every passage is encoded: hashed wo
 like, its case, digits and marks), hashed lower-cased words and a few surface figures, then a learned
 hidden layer. Gated attention (tanh times sigmoid) weighs the passages of a document; the weighted
 sum of their hidden vectors is scored. All weights are learned from document labels alone, on the driver, from
-a sample of at most ``per_label`` rows a label (``training.training_sample``). Scoring reads whole texts.
+a sample of at most ``per_label`` rows a label, of long texts passages from start to end (``training.training_sample``). Scoring
+reads whole texts and whole words; a word's length, marks and capitals count up to 255 each in the figures.
 
 Defined results: a null or empty text is a bag of one empty passage, so it has a score too. A training
 sample of one label only gives that label's share as the score of all; without any labels it is 0.5.
-Repeated rows are scored alike. The inputs of a score are the text alone.
+Repeated rows are scored alike, and an empty table gives no rows. The inputs of a score are the text alone. ``quality_scores``
+selects its columns by name; ``with_scores`` replaces a column named score and keeps all others as they are.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ PASSAGE = 64
 SHAPES, WORDS = 96, 160
 SIZE = SHAPES + WORDS + 7
 HIDDEN, GATES = 32, 16
-PER_LABEL, TRAIN_BYTES = 3000, 50_000
+PER_LABEL, TRAIN_CHARS = 3000, 16_000
 BATCH_BYTES = 4_000_000
 
 _RUNS = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^A-Za-z0-9\x80-\xff])\1+"), rb"\1\1")]
@@ -39,22 +41,22 @@ _ALNUM = bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256
 
 
 class _WordCodes(dict):
-    """A word's shape bucket, word bucket and figures, packed into one number; emptied when full."""
+    """A word's shape bucket, word bucket and figures, packed into one number; emptied when full, long words are not kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 250_000:
-            self.clear()
-        shape = word[:64]
+        shape = word
         for pattern, by in _RUNS:
             shape = pattern.sub(by, shape)
-        start = word[:64]
-        marks = len(start.translate(None, _ALNUM))
-        upper = len(start) - len(start.translate(None, _UPPER))
-        code = xxhash.xxh32_intdigest(shape[:12]) % SHAPES
+        marks = min(len(word.translate(None, _ALNUM)), 255)
+        upper = min(len(word) - len(word.translate(None, _UPPER)), 255)
+        code = xxhash.xxh32_intdigest(shape) % SHAPES
         code = code << 8 | xxhash.xxh32_intdigest(word.lower(), 1) % WORDS
         code = code << 8 | min(len(word), 255)
-        code = code << 8 | marks
-        self[word] = code = code << 8 | upper
+        code = (code << 8 | marks) << 8 | upper
+        if len(word) <= common.LONG_WORD:
+            if len(self) >= 250_000:
+                self.clear()
+            self[word] = code
         return code
 
 
@@ -166,7 +168,7 @@ def fit(sample: list[tuple[str, int]], epochs: int = 12, batch: int = 128, rate:
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (doc_id, text) as (doc_id, score)."""
+    """``docs`` with ``score``, from the column text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some 40 kB
     codes = common.lazily(_WordCodes)
 
@@ -182,8 +184,8 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("score", score(F.col("text")))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    return fit(training_sample(docs, labels, "quality", 3, 1, per_label, TRAIN_BYTES))
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_chars: int = TRAIN_CHARS) -> Model:
+    return fit(training_sample(docs, labels, "quality", 3, 1, per_label, most_chars))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:

@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
 
+#: A longer text is represented by this many passages, spread evenly from its start to its end.
+PASSAGES = 8
+
+
+def passages_of(text: Column, most_chars: int) -> Column:
+    """The text, or ``PASSAGES`` passages of it, of ``most_chars`` characters together, if it is longer."""
+    each = most_chars // PASSAGES
+    step = (F.length(text) - each) / F.lit(PASSAGES - 1)
+    some = F.transform(F.sequence(F.lit(0), F.lit(PASSAGES - 1)), lambda k: F.substr(text, F.floor(k * step).cast("int") + 1, F.lit(each)))
+    return F.when(F.length(text) > most_chars, F.array_join(some, "\n")).otherwise(text)
+
 
 def training_sample(
-    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_label: int, most_bytes: int
+    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_label: int, most_chars: int
 ) -> list[tuple[str, int]]:
-    """At most ``per_label`` (text, label) rows of each label, of texts of at most ``most_bytes``, for the driver.
+    """At most ``per_label`` different (text, label) rows of each label, for the driver.
 
-    Rows of the held-out fold (crc32 of doc_id as text, mod ``folds``) are left out. The rows with the smallest
-    hash of their text are taken, so the choice is the same at any partitioning; equal texts count once.
+    Rows of the held-out fold (crc32 of doc_id as text, mod ``folds``) and empty texts are left out. Texts count once
+    however often they occur; those with the smallest hash are taken, so the choice is the same at any partitioning.
+    Of a text of more than ``most_chars`` characters, passages are taken; ``per_label`` times ``most_chars`` bounds the sample.
     """
     known = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & (F.pmod(common.crc32_of_id("l_id"), F.lit(folds)) != held_out)
     )
-    rows = (
-        docs.select("doc_id", "text").filter(F.octet_length("text").between(1, most_bytes))
-        .join(known, F.col("doc_id") == F.col("l_id"))
-        .select("text", "label", F.xxhash64(F.lit(11), "text").alias("h"))
-    )
-    # A hash bound chosen from the counts keeps the sorts small however many rows are labelled.
-    counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # The hash is taken below the join: the count moves hashes alone, and the filter on it comes before texts move.
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.lit(11), "text").alias("h")).filter(F.octet_length("text") > 0)
+    rows = hashed.join(known, F.col("doc_id") == F.col("l_id")).select("text", "label", "h")
+    different = rows.select("label", "h").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     out: list[tuple[str, int]] = []
-    for value, n in sorted(counts.items()):
+    # A hash bound chosen from the counts keeps the sorts small however many rows are labelled.
+    for value, n in sorted((r["label"], r["n"]) for r in different.collect()):
         share = min(1.0, 1.5 * per_label / n + 1e-4)
         bound = int(-(1 << 63) + share * ((1 << 64) - 1))
         some = rows.filter((F.col("label") == value) & (F.col("h") <= min(bound, (1 << 63) - 1)))
-        out += [(r["text"], value) for r in some.orderBy("h").limit(per_label).select("text").distinct().collect()]
+        short = some.select("h", passages_of(F.col("text"), most_chars).alias("text")).dropDuplicates(["h"])
+        out += [(r["text"], value) for r in short.orderBy("h").limit(per_label).select("text").collect()]
     return sorted(out)
