@@ -2,22 +2,24 @@ r"""Operator 6: WARC archives with segmented records, written and read back.
 
 Writing: equal payloads are found by their SHA-256; of those long enough, the one with the largest page
 id is a response and the others revisit it. A response's block is an HTTP message with chunked framing; a block
-longer than a segment goes on in continuation records. Each record is a row of Spark's text writer,
-whose line separator is the CRLF CRLF that ends a WARC record, so archives are real (gzip) WARC
-files made under Spark's commit protocol, of a bounded number of bounded records.
+longer than a segment goes on in continuation records. Each record is a gzip member of its own and a row of Spark's text
+writer, so archives are real WARC files made under Spark's commit protocol, of a bounded number of bounded records. Which rows
+are revisits is found on digests and lengths alone; payloads move only if that list is too long for Catalyst to broadcast.
 
-Reading: each archive is parsed where it is read. Whole records are decoded at once; segments are
-dealt by origin identifier, ordered by segment number, checked against the total length, joined and
-decoded. Only one document's segments are held at a time.
+Reading: each archive is parsed where it is read, record by record as its members (one or many) are decompressed. Whole records
+are decoded at once; segments are dealt by origin identifier, ordered by segment number, checked against the total
+length, joined and decoded. Only one document's segments are held at a time, so a very long page costs its own length.
 
 Defined results: a null page is an empty payload; a null page id stays null and is smaller than any
 other. Of equal rows with the same largest id, one is the response. Damaged or missing segments, bad
-framing and digests that do not hold raise an error (``strict``) or are told in ``problem``.
+framing and digests that do not hold raise an error (``strict``) or are told in ``problem``. An empty table gives no records and
+no rows. page_id, url and html are selected by name, so other columns may have any names. ``pages`` is read twice: a stored table.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import common
 
-RECORD_END = "\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
+FEED_BYTES = 65_536
 SEGMENT_BYTES = 16_384
 RECORDS_PER_ARCHIVE = 4096
 CHUNK_BYTES = 4096
@@ -68,25 +71,26 @@ def decode_http(block: bytes) -> tuple[bytes, int | None]:
 
 
 def plan_records(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """(row, page_id, url, payload, digest, keep, keep_row): keep is the response that a revisit refers to."""
+    """(row, page_id, url, payload, n, digest, keep, keep_row): keep is the response that a revisit refers to; it has no payload."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(
         F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"),
         F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"),
-    ).withColumns({
-        "digest": F.sha1("payload"),
-        "same": F.when(F.octet_length("payload") >= least, F.unhex(F.sha2("payload", 256))),
-    })
+    )
+    n = F.octet_length("payload")
+    long = rows.filter(n >= least).select("row", "page_id", n.alias("n"), F.unhex(F.sha2("payload", 256)).alias("same"))
     groups = (
-        rows.filter(F.col("same").isNotNull()).groupBy("same", "digest")
-        .agg(F.max(F.struct("page_id", "row")).alias("last"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select(F.col("same").alias("g_same"), "last")
+        long.groupBy("same", "n").agg(F.max(F.struct("page_id", "row")).alias("last"), F.count(F.lit(1)).alias("many"))
+        .filter("many > 1").select(F.col("same").alias("g_same"), F.col("n").alias("g_n"), "last")
+    )
+    revisits = long.join(groups, (F.col("same") == F.col("g_same")) & (F.col("n") == F.col("g_n"))).filter("row <> last.row")
+    # Stored, so that its size is known where the join below is planned.
+    revisits = common.stage(
+        revisits.select(F.col("row").alias("r_row"), F.col("last.page_id").alias("keep"), F.col("last.row").alias("keep_row")), "revisits"
     )
-    joined = rows.join(groups, F.col("same") == F.col("g_same"), "left")
-    revisit = F.col("row") != F.col("last.row")
-    return joined.select(
-        "row", "page_id", "url", "payload", "digest",
-        F.when(revisit, F.col("last.page_id")).alias("keep"), F.when(revisit, F.col("last.row")).alias("keep_row"),
+    return rows.join(revisits, F.col("row") == F.col("r_row"), "left").select(
+        "row", "page_id", "url", F.when(F.col("keep_row").isNull(), F.col("payload")).alias("payload"), n.cast("long").alias("n"),
+        F.sha1("payload").alias("digest"), "keep", "keep_row",
     )
 
 
@@ -102,7 +106,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
         head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in clean.items()) + f"Content-Length: {len(block)}\r\n\r\n"
         return head.encode() + block
 
-    def records_of(row: int, page_id: int | None, url: str, payload: bytes, digest: str, keep: int | None,
+    def records_of(row: int, page_id: int | None, url: str, payload: bytes | None, n: int, digest: str, keep: int | None,
                    keep_row: int | None) -> Iterator[bytes]:
         fields = {
             "WARC-Type": "response" if keep_row is None else "revisit", "WARC-Record-ID": name(page_id, row),
@@ -111,7 +115,7 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
         }
         if keep_row is not None:
             more = {"WARC-Refers-To": name(keep, keep_row), "WARC-Profile": PROFILE}
-            yield record(fields | more, _HTTP + b"Content-Length: %d\r\n\r\n" % len(payload))
+            yield record(fields | more, _HTTP + b"Content-Length: %d\r\n\r\n" % n)
             return
         block = _HTTP + b"Transfer-Encoding: chunked\r\n\r\n" + chunked(payload)
         if len(block) <= segment_bytes:
@@ -131,31 +135,68 @@ def write_archives(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYT
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 columns = [c.to_pylist() for c in batch.slice(start, 256).columns]
-                made = [r for row in zip(*columns, strict=True) for r in records_of(*row)]
+                made = [member(r + RECORD_END) for row in zip(*columns, strict=True) for r in records_of(*row)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
 
+    # A member's last byte is that of its length, 0 below 16 MB: it is the line separator. The bytes pass the writer as they are.
     written = plan_records(pages, least).mapInArrow(build, "record binary").select(F.col("record").cast("string"))
-    written.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
+    written.write.option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
+
+
+def member(record: bytes) -> bytes:
+    """The record as a gzip member, without the zero byte that ends it; one of 16 MB and more is followed by an empty member."""
+    made = gzip.compress(record, 6, mtime=0)
+    return (made if not made[-1] else made + gzip.compress(b"", mtime=0))[:-1]
+
+
+def decompressed(content: bytes) -> Iterator[bytes]:
+    """The archive's bytes piece by piece, whether it is one gzip member, many, or not compressed."""
+    if not content.startswith(b"\x1f\x8b"):
+        yield content
+        return
+    view, at = memoryview(content), 0
+    while at < len(content):
+        unpack = zlib.decompressobj(31)
+        while not unpack.eof:
+            if at >= len(content):
+                raise ValueError("a gzip member is cut short")
+            piece = view[at : at + FEED_BYTES]
+            yield unpack.decompress(piece)
+            at += len(piece) - len(unpack.unused_data)
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The records of an archive: fields by lower-case name, and the block."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        lines = content[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError("not a WARC record")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        stop = end + 4 + int(fields["content-length"])
-        if content[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError("a record is cut short")
-        yield fields, content[end + 4 : stop]
-        at = stop + 4
-
-
-def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload, problem) of each archived page."""
+    held, need, fields, start = bytearray(), 0, None, 0
+    for piece in decompressed(content):
+        held += piece
+        at = 0
+        while len(held) - at >= need:
+            if fields is None:
+                end = held.find(b"\r\n\r\n", at)
+                if end < 0:
+                    break
+                lines = held[at:end].decode().split("\r\n")
+                if not lines[0].startswith("WARC/"):
+                    raise ValueError("not a WARC record")
+                fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                start = end + 4 - at
+                need = start + int(fields["content-length"]) + 4
+            else:
+                if held[at + need - 4 : at + need] != RECORD_END:
+                    raise ValueError("a record is cut short")
+                yield fields, bytes(held[at + start : at + need - 4])
+                at, need, fields = at + need, 0, None
+        del held[:at]
+    if held:
+        raise ValueError("a record is cut short")
+
+
+def read_archives(spark: SparkSession, path: str, strict: bool = True, payloads: bool = True) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload, problem) of each archived page.
+
+    Without ``payloads`` they are decoded and checked, but not returned (null).
+    """
     raw = "origin string, segment long, total long, kind string, url string, digest string, refers string, block binary"
     out = (
         "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, "
@@ -167,24 +208,31 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
         return int(parts[2]) if len(parts) > 2 and parts[2] else None
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The segments, as they are."""
         common.trim()
         schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[k]) for n, k in
                             (x.split() for x in raw.split(", "))])
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for f, block in parse_archive(zlib.decompress(content.as_py(), 31)):
-                    total, part = f.get("warc-segment-total-length"), f.get("warc-segment-number")
-                    rows.append((
-                        f.get("warc-segment-origin-id", f["warc-record-id"]), int(part) if part else None,
-                        int(total) if total else None, f["warc-type"], f.get("warc-target-uri"),
-                        f.get("warc-payload-digest"), f.get("warc-refers-to"), block,
-                    ))
-                    if len(rows) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                for rows in some((f, block) for f, block in parse_archive(content.as_py()) if "warc-segment-number" in f):
+                    made = [(
+                        f.get("warc-segment-origin-id", f["warc-record-id"]), int(f["warc-segment-number"]),
+                        int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, f["warc-type"],
+                        f.get("warc-target-uri"), f.get("warc-payload-digest"), f.get("warc-refers-to"), block,
+                    ) for f, block in rows]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), schema.types, strict=True)], schema=schema)
+
+    def some(records: Iterator[tuple]) -> Iterator[list[tuple]]:
+        """The records in lists that are bounded in number and, but for a longer record, in bytes."""
+        rows, size = [], 0
+        for record in records:
+            if rows and (len(rows) == 512 or size + len(record[1]) > FEED_BYTES * 256):
+                yield rows
+                rows, size = [], 0
+            rows.append(record)
+            size += len(record[1])
+        if rows:
+            yield rows
 
     def page(origin: str, kind: str, url: str | None, digest: str | None, refers: str | None, block: bytes, problem: str | None) -> tuple:
         told = base64.b32decode(digest.removeprefix("sha1:")).hex() if digest else None
@@ -202,7 +250,7 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
                 problem = str(fault)
         if problem and strict:
             raise ValueError(f"{origin}: {problem}")
-        return page_of(origin), n, found, kind, page_of(refers) if kind == "revisit" else None, url, payload, problem
+        return page_of(origin), n, found, kind, page_of(refers) if kind == "revisit" else None, url, payload if payloads else None, problem
 
     def rows_out(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string())
@@ -213,10 +261,16 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.trim()
         for batch in batches:
-            yield rows_out([
-                page(origin, kind, url, digest, refers, block, None)
-                for origin, _, _, kind, url, digest, refers, block in zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            ])
+            for content in batch.column(0):
+                # Other record types (warcinfo, request, metadata) hold no page.
+                whole_ones = ((f, block) for f, block in parse_archive(content.as_py())
+                              if "warc-segment-number" not in f and f["warc-type"] in ("response", "revisit"))
+                for rows in some(whole_ones):
+                    yield rows_out([
+                        page(f["warc-record-id"], f["warc-type"], f.get("warc-target-uri"), f.get("warc-payload-digest"),
+                             f.get("warc-refers-to"), block, None)
+                        for f, block in rows
+                    ])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.trim()
@@ -243,16 +297,15 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
         if first:
             yield rows_out([done()])
 
-    records = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, raw)
-    records = common.stage(records, "warc-records")
-    segments = records.filter("segment IS NOT NULL").repartition("origin").sortWithinPartitions("origin", "segment")
-    return records.filter("segment IS NULL").mapInArrow(whole, out).unionAll(segments.mapInArrow(assemble, out))
+    archives = spark.read.format("binaryFile").load(path).select("content")
+    segments = archives.mapInArrow(parse, raw).repartition("origin").sortWithinPartitions("origin", "segment")
+    return archives.mapInArrow(whole, out).unionAll(segments.mapInArrow(assemble, out))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.staging_path(spark, "warc")
     write_archives(common.table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = """

@@ -45,6 +45,25 @@ def test_empty_table(spark, tmp_path):
     assert warc.read_archives(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_archives_of_one_member_of_many_and_of_none(spark, tmp_path):
+    frame, rows = pages(spark)
+    warc.write_archives(frame, f"file://{tmp_path}/a", segment_bytes=300)
+    files = sorted((tmp_path / "a").glob("part*"))
+    many = b"".join(p.read_bytes() for p in files)
+    assert many.count(b"\x1f\x8b\x08\x00\x00\x00\x00\x00") > len(rows)
+    plain = gzip.decompress(many)
+    records = list(warc.parse_archive(many))
+    assert records == list(warc.parse_archive(gzip.compress(plain))) == list(warc.parse_archive(plain)) and len(records) > len(rows)
+    with pytest.raises(ValueError, match="cut short"):
+        list(warc.parse_archive(many[:-9]))
+    big = bytes(range(256)) * 70_000
+    assert gzip.decompress(warc.member(big) + b"\0") == big
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc.gz").write_bytes(gzip.compress(info) + many)
+    assert warc.read_archives(spark, f"file://{tmp_path}/b").count() == len(rows)
+
+
 def test_missing_segment_is_told(spark, tmp_path):
     frame = spark.createDataFrame([(1, "u", "q" * 5000, None, None)], PAGES)
     warc.write_archives(frame, f"file://{tmp_path}/a", segment_bytes=1000)
