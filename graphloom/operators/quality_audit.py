@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.staging import stage
+
 
 def finding(rows: DataFrame, severity: str, code: str, record_id: Column, detail: Column) -> DataFrame:
     return rows.select(
@@ -49,37 +51,31 @@ def property_cardinality(entities: DataFrame, facts: DataFrame, required: bool,
     return entities.join(counts, F.col("entity_id") == F.col("c_id"), "left").select("entity_id", code.alias("code")).filter("code IS NOT NULL")
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """``rows``, computed once and cut from their lineage: in the shared checkpoint folder, or in the session where there is none."""
-    shared = rows.sparkSession.sparkContext.getCheckpointDir()
-    return rows.checkpoint() if shared else rows.localCheckpoint()
-
-
 def hierarchy(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """(node, depth, root) below the roots of child -> parent edges, level by level to the last.
 
     Nodes on cycles, or between two, never appear, and nothing is reached through them.
     """
-    edges = settled(edges.select("child", "parent").distinct())
+    edges = stage(edges.select("child", "parent").distinct(), "hierarchy-edges")
     roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
-    level = settled(roots.select("node", F.lit(0).alias("depth"), F.col("node").alias("root")))
-    edges = settled(edges.join(in_cycles(edges).select(F.col("node").alias("child")), "child", "left_anti"))
+    level = stage(roots.select("node", F.lit(0).alias("depth"), F.col("node").alias("root")), "hierarchy-level")
+    edges = stage(edges.join(in_cycles(edges).select(F.col("node").alias("child")), "child", "left_anti"), "hierarchy-edges")
     out, depth = level, 0
     while level.limit(1).count():
         depth += 1
-        level = settled(edges.join(level.select(F.col("node").alias("parent"), "root"), "parent").select(
+        level = stage(edges.join(level.select(F.col("node").alias("parent"), "root"), "parent").select(
             F.col("child").alias("node"), F.lit(depth).alias("depth"), "root"
-        ))
+        ), "hierarchy-level")
         out = out.unionByName(level)
     return out
 
 
 def in_cycles(edges: DataFrame) -> DataFrame:
     """(node): what is left after removing nodes without parents and nodes without children until nothing changes."""
-    left = settled(edges.select("child", "parent").distinct())
+    left = stage(edges.select("child", "parent").distinct(), "cycle-edges")
     before, n = None, left.count()
     while n not in (0, before):
         left = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        left = settled(left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"))
+        left = stage(left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"), "cycle-edges")
         before, n = n, left.count()
     return left.select(F.col("child").alias("node")).distinct()
