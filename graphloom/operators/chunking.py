@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.sources.structured import json_nodes
+
 #: Delimiters after which a chunk may end, best first.
 DELIMITERS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 
@@ -37,54 +42,172 @@ def cut_points(text: str, most: int, ratio: float) -> list[int]:
     return [*ends, len(text)] if text else []
 
 
-def split_boundary(docs: DataFrame, most: int = 1200, ratio: float = 0.6, id_column: str = "doc_id") -> DataFrame:
-    """Chunks of at most ``most`` characters that end at delimiters: (id, ordinal, char_start, char_end, chunk)."""
+@dataclass(frozen=True)
+class ChunkingOptions:
+    """How a source is cut; the bounds are fixed by the sources' contract."""
 
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, text in zip(frame[id_column], frame["text"], strict=True):
-                start = 0
-                for ordinal, end in enumerate(cut_points(text or "", most, ratio)):
-                    rows.append((key, ordinal, start, end, text[start:end]))
-                    start = end
-            yield pd.DataFrame(rows, columns=[id_column, "ordinal", "char_start", "char_end", "chunk"])
-
-    return docs.select(id_column, "text").mapInPandas(split, f"{id_column} long, ordinal int, char_start int, char_end int, chunk string")
-
-
-def markdown_sections(docs: DataFrame, id_column: str = "doc_id", most: int = 2400) -> DataFrame:
-    """Headed sections packed up to ``most`` characters, fenced code and tables kept whole: (id, ordinal, label, chunk)."""
-
-    def blocks(text: str) -> list[tuple[str, str]]:
-        out, label, fenced = [], "", False
-        for line in text.splitlines(keepends=True):
-            fence = line.lstrip().startswith("```")
-            heading = not fenced and line.startswith("#")
-            if heading:
-                label = line.lstrip("#").strip()
-            glued = fenced or (line.startswith("|") and out and out[-1][1].endswith("\n") and out[-1][1].splitlines()[-1].startswith("|"))
-            if out and (glued or (fence and fenced)) and not heading:
-                out[-1] = (out[-1][0], out[-1][1] + line)
-            else:
-                out.append((label, line))
-            fenced ^= fence
-        return out
+    max_chars: int = 1200
+    strategy: str = "structure"
+
+    def __post_init__(self) -> None:
+        if self.strategy not in ("structure", "fixed", "mapped_document"):
+            raise ValueError("unknown chunking strategy")
+        most = 65_536 if self.strategy == "mapped_document" else 3000
+        if type(self.max_chars) is not int or not 800 <= self.max_chars <= most:
+            raise ValueError(f"max_chars must be an integer from 800 to {most}")
+
+    @property
+    def signature(self) -> str:
+        return f"upload-chunking:v1:strategy={self.strategy}:max={self.max_chars}"
+
+
+def chunks_of(docs: DataFrame, cut: Callable[[str], Iterable[tuple[int, int, str | None]]], id_column: str = "doc_id") -> DataFrame:
+    """(id, ordinal, char_start, char_end, label, chunk): the (start, end, label) that ``cut`` gives for each text."""
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for key, text in zip(frame[id_column], frame["text"], strict=True):
-                packed: list[list] = []
-                for label, block in blocks(text or ""):
-                    if packed and len(packed[-1][2]) + len(block) <= most:
-                        packed[-1][1], packed[-1][2] = label, packed[-1][2] + block
-                    else:
-                        packed.append([label, label, block])
-                rows += [(key, i, a if a == b else f"{a} → {b}", c) for i, (a, b, c) in enumerate(packed)]
-            yield pd.DataFrame(rows, columns=[id_column, "ordinal", "label", "chunk"])
-
-    return docs.select(id_column, "text").mapInPandas(split, f"{id_column} long, ordinal int, label string, chunk string")
+            rows = [
+                (key, ordinal, start, end, label, text[start:end])
+                for key, text in zip(frame[id_column], frame["text"], strict=True)
+                for ordinal, (start, end, label) in enumerate(cut(text or ""))
+            ]
+            yield pd.DataFrame(rows, columns=[id_column, "ordinal", "char_start", "char_end", "label", "chunk"])
+
+    return docs.select(id_column, "text").mapInPandas(
+        split, f"{id_column} long, ordinal int, char_start int, char_end int, label string, chunk string"
+    )
+
+
+def split_boundary(docs: DataFrame, most: int = 1200, ratio: float = 0.6, id_column: str = "doc_id") -> DataFrame:
+    """Chunks of at most ``most`` characters that end at delimiters: (id, ordinal, char_start, char_end, chunk)."""
+
+    return chunks_of(docs, lambda text: _spans(cut_points(text, most, ratio)), id_column).drop("label")
+
+
+def packed(text: str, places: Iterable[int], most: int, ratio: float) -> list[int]:
+    """Ends of chunks that go to the last of ``places`` within reach; where none is, as ``cut_points`` cuts."""
+    stops, ends, start = sorted({*places, len(text)}), [], 0
+    while start < len(text):
+        last = stops[bisect_right(stops, start + most) - 1]
+        if last <= start:
+            last = start + cut_points(text[start : start + most + 1], most, ratio)[0]
+        ends.append(last)
+        start = last
+    return ends
+
+
+def json_places(text: str) -> set[int]:
+    """Where records begin and end: the elements of a root array, the values of a root object and the elements of its arrays."""
+    found: set[int] = set()
+    for node in json_nodes(text):
+        keys = node.pointer.count("/")
+        if keys == 1 or (keys == 2 and node.parent_is_array):
+            found |= {node.start, node.end}
+    return found
+
+
+_TAG = re.compile(r"""<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|<![^>]*>|<(?P<end>/?)[^<>"'\s/]+(?:[^<>"']|"[^"]*"|'[^']*')*>""", re.S)
+
+
+def xml_places(text: str) -> set[int]:
+    """Where elements begin and end, and where their start tags end."""
+    tags = [m for m in _TAG.finditer(text) if m["end"] is not None]
+    return {m.end() for m in tags} | {m.start() for m in tags if not m["end"]}
+
+
+def split_json(docs: DataFrame, most: int = 1200, ratio: float = 0.6, id_column: str = "doc_id") -> DataFrame:
+    """JSON texts in chunks of whole records: (id, ordinal, char_start, char_end, label, chunk)."""
+    return chunks_of(docs, lambda text: _spans(packed(text, json_places(text), most, ratio)), id_column)
+
+
+def split_xml(docs: DataFrame, most: int = 1200, ratio: float = 0.6, id_column: str = "doc_id") -> DataFrame:
+    """XML texts in chunks that end at tags."""
+    return chunks_of(docs, lambda text: _spans(packed(text, xml_places(text), most, ratio)), id_column)
+
+
+def _spans(ends: list[int]) -> Iterator[tuple[int, int, None]]:
+    return ((a, b, None) for a, b in zip([0, *ends], ends, strict=False))
+
+
+#: Fenced code (to its closing fence, or to the end), a pipe table (a row, a delimiter row, more rows), a blank line, a heading.
+_BLOCKS = re.compile(
+    r"(?P<fence>^ {0,3}(?P<mark>(?P<kind>[`~])(?P=kind){2,})(?:(?<=`)[^`\n]*|(?<=~).*)$(?:\n.*)*?(?:\n {0,3}(?P=mark)(?P=kind)*[^\S\n]*$(?P<closed>\n?)|\Z))"
+    r"|(?P<table>^.*\|.*\n[^\S\n]*\|*[^\S\n]*:?-+:?[^\S\n]*(?:\|[^\S\n]*:?-+:?[^\S\n]*)*\|*[^\S\n]*$(?:\n(?=.*\S).*\|.*)*\n?)"
+    r"|(?P<blank>^[^\S\n]*\n)"
+    r"|(?P<heading>^ {0,3}(?P<level>\#{1,6})(?:[ \t]+(?P<title>.*?)|[ \t]*)(?:[ \t]+\#+)?[ \t]*$)",
+    re.M,
+)
+
+
+def markdown_layout(text: str) -> tuple[list[tuple[int, str | None]], set[int]]:
+    """The sections (start, heading path), and where blocks begin and end."""
+    path: dict[int, str] = {}
+    sections: list[tuple[int, str | None]] = [(0, None)]
+    places: set[int] = set()
+    for m in _BLOCKS.finditer(text):
+        if m["heading"] is not None:
+            if title := (m["title"] or "").strip():
+                path = {k: v for k, v in path.items() if k < len(m["level"])} | {len(m["level"]): title}
+                here = (m.start(), " / ".join(path.values()))
+                sections = [here] if m.start() == 0 else [*sections, here]
+        elif m["blank"] is not None:
+            places.add(m.end())
+        else:
+            places.add(m.start())
+            if m["table"] is not None or m["closed"] is not None:
+                places.add(m.end())
+    return sections, places
+
+
+def split_markdown_sections(docs: DataFrame, most: int = 1200, ratio: float = 0.6, id_column: str = "doc_id") -> DataFrame:
+    """Each headed section cut as ``split_boundary`` does: (id, ordinal, char_start, char_end, label, chunk)."""
+
+    def cut(text: str) -> Iterator[tuple[int, int, str | None]]:
+        sections, _ = markdown_layout(text)
+        for (start, label), (end, _) in zip(sections, [*sections[1:], (len(text), None)], strict=True):
+            ends = cut_points(text[start:end], most, ratio)
+            yield from ((start + a, start + b, label) for a, b in zip([0, *ends], ends, strict=False))
+
+    return chunks_of(docs, cut, id_column)
+
+
+def split_markdown_packed(docs: DataFrame, most: int = 1200, ratio: float = 0.6, id_column: str = "doc_id") -> DataFrame:
+    """Short sections packed together, long ones cut between paragraphs, tables and fences; the label names the first and last."""
+
+    def cut(text: str) -> Iterator[tuple[int, int, str | None]]:
+        sections, blocks = markdown_layout(text)
+        starts = [s for s, _ in sections]
+        inner = sorted(blocks)
+        places = set(starts)
+        for start, end in zip(starts, [*starts[1:], len(text)], strict=True):
+            if end - start > most:
+                places.update(inner[bisect_right(inner, start) : bisect_left(inner, end)])
+        ends = packed(text, places, most, ratio)
+        for start, end in zip([0, *ends], ends, strict=False):
+            first, last = sections[bisect_right(starts, start) - 1][1], sections[bisect_left(starts, end) - 1][1]
+            yield start, end, f"{first} → {last}" if first and last and first != last else first or last
+
+    return chunks_of(docs, cut, id_column)
+
+
+def split_pages(pages: DataFrame, most: int = 1200, fixed: bool = False, id_column: str = "doc_id") -> DataFrame:
+    """Chunks inside each page (id, page_number, text), counted and placed over the whole source.
+
+    (id, ordinal, char_start, char_end, page_number, section, chunk). A source's pages are joined without anything between them.
+    """
+    keyed = pages.select(id_column, "page_number", "text").filter(F.length("text") > 0)
+    in_page = Window.partitionBy(id_column).orderBy("page_number")
+    whole = keyed.select(id_column, "page_number", (F.sum(F.length("text")).over(in_page) - F.length("text")).alias("page_start"))
+    # A page's own key, so that pages are cut apart wherever they lie.
+    row = keyed.select(F.xxhash64(id_column, "page_number").alias("page_key"), "text")
+    cut = split_fixed(row, most, "page_key") if fixed else split_boundary(row, most, id_column="page_key")
+    placed = cut.join(whole.withColumn("page_key", F.xxhash64(id_column, "page_number")), "page_key")
+    order = Window.partitionBy(id_column).orderBy("page_number", "ordinal")
+    return placed.select(
+        id_column, (F.row_number().over(order) - 1).alias("ordinal"), (F.col("page_start") + F.col("char_start")).cast("int").alias("char_start"),
+        (F.col("page_start") + F.col("char_end")).cast("int").alias("char_end"), "page_number",
+        F.concat(F.lit("PDF physical page "), F.col("page_number").cast("string")).alias("section"), "chunk",
+    )
 
 
 def gapless_report(chunks: DataFrame, docs: DataFrame, id_column: str = "doc_id") -> DataFrame:

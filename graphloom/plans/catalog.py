@@ -11,6 +11,7 @@ from graphloom.plans import (  # noqa: F401  importing them registers their quer
     metrics_queries,
     resolution_queries,
     retrieval_queries,
+    source_queries,
 )
 from graphloom.plans.registry import ORACLES, QUERIES
 
