@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,8 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_staged: list[tuple[SparkSession, str]] = []
-_own_root: str | None = None
+from graphloom.staging import release, shared_root, stage, staging_path  # noqa: F401  the operators take them from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,52 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, a folder of our own on a local master alone."""
-    global _own_root
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if _own_root is None:
-        _own_root = tempfile.mkdtemp(prefix="graphloom-")
-    return f"file://{_own_root}"
-
-
-def staging_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder; removed by ``release`` or when the driver ends."""
-    path = f"{shared_root(spark)}/graphloom-{label}-{uuid.uuid4().hex}"
-    _staged.append((spark, path))
-    return path
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts the lineage: a lost executor costs only the tasks that it ran, and what is read
-    more than once is computed once.
-    """
-    path = staging_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete all staged tables. Call it only when the results that read them are written."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session has ended: the cluster's clean-up takes the folder
-            continue
-
-
-atexit.register(release)
-
-
 _held: dict = {}
 
 

@@ -2,21 +2,25 @@ r"""Operator 8: toxic spans by a linear-chain conditional random field.
 
 Labels are given for documents, so tokens are labelled first: in toxic training documents, a token is toxic if one of
 its features (the word, its beginnings and ends) is in at least one of a hundred toxic documents, behind as
-many different words, and at least twenty times as frequent there as in clean ones, beyond what chance gives; all others are clean. On these a
+many different words, and at least twenty times as frequent there as in clean ones, beyond what chance gives; all others are
+clean. So a toxic word that is in fewer than one of a hundred toxic training documents is learned only by its company. On these a
 two-tag chain is trained (feature weights by hashing, transitions, start). Forward-backward marginals
-tag the tokens of whole texts; a logistic fit turns their largest and their sum into the document's score.
+tag the tokens of whole texts; a logistic fit turns their largest and their sum of squares into the document's score.
 
-A chain is at most 128 consecutive words of a document, and words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after
-lower-casing A-Z. Training takes at most ``per_label`` rows a label, on the driver.
+A document is one chain, however long: blocks of its words are summed up as 2 x 2 matrices, which carry the exact state from block
+to block, so that all blocks are then worked through side by side. Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after
+lower-casing A-Z; of longer runs than ``LONG`` bytes, every character counts: those of scripts without spaces are tokens of two
+neighbouring characters, all others are cut into successive tokens. Training takes at most ``per_label`` rows a label, on the
+driver, of long texts passages from start to end (``training.training_sample``), and holds a bounded number of words' states.
 
 Defined results: a null or empty text has no tokens and gets the score of one without toxic tokens. Without toxic
-training rows all scores are 0; without clean ones the chain decides alone. Repeated rows are scored alike.
+training rows all scores are 0; without clean ones the chain decides alone. Repeated rows are scored alike. An empty table gives
+no rows. ``toxicity_scores`` selects its columns by name; ``with_scores`` replaces columns named score and spans and keeps all others.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,37 +33,50 @@ from pyspark.sql import functions as F
 from graphloom.llm import common
 from graphloom.llm.training import training_sample
 
-CHAIN = 128
+#: Words of a block, and blocks whose states are held at once (a longer document's are held together).
+BLOCK, BLOCKS = 128, 2048
 BUCKETS = 1 << 18
-PER_LABEL, TRAIN_BYTES = 2500, 50_000
+PER_LABEL, TRAIN_CHARS = 2500, 16_000
 SUPPORT, RATIO = 0.01, 20.0
-#: Marginals below this do not add to a document's sum.
-LEAST = 0.2
+#: Runs of more bytes are cut into several tokens.
+LONG = 32
 BATCH_BYTES = 4_000_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
+def cut_run(run: bytes) -> list[tuple[int, int]]:
+    """The places of the tokens of a long run: overlapping pairs of characters in scripts without spaces, or successive pieces."""
+    text = run.decode()
+    ends = np.cumsum([len(c.encode()) for c in text]).tolist()
+    starts = [0, *ends[:-1]]
+    if max(text) >= "⺀":
+        return [(starts[i], ends[i + 1]) for i in range(len(text) - 1)] or [(0, len(run))]
+    return [(starts[i], ends[min(i + LONG, len(text)) - 1]) for i in range(0, len(text), LONG)]
+
+
+def tokens_of(text: str | None) -> list[bytes]:
+    words = common.alnum_words(text)
+    if max(map(len, words), default=0) <= LONG:
+        return words
+    return [t for w in words for t in ([w] if len(w) <= LONG else [w[a:b] for a, b in cut_run(w)])]
+
+
+def token_places(text: str) -> list[tuple[int, int]]:
+    """Where the tokens of ``tokens_of`` stand in the text's UTF-8."""
+    raw, out = text.encode(), []
+    for m in _WORD.finditer(raw):
+        at = m.start()
+        out += [(at, m.end())] if m.end() - at <= LONG else [(at + a, at + b) for a, b in cut_run(m[0])]
+    return out
+
+
 def word_features(word: bytes) -> list[int]:
-    """Hashed features of a word: itself, its first 3 to 5 and its last 3 and 4 characters."""
-    text = word[:64].decode(errors="ignore")
+    """Hashed features of a token: itself, its first 3 to 5 and its last 3 and 4 characters."""
+    text = word.decode(errors="ignore")
     parts = ["w" + text] + [f"{k}<{text[:k]}" for k in (3, 4, 5)] + [f"{k}>{text[-k:]}" for k in (3, 4)]
     return [xxhash.xxh32_intdigest(p) % BUCKETS for p in parts]
 
 
-def in_chains(values: np.ndarray, counts: np.ndarray, fill: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The tokens as rows of chains, filled up; which places are real; each chain's document."""
-    chains = -(-counts // CHAIN)
-    which = np.repeat(np.arange(len(counts)), chains)
-    first = np.cumsum(chains) - chains
-    place = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
-    row = np.repeat(first, counts) + place // CHAIN
-    out = np.full((int(chains.sum()), CHAIN), fill, values.dtype)
-    real = np.zeros(out.shape, bool)
-    out[row, place % CHAIN] = values
-    real[row, place % CHAIN] = True
-    return out, real, which
-
-
 @dataclass
 class Model:
     """emission: weight of each feature for the toxic tag; bias; move[a, b]: from tag a to b; start; fit: the score's."""
@@ -74,47 +91,103 @@ class Model:
     def word_score(self, word: bytes) -> float:
         return float(self.emission[word_features(word)].sum() + self.bias)
 
-    def marginals(self, e: np.ndarray, real: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray, float]:
-        """P(toxic) of each place of the chains with toxic-against-clean scores e; with ``pairs`` the expected moves."""
-        n, length = e.shape
+    def _borders(self, odds: np.ndarray, live: np.ndarray, blocks: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each block: P(toxic) of the place before it, and the odds of what follows it for toxic against clean."""
+        n, first = odds.shape[1], np.cumsum(blocks) - blocks
+        before, after = np.zeros(n), np.ones(n)
+        long = np.flatnonzero(blocks > 1)
+        if not len(long):
+            return before, after
+        some = np.repeat(blocks > 1, blocks)
+        o, real = odds[:, some], live[:, some]
+        of = np.cumsum(some) - 1  # a block's column among these
+        # The product of a block's steps, row by row: from clean and from toxic; a document's first step comes from no place.
+        step0 = np.where(np.isin(np.flatnonzero(some), first)[:, None, None], np.array([[1.0, np.exp(self.start)]] * 2), t)
+        m = step0 * np.stack([np.ones(o.shape[1]), o[0]], axis=1)[:, None, :]
+        for i in range(1, BLOCK):
+            c = m[:, :, 0] * t[0, 0] + m[:, :, 1] * t[1, 0]
+            x = (m[:, :, 0] * t[0, 1] + m[:, :, 1] * t[1, 1]) * o[i][:, None]
+            new = np.stack([c, x], axis=2)
+            m = np.where(real[i][:, None, None], new / new.sum((1, 2), keepdims=True), m)
+        state = np.tile([1.0, 0.0], (len(long), 1))
+        for k in range(int(blocks.max()) - 1):
+            on = np.flatnonzero(blocks[long] > k + 1)
+            at = first[long[on]] + k
+            state[on] = np.einsum("na,nab->nb", state[on], m[of[at]])
+            state[on] /= state[on].sum(1, keepdims=True)
+            before[at + 1] = state[on, 1]
+        ahead = np.ones((len(long), 2))
+        for k in range(1, int(blocks.max())):
+            on = np.flatnonzero(blocks[long] > k)
+            at = first[long[on]] + blocks[long[on]] - k
+            ahead[on] = np.einsum("nab,nb->na", m[of[at]], ahead[on])
+            ahead[on] /= ahead[on].sum(1, keepdims=True)
+            after[at - 1] = ahead[on, 1] / ahead[on, 0]
+        return before, after
+
+    def _marginals(self, e: np.ndarray, counts: np.ndarray, pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+        blocks = -(-counts // BLOCK)
+        n = int(blocks.sum())
+        first = np.cumsum(blocks) - blocks
+        place = np.arange(len(e)) - np.repeat(np.cumsum(counts) - counts, counts)
+        row = np.repeat(first, counts) + place // BLOCK
+        odds, live = np.ones((BLOCK, n)), np.zeros((BLOCK, n), bool)
+        odds[place % BLOCK, row] = np.exp(np.clip(e, -30, 30))
+        live[place % BLOCK, row] = True
         t = np.exp(self.move - self.move.max())
-        odds = np.exp(np.clip(e, -30, 30)).T
-        forward, backward = np.zeros((length, n)), np.ones((length, n))  # P(toxic | words so far); toxic against clean
-        p = odds[0] * np.exp(self.start)
-        forward[0] = p / (1 + p)
-        for i in range(1, length):
+        before, after = self._borders(odds, live, blocks, t)
+        opening = np.zeros(n, bool)
+        opening[first[blocks > 0]] = True
+
+        forward, backward = np.zeros((BLOCK, n)), np.ones((BLOCK, n))  # P(toxic | words so far); toxic against clean
+        up = np.where(opening, np.exp(self.start), before * t[1, 1] + (1 - before) * t[0, 1]) * odds[0]
+        forward[0] = up / (up + np.where(opening, 1, before * t[1, 0] + (1 - before) * t[0, 0]))
+        for i in range(1, BLOCK):
             f = forward[i - 1]
             up = (f * t[1, 1] + (1 - f) * t[0, 1]) * odds[i]
             forward[i] = up / (up + f * t[1, 0] + (1 - f) * t[0, 0])
-        live = real.T
-        for i in range(length - 2, -1, -1):
+        backward[-1] = after
+        for i in range(BLOCK - 2, -1, -1):
             b = odds[i + 1] * backward[i + 1]
             backward[i] = np.where(live[i + 1], (t[1, 1] * b + t[1, 0]) / (t[0, 1] * b + t[0, 0]), 1)
         out = forward * backward
-        out = out / (out + 1 - forward)
+        out /= out + 1 - forward
         expected = np.zeros((2, 2))
         if pairs:
-            f, b = forward[:-1], odds[1:] * backward[1:]
-            joint = np.stack([(1 - f) * t[0, 0], (1 - f) * t[0, 1] * b, f * t[1, 0], f * t[1, 1] * b])
-            joint /= joint.sum(0)
-            expected = (joint * live[1:]).sum((1, 2)).reshape(2, 2)
-        return out.T, expected, 0.0
-
-    def document_features(self, e: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """(1, largest marginal, log of their sum) of each document."""
+            for i in range(BLOCK):
+                f, there = (before, live[0] & ~opening) if i == 0 else (forward[i - 1], live[i])
+                f, b = f[there], (odds[i] * backward[i])[there]
+                joint = np.stack([(1 - f) * t[0, 0], (1 - f) * t[0, 1] * b, f * t[1, 0], f * t[1, 1] * b])
+                expected += (joint / joint.sum(0)).sum(1).reshape(2, 2)
+        return out[place % BLOCK, row], expected
+
+    def marginals(self, e: np.ndarray, counts: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """P(toxic) of each token, by toxic-against-clean scores e of documents of ``counts`` tokens; with ``pairs`` the expected moves."""
+        out, expected = np.zeros(len(e)), np.zeros((2, 2))
+        ends = np.cumsum(counts)
+        for part in common.chunks_by_bytes(-(-counts // BLOCK), BLOCKS):
+            a, b = int(ends[part.start] - counts[part.start]), int(ends[part.stop - 1])
+            if b > a:
+                out[a:b], some = self._marginals(np.asarray(e[a:b], float), counts[part], pairs)
+                expected += some
+        return out, expected
+
+    @staticmethod
+    def document_features(p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(1, largest marginal, log of their sum of squares) of each document."""
         out = np.zeros((len(counts), 3))
         out[:, 0] = 1
-        if len(e):
-            scores, real, which = in_chains(e, counts, -30.0)
-            p = np.where(real, self.marginals(scores, real)[0], 0)
-            np.maximum.at(out[:, 1], which, p.max(1))
-            out[:, 2] = np.log1p(np.bincount(which, np.where(p >= LEAST, p, 0).sum(1), len(counts)))
+        some = counts > 0
+        if some.any():
+            starts = (np.cumsum(counts) - counts)[some]
+            out[some, 1] = np.maximum.reduceat(p, starts)
+            out[some, 2] = np.log1p(np.add.reduceat(p * p, starts))
         return out
 
-    def scores(self, e: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def scores(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if self.empty:
             return np.zeros(len(counts))
-        return 1 / (1 + np.exp(-np.clip(self.document_features(e, counts) @ self.fit, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.document_features(p, counts) @ self.fit, -30, 30)))
 
 
 def fit(sample: list[tuple[str, int]], rounds: int = 30, rate: float = 0.3, decay: float = 1e-6) -> Model:
@@ -124,65 +197,61 @@ def fit(sample: list[tuple[str, int]], rounds: int = 30, rate: float = 0.3, deca
     if not y.sum():
         model.empty = True
         return model
-    bags = [common.alnum_words(t) for t, _ in sample]
     number: dict[bytes, int] = {}
-    tokens = np.fromiter((number.setdefault(w, len(number)) for bag in bags for w in bag), np.int64)
-    counts = np.array([len(b) for b in bags])
-    features = np.array([word_features(w) for w in number], np.int64)
+    bags = [np.fromiter((number.setdefault(w, len(number)) for w in tokens_of(t)), np.int32) for t, _ in sample]
+    counts = np.array([len(b) for b in bags], np.int64)
+    features = np.array([word_features(w) for w in number], np.int32).reshape(-1, 6)
+    words = len(number)
+    del number
 
-    seen = [Counter(), Counter()]
+    seen = np.zeros((2, BUCKETS), np.int64)
     for bag, label in zip(bags, y.tolist(), strict=True):
-        seen[label].update({f for w in set(bag) for f in features[number[w]].tolist()})
+        seen[label, np.unique(features[np.unique(bag)])] += 1
+    tokens = np.concatenate(bags)
+    del bags
     toxic, clean = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     # So often that chance, over all features, would hardly give it to one that toxicity has nothing to do with.
     chance = -np.log(min(0.9, toxic / (toxic + clean)))
-    least = max(3, SUPPORT * toxic, np.log(10 * len({*seen[0], *seen[1]})) / chance)
-    marked = np.zeros(BUCKETS, bool)
-    for f, n in seen[1].items():
-        marked[f] = n >= least and n / toxic >= RATIO * (seen[0][f] + 0.1) / clean
+    least = max(3, SUPPORT * toxic, np.log(10 * max(1, int((seen.sum(0) > 0).sum()))) / chance)
+    marked = (seen[1] >= least) & (seen[1] / toxic >= RATIO * (seen[0] + 0.1) / clean)
+    in_toxic = np.repeat(y == 1, counts)
     # Copies of one document repeat its words in the same places; words of a kind stand in many places.
-    around: dict[int, set[int]] = {}
-    before = np.concatenate([[-1], tokens[:-1]])
-    for at in np.flatnonzero(marked[features].any(axis=1)[tokens] & np.repeat(y == 1, counts)).tolist():
-        for f in features[tokens[at]].tolist():
-            around.setdefault(f, set()).add(int(before[at]))
-    marked &= np.fromiter((len(around.get(f, ())) >= least for f in range(BUCKETS)), bool, BUCKETS)
+    before = np.concatenate([[-1], tokens[:-1]]).astype(np.int64)
+    before[(np.cumsum(counts) - counts)[counts > 0]] = -1
+    hot = np.flatnonzero(marked[features].any(axis=1)[tokens] & in_toxic)
+    around = np.unique(features[tokens[hot]].astype(np.int64) * (words + 1) + before[hot, None] + 1)
+    marked &= np.bincount(around // (words + 1), minlength=BUCKETS) >= least
+    del hot, around, before
     # Features of few documents of either kind are left without a weight.
-    usable = np.zeros(BUCKETS, bool)
-    usable[[f for f in {*seen[0], *seen[1]} if seen[0][f] + seen[1][f] >= 5]] = True
-    usable &= marked | np.fromiter((seen[0][f] > 0 for f in range(BUCKETS)), bool, BUCKETS)
-    word_marked = marked[features].any(axis=1)
-    tags = word_marked[tokens] & np.repeat(y == 1, counts)
-
-    ids, real, _ = in_chains(tokens, counts, 0)
-    tag = in_chains(tags.astype(np.int8), counts, 0)[0].astype(bool) & real
-    pair = real[:, 1:]
-    told = np.array([[(pair & ~tag[:, :-1] & ~tag[:, 1:]).sum(), (pair & ~tag[:, :-1] & tag[:, 1:]).sum()], [(pair & tag[:, :-1] & ~tag[:, 1:]).sum(), (pair & tag[:, :-1] & tag[:, 1:]).sum()]])
+    usable = (seen.sum(0) >= 5) & (marked | (seen[0] > 0))
+    tags = marked[features].any(axis=1)[tokens] & in_toxic
+
+    opening = np.zeros(len(tokens), bool)
+    opening[(np.cumsum(counts) - counts)[counts > 0]] = True
+    told = np.bincount((2 * tags[:-1] + tags[1:])[~opening[1:]], minlength=4).reshape(2, 2)
     squares, other = np.full(BUCKETS, 1e-3, np.float32), np.full(6, 1e-3)
-    uses = np.bincount(ids[real], minlength=len(number))
     rng = np.random.default_rng(7)
     for turn in range(rounds):
         # Every other round leaves features out, so that a word's beginning is enough for forms not seen before.
         some = np.flatnonzero(rng.random(features.shape[1]) < 0.5) if turn % 2 else np.arange(features.shape[1])
         used = features[:, some if len(some) else [1]]
-        e = (model.emission[used].sum(1) + model.bias)[ids]
-        p, expected, _ = model.marginals(e, real, pairs=True)
-        off = np.where(real, tag - p, 0)
-        by_word = np.bincount(ids.ravel(), off.ravel(), len(number))
+        p, expected = model.marginals((model.emission[used].sum(1) + model.bias)[tokens], counts, pairs=True)
+        off = tags - p
+        by_word = np.bincount(tokens, off, words)
         g = np.bincount(used.ravel(), np.repeat(by_word, used.shape[1]), BUCKETS).astype(np.float32)
-        g -= decay * len(ids) * model.emission
+        g -= decay * len(tokens) / BLOCK * model.emission
         g[~usable] = 0
         squares += g * g
         model.emission += (rate * g / np.sqrt(squares)).astype(np.float32)
-        small = np.array([off.sum(), off[:, 0].sum(), *(told - expected).ravel()]) / max(1, uses.sum()) * 1e3
+        small = np.array([off.sum(), off[opening].sum(), *(told - expected).ravel()]) / max(1, len(tokens)) * 1e3
         other += small**2
         step = rate * small / np.sqrt(other)
         model.bias += step[0]
         model.start += step[1]
         model.move = model.move + step[2:].reshape(2, 2)
         model.move[:, 0] = 0  # moves to the toxic tag against moves to the clean one
-    e = (model.emission[features].sum(1) + model.bias)[tokens]
-    x = model.document_features(e, counts)
+    p, _ = model.marginals((model.emission[features].sum(1) + model.bias)[tokens], counts)
+    x = model.document_features(p, counts)
     weight = np.where(y == 1, 0.5 / toxic, 0.5 / clean) * len(y) if clean and toxic else np.ones(len(y))
     beta = np.zeros(3)
     for _ in range(30):  # Newton's method with a small ridge
@@ -208,72 +277,70 @@ class _WordScores(dict):
 def _text_scores(texts: list[str | None], scores: _WordScores) -> tuple[np.ndarray, np.ndarray]:
     words, counts = [], []
     for text in texts:
-        found = common.alnum_words(text)
+        found = tokens_of(text)
         words += found
         counts.append(len(found))
     return np.fromiter(map(scores.__getitem__, words), np.float64, len(words)), np.array(counts, np.int64)
 
 
-def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``, from the column text alone."""
+def spans_in(text: str, p: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """(start, stop, marginal) of each run of tokens with marginals of at least ``least``; places in UTF-8 bytes."""
+    places = token_places(text)
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], p >= least, [False]]).astype(np.int8)))
+    return [(places[a][0], places[b - 1][1], float(p[a:b].max())) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+
+
+def with_scores(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """``docs`` with ``score`` and ``spans`` (start, stop, marginal: offending places, as ``spans_in``), from the column text alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB
     scores = common.lazily(lambda: _WordScores(shared.value))
+    span = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("marginal", pa.float64())])
+    (found,) = common.free_names(docs, "found")
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("struct<score:double,spans:array<struct<start:bigint,stop:bigint,marginal:double>>>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         common.trim()
-        for texts in batches:
-            out = [np.zeros(0)]
-            for part in common.chunks_by_bytes(common.byte_lengths(texts), BATCH_BYTES):
-                out.append(shared.value.scores(*_text_scores(texts[part.start : part.stop].to_pylist(), scores())))
-            yield pa.array(np.concatenate(out))
-
-    return docs.withColumn("score", score(F.col("text")))
+        for column in batches:
+            out, spans = [np.zeros(0)], []
+            for part in common.chunks_by_bytes(common.byte_lengths(column), BATCH_BYTES):
+                texts = column[part.start : part.stop].to_pylist()
+                e, counts = _text_scores(texts, scores())
+                p, _ = shared.value.marginals(e, counts)
+                if shared.value.empty:
+                    p[:] = 0
+                x = shared.value.document_features(p, counts)
+                out.append(shared.value.scores(p, counts))
+                ends = np.cumsum(counts)
+                spans += [
+                    [dict(zip(("start", "stop", "marginal"), s, strict=True)) for s in spans_in(text, p[end - n : end], least)] if hot else []
+                    for text, end, n, hot in zip(texts, ends.tolist(), counts.tolist(), (x[:, 1] >= least).tolist(), strict=True)
+                ]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(out)), pa.array(spans, pa.list_(span))], ["score", "spans"])
+
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("score", "spans")]
+    return docs.withColumn(found, score(F.col("text"))).select(*others, f"{found}.score", f"{found}.spans")
 
 
 def toxic_spans(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """(doc_id, start, stop, span, marginal): runs of tokens whose marginal is at least ``least``; byte offsets in UTF-8."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scores = common.lazily(lambda: _WordScores(shared.value))
+    each = with_scores(docs.select("doc_id", "text"), model, least).select("doc_id", "text", F.explode("spans").alias("s"))
+    raw = F.encode("text", "UTF-8")
+    return each.select(
+        "doc_id", "s.start", "s.stop",
+        F.decode(F.substring(raw, F.col("s.start") + 1, F.col("s.stop") - F.col("s.start")), "UTF-8").alias("span"), "s.marginal",
+    )
 
-    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.trim()
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                e, counts = _text_scores([text], scores())
-                if not len(e) or shared.value.empty:
-                    continue
-                chains, real, _ = in_chains(e, counts, -30.0)
-                p = shared.value.marginals(chains, real)[0][real]
-                if not (hot := p >= least).any():
-                    continue
-                raw = text.encode()
-                found = list(_WORD.finditer(raw))
-                edge = np.flatnonzero(np.diff(np.concatenate([[False], hot, [False]]).astype(np.int8)))
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    start, stop = found[a].start(), found[b - 1].end()
-                    rows.append((doc_id, start, stop, raw[start:stop].decode(), float(p[a:b].max())))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64())
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                names=["doc_id", "start", "stop", "span", "marginal"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(spans, "doc_id long, start long, stop long, span string, marginal double")
-
-
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    return fit(training_sample(docs, labels, "toxic", 5, 0, per_label, TRAIN_BYTES))
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_chars: int = TRAIN_CHARS) -> Model:
+    return fit(training_sample(docs, labels, "toxic", 5, 0, per_label, most_chars))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each row of ``docs``."""
+    """(doc_id, held_out, score, predicted, spans) of each row of ``docs``."""
     model = model or train(docs, labels)
     return with_scores(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(F.pmod(common.crc32_of_id(), F.lit(5)) == 0, F.lit(False)).alias("held_out"), "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans",
     )
 
 

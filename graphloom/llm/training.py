@@ -31,16 +31,20 @@ def training_sample(
     known = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & (F.pmod(common.crc32_of_id("l_id"), F.lit(folds)) != held_out)
     )
-    # The hash is taken below the join: the count moves hashes alone, and the filter on it comes before texts move.
-    hashed = docs.select("doc_id", "text", F.xxhash64(F.lit(11), "text").alias("h")).filter(F.octet_length("text") > 0)
-    rows = hashed.join(known, F.col("doc_id") == F.col("l_id")).select("text", "label", "h")
+    text_hash = F.xxhash64(F.lit(11), "text")
+    hashed = docs.select("doc_id", text_hash.alias("h")).filter(F.octet_length("text") > 0)
+    # Ids and hashes alone are joined and sorted; texts move only for the rows that are chosen.
+    rows = common.stage(hashed.join(known, F.col("doc_id") == F.col("l_id")).select("l_id", "label", "h"), "labelled")
     different = rows.select("label", "h").distinct().groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    out: list[tuple[str, int]] = []
+    chosen = rows.select("l_id", "label", "h").limit(0)
     # A hash bound chosen from the counts keeps the sorts small however many rows are labelled.
     for value, n in sorted((r["label"], r["n"]) for r in different.collect()):
         share = min(1.0, 1.5 * per_label / n + 1e-4)
         bound = int(-(1 << 63) + share * ((1 << 64) - 1))
         some = rows.filter((F.col("label") == value) & (F.col("h") <= min(bound, (1 << 63) - 1)))
-        short = some.select("h", passages_of(F.col("text"), most_chars).alias("text")).dropDuplicates(["h"])
-        out += [(r["text"], value) for r in short.orderBy("h").limit(per_label).select("text").collect()]
-    return sorted(out)
+        first = some.groupBy("h").agg(F.min("l_id").alias("l_id")).orderBy("h").limit(per_label)
+        chosen = chosen.unionByName(first.withColumn("label", F.lit(value)))
+    # At most per_label rows of two labels.
+    here = (F.col("doc_id") == F.col("l_id")) & (text_hash == F.col("h"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), here).select("label", "h", passages_of(F.col("text"), most_chars).alias("text"))
+    return sorted((r["text"], r["label"]) for r in texts.dropDuplicates(["label", "h"]).collect())

@@ -5,6 +5,11 @@ from __future__ import annotations
 import re
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Names that the operators give to columns of their own.
+CLASHES = (
+    "c_id", "C_TEXT", "lines", "fence", "covered", "x_id", "X_KEY", "text_key", "row", "gl_id", "gl_text", "at", "found", "h", "n", "class", "grp",
+    "component_id", "segment", "place", "mark", "recipe", "last", "label", "l_id",
+)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

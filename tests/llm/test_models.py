@@ -9,7 +9,7 @@ import pytest
 from helpers import ODD, frame
 from pyspark.sql import functions as F
 
-from graphloom.llm import quality, toxicity
+from graphloom.llm import quality, toxicity, training
 
 SF = "/root/testdata/sf0.01"
 LABELS = "doc_id long, quality int, toxic int"
@@ -39,13 +39,12 @@ def test_odd_inputs(spark, operator):
     assert operator(docs.limit(0), labels).count() == 0
 
 
-def test_gradients_of_the_attention_model():
-    rng = np.random.default_rng(0)
+def test_attention_model_learns_and_weighs():
     sample = [("good words stand here in a row " * 8, 1), ("BAD!! BAD!! " * 40, 0)] * 30
     model = quality.fit(sample, epochs=20)
     x, bags = quality.passage_features([sample[0][0], sample[1][0], ""], quality._WordCodes())
     good, bad, _ = model.scores(x, bags)
-    assert good > 0.9 and bad < 0.1 and rng is not None
+    assert good > 0.9 and bad < 0.1
     attention = model.forward(x, bags)["attention"]
     assert np.allclose(np.add.reduceat(attention, np.cumsum(bags) - bags), 1, atol=1e-5)
 
@@ -53,26 +52,77 @@ def test_gradients_of_the_attention_model():
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 0.0, np.array([[0.0, -1.2], [0.0, 0.7]]), -0.4, np.zeros(3))
-    e = rng.normal(size=(2, 6))
-    real = np.ones((2, 6), bool)
-    real[1, 4:] = False
-    got, expected, _ = model.marginals(np.where(real, e, -30.0), real, pairs=True)
+    counts = np.array([6, 0, 4])
+    e = [rng.normal(size=n) for n in counts]
+    flat, expected = model.marginals(np.concatenate(e), counts, pairs=True)
+    got = np.split(flat, np.cumsum(counts)[:-1])
     moves = np.zeros((2, 2))
-    for row, n in enumerate((6, 4)):
+    for row, n in enumerate(counts):
+        if not n:
+            continue
         weight, marginal = 0.0, np.zeros(n)
         pairs = np.zeros((2, 2))
         for code in range(1 << n):
             tags = np.array([code >> k & 1 for k in range(n)])
-            w = np.exp((tags * e[row, :n]).sum() + model.start * tags[0] + sum(model.move[a, b] for a, b in zip(tags[:-1], tags[1:], strict=True)))
+            w = np.exp((tags * e[row]).sum() + model.start * tags[0] + sum(model.move[a, b] for a, b in zip(tags[:-1], tags[1:], strict=True)))
             weight += w
             marginal += w * tags
             for a, b in zip(tags[:-1], tags[1:], strict=True):
                 pairs[a, b] += w
-        assert np.allclose(got[row, :n], marginal / weight, atol=1e-9)
+        assert np.allclose(got[row], marginal / weight, atol=1e-9)
         moves += pairs / weight
     assert np.allclose(expected, moves, atol=1e-9)
 
 
+def test_marginals_of_long_chains_are_exact():
+    """Chains of several blocks against a plain forward-backward over the whole chain."""
+    rng = np.random.default_rng(4)
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS, np.float32), 0.0, np.array([[0.0, -2.2], [0.0, 1.7]]), -1.4, np.zeros(3))
+    counts = np.array([5, 128, 129, 0, 1000, 300])
+    e = [rng.normal(size=n) * 3 for n in counts]
+    flat, expected = model.marginals(np.concatenate(e), counts, pairs=True)
+    t, moves = np.exp(model.move), np.zeros((2, 2))
+    for own, scores in zip(np.split(flat, np.cumsum(counts)[:-1]), e, strict=True):
+        n = len(scores)
+        if not n:
+            continue
+        o = np.stack([np.ones(n), np.exp(scores)], axis=1)
+        alpha, beta = np.zeros((n, 2)), np.ones((n, 2))
+        alpha[0] = np.array([1, np.exp(model.start)]) * o[0]
+        for i in range(1, n):
+            alpha[i] = (alpha[i - 1] / alpha[i - 1].sum()) @ t * o[i]
+        for i in range(n - 2, -1, -1):
+            beta[i] = t @ (o[i + 1] * beta[i + 1])
+            beta[i] /= beta[i].sum()
+        both = alpha * beta
+        assert np.allclose(own, both[:, 1] / both.sum(1), atol=1e-9)
+        for i in range(1, n):
+            joint = alpha[i - 1][:, None] * t * (o[i] * beta[i])
+            moves += joint / joint.sum()
+    assert np.allclose(expected, moves, atol=1e-6)
+
+
+def test_every_character_of_long_runs_counts():
+    for text in ("a" * 40 + "b", "詞" * 30 + "毒", "é" * 50 + "x"):
+        tokens = toxicity.tokens_of(text)
+        places = toxicity.token_places(text)
+        raw = text.encode()
+        assert [raw[a:b] for a, b in places] == tokens and places[-1][1] == len(raw) and len(tokens) > 1
+    assert toxicity.tokens_of("y" * 41) != toxicity.tokens_of("y" * 40 + "z")
+    codes = quality._WordCodes()
+    assert codes[b"a" * 80] != codes[b"a" * 79 + b"!"] and not codes
+
+
+def test_equal_texts_count_once_in_the_sample(spark):
+    texts = ["a hot text"] * 1500 + [f"text number {i}" for i in range(2000)] + ["long " * 10_000]
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(len(texts))], LABELS)
+    sample = training.training_sample(docs, labels, "quality", 3, 1, 1000, 800)
+    assert len(sample) == len(set(sample)) == 1000
+    whole = training.training_sample(docs, labels, "quality", 3, 3, 10_000, 800)
+    assert len(whole) == 2002 and max(len(t) for t, _ in whole) == 8 * 100 + 7
+
+
 def test_toxic_spans(spark):
     rng = np.random.default_rng(1)
     clean = lambda: [f"w{rng.integers(300)}" for _ in range(60)]
