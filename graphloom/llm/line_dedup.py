@@ -9,7 +9,8 @@ counted. A text of fewer than three lines is one window of all its lines, so it
 lines; the query's SQL has no such windows, so with ``short`` false those texts stay. A null text stays null with 0 lines. Null ids come
 before all others. Rows with the same id and text are one document and fare alike. A text whose
 lines are all covered becomes empty, and ``n_removed`` equals ``n_lines``. Other columns are kept as they
-are, but for lines, fence, covered, n_lines and n_removed, which are the operator's own.
+are, whatever their names; only columns named n_lines and n_removed, which are results, are replaced. An empty table
+gives an empty table. A very long text costs time and memory in proportion to its lines, in one task.
 
 A window that very many documents share is summed map-side, and the join back to its occurrences
 may be split by adaptive skew handling. Texts move once, to meet their covered places.
@@ -72,23 +73,22 @@ def drop_repeated_lines(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = WINDOW, short: bool = True
 ) -> DataFrame:
     """``docs`` with its texts without covered lines, and ``n_lines`` and ``n_removed``."""
-    covered = covered_places(windows(docs, id_column, text_column, size, short)).select(
-        F.col("gl_id").alias("c_id"), F.col("gl_text").alias("c_text"), "covered"
-    )
+    c_id, c_text, covered, lines, fence = common.free_names(docs, "c_id", "c_text", "covered", "lines", "fence")
+    found = covered_places(windows(docs, id_column, text_column, size, short)).toDF(c_id, c_text, covered)
     key = _key(id_column, text_column)
-    joined = docs.drop("lines", "fence", "covered").join(covered, key["gl_id"].eqNullSafe(F.col("c_id")) & (key["gl_text"] == F.col("c_text")), "left")
-    lines = F.split(F.col(text_column), "\n", -1)
+    joined = docs.join(found, key["gl_id"].eqNullSafe(F.col(c_id)) & (key["gl_text"] == F.col(c_text)), "left")
+    split = F.split(F.col(text_column), "\n", -1)
     # What lies between neighbouring covered places, in time linear in the lines.
-    fence = F.concat(F.array(F.lit(-1)), F.array_sort("covered"), F.array(F.size(lines)))
-    between = lambda k: F.slice("lines", F.get("fence", k) + 2, F.get("fence", k + 1) - F.get("fence", k) - 1)
-    joined = joined.withColumns({"lines": lines, "fence": fence})
-    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("fence") - 2), between)), "\n")
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "lines", "fence", "covered", text_column)]
+    edges = F.concat(F.array(F.lit(-1)), F.array_sort(covered), F.array(F.size(split)))
+    between = lambda k: F.slice(lines, F.get(fence, k) + 2, F.get(fence, k + 1) - F.get(fence, k) - 1)
+    joined = joined.withColumns({lines: split, fence: edges})
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(fence) - 2), between)), "\n")
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed", text_column.lower())]
     return joined.select(
         *others,
-        F.when(F.col("covered").isNull(), F.col(text_column)).otherwise(kept).alias(text_column),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col(covered).isNull(), F.col(text_column)).otherwise(kept).alias(text_column),
+        F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
