@@ -15,7 +15,9 @@ Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z. Defined re
 without words has no window and one of fewer words than a window is one window. Documents without hits
 get n_hit 0, n_items 0 and the digest of an empty list. Items that share an item_id count once, and a null
 item_id is left out of the list of items but its windows still hit. Rows that share a doc_id are
-judged each on their own.
+judged each on their own. An empty table gives no rows, an empty test set no hits. doc_id is an integer (or null). A very long
+text is a segment of its own and costs memory in proportion to its words. Columns are selected by name, and
+``clean_documents`` keeps all of them, whatever they are called.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ WINDOW = 13
 #: UTF-8 bytes of documents in a segment, and of items that one search carries to the executors.
 SEGMENT_BYTES = 8_000_000
 BLOCK_BYTES = 32_000_000
+#: Words within which the query looks for an item's rarest terms, and matches of a segment that are held at once.
+NEAR, MATCHES_TOGETHER = 20, 100_000
 
 INDEX_FIELDS = (
     "segment long, doc_ids array<long>, text_keys array<long>, n_words array<int>, terms array<binary>, lens array<int>, gaps array<int>"
@@ -204,7 +208,10 @@ def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], width:
         phrase_sets, item_terms = queries.value
         vocabulary = sorted({t for _, phrases, _ in phrase_sets for p in phrases for t in p})
         number = {t: k for k, t in enumerate(vocabulary)}
-        coded = [(n, np.array([[number[t] for t in p] for p in phrases], np.int64), owners) for n, phrases, owners in phrase_sets]
+        coded = [
+            (n, np.array([[number[t] for t in p] for p in phrases], np.int64), np.concatenate(owners), np.array([len(o) for o in owners], np.int64))
+            for n, phrases, owners in phrase_sets
+        ]
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].values for c in ("n_words", "lens", "gaps")}
@@ -212,25 +219,39 @@ def search(index: DataFrame, items: list[tuple[str | None, list[bytes]]], width:
                 segment, doc_ids = batch.column("segment")[k].as_py(), batch.column("doc_ids")[k].as_py()
                 lists = _Postings(row)
                 slots = np.array([lists.slot.get(t, -1) for t in vocabulary], np.int64)
-                rows: list[tuple] = []
-                for n, phrases, owners in coded:
+                doc_ids = np.array([0 if d is None else d for d in doc_ids], np.int64), np.array([d is None for d in doc_ids], bool)
+
+                def out(items: np.ndarray, at: np.ndarray, n: int, kind: str) -> Iterator[pa.RecordBatch]:
+                    for k in range(0, len(at), MATCHES_TOGETHER):
+                        item, here = items[k : k + MATCHES_TOGETHER], at[k : k + MATCHES_TOGETHER]
+                        place = np.searchsorted(lists.doc_starts, here, "right") - 1
+                        start = here - lists.doc_starts[place]
+                        many = len(here)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.full(many, segment)), pa.array(place.astype(np.int32)), pa.array(doc_ids[0][place], mask=doc_ids[1][place]),
+                                pa.array(item.astype(np.int32)), pa.array([kind] * many, pa.string()),
+                                pa.array(start.astype(np.int32)), pa.array((start + n).astype(np.int32)),
+                            ],
+                            names=["segment", "place", "doc_id", "item", "kind", "start", "stop"],
+                        )
+
+                for n, phrases, owners, many in coded:
                     which, starts = lists.phrases(slots[phrases])
-                    places = np.searchsorted(lists.doc_starts, starts, "right") - 1
-                    local = starts - lists.doc_starts[places]
-                    for w, place, start in zip(which.tolist(), places.tolist(), local.tolist(), strict=True):
-                        rows += [(segment, place, doc_ids[place], i, "phrase", start, start + n) for i in owners[w]]
+                    # A window's owners lie one after another; occurrences are repeated for each in bounded parts.
+                    first = np.cumsum(many) - many
+                    ends = np.cumsum(many[which])
+                    a = 0
+                    while a < len(which):
+                        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + MATCHES_TOGETHER, "right")))
+                        own = many[which[a:b]]
+                        nth = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                        yield from out(owners[np.repeat(first[which[a:b]], own) + nth], np.repeat(starts[a:b], own), n, "phrase")
+                        a = b
                 for i, terms in enumerate(item_terms):
                     if terms:
                         at = lists.near([lists.slot.get(t, -1) for t in terms], near)
-                        places = np.searchsorted(lists.doc_starts, at, "right") - 1
-                        local = at - lists.doc_starts[places]
-                        rows += [(segment, p, doc_ids[p], i, "near", s, s + 1) for p, s in zip(places.tolist(), local.tolist(), strict=True)]
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32())
-                columns = zip(*rows, strict=True) if rows else [()] * 7
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                    names=["segment", "place", "doc_id", "item", "kind", "start", "stop"],
-                )
+                        yield from out(np.full(len(at), i), at, 1, "near")
 
     return index.mapInArrow(match, "segment long, place int, doc_id long, item int, kind string, start int, stop int")
 
@@ -297,12 +318,14 @@ def contamination(
 def clean_documents(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` without the contaminated ones."""
     found = contamination(docs, items, id_column=id_column, text_column=text_column).filter("contaminated")
-    dropped = common.stage(found.select(F.col("doc_id").alias("x_id"), F.col("text_key").alias("x_key")).distinct(), "dropped")
-    here = F.col(id_column).eqNullSafe(F.col("x_id")) & (F.xxhash64(F.col(text_column)) == F.col("x_key"))
+    x_id, x_key = common.free_names(docs, "x_id", "x_key")
+    dropped = common.stage(found.select(F.col("doc_id").alias(x_id), F.col("text_key").alias(x_key)).distinct(), "dropped")
+    here = F.col(id_column).eqNullSafe(F.col(x_id)) & (F.xxhash64(F.col(text_column)) == F.col(x_key))
     return docs.join(dropped, here, "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark")).select(
-        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    """The contract's columns, of exact phrases, and the proximity matches: their items' ids and how many places."""
+    return contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), near=NEAR).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "near_items", "n_near"
     )
