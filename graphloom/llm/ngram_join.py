@@ -17,7 +17,9 @@ A document's set holds its distinct 5-word shingles. Two documents link when 100
 Words are ``[^\x20\x09-\x0D]+`` after lower-casing A-Z. Shingles are compared by 64-bit hashes.
 Defined results: a document of fewer than five words has its whole sequence as its one shingle; one
 without words (or null) has an empty set and links with nothing. Rows that share an id are told apart by
-their sets. A null id gets the component of its set, or null if it is alone. An empty table gives no rows.
+their sets. A null id gets the component of its set, or null if it is alone. An empty table gives no rows. doc_id is an integer
+(or null). A very long text's set is held whole in one task. Columns are selected by name, and ``one_of_each`` keeps all
+of them, whatever they are called.
 """
 
 from __future__ import annotations
@@ -116,19 +118,19 @@ def prefix_length(n: int) -> int:
 def shingle_order(docs: DataFrame, text_column: str, width: int, most: int = FREQUENT, least: int = LEAST_FREQUENT) -> Order:
     """Document frequencies of all shingles; the most frequent ones as an ``Order``."""
     rows = docs.count()
-    ranges = min(max(32, rows // 4096), 1 << 16)
+    ranges = min(max(32, rows // 4096), 1 << 31)
     bits = min(64, max(32, math.ceil(math.log2(max(rows, 1) * 512)) + 5))
     memo = common.lazily(common.HashMemo)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.trim()
-        shift, edges = np.uint64(64 - bits), np.array([(r << bits) // ranges for r in range(ranges + 1)], object)
-        edges = np.array([int(e) for e in edges[1:-1]], np.uint64)
+        shift, top = np.uint64(64 - bits), np.uint64(bits - 32)
         for batch in batches:
             for _, sets in _sets(batch, memo(), width, 0):
                 keys, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) >> shift, return_counts=True)
-                cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                found = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+                range_no = (keys >> top) * np.uint64(ranges) >> np.uint64(32)
+                cuts = [*np.flatnonzero(np.diff(range_no, prepend=range_no[:1] + np.uint64(1))).tolist(), len(keys)]
+                found = [(int(range_no[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r for r, _, _ in found], pa.int32()),
@@ -288,11 +290,11 @@ def list_pairs(groups: DataFrame) -> DataFrame:
 
 
 def open_lists(members: DataFrame, spans: DataFrame) -> DataFrame:
-    """(token, grp, blocks): the members of long lists that hold more than one component."""
-    known = members.join(spans.select(F.col("grp"), "lo", "hi"), F.col("a") == F.col("grp")).select("token", "grp", "n", "lo", "hi")
+    """(token, grp, blocks): the members (token, a) of lists that hold more than one component; blocks by their classes and shingles."""
+    known = members.join(spans, F.col("a") == F.col("grp")).select("token", "grp", "n", "lo", "hi", "size")
     still = known.groupBy(F.col("token").alias("o_token")).agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"),
+        F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.sum(F.col("n") * F.col("size")) / BLOCK_SHINGLES)).cast("int").alias("blocks"),
     ).filter("lo <> hi").select("o_token", "blocks")
     return known.join(still, F.col("token") == F.col("o_token")).select("token", "grp", "blocks")
 
@@ -456,19 +458,28 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     def spans_of(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The component of each class, and the least and greatest component of each group."""
         label = classes.join(labels, F.col("class") == F.col("v"), "left").select(
-            "grp", "class", F.coalesce("label", "class").alias("label")
+            "grp", "class", "n", F.coalesce("label", "class").alias("label")
+        )
+        by_grp = label.groupBy("grp").agg(
+            F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"), F.min("n").alias("n")
         )
-        by_grp = label.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
         return label, common.stage(by_grp, "spans")
 
-    # What the stars leave open: long lists, and groups of several classes, that are not in one component.
-    label, spans = spans_of(labels)
-    still = common.stage(open_lists(lists.filter("b IS NULL").select("token", "a", "n"), spans), "open-lists")
-    if still.limit(1).count():
+    def paired_in_full(members: DataFrame, label: DataFrame, spans: DataFrame) -> DataFrame | None:
+        """The links that the lists (token, a) still need, or None if each is in one component."""
+        still = common.stage(open_lists(members, spans), "open-lists")
+        if not still.limit(1).count():
+            return None
         wanted = classes.join(still.select("grp").distinct(), "grp", "left_semi").select("class", "rep")
         sets_of = common.stage(class_sets(wanted, docs, id_column, text_column, width), "class-sets")
-        members = still.join(label, "grp").join(sets_of, "class").select("token", "class", "label", "set", "blocks")
-        checked = checked.unionAll(common.stage(full_links(members).distinct().withColumn("linked", F.lit(True)), "checked"))
+        own = still.join(label, "grp").join(sets_of, "class").select("token", "class", "label", "set", "blocks")
+        return common.stage(full_links(own).distinct().withColumn("linked", F.lit(True)), "checked")
+
+    # What the stars leave open: long lists, and groups of several classes, that are not in one component.
+    label, spans = spans_of(labels)
+    more = paired_in_full(lists.filter("b IS NULL").select("token", "a"), label, spans)
+    if more is not None:
+        checked = checked.unionAll(more)
         labels = components(checked.filter("linked"))
         label, spans = spans_of(labels)
     several = spans.filter("size > 1")
@@ -481,15 +492,11 @@ def similar_documents(docs: DataFrame, id_column: str = "doc_id", text_column: s
     unsettled = open_pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(
         "NOT (lo_a = hi_a AND lo_b = hi_b AND lo_a = lo_b)"
     ).select("a", "b")
-    member = label.select("grp", "class", "label")
-    expanded = (
-        unsettled.join(member.toDF("a", "x", "lx"), "a").join(member.toDF("b", "y", "ly"), "b").filter("lx <> ly")
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        .join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    expanded = common.stage(expanded, "open")
-    if expanded.limit(1).count():
-        checked = checked.unionAll(check(expanded))
+    # Two groups, or one of several classes, are a list too: its classes are paired in blocks, not expanded into rows.
+    both = unsettled.select(F.xxhash64("a", "b").alias("token"), F.explode(F.array_distinct(F.array("a", "b"))).alias("a"))
+    more = paired_in_full(both, label, spans)
+    if more is not None:
+        checked = checked.unionAll(more)
         labels = components(checked.filter("linked"))
     links = checked.filter("linked").select("a", "b", "common", "together")
     named = classes.join(labels, F.col("class") == F.col("v"), "left").select(
@@ -513,8 +520,9 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         members.filter("doc_id IS NOT NULL").groupBy("doc_id", "text_key")
         .agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "keys",
     )
-    here = (F.col(id_column) == F.col("x_id")) & (F.xxhash64(F.col(text_column)) == F.col("x_key"))
-    key = [F.col("doc_id").alias("x_id"), F.col("text_key").alias("x_key")]
+    x_id, x_key = common.free_names(docs, "x_id", "x_key")
+    here = (F.col(id_column) == F.col(x_id)) & (F.xxhash64(F.col(text_column)) == F.col(x_key))
+    key = [F.col("doc_id").alias(x_id), F.col("text_key").alias(x_key)]
     dropped = common.stage(keys.filter("doc_id <> component_id").select(*key), "dropped")
     kept = docs.join(dropped, here, "left_anti")
     repeated = common.stage(keys.filter("n > 1 AND doc_id = component_id").select(*key), "repeated")
