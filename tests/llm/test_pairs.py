@@ -7,9 +7,10 @@ import random
 from collections import defaultdict
 
 import pytest
-from helpers import DOCS, ODD, WORDS, components, frame, lower
+from helpers import CLASHES, DOCS, ODD, WORDS, components, frame, lower
+from pyspark.sql import functions as F
 
-from graphloom.llm import decontamination, exact_dedup, line_dedup, ngram_join
+from graphloom.llm import decontamination, exact_dedup, line_dedup, ngram_join, quality, toxicity
 
 
 def copies(seed: int, groups: int, size: int, words: int, edits: int) -> list[str]:
@@ -170,13 +171,48 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_chunks_join_to_the_text_and_collisions_are_told(spark):
-    from pyspark.sql import functions as F
-
+def test_chunks_join_to_the_text(spark):
     docs = frame(spark, [t for t in ODD if t])
     cut = docs.select("text", F.array_join(F.split("text", exact_dedup.CUT, -1), "").alias("again"))
     assert cut.filter("text <> again").count() == 0
-    chunk = "struct<id:bigint,other:bigint,n:int>"
-    rows = [(0, 1, b"a", [(5, 1, 3)]), (1, 2, b"b", [(5, 2, 3)]), (2, 3, b"c", [(6, 1, 1)])]
-    found = spark.createDataFrame(rows, f"row long, doc_id long, text_sha256 binary, chunks array<{chunk}>")
-    assert {r.id: r.verified for r in exact_dedup.chunk_dictionary(found).collect()} == {5: False, 6: True}
+
+
+def test_identifiers_that_several_chunks_share(spark):
+    """With hashes of three values only, the chunks' bytes tell texts apart."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["ab. ", "cd! ", "x\n", "ey"]) for _ in range(rng.randint(0, 4))) for _ in range(120)]
+    docs = frame(spark, texts)
+    weak = lambda c: F.pmod(F.xxhash64(c), F.lit(3))
+    assert exact_dedup.shared_identifiers(docs, name=weak).count() == 3 and exact_dedup.shared_identifiers(docs).count() == 0
+    want = {i: (max(k for k, t in enumerate(texts) if t == texts[i]), texts.count(texts[i])) for i in range(len(texts))}
+    for name in (weak, exact_dedup.hash64):
+        assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(docs, name=name).collect()} == want
+
+
+def clashing(docs):
+    """``docs`` with columns of the names that operators use inside, in upper case too."""
+    return docs.select("*", *[F.lit("own").alias(c) for c in CLASHES])
+
+
+def test_columns_of_any_name_stay_as_they_are(spark):
+    docs = clashing(frame(spark, ["a b c d e f\nx\ny", "a b c d e f\nx\ny", "other", None, ""]))
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    results = [
+        line_dedup.drop_repeated_lines(docs), ngram_join.one_of_each(docs), decontamination.clean_documents(docs, items),
+        quality.with_scores(docs, quality.fit([])), toxicity.with_scores(docs, toxicity.fit([])),
+    ]
+    for result, n in zip(results, (5, 4, 3, 5, 5), strict=True):
+        rows = result.collect()
+        assert len(rows) == n and all(r[c] == "own" for r in rows for c in CLASHES)
+    for result in (ngram_join.similar_documents(docs)[0], decontamination.contamination(docs, items), exact_dedup.exact_duplicates(docs)):
+        assert result.count() == 5
+
+
+def test_clean_documents(spark):
+    passage = " ".join(f"w{i}" for i in range(13))
+    texts = [passage, passage + " x" * 300, passage + " x" * 200, None, "", "clean", "y" * 3_000_000, "many words " * 200_000]
+    items = spark.createDataFrame([(1, passage.upper()), (2, None)], "item_id long, text string")
+    kept = decontamination.clean_documents(frame(spark, texts, extra=True), items)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 7]
+    assert decontamination.clean_documents(frame(spark, texts), items.limit(0)).count() == len(texts)
+    assert decontamination.clean_documents(spark.createDataFrame([], DOCS), items).count() == 0
