@@ -9,8 +9,12 @@ Encoding happens where the texts lie; ids (at the width the vocabulary needs) ar
 doc_id and sorted within them, and each range is written as one or more files by Spark's own
 writer, with its commit protocol. The bounds of the ranges are quantiles of doc_id alone.
 
+Reading goes through the addresses: runs of documents are decoded from the places that rank gives for the first of
+each, level by level, so neither what precedes a run nor the rest of the file is decoded with it.
+
 Defined results: null doc_ids come first, then ascending order; rows that share a doc_id are ordered by
-their ids. A null or empty text is the end id alone. An empty table gives no files and no rows.
+their ids. A null or empty text is the end id alone. An empty table gives no files and no rows. doc_id is an integer (or null).
+A very long text's ids are held whole in one task. Columns are selected by name, so others may have any names.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ DOCS_PER_RANGE = 2048
 MOST_RANGES = 20_000
 #: A range is continued in another file beyond so many ids; a document is never split.
 IDS_PER_FILE = 16_000_000
+#: Ids that one read of a run of documents decodes.
+IDS_PER_RUN = 65_536
 BATCH_BYTES = 4_000_000
 _HEAD = struct.Struct("<6sHqqQQ")  # magic, levels, range, part, documents, ids
 
@@ -72,9 +78,8 @@ class TokenFile:
         if magic != MAGIC:
             raise ValueError("not a token file")
         at, last = _HEAD.size, len(content) - len(END)
-        names = np.frombuffer(content, "<i8", n, at)
-        known = np.frombuffer(content, np.uint8, n, at + 8 * n)
-        self.doc_ids = [int(d) if k else None for d, k in zip(names, known, strict=True)]
+        self.names = np.frombuffer(content, "<i8", n, at)
+        self.known = np.frombuffer(content, np.uint8, n, at + 8 * n)
         self.starts = np.frombuffer(content, "<u8", n + 1, at + 9 * n).astype(np.int64)
         at += 9 * n + 8 * (n + 1)
         self.levels = []
@@ -86,6 +91,9 @@ class TokenFile:
             self.levels.append((chunks, bits, ranks))
             at += 8 + size + len(bits) + 8 * len(ranks)
 
+    def doc_id(self, k: int) -> int | None:
+        return int(self.names[k]) if self.known[k] else None
+
     def rank(self, level: int, i: int) -> int:
         """Set bits before place i of a level's bitmap: one entry of the directory and part of one block."""
         _, bits, ranks = self.levels[level]
@@ -127,6 +135,14 @@ class TokenFile:
     def document(self, k: int) -> np.ndarray:
         return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
 
+    def runs(self, most: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, stop, ids) of runs of documents of at most ``most`` ids (a longer document is a run), each read by its address."""
+        first, n = 0, len(self.names)
+        while first < n:
+            stop = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + most, "right")) - 1)
+            yield first, stop, self.tokens(int(self.starts[first]), int(self.starts[stop]))
+            first = stop
+
 
 def range_bounds(docs: DataFrame, id_column: str, per_range: int = DOCS_PER_RANGE) -> list[int]:
     """Ascending bounds of doc_id ranges of about ``per_range`` rows; only the id column is read."""
@@ -209,14 +225,18 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 f = TokenFile(content.as_py())
-                n = len(f.doc_ids)
-                raw, ends = memoryview(f.tokens(0, f.n_ids).astype("<u4").tobytes()), (f.starts * 4).tolist()
-                crcs = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                columns = [[f.range_no] * n, [f.part] * n, list(range(n)), f.doc_ids, f.starts[:-1], np.diff(f.starts), crcs]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in columns],
-                    names=["range_no", "part", "place", "doc_id", "local_start", "n_tokens", "ids_crc32"],
-                )
+                for first, stop, ids in f.runs(IDS_PER_RUN):
+                    raw, ends = memoryview(ids.astype("<u4").tobytes()), ((f.starts[first : stop + 1] - f.starts[first]) * 4).tolist()
+                    crcs = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    n = stop - first
+                    columns = [
+                        np.full(n, f.range_no), np.full(n, f.part), np.arange(first, stop),
+                        pa.array(f.names[first:stop], mask=f.known[first:stop] == 0), f.starts[first:stop], np.diff(f.starts[first : stop + 1]), crcs,
+                    ]
+                    yield pa.RecordBatch.from_arrays(
+                        [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns],
+                        names=["range_no", "part", "place", "doc_id", "local_start", "n_tokens", "ids_crc32"],
+                    )
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, fields)
 
