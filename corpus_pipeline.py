@@ -2,6 +2,12 @@
 
 STAGES lists (name, function). A function takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's ``docs``; all but the last return the columns of ``documents``.
+
+Defined results of every stage: columns are selected by name, so others may have any names and are left out. Rows with the same id
+are told apart by their texts; a row repeated with id and text counts once in the near-duplicate stage, and every time in all
+others. A null or empty text is scored by the classifier like any other, has no lines to lose, no near duplicates and no words that a
+benchmark holds, and is packed as its end id. A null id stays null; it is never dropped as a copy. An empty table gives an empty
+result. Ties go to the smallest id. Very long texts are read whole, each within one task.
 """
 
 from __future__ import annotations
@@ -57,7 +63,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: Model training, the tokenizer and the packing are not SQL; tests/llm holds the pipeline against brute force.
+#: Model training, the tokenizer and the packing are not SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
