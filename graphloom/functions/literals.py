@@ -2,39 +2,85 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-#: Factor to the base unit of each unit's dimension.
+#: Dimension of each unit, and its factor to the dimension's base unit.
 UNITS = {
-    "m": ("length", 1.0), "km": ("length", 1000.0), "cm": ("length", 0.01), "mm": ("length", 0.001),
-    "kg": ("mass", 1.0), "g": ("mass", 0.001), "t": ("mass", 1000.0), "s": ("time", 1.0), "min": ("time", 60.0), "h": ("time", 3600.0),
+    "m": ("length", "1"), "km": ("length", "1000"), "cm": ("length", "0.01"), "mm": ("length", "0.001"),
+    "kg": ("mass", "1"), "g": ("mass", "0.001"), "t": ("mass", "1000"), "s": ("time", "1"), "min": ("time", "60"), "h": ("time", "3600"),
 }
 
 
+#: What a token of each datatype looks like.
+INTEGER, NUMBER = r"^[+-]?(?:0|[1-9]\d*)$", r"^[+-]?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?$"
+DATE, INSTANT = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
+DURATION = r"^P(?=\d|T\d)(?:\d+Y)?(?:\d+M)?(?:\d+D)?(?:T(?=\d)(?:\d+H)?(?:\d+M)?(?:\d+(?:\.\d+)?S)?)?$"
+MOST_CHARS = 4096
+
+
+@F.pandas_udf(StringType())
+def _canonical_json(tokens: pd.Series) -> pd.Series:
+    """Sorted keys, no blanks; null for what is not strict JSON or repeats a key."""
+
+    def once(pairs: list[tuple]) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("a key is repeated")
+        return dict(pairs)
+
+    def no_constant(name: str) -> None:
+        raise ValueError(name)
+
+    def one(token: str | None) -> str | None:
+        try:
+            value = json.loads(token, object_pairs_hook=once, parse_constant=no_constant)
+            return json.dumps(value, ensure_ascii=False, allow_nan=False, separators=(",", ":"), sort_keys=True)
+        except (TypeError, ValueError, RecursionError):
+            return None
+
+    return tokens.map(one)
+
+
+@F.pandas_udf(StringType())
+def _composed(tokens: pd.Series) -> pd.Series:
+    return tokens.map(lambda t: t and unicodedata.normalize("NFC", t))
+
+
+def number_text(token: Column) -> Column:
+    """A decimal token without a sign plus, an exponent or trailing zeros; beyond 18 places either side of the point an exponent gives null."""
+    plain = F.when(token.rlike("[eE]"), token.try_cast("decimal(38,18)").cast("string")).otherwise(token)
+    plain = F.regexp_replace(plain, r"^\+", "")
+    short = F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
+    return F.when(short == "-0", "0").otherwise(short)
+
+
 def canonical(raw: Column, datatype: Column) -> Column:
-    """The canonical text of ``raw`` under its datatype; null if it is not a value of that type."""
-    text = F.trim(raw)
-    plain = F.regexp_replace(F.regexp_replace(text, r"^([+-]?)0+(?=\d)", "$1"), r"^\+", "")
-    number = F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
-    number = F.when(number.isin("-0", "-"), "0").otherwise(number)
-    date = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
-    zone = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(text))
-    return (
-        F.when(datatype == "STRING", raw)
-        .when(datatype == "INTEGER", F.when(text.rlike(r"^[+-]?\d+$"), number))
-        .when(datatype.isin("FLOAT", "DECIMAL"), F.when(text.rlike(r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), number))
-        .when(datatype == "BOOLEAN", F.when(F.lower(text).isin("true", "false"), F.lower(text)))
-        .when(datatype == "DATE", date)
-        .when(datatype == "DATETIME", F.date_format(zone, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(datatype == "DURATION", F.when(text.rlike(r"^P(?=.)(\d+Y)?(\d+M)?(\d+W)?(\d+D)?(T(?=.)(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?$"), text))
-        .when(datatype == "URI", F.when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:\S+$"), text))
-        .when(datatype == "JSON", F.when(F.try_parse_json(text).isNotNull(), text))
+    """The canonical text of ``raw`` under its datatype; null if it is not a token of that type, is empty or too long, or has blanks at an edge."""
+    instant = F.try_to_timestamp(F.when(raw.rlike(INSTANT), raw))
+    part = F.date_format(instant, "SSSSSS")
+    when = F.concat(F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss"), F.when(part == "000000", "").otherwise(F.concat(F.lit("."), part)), F.lit("Z"))
+    value = (
+        F.when(datatype == "STRING", F.when(raw.rlike(r"[^\x00-\x7f]"), _composed(F.when(datatype == "STRING", raw))).otherwise(raw))
+        .when(datatype == "INTEGER", F.when(raw.rlike(INTEGER), number_text(raw)))
+        .when(datatype.isin("FLOAT", "DECIMAL"), F.when(raw.rlike(NUMBER), number_text(raw)))
+        .when(datatype == "BOOLEAN", F.when(F.lower(raw).isin("true", "false"), F.lower(raw)))
+        .when(datatype == "DATE", F.when(raw.rlike(DATE) & F.try_to_date(raw, "yyyy-MM-dd").isNotNull(), raw))
+        .when(datatype == "DATETIME", when)
+        .when(datatype == "DURATION", F.when(raw.rlike(DURATION), raw))
+        .when(datatype == "URI", F.when(raw.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") & ~raw.rlike(r"(?U)\s"), raw))
+        .when(datatype == "JSON", _canonical_json(F.when(datatype == "JSON", raw)))
     )
+    return F.when(F.length(raw).between(1, MOST_CHARS) & ~raw.rlike(r"(?U)^\s|\s$"), value)
 
 
 def to_base_unit(rows: DataFrame, value: str, unit: str) -> DataFrame:
-    """``rows`` with ``dimension`` and ``base_value``; null for an unknown unit."""
-    table = rows.sparkSession.createDataFrame([(u, d, f) for u, (d, f) in UNITS.items()], "u_unit string, dimension string, factor double")
+    """``rows`` with ``dimension`` and ``base_value`` (decimal, without binary rounding); null for an unknown unit."""
+    table = rows.sparkSession.createDataFrame([(u, d, f) for u, (d, f) in UNITS.items()], "u_unit string, dimension string, factor string")
     joined = rows.join(F.broadcast(table), F.col(unit) == F.col("u_unit"), "left").drop("u_unit")  # a few units
-    return joined.withColumn("base_value", F.col(value) * F.col("factor")).drop("factor")
+    exact = F.col(value).cast("decimal(24,8)") * F.col("factor").cast("decimal(10,4)")
+    return joined.withColumn("base_value", exact).drop("factor")

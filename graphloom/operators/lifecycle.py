@@ -55,5 +55,35 @@ def to_compute(inputs: DataFrame, artifacts: DataFrame, keys: list[str]) -> Data
     return inputs.select(*keys).distinct().join(artifacts.select(*keys).distinct(), keys, "left_anti")
 
 
-def latest_position(rows: DataFrame, key: str, order: list) -> DataFrame:
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+def replay(again: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """(key, problem, n): rows that mapping the sources again gives and the store lacks, and the other way round, repeated rows counted."""
+    out = None
+    for problem, rows in (("missing", again.exceptAll(stored)), ("unexpected", stored.exceptAll(again))):
+        one = rows.groupBy(key).agg(F.lit(problem).alias("problem"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def save(store: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(next store, outcomes) of writes (record_id, expected_revision, content) on a store (record_id, revision, content).
+
+    A write holds if it expects the record's last revision (none for a new record); of writes that meet on one record, the one
+    with the smallest content holds. A content that the last revision has already is a replay. Outcomes: (record_id,
+    expected_revision, content, outcome, revision).
+    """
+    last = current(store).select(F.col("record_id").alias("s_id"), F.col("revision").alias("s_revision"), F.col("content").alias("s_content"))
+    first = F.row_number().over(Window.partitionBy("record_id", "expected_revision").orderBy("content"))
+    met = writes.distinct().withColumn("nth", first).join(last, F.col("record_id") == F.col("s_id"), "left")
+    outcome = (
+        F.when(F.col("content") == F.col("s_content"), "REPLAYED").when(~F.col("expected_revision").eqNullSafe(F.col("s_revision")), "REVISION_CONFLICT")
+        .when(F.col("nth") > 1, "REVISION_CONFLICT").otherwise("STORED")
+    )
+    revision = F.when(F.col("outcome") == "STORED", F.coalesce("s_revision", F.lit(0)) + 1).when(F.col("outcome") == "REPLAYED", F.col("s_revision"))
+    done = met.withColumn("outcome", outcome).withColumn("revision", revision.cast("int"))
+    new = done.filter("outcome = 'STORED'").select("record_id", "revision", "content")
+    return store.select("record_id", "revision", "content").unionByName(new), done.select("record_id", "expected_revision", "content", "outcome", "revision")
+
+
+def rollback(publications: DataFrame, target: str) -> DataFrame:
+    """The manifest to publish next: the members of an earlier publication (publication_id, record_id, revision), as that one had them."""
+    return publications.filter(F.col("publication_id") == target).select("record_id", "revision")

@@ -11,15 +11,15 @@ from graphloom.sources.derived import SUPPLIES_SQL, supplies
 from graphloom.sources.tables import load
 
 
-@query("""WITH e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem WHERE l_quantity >= 49),
+@query("""WITH e AS (SELECT DISTINCT 's' || l_suppkey AS source, 'p' || l_partkey AS target FROM lineitem),
 w AS (SELECT source, target FROM e UNION ALL SELECT target, source FROM e),
 h1 AS (SELECT DISTINCT target AS node FROM w WHERE source IN ('s1', 's2')),
 h2 AS (SELECT DISTINCT target AS node FROM w WHERE source IN (SELECT node FROM h1)),
 a AS (SELECT 's1' AS node, 0 AS depth UNION ALL SELECT 's2', 0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2)
 SELECT node, min(depth) AS depth FROM a GROUP BY 1""")
 def neighborhood_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hops from two suppliers over their large deliveries."""
-    l = load(spark, sf_dir, "lineitem").filter("l_quantity >= 49")
+    """Two hops from two suppliers over all deliveries."""
+    l = load(spark, sf_dir, "lineitem")
     edges = l.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).distinct()
     return browse.neighbourhood(edges, spark.createDataFrame([("s1",), ("s2",)], "node string"))
 
@@ -41,11 +41,12 @@ def focus_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return browse.page_of(p, "entity_id", 123, 30)
 
 
-@query("""SELECT p_partkey AS entity_id, 2::BIGINT AS property_count, count(DISTINCT l_suppkey) AS relation_count FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1""")
+@query("""SELECT p_partkey AS entity_id, 1 + (p_size > 25)::BIGINT + (p_retailprice > 1000)::BIGINT AS property_count, count(DISTINCT l_suppkey) AS relation_count FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2""")
 def entity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Properties and distinct relations of each part."""
+    """Properties (every part has a brand, large ones a size class, dear ones a price class) and distinct relations of each part."""
     p = load(spark, sf_dir, "part")
-    facts = p.select(F.col("p_partkey").alias("f_id"), F.explode(F.array(F.lit("Size"), F.lit("RetailPrice")))).groupBy("f_id").agg(F.count(F.lit(1)).alias("property_count"))
+    held = F.array_compact(F.array(F.lit("Brand"), F.when(F.col("p_size") > 25, "Large"), F.when(F.col("p_retailprice") > 1000, "Dear")))
+    facts = p.select(F.col("p_partkey").alias("f_id"), F.explode(held)).groupBy("f_id").agg(F.count(F.lit(1)).alias("property_count"))
     edges = supplies(spark, sf_dir).groupBy(F.col("object").alias("e_id")).agg(F.count(F.lit(1)).alias("relation_count"))
     return p.select(F.col("p_partkey").alias("entity_id")).join(facts, F.col("entity_id") == F.col("f_id"), "left").join(
         edges, F.col("entity_id") == F.col("e_id"), "left"

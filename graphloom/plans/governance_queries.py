@@ -15,17 +15,21 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("entity_id"))
 
 
-@query("SELECT p_partkey AS entity_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-20')")
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"), F.col("source"))
+
+
+@query("SELECT doc_id AS entity_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def orphan_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that no early line mentions."""
-    early = load(spark, sf_dir, "lineitem").filter("l_shipdate < timestamp'1995-01-20'").select(F.col("l_partkey").alias("entity_id"))
-    return audit.orphans(_parts(spark, sf_dir), early)
+    """Documents that no label mentions."""
+    return audit.orphans(_documents(spark, sf_dir), load(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity_id"))).select("entity_id")
 
 
-@query("SELECT p_partkey AS entity_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey % 10 = 0)")
+@query("SELECT doc_id AS entity_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)")
 def isolated_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts without an edge from the suppliers of every tenth key."""
-    return audit.isolated(_parts(spark, sf_dir), supplies(spark, sf_dir).filter("subject % 10 = 0"))
+    """Documents without an edge to a vector."""
+    edges = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("object"))
+    return audit.isolated(_documents(spark, sf_dir).select("entity_id"), edges)
 
 
 @query("SELECT p_partkey AS entity_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL)")
@@ -73,7 +77,11 @@ def hierarchy_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.hierarchy(_tree(spark, sf_dir), spark)
 
 
-@query("SELECT 'c' || k::VARCHAR AS node FROM (SELECT n_nationkey AS k FROM nation WHERE n_nationkey < 6)")
+@query("""WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS child, 'n' || s_nationkey AS parent FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+  UNION SELECT 'c' || n_nationkey, 'c' || (n_nationkey + 1) % 6 FROM nation WHERE n_nationkey < 6),
+reach AS (SELECT child AS a, parent AS b FROM e UNION SELECT reach.a, e.parent FROM reach JOIN e ON e.child = reach.b),
+cyclic AS (SELECT a AS node FROM reach WHERE a = b)
+SELECT DISTINCT child AS node FROM e WHERE child IN (SELECT node FROM cyclic UNION SELECT b FROM reach WHERE a IN (SELECT node FROM cyclic)) AND child IN (SELECT a FROM reach WHERE b IN (SELECT node FROM cyclic))""")
 def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ring of six nations beside the tree: only the ring is cyclic."""
     ring = load(spark, sf_dir, "nation").filter("n_nationkey < 6").select(
@@ -83,7 +91,7 @@ def cycle_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SUPPLIES_SQL}
-SELECT 'ERROR' AS severity, 'ORPHAN_ENTITY' AS code, p_partkey::VARCHAR AS record_id, p_type AS detail FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-20')
+SELECT 'ERROR' AS severity, 'ORPHAN_ENTITY' AS code, doc_id::VARCHAR AS record_id, source AS detail FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)
 UNION ALL SELECT 'WARNING', 'ANOMALOUS_HUB', subject::VARCHAR, count(DISTINCT object)::VARCHAR FROM supplies GROUP BY subject HAVING count(DISTINCT object) > 520
 UNION ALL SELECT 'WARNING', 'POTENTIAL_DUPLICATE_NAME', min(p_partkey)::VARCHAR, lower(p_name) FROM part GROUP BY p_type, lower(p_name) HAVING count(*) > 1
 UNION ALL SELECT 'ERROR', 'INVALID_RELATIONSHIP_PATTERN', l_orderkey || ':' || l_linenumber, l_returnflag || l_linestatus FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'F'""")
@@ -93,14 +101,14 @@ def quality_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = p.groupBy("p_type", F.lower("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("id")).filter("n > 1")
     bad = l.filter("l_returnflag = 'N' AND l_linestatus = 'F'")
     return audit.all_findings([
-        audit.finding(orphan_entities(spark, sf_dir).join(p, F.col("entity_id") == F.col("p_partkey")), "ERROR", "ORPHAN_ENTITY", F.col("entity_id"), F.col("p_type")),
+        audit.finding(_documents(spark, sf_dir).join(orphan_entities(spark, sf_dir), "entity_id", "left_semi"), "ERROR", "ORPHAN_ENTITY", F.col("entity_id"), F.col("source")),
         audit.finding(anomalous_hub(spark, sf_dir), "WARNING", "ANOMALOUS_HUB", F.col("entity_id"), F.col("degree")),
         audit.finding(names, "WARNING", "POTENTIAL_DUPLICATE_NAME", F.col("id"), F.col("name")),
         audit.finding(bad, "ERROR", "INVALID_RELATIONSHIP_PATTERN", F.concat_ws(":", "l_orderkey", "l_linenumber"), F.concat("l_returnflag", "l_linestatus")),
     ])
 
 
-@query("""WITH a AS (SELECT 'ORPHAN' AS code, p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-20'))
+@query("""WITH a AS (SELECT 'ORPHAN' AS code, doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL))
 SELECT code, sha256(code || '|' || id) AS issue_id, id FROM a ORDER BY sha256(code || '|' || id) LIMIT 25""")
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A deterministic sample of findings: the 25 smallest hashes."""

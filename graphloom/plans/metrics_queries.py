@@ -33,9 +33,10 @@ def bounded_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(F.broadcast(kept), F.col("user_id") == F.col("k_id"), "left").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT quality, toxic, count(*) AS n, round(avg(toxic), 6) AS toxic_rate, round(avg(quality), 6) AS quality_rate FROM labels GROUP BY quality, toxic")
+@query("SELECT source, count(*) AS n, round(avg(toxic), 6) AS toxic_rate, round(avg(quality), 6) AS quality_rate FROM labels JOIN documents USING (doc_id) GROUP BY source")
 def review_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(
+    """What the reviewers found in each source."""
+    return load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("toxic"), 6).alias("toxic_rate"), F.round(F.avg("quality"), 6).alias("quality_rate")
     )
 
@@ -71,8 +72,13 @@ def rate_limit_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limiter.limit(_requests(spark, sf_dir), limiter.fixed_window(2, 43_200)).select("user_id", "event_id", "admitted")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts)::DOUBLE / 1e6 AS seconds, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
+w AS (SELECT user_id, event_id, p, seconds, 2::DOUBLE AS tokens, true AS admitted FROM e WHERE p = 1
+  UNION ALL SELECT user_id, event_id, p, seconds, CASE WHEN level + 1e-12 >= 1 THEN level - 1 ELSE level END, level + 1e-12 >= 1
+  FROM (SELECT e.*, least(3::DOUBLE, w.tokens + (e.seconds - w.seconds) * 4::DOUBLE / 86400::DOUBLE) AS level FROM w JOIN e ON e.user_id = w.user_id AND e.p = w.p + 1))
+SELECT user_id, event_id, admitted FROM w""")
 def rate_limit_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four requests a day, three at once."""
     return limiter.limit(_requests(spark, sf_dir), limiter.token_bucket(4, 86_400, 3)).select("user_id", "event_id", "admitted")
 
 
