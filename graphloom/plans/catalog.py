@@ -9,6 +9,7 @@ from graphloom.plans import (  # noqa: F401  importing them registers their quer
     lifecycle_queries,
     mapping_queries,
     metrics_queries,
+    publication_queries,
     resolution_queries,
     retrieval_queries,
     source_queries,
