@@ -6,6 +6,7 @@ from graphloom.plans import (  # noqa: F401  importing them registers their quer
     browse_queries,
     corpus_queries,
     governance_queries,
+    governed_queries,
     lifecycle_queries,
     mapping_queries,
     metrics_queries,
