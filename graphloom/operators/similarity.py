@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import checksum
+from graphloom.staging import stage
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
@@ -15,26 +20,67 @@ def first_copies(docs: DataFrame) -> DataFrame:
     return keyed.select("doc_id", first.alias("duplicate_id")).filter("doc_id > duplicate_id")
 
 
-def near_pairs(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+def _shingle_hashes(text: str, width: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's ``width``-character shingles; a shorter text is one shingle."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = max(1, len(codes) - width + 1)
+    mixed = np.full(n, min(len(codes), width), np.uint64)
+    for k in range(min(width, len(codes))):
+        mixed = (mixed ^ codes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(id, n, set): the shingle hashes of each (id, text), as bytes."""
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [_shingle_hashes(t, width) if t else np.zeros(0, np.uint64) for t in frame["text"]]
+            yield pd.DataFrame({"id": frame["id"], "n": [len(f) for f in found], "set": [f.astype("<u8").tobytes() for f in found]})
+
+    return docs.select("id", "text").mapInPandas(sets, "id long, n long, set binary")
+
+
+def _frequent(sets: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of all sets, ascending, and how many sets hold each: a table of at most ``most`` rows."""
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:  # counted in each batch before anything is shuffled
+            values, n = np.unique(np.concatenate([np.frombuffer(s, "<i8") for s in frame["set"]] or [np.zeros(0, np.int64)]), return_counts=True)
+            yield pd.DataFrame({"shingle": values, "n": n})
+
+    totals = sets.select("set").mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
+    first = totals.orderBy(F.desc("n"), "shingle").limit(most).toPandas().sort_values("shingle")
+    return first["shingle"].to_numpy(np.int64), first["n"].to_numpy(np.int64)
+
+
+def near_pairs(docs: DataFrame, width: int = 5, percent: int = 85, frequent: int = 200_000) -> DataFrame:
     """(a, b, common, together): different texts with 100 * |A n B| >= percent * |A u B| of their shingle sets, a < b.
 
-    Shingles are ordered from the rarest; two sets that are similar enough share one among their first
-    n - ceil(percent * n) + 1, so only those are joined. Sizes must allow the similarity. Copies count once, by their
-    smallest id. Verified on the whole sets.
+    Shingles are ordered from the rarest (the most frequent ones by their number, all others before them by hash; any order gives
+    the same pairs); two sets that are similar enough share one among their first n - ceil(percent * n) + 1, so only those are
+    joined. Sizes and places must allow the similarity. Copies count once, by their smallest id; empty texts are copies of one another.
+    Verified on the whole sets. Each text is shingled once.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     unique = docs.groupBy(text.alias("text")).agg(F.min("doc_id").alias("id"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - (width - 1)))
-    sets = unique.filter(F.length("text") > 0).select(
-        "id", F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(F.col("text"), i, F.lit(width))))).alias("set")
-    ).withColumn("n", F.size("set"))
-    each = sets.select("id", "n", F.explode("set").alias("s"))
-    counts = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    # Shingles of one text alone take their place in the prefix but cannot be joined.
-    ranked = each.join(counts, "s").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("df", "s")))
-    prefix = ranked.filter(
-        (F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)
-    ).select("s", "id", "n", "place")
+    sets = stage(shingle_sets(unique, width), "shingle-sets")
+    order = docs.sparkSession.sparkContext.broadcast(_frequent(sets, frequent))  # at most 16 bytes each
+
+    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, counts = order.value
+        for frame in frames:
+            rows = []
+            for key, n, raw in zip(frame["id"], frame["n"], frame["set"], strict=True):
+                values = np.frombuffer(raw, "<i8")
+                at = np.minimum(np.searchsorted(keys, values), max(len(keys) - 1, 0))
+                weight = np.where(keys[at] == values, counts[at], 0) if len(keys) else np.zeros(n, np.int64)
+                first = values[np.lexsort((values, weight))][: n - (percent * n + 99) // 100 + 1]
+                rows.append(pd.DataFrame({"s": first, "id": key, "n": n, "p": np.arange(1, len(first) + 1)}))
+            yield pd.concat(rows) if rows else pd.DataFrame({"s": [], "id": [], "n": [], "p": []})
+
+    prefix = stage(sets.filter("n > 0").mapInPandas(prefixes, "s long, id long, n long, p long"), "prefixes")
     left, right = (prefix.toDF("s", x, f"n_{x}", f"p_{x}") for x in ("a", "b"))
     reach = 1 + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
     pairs = left.join(right, "s").filter(
@@ -42,12 +88,56 @@ def near_pairs(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
         & ((100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b")))
     ).select("a", "b").distinct()
-    whole = sets.select("id", "set")
-    both = pairs.join(whole.toDF("a", "set_a"), "a").join(whole.toDF("b", "set_b"), "b")
-    sized = both.withColumn("common", F.size(F.array_intersect("set_a", "set_b"))).withColumn(
-        "together", F.size("set_a") + F.size("set_b") - F.col("common")
+    return _with_overlap(pairs, sets, sets).filter(100 * F.col("common") >= percent * F.col("together"))
+
+
+def _with_overlap(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b, common, together) of pairs (a, b) of the ids of two tables of sets."""
+
+    def overlap(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            both = [np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True) for x, y in zip(frame["set_a"], frame["set_b"], strict=True)]
+            common = np.array([len(x) for x in both], np.int64)
+            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "common": common, "together": frame["n_a"] + frame["n_b"] - common})
+
+    sides = pairs.join(left.toDF("a", "n_a", "set_a"), "a").join(right.toDF("b", "n_b", "set_b"), "b")
+    return sides.select("a", "b", "n_a", "n_b", "set_a", "set_b").mapInPandas(overlap, "a long, b long, common long, together long")
+
+
+def preflight(uploads: DataFrame, docs: DataFrame, percent: int = 85, width: int = 5, most_chars: int = 200_000) -> DataFrame:
+    """(upload_id, doc_id, kind, similarity) of each upload (upload_id, text) against all documents (doc_id, text).
+
+    EXACT for equal texts; SIMILAR for other texts of 0.8 to 1.25 times its length with a shingle Jaccard of at least ``percent``. Texts
+    longer than ``most_chars`` are compared for equality alone, as the check's contract says. Uploads are a stated, small set: lengths
+    are compared first, and only sets of like length meet.
+    """
+    name = lambda rows, key, x: rows.select(F.col(key).alias(f"{x}_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sized = lambda rows, x: rows.select(f"{x}_id", F.length("text").alias(f"{x}_size"), checksum(F.col("text")).alias(f"{x}_sum"))
+    u, d = name(uploads, "upload_id", "u"), name(docs, "doc_id", "d")
+    us, ds = stage(sized(u, "u"), "uploads"), stage(sized(d, "d"), "documents")
+    exact = us.join(ds, F.col("u_sum") == F.col("d_sum")).select("u_id", "d_id", F.lit("EXACT").alias("kind"), F.lit(1.0).alias("similarity"))
+    # Lengths in steps of a quarter: a text within 0.8 to 1.25 of another lies in its step or beside it.
+    step = lambda size: F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit(1.25))).cast("int")
+    like = us.withColumn("step", F.explode(F.array(step(F.col("u_size")) - 1, step(F.col("u_size")), step(F.col("u_size")) + 1))).join(ds.withColumn("step", step(F.col("d_size"))), "step").filter(
+        (F.col("d_size") >= F.ceil(F.col("u_size") * 0.8)) & (F.col("d_size") <= F.floor(F.col("u_size") * 1.25)) & (F.col("u_sum") != F.col("d_sum"))
+        & (F.col("u_size") <= most_chars) & (F.col("d_size") <= most_chars)
     )
-    return sized.filter(100 * F.col("common") >= percent * F.col("together")).select("a", "b", "common", "together")
+    pairs = stage(like.select(F.col("u_id").alias("a"), F.col("d_id").alias("b")), "candidates")
+    wanted_u, wanted_d = pairs.select(F.col("a").alias("id")).distinct(), pairs.select(F.col("b").alias("id")).distinct()
+    sets_u = shingle_sets(u.withColumnRenamed("u_id", "id").join(wanted_u, "id", "left_semi"), width)
+    sets_d = shingle_sets(d.withColumnRenamed("d_id", "id").join(wanted_d, "id", "left_semi"), width)
+    scored = _with_overlap(pairs, sets_u, sets_d).withColumnsRenamed({"a": "u_id", "b": "d_id"})
+    similar = scored.filter(100 * F.col("common") >= percent * F.col("together")).select(
+        "u_id", "d_id", F.lit("SIMILAR").alias("kind"), F.round(F.col("common") / F.col("together"), 6).alias("similarity")
+    )
+    return exact.unionByName(similar).select(F.col("u_id").alias("upload_id"), F.col("d_id").alias("doc_id"), "kind", "similarity")
+
+
+def difference_windows(a: Column, b: Column, chars: int = 160) -> Column:
+    """(before, after): half of ``chars`` of each text around the first difference, a third of that before it; null for equal texts."""
+    width = chars // 2
+    start = F.greatest(F.lit(0), first_difference(a, b) - 1 - width // 3)
+    return F.when(~a.eqNullSafe(b), F.struct(F.substring(a, start + 1, F.lit(width)).alias("before"), F.substring(b, start + 1, F.lit(width)).alias("after")))
 
 
 def first_difference(a: Column, b: Column) -> Column:
