@@ -86,7 +86,7 @@ def split_boundary(docs: DataFrame, most: int = 1200, ratio: float = 0.6, id_col
 
 def packed(text: str, places: Iterable[int], most: int, ratio: float) -> list[int]:
     """Ends of chunks that go to the last of ``places`` within reach; where none is, as ``cut_points`` cuts."""
-    stops, ends, start = sorted({*places, len(text)}), [], 0
+    stops, ends, start = sorted({0, *places, len(text)}), [], 0
     while start < len(text):
         last = stops[bisect_right(stops, start + most) - 1]
         if last <= start:
