@@ -40,5 +40,5 @@ def grid(nodes: DataFrame, kind: str, key: str, columns: int = 10, step: int = 1
     """Coordinates by kind: each kind a band, its nodes in rows of ``columns``."""
     kinds = nodes.select(kind).distinct().withColumn("band", F.row_number().over(Window.orderBy(kind)) - 1)
     n = F.row_number().over(Window.partitionBy(kind).orderBy(key)) - 1
-    placed = nodes.withColumn("n", n).join(F.broadcast(kinds), kind)  # one row per kind
+    placed = nodes.withColumn("n", n).join(kinds, kind)
     return placed.select(key, kind, (F.col("n") % columns * step).alias("x"), (F.col("band") * 10_000 + F.floor(F.col("n") / columns).cast("int") * step).alias("y"))

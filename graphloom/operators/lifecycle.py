@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +47,25 @@ def collisions(active: DataFrame, removed: DataFrame, replaced: DataFrame, new:
 
 
 def manifest_digest(members: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """(group, members, digest): the SHA-256 of a group's values in order."""
-    listed = F.array_sort(F.collect_list(F.struct(order, value)))
-    return members.groupBy(group).agg(F.count(F.lit(1)).alias("members"), listed.alias("l")).select(
-        group, "members", F.sha2(F.array_join(F.col(f"l.{value}"), ","), 256).alias("digest")
-    )
+    """(group, members, digest): the SHA-256 of a group's values in order, with commas between them; hashed as they pass, never listed."""
+
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, state = None, 0, None
+        for frame in frames:
+            rows = []
+            for key, text in zip(frame[group], frame[value], strict=True):
+                if n == 0 or key != now:
+                    if n:
+                        rows.append((now, n, state.hexdigest()))
+                    now, n, state = key, 0, hashlib.sha256()
+                state.update(f"{',' if n else ''}{text}".encode())
+                n += 1
+            yield pd.DataFrame(rows, columns=[group, "members", "digest"])
+        if n:
+            yield pd.DataFrame([(now, n, state.hexdigest())], columns=[group, "members", "digest"])
+
+    rows = members.select(group, order, value)
+    return rows.repartition(group).sortWithinPartitions(group, order).mapInPandas(digest, f"{group} {dict(rows.dtypes)[group]}, members long, digest string")
 
 
 def to_compute(inputs: DataFrame, artifacts: DataFrame, keys: list[str]) -> DataFrame:

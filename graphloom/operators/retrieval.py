@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -195,18 +196,25 @@ def adjacent(chunks: DataFrame, anchors: DataFrame, window: int, key: str = "doc
 
 
 def select_context(candidates: DataFrame, most: int, chars: int, group: str) -> DataFrame:
-    """Greedy choice in order of ``position``: at most ``most`` chunks and ``chars`` characters; what does not fit is skipped."""
+    """Greedy choice in order of ``position``: at most ``most`` chunks and ``chars`` characters; what does not fit is skipped.
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["position", "id"])
-        taken, used, kept = 0, 0, []
-        for n in frame["size"]:
-            fits = taken < most and used + n <= chars
-            kept.append(fits)
-            taken, used = taken + fits, used + (n if fits else 0)
-        return frame[kept]
-
-    return candidates.groupBy(group).applyInPandas(choose, candidates.schema)
+    A group's rows (id, size and position alone) pass one after another in batches; a group of any size is never held whole.
+    """
+
+    def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, taken, used = None, 0, 0
+        for frame in frames:
+            kept = []
+            for key, size in zip(frame[group], frame["size"], strict=True):
+                if key != now:
+                    now, taken, used = key, 0, 0
+                fits = taken < most and used + size <= chars
+                kept.append(fits)
+                taken, used = taken + fits, used + (size if fits else 0)
+            yield frame[kept]
+
+    ordered = candidates.filter(F.col("size") <= chars).repartition(group).sortWithinPartitions(group, "position", "id")
+    return ordered.mapInPandas(choose, candidates.schema)
 
 
 def source_window(text: Column, term: str, chars: int) -> Column:
