@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.sources.structured import json_nodes
+from graphloom.sources.structured import XML_TAG, json_nodes
 
 #: Delimiters after which a chunk may end, best first.
 DELIMITERS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
@@ -106,12 +106,9 @@ def json_places(text: str) -> set[int]:
     return found
 
 
-_TAG = re.compile(r"""<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|<![^>]*>|<(?P<end>/?)[^<>"'\s/]+(?:[^<>"']|"[^"]*"|'[^']*')*>""", re.S)
-
-
 def xml_places(text: str) -> set[int]:
     """Where elements begin and end, and where their start tags end."""
-    tags = [m for m in _TAG.finditer(text) if m["end"] is not None]
+    tags = [m for m in XML_TAG.finditer(text) if m["end"] is not None]
     return {m.end() for m in tags} | {m.start() for m in tags if not m["end"]}
 
 

@@ -203,3 +203,17 @@ def review_sample(findings: DataFrame, evidence: DataFrame, run: str, most: int)
     chunks = evidence.distinct().join(hashed.select("object_id").distinct(), "object_id").withColumn("nth", nth).filter("nth <= 3")
     listed = chunks.groupBy("object_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("chunks"))
     return hashed.join(listed, "object_id", "left").select("object_kind", "object_id", "codes", F.coalesce("chunks", F.array().cast("array<string>")).alias("chunks"))
+
+
+def compared(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(code, object_kind, object_id, state) of two runs' findings: NEW, PERSISTING or RESOLVED."""
+    keys = ["code", "object_kind", "object_id"]
+    side = lambda rows, x: rows.select(*keys).distinct().withColumn(x, F.lit(True))
+    both = side(before, "was").join(side(now, "is"), keys, "full")
+    return both.select(*keys, F.when(F.col("was").isNull(), "NEW").when(F.col("is").isNull(), "RESOLVED").otherwise("PERSISTING").alias("state"))
+
+
+def decided(findings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``findings`` with ``decision``: the last one (by decided_at) on each (code, object_id), null where nobody has decided."""
+    last = decisions.groupBy("code", "object_id").agg(F.max_by("decision", "decided_at").alias("decision"))
+    return findings.join(last, ["code", "object_id"], "left")

@@ -189,3 +189,32 @@ def audit_review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = published(spark, sf_dir)
     evidence = t["revisions"].select(F.col("revision_id").alias("object_id"), "chunk_id")
     return audit.review_sample(_run(spark, sf_dir), evidence, "run-1", 40)
+
+
+_HISTORY = _ENTITIES_SQL.replace("entity_found AS", "late_found AS").replace(f">= {HUB}", f">= {HUB + 30}")
+
+
+@query(f"""WITH {BASE}, {_ENTITIES_SQL}, {_HISTORY[_HISTORY.index("late_found AS"):]},
+a AS (SELECT code, entity_id FROM entity_found), b AS (SELECT code, entity_id FROM late_found WHERE code <> 'ISOLATED_ENTITY')
+SELECT coalesce(a.code, b.code) AS code, coalesce(a.entity_id, b.entity_id) AS object_id, CASE WHEN a.code IS NULL THEN 'NEW' WHEN b.code IS NULL THEN 'RESOLVED' ELSE 'PERSISTING' END AS state
+FROM a FULL JOIN b ON a.code = b.code AND a.entity_id = b.entity_id""")
+def audit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of the findings of one run in the next, which has a higher hub threshold and finds isolated entities no fault."""
+    t = published(spark, sf_dir)
+    now = audit.entity_findings(t, PUBLICATION, HUB + 30).filter("code <> 'ISOLATED_ENTITY'")
+    return audit.compared(audit.entity_findings(t, PUBLICATION, HUB), now).select("code", "object_id", "state")
+
+
+@query(f"""WITH {BASE}, {_ENTITIES_SQL}, d AS (SELECT code, entity_id, CASE WHEN entity_id LIKE 's%' THEN 'ACCEPTED' WHEN entity_id LIKE 'x%' THEN 'FALSE_POSITIVE' END AS decision FROM entity_found)
+SELECT code, count(*) AS n, count(decision) AS decided, count(*) FILTER (decision = 'ACCEPTED') AS accepted, count(*) FILTER (decision = 'FALSE_POSITIVE') AS false_positives FROM d GROUP BY code""")
+def audit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People's last decisions on the findings, by code; suppliers' were first refused, then accepted."""
+    found = audit.entity_findings(published(spark, sf_dir), PUBLICATION, HUB)
+    s, x = found.filter("object_id LIKE 's%'"), found.filter("object_id LIKE 'x%'")
+    made = lambda rows, decision, at: rows.select("code", "object_id", F.lit(decision).alias("decision"), F.lit(at).alias("decided_at"))
+    decisions = made(s, "FALSE_POSITIVE", 1).unionByName(made(s, "ACCEPTED", 2)).unionByName(made(x, "FALSE_POSITIVE", 1))
+    last = audit.decided(found, decisions)
+    return last.groupBy("code").agg(
+        F.count(F.lit(1)).alias("n"), F.count("decision").alias("decided"), F.count_if(F.col("decision") == "ACCEPTED").alias("accepted"),
+        F.count_if(F.col("decision") == "FALSE_POSITIVE").alias("false_positives"),
+    )

@@ -252,3 +252,33 @@ def parsed_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = parsing.parse_sources(raw).filter("problem IS NULL")
     counts = chunking.split_fixed(read.select("doc_id", "text"), options.max_chars).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     return read.select("doc_id", checksum(F.col("text")).alias("checksum"), F.lit(options.signature).alias("signature")).join(counts, "doc_id")
+
+
+#: A turn as an element: an attribute with an entity, an empty element and one with text.
+_TURN_SQL = """t0 AS (SELECT conv_id AS doc_id, turn, role, format('<turn n="{}" who="a &amp; {}"><mark/><size>{}</size></turn>', turn, role, length(text)) AS j, length(text) AS n FROM conversations),
+t1 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn, role, j) AS i FROM t0), t AS (SELECT *, 7 + sum(length(j)) OVER (PARTITION BY doc_id ORDER BY i) - length(j) AS s FROM t1)"""
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.format_string('<turn n="%d" who="a &amp; %s"><mark/><size>%d</size></turn>', F.col("turn"), F.col("role"), F.length("text"))
+    return structured.locate_xml(_conversations(spark, sf_dir, row, "<talks>", "", "</talks>"))
+
+
+@query(f"""WITH {_TURN_SQL}
+SELECT doc_id, '/talks/turn[' || i || ']' AS path, 'element' AS kind, s::INT AS char_start, (s + length(j))::INT AS char_end, NULL AS value FROM t
+UNION ALL SELECT doc_id, '/talks/turn[' || i || ']/@n', 'attribute', (s + 9)::INT, (s + 9 + length(turn::VARCHAR))::INT, turn::VARCHAR FROM t
+UNION ALL SELECT doc_id, '/talks/turn[' || i || ']/@who', 'attribute', (s + 16 + length(turn::VARCHAR))::INT, (s + 24 + length(turn::VARCHAR) + length(role))::INT, 'a & ' || role FROM t
+UNION ALL SELECT doc_id, '/talks/turn[' || i || ']/mark[1]', 'element', (s + length(j) - 27 - length(n::VARCHAR))::INT, (s + length(j) - 20 - length(n::VARCHAR))::INT, '' FROM t
+UNION ALL SELECT doc_id, '/talks/turn[' || i || ']/size[1]', 'element', (s + length(j) - 20 - length(n::VARCHAR))::INT, (s + length(j) - 7)::INT, n::VARCHAR FROM t
+UNION ALL SELECT doc_id, '/talks', 'element', 0, (max(s + length(j)) + 8)::INT, NULL FROM t GROUP BY doc_id""")
+def xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element and attribute of each conversation's XML, by its path and place."""
+    return _turns(spark, sf_dir)
+
+
+@query(f"""WITH {_TURN_SQL} SELECT doc_id, '/talks/turn[' || i || ']' AS record, f.name, CASE f.name WHEN 'Speaker' THEN 'a & ' || role WHEN 'Length' THEN n::VARCHAR END AS value,
+  CASE f.name WHEN 'Speaker' THEN (s + 16 + length(turn::VARCHAR))::INT WHEN 'Length' THEN (s + length(j) - 20 - length(n::VARCHAR))::INT END AS char_start,
+  CASE f.name WHEN 'Speaker' THEN (s + 24 + length(turn::VARCHAR) + length(role))::INT WHEN 'Length' THEN (s + length(j) - 7)::INT END AS char_end FROM t, (VALUES ('Speaker'), ('Length'), ('Mood')) f(name)""")
+def mapped_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations' XML elements by a table of fields; no turn has a mood."""
+    return structured.map_elements(_turns(spark, sf_dir), "/talks/turn", {"Speaker": "@who", "Length": "size", "Mood": "@mood"})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 import re
 from collections.abc import Iterator
@@ -11,6 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.sources.parsing import Limits, xml_problem
+
+#: A tag (start or ``end``), or what only looks like one: comments, instructions, character data, declarations.
+XML_TAG = re.compile(r"""<!--.*?-->|<\?.*?\?>|<!\[CDATA\[.*?\]\]>|<![^>]*>|<(?P<end>/?)[^<>"'\s/]+(?:[^<>"']|"[^"]*"|'[^']*')*>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=<>"'/]+)\s*=\s*("[^"]*"|'[^']*')""")
+
 
 class JsonNode(NamedTuple):
     pointer: str
@@ -78,6 +85,69 @@ def locate_json(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     return docs.select(id_column, "text").mapInPandas(locate, f"{id_column} long, pointer string, char_start int, char_end int, kind string")
 
 
+def xml_nodes(text: str) -> Iterator[tuple[str, str, int, int, str | None]]:
+    """(path, kind, start, end, value) of every element and attribute of a well-formed XML text.
+
+    A path counts elements of one name among their siblings: /a/b[2]/@c. An element ends after those in it; its value is its text
+    if it holds no element. The open elements are the only state.
+    """
+    opened: list[list] = []  # path, start, end of the start tag, counts of children by name
+
+    def closed(path: str, start: int, inner: int, seen: dict, at: int, end: int) -> tuple[str, str, int, int, str | None]:
+        return path, "element", start, end, None if seen else html.unescape(text[inner:at])
+
+    for m in XML_TAG.finditer(text):
+        if m["end"] is None:
+            continue
+        if m["end"]:
+            yield closed(*opened.pop(), m.start(), m.end())
+            continue
+        tag = m[0][1:-1].rstrip("/")
+        name = re.match(r"[^\s]+", tag)[0]
+        above, counts = ("", {}) if not opened else (opened[-1][0], opened[-1][3])
+        counts[name] = counts.get(name, 0) + 1
+        path = f"{above}/{name}" + (f"[{counts[name]}]" if opened else "")
+        for a in _ATTRIBUTE.finditer(tag, len(name)):
+            yield f"{path}/@{a[1]}", "attribute", m.start() + 1 + a.start(2) + 1, m.start() + 1 + a.end(2) - 1, html.unescape(a[2][1:-1])
+        if m[0].endswith("/>"):
+            yield path, "element", m.start(), m.end(), ""
+        else:
+            opened.append([path, m.start(), m.end(), {}])
+
+
+def locate_xml(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """(id, path, kind, char_start, char_end, value) of each element and attribute; a text with a fault gives one row of kind 'error'."""
+
+    def locate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows: list[tuple] = []
+            for key, text in zip(frame[id_column], frame["text"], strict=True):
+                fault = "none" if text is None else xml_problem(text, Limits())
+                rows += [(key, None, "error", None, None, fault)] if fault else [(key, *node) for node in xml_nodes(text)]
+            yield pd.DataFrame(rows, columns=[id_column, "path", "kind", "char_start", "char_end", "value"]).astype({"char_start": "Int32", "char_end": "Int32"})
+
+    return docs.select(id_column, "text").mapInPandas(locate, f"{id_column} long, path string, kind string, char_start int, char_end int, value string")
+
+
+def map_elements(nodes: DataFrame, element: str, fields: dict[str, str], id_column: str = "doc_id") -> DataFrame:
+    """(id, record, name, value, char_start, char_end): fields (name -> path below the element) of each element whose path, without its counts, is ``element``.
+
+    A field that an element lacks gives a row without a value. A value is an attribute or the text of an element below.
+    """
+    plain = F.regexp_replace("path", r"\[\d+\]", "")
+    table = nodes.sparkSession.createDataFrame(list(fields.items()), "name string, field string")
+    records = nodes.filter((F.col("kind") == "element") & (plain == element)).select(id_column, F.col("path").alias("record"))
+    steps = F.split("path", "/")
+    depth = element.count("/") + 1
+    inside = nodes.withColumn("plain", plain).filter(F.col("plain").startswith(element + "/")).select(
+        F.col(id_column).alias("v_id"), F.array_join(F.slice(steps, 1, depth), "/").alias("v_record"), F.substring("plain", len(element) + 2, 1 << 20).alias("v_field"), "value", "char_start", "char_end",
+    )
+    wanted = records.crossJoin(F.broadcast(table))  # a mapping's fields are few
+    return wanted.join(inside, (F.col(id_column) == F.col("v_id")) & (F.col("record") == F.col("v_record")) & (F.col("field") == F.col("v_field")), "left").select(
+        id_column, "record", "name", "value", "char_start", "char_end"
+    )
+
+
 def record_collections(nodes: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, collection, record, char_start, char_end, problem): the objects of arrays that hold objects alone and lie in no other array.
 
