@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from graphloom.functions import jsontext
+
 #: Dimension of each unit, and its factor to the dimension's base unit.
 UNITS = {
     "m": ("length", "1"), "km": ("length", "1000"), "cm": ("length", "0.01"), "mm": ("length", "0.001"),
@@ -28,18 +30,9 @@ MOST_CHARS = 4096
 def _canonical_json(tokens: pd.Series) -> pd.Series:
     """Sorted keys, no blanks; null for what is not strict JSON or repeats a key."""
 
-    def once(pairs: list[tuple]) -> dict:
-        if len({k for k, _ in pairs}) < len(pairs):
-            raise ValueError("a key is repeated")
-        return dict(pairs)
-
-    def no_constant(name: str) -> None:
-        raise ValueError(name)
-
     def one(token: str | None) -> str | None:
         try:
-            value = json.loads(token, object_pairs_hook=once, parse_constant=no_constant)
-            return json.dumps(value, ensure_ascii=False, allow_nan=False, separators=(",", ":"), sort_keys=True)
+            return json.dumps(jsontext.strict(token), ensure_ascii=False, allow_nan=False, separators=(",", ":"), sort_keys=True)
         except (TypeError, ValueError, RecursionError):
             return None
 

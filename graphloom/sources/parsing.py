@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.functions import jsontext
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -43,19 +44,10 @@ def media_type(declared: Column) -> Column:
 
 def json_problem(text: str, limits: Limits) -> str | None:
     """What is wrong with a JSON text: syntax, repeated keys, constants that JSON has not, nodes or depth."""
-
-    def once(pairs: list[tuple]) -> dict:
-        if len({k for k, _ in pairs}) < len(pairs):
-            raise ValueError("JSON_DUPLICATE_KEY")
-        return dict(pairs)
-
-    def no_constant(name: str) -> None:
-        raise ValueError("JSON_CONSTANT")
-
     try:
-        level = [json.loads(text, object_pairs_hook=once, parse_constant=no_constant)]
-    except (ValueError, RecursionError) as fault:
-        return str(fault) if str(fault) in ("JSON_DUPLICATE_KEY", "JSON_CONSTANT") else "JSON_INVALID"
+        level = [jsontext.strict(text)]
+    except ValueError as fault:
+        return str(fault) if str(fault).startswith("JSON_") else "JSON_INVALID"
     depth = nodes = 0
     while level:  # level by level, so the depth is the number of turns
         depth, nodes = depth + 1, nodes + len(level)
@@ -68,16 +60,16 @@ def json_problem(text: str, limits: Limits) -> str | None:
 
 
 def csv_problem(text: str, limits: Limits) -> str | None:
-    rows = cells = 0
+    """What is wrong with a CSV text: its form, or the first of its bounds that a row passes."""
+    bounds = {"CSV_ROW_LIMIT": limits.csv_rows, "CSV_CELL_LIMIT": limits.csv_cells, "CSV_FIELD_LIMIT": limits.csv_field}
+    cells = 0
     try:
-        for row in csv.reader(io.StringIO(text, newline=""), strict=True):
-            rows, cells = rows + 1, cells + len(row)
-            if rows > limits.csv_rows:
-                return "CSV_ROW_LIMIT"
-            if cells > limits.csv_cells:
-                return "CSV_CELL_LIMIT"
-            if max(map(len, row), default=0) > limits.csv_field:
-                return "CSV_FIELD_LIMIT"
+        for n, row in enumerate(csv.reader(io.StringIO(text, newline=""), strict=True), 1):
+            cells += len(row)
+            reached = (n, cells, max(map(len, row), default=0))
+            over = [code for (code, bound), now in zip(bounds.items(), reached, strict=True) if now > bound]
+            if over:
+                return over[0]
     except csv.Error:
         return "CSV_INVALID"
     return None
