@@ -9,7 +9,8 @@ handled as one range, so the plan is a list of ranges (this many pieces of this
 sequences at this place). Spark then numbers the pieces of each length and looks their place up.
 
 Defined results: a null or empty text is the end id alone. Pieces of equal length are interchangeable,
-so ties and repeated rows only decide which of them goes where. An empty table gives an empty result.
+so ties and repeated rows only decide which of them goes where. An empty table gives an empty result. doc_id is an integer (or
+null). A very long text's ids are held whole in one task. Columns are selected by name, so others may have any names.
 Numbering is dealt by (length, salt), so a length that a third of all pieces share is spread.
 """
 

@@ -6,7 +6,8 @@ of texts are encoded once (``pieces.PieceEncoder``).
 
 Defined results: a null or empty text has 0 bytes and 0 tokens. Special strings inside a text become
 their special token, as is the library's default. Rows are neither joined nor shuffled, so repeated
-rows and null ids stay as they are. The result has fixed columns, whatever else the table holds.
+rows and null ids stay as they are. The result has fixed columns, whatever else the table holds. An empty table gives no rows. A
+very long text is a batch of its own, of which one task holds the pieces.
 """
 
 from __future__ import annotations

@@ -14,7 +14,7 @@ each, level by level, so neither what precedes a run nor the rest of the file is
 
 Defined results: null doc_ids come first, then ascending order; rows that share a doc_id are ordered by
 their ids. A null or empty text is the end id alone. An empty table gives no files and no rows. doc_id is an integer (or null).
-A very long text's ids are held whole in one task. Columns are selected by name, so others may have any names.
+A very long text's ids are held whole in one task, and rows that share a doc_id (or have none) are written by one task. Columns are selected by name, so others may have any names.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ DOCS_PER_RANGE = 2048
 MOST_RANGES = 20_000
 #: A range is continued in another file beyond so many ids; a document is never split.
 IDS_PER_FILE = 16_000_000
+#: Ranges that one task writes; so the tasks grow with the documents.
+RANGES_PER_TASK = 4
 #: Ids that one read of a run of documents decodes.
 IDS_PER_RUN = 65_536
 BATCH_BYTES = 4_000_000
@@ -203,7 +205,7 @@ def write_store(
     encoded = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column)).mapInArrow(
         encode, "range_no long, doc_id long, ids binary"
     )
-    files = encoded.repartition("range_no").sortWithinPartitions("range_no", "doc_id", "ids").mapInArrow(build, "content binary")
+    files = encoded.repartition(max(1, (len(bounds) + 1) // RANGES_PER_TASK), "range_no").sortWithinPartitions("range_no", "doc_id", "ids").mapInArrow(build, "content binary")
     # The bytes pass the text writer as they are; a record per file, the line separator is the end mark.
     files.select(F.col("content").cast("string").alias("value")).write.option("lineSep", END).option(
         "maxRecordsPerFile", 1
