@@ -6,10 +6,13 @@ import corpus_pipeline
 from graphloom.llm import (
     decontamination,
     exact_dedup,
+    fill_in_middle,
     line_dedup,
     ngram_join,
     packing,
     quality,
+    secret_scan,
+    spelling,
     token_counts,
     token_store,
     toxicity,
@@ -27,6 +30,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_token_store": token_store.op10_token_store,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_spelling_groups": spelling.op12_spelling_groups,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -34,4 +40,6 @@ ORACLES = {
     "op4_line_dedup": line_dedup.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op11_fill_in_middle": fill_in_middle.OP11_SQL,
+    "op12_spelling_groups": spelling.OP12_SQL,
 }
