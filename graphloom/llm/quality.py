@@ -4,11 +4,11 @@ A document is a bag of passages of 64 words. Every passage is encoded: hashed wo
 like, its case, digits and marks), hashed lower-cased words and a few surface figures, then a learned
 hidden layer. Gated attention (tanh times sigmoid) weighs the passages of a document; the weighted
 sum of their hidden vectors is scored. All weights are learned from document labels alone, on the driver, from
-a sample of at most ``per_label`` rows a label, of long texts passages from start to end (``training.training_sample``). Scoring
-reads whole texts and whole words; a word's length, marks and capitals count up to 255 each in the figures.
+a sample of at most ``per_label`` rows a label (``training.training_sample``), in mini-batches. Of these too whole texts are read; the
+driver holds eight bytes a word of them. A word's length, marks and capitals count up to 255 each in the figures.
 
 Defined results: a null or empty text is a bag of one empty passage, so it has a score too. A training
-sample of one label only gives that label's share as the score of all; without any labels it is 0.5.
+sample of one label only gives that label's share as the score of all; without any labels it is 0.5. A null id is not held out.
 Repeated rows are scored alike, and an empty table gives no rows. The inputs of a score are the text alone. ``quality_scores``
 selects its columns by name; ``with_scores`` replaces a column named score and keeps all others as they are.
 """
@@ -16,7 +16,7 @@ selects its columns by name; ``with_scores`` replaces a column named score and k
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +32,7 @@ PASSAGE = 64
 SHAPES, WORDS = 96, 160
 SIZE = SHAPES + WORDS + 7
 HIDDEN, GATES = 32, 16
-PER_LABEL, TRAIN_CHARS = 3000, 16_000
+PER_LABEL = 3000
 BATCH_BYTES = 4_000_000
 
 _RUNS = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0"), (re.compile(rb"([^A-Za-z0-9\x80-\xff])\1+"), rb"\1\1")]
@@ -60,19 +60,20 @@ class _WordCodes(dict):
         return code
 
 
-def passage_features(texts: list[str | None], codes: _WordCodes) -> tuple[np.ndarray, np.ndarray]:
-    """The features of all passages of the texts, and each text's number of passages (one at least)."""
-    words, counts, lines = [], [], []
-    for text in texts:
-        found = (text or "").encode().split()
-        words += found
-        counts.append(len(found))
-        lines.append((text or "").count("\n"))
-    n = np.array(counts, np.int64)
+def word_codes(text: str | None, codes: _WordCodes) -> tuple[np.ndarray, int]:
+    """The codes of a text's words, and its number of line feeds: all that its passages' features are made of."""
+    words = (text or "").encode().split()
+    return np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), (text or "").count("\n")
+
+
+def passage_features(coded: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all passages of the coded texts, and each text's number of passages (one at least)."""
+    n = np.array([len(words) for words, _ in coded], np.int64)
+    lines = np.array([count for _, count in coded], np.int64)
     bags = np.maximum(1, -(-n // PASSAGE))
     first = np.cumsum(bags) - bags
-    packed = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-    place = np.arange(len(words)) - np.repeat(np.cumsum(n) - n, n)
+    packed = np.concatenate([np.zeros(0, np.int64), *(words for words, _ in coded)])
+    place = np.arange(len(packed)) - np.repeat(np.cumsum(n) - n, n)
     passage = np.repeat(first, n) + place // PASSAGE
     total = int(bags.sum())
     out = np.zeros((total, SIZE), np.float32)
@@ -84,10 +85,10 @@ def passage_features(texts: list[str | None], codes: _WordCodes) -> tuple[np.nda
     letters = np.bincount(passage, packed >> 16 & 255, total) * scale
     marks = np.bincount(passage, packed >> 8 & 255, total) * scale
     upper = np.bincount(passage, packed & 255, total) * scale
-    again = np.zeros(len(words), bool)
+    again = np.zeros(len(packed), bool)
     again[1:] = (packed[1:] == packed[:-1]) & (place[1:] > 0)
     again = np.bincount(passage, again, total) * scale
-    by_document = np.repeat(np.array(lines) / np.maximum(n, 1), bags)
+    by_document = np.repeat(lines / np.maximum(n, 1), bags)
     figures = [letters / 10, marks / 4, upper / 4, again, size / PASSAGE, by_document, np.repeat(np.log1p(n) / 8, bags)]
     out[:, SHAPES + WORDS :] = np.stack(figures, axis=1)
     return out, bags
@@ -119,47 +120,52 @@ class Model:
             return np.full(len(bags), self.constant)
         return self.forward(x, bags)["score"].astype(float)
 
-
-def fit(sample: list[tuple[str, int]], epochs: int = 12, batch: int = 128, rate: float = 4e-3, decay: float = 1e-4, seed: int = 5) -> Model:
+    def gradients(self, x: np.ndarray, bags: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of the documents, by each weight."""
+        p, f = self.weights, self.forward(x, bags)
+        back = (f["score"] - y) / len(y)
+        dz = back[:, None] * p["c"]
+        of = np.repeat(np.arange(len(y)), bags)
+        da = ((f["h"] - f["z"][of]) * dz[of]).sum(1) * f["attention"]
+        dg = da[:, None] * p["a"]
+        dv, du = dg * f["u"] * (1 - f["v"] ** 2), dg * f["v"] * f["u"] * (1 - f["u"])
+        dh = (f["attention"][:, None] * dz[of] + dv @ p["v"].T + du @ p["u"].T) * (1 - f["h"] ** 2)
+        return {
+            "w": f["x"].T @ dh, "b": dh.sum(0), "v": f["h"].T @ dv, "u": f["h"].T @ du,
+            "a": (f["v"] * f["u"]).T @ da, "c": f["z"].T @ back, "d": back.sum(),
+        }
+
+
+def fit(sample: Iterable[tuple[str, int]], epochs: int = 12, batch: int = 128, rate: float = 4e-3, decay: float = 1e-4, seed: int = 5) -> Model:
     """Learn all weights by Adam on the log loss of document labels; both labels weigh as their rows do."""
-    y = np.array([label for _, label in sample], np.float32)
+    codes, coded, given = _WordCodes(), [], []
+    for text, label in sample:
+        coded.append(word_codes(text, codes))
+        given.append(label)
+    y = np.array(given, np.float32)
     empty = Model(np.zeros(SIZE, np.float32), np.ones(SIZE, np.float32), {}, 0.5)
-    if len(set(y.tolist())) < 2:
+    if len(set(given)) < 2:
         empty.constant = float(y.mean()) if len(y) else 0.5
         return empty
-    codes = _WordCodes()
-    parts = [passage_features([t for t, _ in sample[k : k + 256]], codes) for k in range(0, len(sample), 256)]
-    x, bags = (np.concatenate(c) for c in zip(*parts, strict=True))
-    del parts, codes
     rng = np.random.default_rng(seed)
     shape = {"w": (SIZE, HIDDEN), "b": (HIDDEN,), "v": (HIDDEN, GATES), "u": (HIDDEN, GATES), "a": (GATES,), "c": (HIDDEN,), "d": ()}
     weights = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if s else np.zeros(())).astype(np.float32) for k, s in shape.items()}
-    mean = x.mean(0)
-    spread = np.concatenate([x[:, k : k + 32].std(0) for k in range(0, SIZE, 32)])
-    model = Model(mean, 1 / (spread + 0.02), weights)
+    count, sums, squares = 0, np.zeros(SIZE), np.zeros(SIZE)
+    for k in range(0, len(y), batch):
+        x = passage_features(coded[k : k + batch])[0].astype(float)
+        count, sums, squares = count + len(x), sums + x.sum(0), squares + (x * x).sum(0)
+    mean = sums / count
+    spread = np.sqrt(np.maximum(squares / count - mean**2, 0))
+    model = Model(mean.astype(np.float32), (1 / (spread + 0.02)).astype(np.float32), weights)
     first = {k: np.zeros_like(w) for k, w in weights.items()}
     second = {k: np.zeros_like(w) for k, w in weights.items()}
-    starts, step = np.cumsum(bags) - bags, 0
+    step = 0
     for _ in range(epochs):
-        order = rng.permutation(len(y))
+        order = rng.permutation(len(y)).tolist()
         for k in range(0, len(y), batch):
             docs = order[k : k + batch]
-            own = bags[docs]
-            rows = np.repeat(starts[docs] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            f = model.forward(x[rows], own)
-            back = (f["score"] - y[docs]) / len(docs)
-            dz = back[:, None] * weights["c"]
-            of = np.repeat(np.arange(len(docs)), own)
-            da = ((f["h"] - f["z"][of]) * dz[of]).sum(1) * f["attention"]
-            dg = da[:, None] * weights["a"]
-            dv, du = dg * f["u"] * (1 - f["v"] ** 2), dg * f["v"] * f["u"] * (1 - f["u"])
-            dh = (f["attention"][:, None] * dz[of] + dv @ weights["v"].T + du @ weights["u"].T) * (1 - f["h"] ** 2)
-            grads = {
-                "w": f["x"].T @ dh, "b": dh.sum(0), "v": f["h"].T @ dv, "u": f["h"].T @ du,
-                "a": (f["v"] * f["u"]).T @ da, "c": f["z"].T @ back, "d": back.sum(),
-            }
             step += 1
-            for name, g in grads.items():
+            for name, g in model.gradients(*passage_features([coded[d] for d in docs]), y[docs]).items():
                 first[name] = 0.9 * first[name] + 0.1 * g
                 second[name] = 0.99 * second[name] + 0.01 * g * g
                 move = first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
@@ -178,14 +184,15 @@ def with_scores(docs: DataFrame, model: Model) -> DataFrame:
         for texts in batches:
             out = [np.zeros(0)]
             for part in common.chunks_by_bytes(common.byte_lengths(texts), BATCH_BYTES):
-                out.append(shared.value.scores(*passage_features(texts[part.start : part.stop].to_pylist(), codes())))
+                coded = [word_codes(text, codes()) for text in texts[part.start : part.stop].to_pylist()]
+                out.append(shared.value.scores(*passage_features(coded)))
             yield pa.array(np.concatenate(out))
 
     return docs.withColumn("score", score(F.col("text")))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_chars: int = TRAIN_CHARS) -> Model:
-    return fit(training_sample(docs, labels, "quality", 3, 1, per_label, most_chars))
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
+    return fit(training_sample(docs, labels, "quality", 3, 1, per_label))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:

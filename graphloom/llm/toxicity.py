@@ -3,17 +3,17 @@ r"""Operator 8: toxic spans by a linear-chain conditional random field.
 Labels are given for documents, so tokens are labelled first: in toxic training documents, a token is toxic if one of
 its features (the word, its beginnings and ends) is in at least one of a hundred toxic documents, behind as
 many different words, and at least twenty times as frequent there as in clean ones, beyond what chance gives; all others are
-clean. So a toxic word that is in fewer than one of a hundred toxic training documents is learned only by its company. On these a
+clean. So a toxic word that is in fewer than one of a hundred toxic training documents (``support``) is learned only by its company. On these a
 two-tag chain is trained (feature weights by hashing, transitions, start). Forward-backward marginals
 tag the tokens of whole texts; a logistic fit turns their largest and their sum of squares into the document's score.
 
 A document is one chain, however long: blocks of its words are summed up as 2 x 2 matrices, which carry the exact state from block
 to block, so that all blocks are then worked through side by side. Words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after
-lower-casing A-Z; of longer runs than ``LONG`` bytes, every character counts: those of scripts without spaces are tokens of two
-neighbouring characters, all others are cut into successive tokens. Training takes at most ``per_label`` rows a label, on the
-driver, of long texts passages from start to end (``training.training_sample``), and holds a bounded number of words' states.
+lower-casing A-Z. In scripts that are written without spaces, at any length, two neighbouring characters are a token (a single one by
+itself); what stands between such characters is a token as it is, however long. Training takes at most ``per_label`` rows a label
+(``training.training_sample``), of these too whole texts, on the driver: it holds four bytes a token, and the states of some documents at a time.
 
-Defined results: a null or empty text has no tokens and gets the score of one without toxic tokens. Without toxic
+Defined results: a null or empty text has no tokens and gets the score of one without toxic tokens. A null id is not held out. Without toxic
 training rows all scores are 0; without clean ones the chain decides alone. Repeated rows are scored alike. An empty table gives
 no rows. ``toxicity_scores`` selects its columns by name; ``with_scores`` replaces columns named score and spans and keeps all others.
 """
@@ -21,7 +21,7 @@ no rows. ``toxicity_scores`` selects its columns by name; ``with_scores`` replac
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,38 +36,44 @@ from graphloom.llm.training import training_sample
 #: Words of a block, and blocks whose states are held at once (a longer document's are held together).
 BLOCK, BLOCKS = 128, 2048
 BUCKETS = 1 << 18
-PER_LABEL, TRAIN_CHARS = 2500, 16_000
+PER_LABEL = 2500
 SUPPORT, RATIO = 0.01, 20.0
-#: Runs of more bytes are cut into several tokens.
-LONG = 32
 BATCH_BYTES = 4_000_000
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-
-
-def cut_run(run: bytes) -> list[tuple[int, int]]:
-    """The places of the tokens of a long run: overlapping pairs of characters in scripts without spaces, or successive pieces."""
-    text = run.decode()
-    ends = np.cumsum([len(c.encode()) for c in text]).tolist()
-    starts = [0, *ends[:-1]]
-    if max(text) >= "⺀":
-        return [(starts[i], ends[i + 1]) for i in range(len(text) - 1)] or [(0, len(run))]
-    return [(starts[i], ends[min(i + LONG, len(text)) - 1]) for i in range(0, len(text), LONG)]
+#: UTF-8 of U+0800 and later begins with these bytes; only such words can hold characters of scripts without spaces.
+_LATE = re.compile(rb"[\xe0-\xff]")
+#: Scripts that are written without spaces: Thai and Lao, Burmese, Khmer, Chinese and Japanese (with their extensions).
+_SPACELESS = re.compile("([\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u3130\u3190-\uA4CF\uF900-\uFAFF\uFF66-\uFF9F\U00020000-\U0003FFFF]+)")
+
+
+def cut_word(word: bytes) -> list[tuple[int, int]]:
+    """The places of a word's tokens: overlapping pairs of characters in scripts without spaces, what stands between as it is."""
+    if not _LATE.search(word):
+        return [(0, len(word))]
+    out, at = [], 0
+    for k, run in enumerate(_SPACELESS.split(word.decode())):
+        if k % 2 == 0:
+            end = at + len(run.encode())
+            if run:
+                out.append((at, end))
+        else:
+            ends = [at, *(at + np.cumsum([len(c.encode()) for c in run])).tolist()]
+            out += [(ends[i], ends[i + 2]) for i in range(len(run) - 1)] or [(at, ends[1])]
+            end = ends[-1]
+        at = end
+    return out
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     words = common.alnum_words(text)
-    if max(map(len, words), default=0) <= LONG:
+    if not text or not _LATE.search(text.encode()):
         return words
-    return [t for w in words for t in ([w] if len(w) <= LONG else [w[a:b] for a, b in cut_run(w)])]
+    return [word[a:b] for word in words for a, b in cut_word(word)]
 
 
 def token_places(text: str) -> list[tuple[int, int]]:
     """Where the tokens of ``tokens_of`` stand in the text's UTF-8."""
-    raw, out = text.encode(), []
-    for m in _WORD.finditer(raw):
-        at = m.start()
-        out += [(at, m.end())] if m.end() - at <= LONG else [(at + a, at + b) for a, b in cut_run(m[0])]
-    return out
+    return [(m.start() + a, m.start() + b) for m in _WORD.finditer(text.encode()) for a, b in cut_word(m[0])]
 
 
 def word_features(word: bytes) -> list[int]:
@@ -190,68 +196,86 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.document_features(p, counts) @ self.fit, -30, 30)))
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 30, rate: float = 0.3, decay: float = 1e-6) -> Model:
-    """Label the tokens, train the chain by full-batch Adagrad, then fit the score."""
+def fit(sample: Iterable[tuple[str, int]], rounds: int = 30, rate: float = 0.3, decay: float = 1e-6, support: float = SUPPORT) -> Model:
+    """Label the tokens, train the chain by Adagrad over all documents, some at a time, then fit the score."""
     model = Model(np.zeros(BUCKETS, np.float32), -4.0, np.array([[0.0, -2.0], [0.0, -1.0]]), -2.0, np.array([-4.0, 8.0, 0.5]))
-    y = np.array([label for _, label in sample], np.int64)
+    number: dict[bytes, int] = {}
+    bags, given = [], []
+    for text, label in sample:
+        found = tokens_of(text)
+        bags.append(np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found)))
+        given.append(label)
+    y = np.array(given, np.int64)
     if not y.sum():
         model.empty = True
         return model
-    number: dict[bytes, int] = {}
-    bags = [np.fromiter((number.setdefault(w, len(number)) for w in tokens_of(t)), np.int32) for t, _ in sample]
     counts = np.array([len(b) for b in bags], np.int64)
     features = np.array([word_features(w) for w in number], np.int32).reshape(-1, 6)
     words = len(number)
     del number
 
     seen = np.zeros((2, BUCKETS), np.int64)
-    for bag, label in zip(bags, y.tolist(), strict=True):
+    for bag, label in zip(bags, given, strict=True):
         seen[label, np.unique(features[np.unique(bag)])] += 1
-    tokens = np.concatenate(bags)
-    del bags
     toxic, clean = max(1, int(y.sum())), max(1, int((1 - y).sum()))
     # So often that chance, over all features, would hardly give it to one that toxicity has nothing to do with.
     chance = -np.log(min(0.9, toxic / (toxic + clean)))
-    least = max(3, SUPPORT * toxic, np.log(10 * max(1, int((seen.sum(0) > 0).sum()))) / chance)
+    least = max(3, support * toxic, np.log(10 * max(1, int((seen.sum(0) > 0).sum()))) / chance)
     marked = (seen[1] >= least) & (seen[1] / toxic >= RATIO * (seen[0] + 0.1) / clean)
-    in_toxic = np.repeat(y == 1, counts)
     # Copies of one document repeat its words in the same places; words of a kind stand in many places.
-    before = np.concatenate([[-1], tokens[:-1]]).astype(np.int64)
-    before[(np.cumsum(counts) - counts)[counts > 0]] = -1
-    hot = np.flatnonzero(marked[features].any(axis=1)[tokens] & in_toxic)
-    around = np.unique(features[tokens[hot]].astype(np.int64) * (words + 1) + before[hot, None] + 1)
+    hot, around = marked[features].any(axis=1), []
+    for bag, label in zip(bags, given, strict=True):
+        at = np.flatnonzero(hot[bag]) if label else []
+        if len(at):
+            before = np.concatenate([[-1], bag[:-1]]).astype(np.int64)[at]
+            around.append(np.unique(features[bag[at]].astype(np.int64) * (words + 1) + before[:, None] + 1))
+    around = np.unique(np.concatenate(around)) if around else np.zeros(0, np.int64)
     marked &= np.bincount(around // (words + 1), minlength=BUCKETS) >= least
-    del hot, around, before
+    del around
     # Features of few documents of either kind are left without a weight.
     usable = (seen.sum(0) >= 5) & (marked | (seen[0] > 0))
-    tags = marked[features].any(axis=1)[tokens] & in_toxic
+    hot = marked[features].any(axis=1)
+    parts = list(common.chunks_by_bytes(-(-counts // BLOCK), BLOCKS))
+    # What is labelled stays the same from round to round: how often each word, each first word and each move is toxic.
+    told, toxic_words, toxic_first, size = np.zeros((2, 2)), np.zeros(words), 0, int(counts.sum())
+    for bag, label in zip(bags, given, strict=True):
+        tags = hot[bag] if label else np.zeros(len(bag), bool)
+        told += np.bincount(2 * tags[:-1] + tags[1:], minlength=4).reshape(2, 2)
+        toxic_first += int(tags[:1].sum())
+        if label:
+            toxic_words += np.bincount(bag, tags, words)
 
-    opening = np.zeros(len(tokens), bool)
-    opening[(np.cumsum(counts) - counts)[counts > 0]] = True
-    told = np.bincount((2 * tags[:-1] + tags[1:])[~opening[1:]], minlength=4).reshape(2, 2)
     squares, other = np.full(BUCKETS, 1e-3, np.float32), np.full(6, 1e-3)
     rng = np.random.default_rng(7)
     for turn in range(rounds):
         # Every other round leaves features out, so that a word's beginning is enough for forms not seen before.
         some = np.flatnonzero(rng.random(features.shape[1]) < 0.5) if turn % 2 else np.arange(features.shape[1])
         used = features[:, some if len(some) else [1]]
-        p, expected = model.marginals((model.emission[used].sum(1) + model.bias)[tokens], counts, pairs=True)
-        off = tags - p
-        by_word = np.bincount(tokens, off, words)
+        word_score = model.emission[used].sum(1) + model.bias
+        by_word, opening, expected = toxic_words.copy(), float(toxic_first), np.zeros((2, 2))
+        for part in parts:
+            tokens = np.concatenate(bags[part])
+            p, moves = model.marginals(word_score[tokens], counts[part], pairs=True)
+            by_word -= np.bincount(tokens, p, words)
+            opening -= p[(np.cumsum(counts[part]) - counts[part])[counts[part] > 0]].sum()
+            expected += moves
         g = np.bincount(used.ravel(), np.repeat(by_word, used.shape[1]), BUCKETS).astype(np.float32)
-        g -= decay * len(tokens) / BLOCK * model.emission
+        g -= decay * size / BLOCK * model.emission
         g[~usable] = 0
         squares += g * g
         model.emission += (rate * g / np.sqrt(squares)).astype(np.float32)
-        small = np.array([off.sum(), off[opening].sum(), *(told - expected).ravel()]) / max(1, len(tokens)) * 1e3
+        small = np.array([by_word.sum(), opening, *(told - expected).ravel()]) / max(1, size) * 1e3
         other += small**2
         step = rate * small / np.sqrt(other)
         model.bias += step[0]
         model.start += step[1]
         model.move = model.move + step[2:].reshape(2, 2)
         model.move[:, 0] = 0  # moves to the toxic tag against moves to the clean one
-    p, _ = model.marginals((model.emission[features].sum(1) + model.bias)[tokens], counts)
-    x = model.document_features(p, counts)
+    word_score, x = model.emission[features].sum(1) + model.bias, []
+    for part in parts:
+        p, _ = model.marginals(word_score[np.concatenate(bags[part])], counts[part])
+        x.append(model.document_features(p, counts[part]))
+    x = np.concatenate(x)
     weight = np.where(y == 1, 0.5 / toxic, 0.5 / clean) * len(y) if clean and toxic else np.ones(len(y))
     beta = np.zeros(3)
     for _ in range(30):  # Newton's method with a small ridge
@@ -268,9 +292,11 @@ class _WordScores(dict):
         self.model = model
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) >= 250_000:
-            self.clear()
-        value = self[word] = self.model.word_score(word)
+        value = self.model.word_score(word)
+        if len(word) <= common.LONG_WORD:
+            if len(self) >= 250_000:
+                self.clear()
+            self[word] = value
         return value
 
 
@@ -331,8 +357,8 @@ def toxic_spans(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     )
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_chars: int = TRAIN_CHARS) -> Model:
-    return fit(training_sample(docs, labels, "toxic", 5, 0, per_label, most_chars))
+def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, support: float = SUPPORT) -> Model:
+    return fit(training_sample(docs, labels, "toxic", 5, 0, per_label), support=support)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:

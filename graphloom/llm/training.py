@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import common
 
-#: A longer text is represented by this many passages, spread evenly from its start to its end.
-PASSAGES = 8
-
-
-def passages_of(text: Column, most_chars: int) -> Column:
-    """The text, or ``PASSAGES`` passages of it, of ``most_chars`` characters together, if it is longer."""
-    each = most_chars // PASSAGES
-    step = (F.length(text) - each) / F.lit(PASSAGES - 1)
-    some = F.transform(F.sequence(F.lit(0), F.lit(PASSAGES - 1)), lambda k: F.substr(text, F.floor(k * step).cast("int") + 1, F.lit(each)))
-    return F.when(F.length(text) > most_chars, F.array_join(some, "\n")).otherwise(text)
-
 
-def training_sample(
-    docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_label: int, most_chars: int
-) -> list[tuple[str, int]]:
-    """At most ``per_label`` different (text, label) rows of each label, for the driver.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_label: int) -> Iterator[tuple[str, int]]:
+    """At most ``per_label`` different (text, label) rows of each label, whole, one after the other, for the driver.
 
     Rows of the held-out fold (crc32 of doc_id as text, mod ``folds``) and empty texts are left out. Texts count once
-    however often they occur; those with the smallest hash are taken, so the choice is the same at any partitioning.
-    Of a text of more than ``most_chars`` characters, passages are taken; ``per_label`` times ``most_chars`` bounds the sample.
+    however often they occur; those with the smallest hash are taken, in order of their hash, so the choice is the same at any
+    partitioning. ``per_label`` bounds the rows; the driver fetches a partition of them at a time.
     """
     known = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & (F.pmod(common.crc32_of_id("l_id"), F.lit(folds)) != held_out)
@@ -46,5 +35,6 @@ def training_sample(
         chosen = chosen.unionByName(first.withColumn("label", F.lit(value)))
     # At most per_label rows of two labels.
     here = (F.col("doc_id") == F.col("l_id")) & (text_hash == F.col("h"))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), here).select("label", "h", passages_of(F.col("text"), most_chars).alias("text"))
-    return sorted((r["text"], r["label"]) for r in texts.dropDuplicates(["label", "h"]).collect())
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), here).select("label", "h", "text").dropDuplicates(["label", "h"])
+    for r in common.stage(texts, "sample").orderBy("h", "label").toLocalIterator():
+        yield r["text"], r["label"]

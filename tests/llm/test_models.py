@@ -42,7 +42,8 @@ def test_odd_inputs(spark, operator):
 def test_attention_model_learns_and_weighs():
     sample = [("good words stand here in a row " * 8, 1), ("BAD!! BAD!! " * 40, 0)] * 30
     model = quality.fit(sample, epochs=20)
-    x, bags = quality.passage_features([sample[0][0], sample[1][0], ""], quality._WordCodes())
+    codes = quality._WordCodes()
+    x, bags = quality.passage_features([quality.word_codes(t, codes) for t in (sample[0][0], sample[1][0], "")])
     good, bad, _ = model.scores(x, bags)
     assert good > 0.9 and bad < 0.1
     attention = model.forward(x, bags)["attention"]
@@ -102,25 +103,95 @@ def test_marginals_of_long_chains_are_exact():
     assert np.allclose(expected, moves, atol=1e-6)
 
 
-def test_every_character_of_long_runs_counts():
-    for text in ("a" * 40 + "b", "詞" * 30 + "毒", "é" * 50 + "x"):
+def plain_forward(model: quality.Model, passages: np.ndarray) -> float:
+    """The score of one bag, passage by passage."""
+    p, hidden, logits = model.weights, [], []
+    for x in passages:
+        h = np.tanh(np.clip((x - model.shift) * model.scale, -5, 5) @ p["w"] + p["b"])
+        hidden.append(h)
+        logits.append(float(sum(a * np.tanh(h @ v) / (1 + np.exp(-(h @ u))) for a, v, u in zip(p["a"], p["v"].T, p["u"].T, strict=True))))
+    share = np.exp(logits) / sum(np.exp(logits))
+    return float(1 / (1 + np.exp(-(sum(s * h for s, h in zip(share, hidden, strict=True)) @ p["c"] + p["d"]))))
+
+
+def test_attention_equals_loops_and_its_gradients_finite_differences():
+    rng = np.random.default_rng(3)
+    shape = {"w": (quality.SIZE, 4), "b": (4,), "v": (4, 3), "u": (4, 3), "a": (3,), "c": (4,), "d": ()}
+    model = quality.Model(rng.normal(size=quality.SIZE) * 0.1, np.ones(quality.SIZE), {k: rng.normal(0, 0.5, s) for k, s in shape.items()})
+    bags, y = np.array([3, 1, 5]), np.array([1.0, 0.0, 1.0])
+    x = rng.normal(size=(9, quality.SIZE)) * 0.3
+    assert np.allclose(model.scores(x, bags), [plain_forward(model, part) for part in np.split(x, np.cumsum(bags)[:-1])])
+
+    def loss() -> float:
+        s = model.scores(x, bags)
+        return float(-np.mean(y * np.log(s) + (1 - y) * np.log(1 - s)))
+
+    for name, g in model.gradients(x, bags, y).items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, k) for k in shape[name])
+            weight, e = model.weights[name][at], 1e-5
+            model.weights[name][at] = weight + e
+            up = loss()
+            model.weights[name][at] = weight - e
+            down = loss()
+            model.weights[name][at] = weight
+            assert abs((up - down) / (2 * e) - np.asarray(g)[at]) < 1e-7
+
+
+def test_tokens_go_by_script_and_not_by_length():
+    for text in ("a" * 40 + "b", "詞" * 30 + "毒", "é" * 50 + "x", "latin詞語mixed", "毒", "ภาษาไทย", "a毒b", "한국어 문장", "詞a語"):
         tokens = toxicity.tokens_of(text)
         places = toxicity.token_places(text)
         raw = text.encode()
-        assert [raw[a:b] for a, b in places] == tokens and places[-1][1] == len(raw) and len(tokens) > 1
+        assert [raw[a:b] for a, b in places] == tokens and places[-1][1] == len(raw)
+    for n in range(2, 60):
+        assert len(toxicity.tokens_of("詞" * n)) == n - 1 and len(toxicity.tokens_of("y" * n)) == 1
+    assert [t.decode() for t in toxicity.tokens_of("Latin詞語文mixed한국 毒")] == ["latin", "詞語", "語文", "mixed한국", "毒"]
     assert toxicity.tokens_of("y" * 41) != toxicity.tokens_of("y" * 40 + "z")
     codes = quality._WordCodes()
     assert codes[b"a" * 80] != codes[b"a" * 79 + b"!"] and not codes
 
 
-def test_equal_texts_count_once_in_the_sample(spark):
-    texts = ["a hot text"] * 1500 + [f"text number {i}" for i in range(2000)] + ["long " * 10_000]
+def test_equal_texts_count_once_in_the_sample_and_long_ones_whole(spark):
+    texts = ["a hot text"] * 1500 + [f"text number {i}" for i in range(2000)] + ["long " * 100_000]
     docs = frame(spark, texts)
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(len(texts))], LABELS)
-    sample = training.training_sample(docs, labels, "quality", 3, 1, 1000, 800)
+    sample = list(training.training_sample(docs, labels, "quality", 3, 1, 1000))
     assert len(sample) == len(set(sample)) == 1000
-    whole = training.training_sample(docs, labels, "quality", 3, 3, 10_000, 800)
-    assert len(whole) == 2002 and max(len(t) for t, _ in whole) == 8 * 100 + 7
+    assert sample == list(training.training_sample(docs.repartition(7), labels, "quality", 3, 1, 1000))
+    whole = list(training.training_sample(docs, labels, "quality", 3, 3, 10_000))
+    assert len(whole) == 2002 and max(len(t) for t, _ in whole) == 500_000
+
+
+def test_what_stands_late_or_between_in_long_texts_is_learned():
+    """Texts of 60,000 characters that differ in one place, where eight passages from start to end wouldn't look."""
+    rng = np.random.default_rng(6)
+    plain = lambda n: [f"w{k}" for k in rng.integers(0, 300, n)]
+    sample = []
+    for k in range(60):
+        words = plain(15_000)
+        if k % 2:
+            words[5_000:5_064] = [f"nasty{c}" for c in rng.choice(list("abcdef"), 64)]
+        sample.append((" ".join(words), k % 2))
+    model = toxicity.fit(sample)
+    e, counts = toxicity._text_scores([t for t, _ in sample], toxicity._WordScores(model))
+    scores = model.scores(model.marginals(e, counts)[0], counts)
+    assert all((s >= 0.5) == bool(label) for s, (_, label) in zip(scores, sample, strict=True))
+    loud = [(t.replace("nasty", "NASTY!!!!"), label) for t, label in sample]
+    attention = quality.fit(loud, epochs=30)
+    codes = quality._WordCodes()
+    got = attention.scores(*quality.passage_features([quality.word_codes(t, codes) for t, _ in loud]))
+    assert np.mean([(s >= 0.5) == bool(label) for s, (_, label) in zip(got, loud, strict=True)]) == 1
+
+
+def test_training_in_parts_is_training_of_all(monkeypatch):
+    rng = np.random.default_rng(8)
+    sample = [(" ".join(f"w{k}" for k in rng.integers(0, 50, int(rng.integers(0, 400)))) + (" vile vilest" * (i % 2)), i % 2) for i in range(80)]
+    whole = toxicity.fit(sample)
+    monkeypatch.setattr(toxicity, "BLOCKS", 3)
+    parts = toxicity.fit(iter(sample))
+    assert np.allclose(whole.fit, parts.fit, atol=1e-3) and np.allclose(whole.move, parts.move, atol=1e-4)
+    assert np.allclose(whole.emission, parts.emission, atol=1e-3)
 
 
 def test_toxic_spans(spark):
