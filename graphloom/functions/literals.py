@@ -24,6 +24,8 @@ INTEGER, NUMBER = r"^[+-]?(?:0|[1-9]\d*)$", r"^[+-]?(?:0|[1-9]\d*)(?:\.\d+)?(?:[
 DATE, INSTANT = r"^\d{4}-\d{2}-\d{2}$", r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})$"
 DURATION = r"^P(?=\d|T\d)(?:\d+Y)?(?:\d+M)?(?:\d+D)?(?:T(?=\d)(?:\d+H)?(?:\d+M)?(?:\d+(?:\.\d+)?S)?)?$"
 MOST_CHARS = 4096
+#: Larger exponents, of texts of as many digits, give null.
+MOST_EXPONENT = 10_000
 
 
 @F.pandas_udf(StringType())
@@ -45,22 +47,37 @@ def _composed(tokens: pd.Series) -> pd.Series:
 
 
 def number_text(token: Column) -> Column:
-    """A decimal token without a sign plus, an exponent or trailing zeros; beyond 18 places either side of the point an exponent gives null."""
-    plain = F.when(token.rlike("[eE]"), token.try_cast("decimal(38,18)").cast("string")).otherwise(token)
-    plain = F.regexp_replace(plain, r"^\+", "")
-    short = F.when(plain.contains("."), F.regexp_replace(F.regexp_replace(plain, "0+$", ""), r"\.$", "")).otherwise(plain)
-    return F.when(short == "-0", "0").otherwise(short)
+    """A decimal token without a sign plus, an exponent, leading or trailing zeros, digit for digit; the point is shifted as text.
+
+    Null for what is no number and for exponents beyond ``MOST_EXPONENT`` either way. Zero is ``0`` whatever its sign and exponent.
+    """
+    group = lambda k: F.regexp_extract(token, r"^[+-]?(\d+)(?:\.(\d+))?(?:[eE]([+-]?\d+))?$", k)
+    digits = F.concat(group(1), group(2))
+    shift = F.when(group(3) == "", F.lit(0)).otherwise(group(3).try_cast("int"))
+    point, size = F.length(group(1)) + shift, F.length(digits)
+    placed = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+        .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1, size)))
+    )
+    placed = F.regexp_replace(placed, r"^0+(?=\d)", "")
+    short = F.when(placed.contains("."), F.regexp_replace(F.regexp_replace(placed, "0+$", ""), r"\.$", "")).otherwise(placed)
+    value = F.when(digits.rlike("^0*$"), "0").otherwise(F.concat(F.when(token.startswith("-"), "-").otherwise(""), short))
+    return F.when(token.rlike(NUMBER) & (F.abs(shift) <= MOST_EXPONENT), value)
 
 
 def canonical(raw: Column, datatype: Column) -> Column:
-    """The canonical text of ``raw`` under its datatype; null if it is not a token of that type, is empty or too long, or has blanks at an edge."""
+    """The canonical text of ``raw`` under its datatype; null if it is not a token of that type, is empty or too long, or has blanks at an edge.
+
+    A FLOAT must be finite as a double; its text keeps all digits. Other datatypes, and nulls, give null.
+    """
     instant = F.try_to_timestamp(F.when(raw.rlike(INSTANT), raw))
     part = F.date_format(instant, "SSSSSS")
     when = F.concat(F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss"), F.when(part == "000000", "").otherwise(F.concat(F.lit("."), part)), F.lit("Z"))
     value = (
         F.when(datatype == "STRING", F.when(raw.rlike(r"[^\x00-\x7f]"), _composed(F.when(datatype == "STRING", raw))).otherwise(raw))
         .when(datatype == "INTEGER", F.when(raw.rlike(INTEGER), number_text(raw)))
-        .when(datatype.isin("FLOAT", "DECIMAL"), F.when(raw.rlike(NUMBER), number_text(raw)))
+        .when((datatype == "DECIMAL") | ((datatype == "FLOAT") & (F.abs(raw.try_cast("double")) < float("inf"))), number_text(raw))
         .when(datatype == "BOOLEAN", F.when(F.lower(raw).isin("true", "false"), F.lower(raw)))
         .when(datatype == "DATE", F.when(raw.rlike(DATE) & F.try_to_date(raw, "yyyy-MM-dd").isNotNull(), raw))
         .when(datatype == "DATETIME", when)

@@ -2,40 +2,93 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from graphloom import store
 from graphloom.functions.text import words
-from graphloom.staging import staging_path
+from graphloom.staging import shared_root, stage
 
 #: The term under which the index holds the length of every document, empty ones too.
 ALL = ""
-_built: dict[tuple[str, str], str] = {}
+SCHEMA = "term string, id long, tf long, length int"
+
+
+@F.arrow_udf(T.ArrayType(T.StructType().add("term", "string").add("tf", "long")))
+def _counted(bags: pa.Array) -> pa.Array:
+    """Each bag's different words and how often they stand in it: all in one row, so nothing is shuffled for it."""
+    lengths = np.asarray(pc.list_value_length(bags), np.int64)
+    words_ = pc.dictionary_encode(bags.flatten())
+    terms = max(1, len(words_.dictionary))
+    pairs, n = np.unique(np.repeat(np.arange(len(bags)), lengths) * terms + np.asarray(words_.indices, np.int64), return_counts=True)
+    found = pa.StructArray.from_arrays([words_.dictionary.take(pa.array(pairs % terms)), pa.array(n, pa.int64())], ["term", "tf"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // terms, np.arange(len(bags) + 1)), pa.int32()), found)
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, id, tf, length): how often each term stands in each document of ``length`` words; one row under ``ALL`` for each document."""
+    """(term, id, tf, length): how often each term stands in each document of ``length`` words; one row under ``ALL`` for each document.
+
+    A null or empty text has no words and its row under ``ALL``. Ids are taken as they are: rows that share one count as several documents.
+    """
     bags = docs.select(F.col(key).alias("id"), F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("bag"))
-    each = bags.select("id", F.size("bag").alias("length"), F.explode(F.concat(F.array(F.lit(ALL)), "bag")).alias("term"))
-    return each.groupBy("term", "id", "length").agg(F.count(F.lit(1)).alias("tf")).select("term", "id", "tf", "length")
+    own = F.array(F.struct(F.lit(ALL).alias("term"), F.lit(1).cast("long").alias("tf")))
+    each = bags.select("id", F.size("bag").alias("length"), F.explode(F.concat(own, _counted("bag"))).alias("p"))
+    return each.select("p.term", "id", "p.tf", "length")
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     """The postings as Parquet in ranges of (term, id): a term's row groups are found by their statistics, a frequent term has many files."""
-    postings(docs, key, text).repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option(
+    # Staged, since the ranges are found in one pass and filled in another.
+    stage(postings(docs, key, text), "postings").repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option(
         "parquet.block.size", 16 << 20
     ).parquet(path)
 
 
-def index_of(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index of the stored table ``docs``, called ``name``; it is written once in an application and then read."""
+def index_of(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", root: str | None = None) -> DataFrame:
+    """The index of the stored table ``docs``, called ``name``, as the table is now; written where no application has yet written it.
+
+    It lies under ``root`` (the shared folder), by the version of the table's files, and stays there; an index is seen once it is
+    written whole. ``drop_indexes`` removes those of earlier versions.
+    """
     spark: SparkSession = docs.sparkSession
-    known = (spark.sparkContext.applicationId, name)
-    if known not in _built:
-        path = staging_path(spark, "fulltext")
-        write_index(docs, path, key, text)
-        _built[known] = path
-    return spark.read.schema("term string, id long, tf long, length int").parquet(_built[known])
+    at = _folder(spark, name, key, text, root)
+    pointer = f"{at}/{store.table_version(docs)}.at"
+    path = store.read_text(spark, pointer)
+    if path is None:
+        own = f"{at}/{uuid.uuid4().hex}"
+        write_index(docs, own, key, text)
+        if not store.publish_new(spark, pointer, own):
+            store.remove(spark, own)  # another application was first
+        path = store.read_text(spark, pointer)
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def drop_indexes(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", root: str | None = None) -> int:
+    """Remove the indexes of the table's earlier versions, and what writers have left that failed; how many versions went.
+
+    For times without readers or writers of these.
+    """
+    spark = docs.sparkSession
+    at, now = _folder(spark, name, key, text, root), f"{store.table_version(docs)}.at"
+    kept = store.read_text(spark, f"{at}/{now}") or ""
+    gone = 0
+    for found in store.names_in(spark, at):
+        if found != now and found != kept.rsplit("/", 1)[-1]:
+            store.remove(spark, f"{at}/{found}")
+            gone += found.endswith(".at")
+    return gone
+
+
+def _folder(spark: SparkSession, name: str, key: str, text: str, root: str | None) -> str:
+    mark = hashlib.sha256("\0".join((name, key, text)).encode()).hexdigest()[:24]
+    return f"{(root or shared_root(spark)).rstrip('/')}/graphloom-fulltext/{mark}"
 
 
 def bm25(index: DataFrame, terms: list[str], floor: float | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -85,17 +85,18 @@ def replay(again: DataFrame, stored: DataFrame, key: str) -> DataFrame:
 def save(store: DataFrame, writes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(next store, outcomes) of writes (record_id, expected_revision, content) on a store (record_id, revision, content).
 
-    A write holds if it expects the record's last revision (none for a new record); of writes that meet on one record, the one
-    with the smallest content holds. A content that the last revision has already is a replay. Outcomes: (record_id,
-    expected_revision, content, outcome, revision).
+    A content that the last revision has already is a replay, which stores nothing and stands in no other write's way. Any other
+    write holds if it expects the record's last revision (none for a new record); of such writes on one record, the one
+    with the smallest content holds (null first). Outcomes: (record_id, expected_revision, content, outcome, revision). Repeated
+    writes count once. Null contents equal one another; a null record_id belongs to no record and is refused.
     """
     last = current(store).select(F.col("record_id").alias("s_id"), F.col("revision").alias("s_revision"), F.col("content").alias("s_content"))
-    first = F.row_number().over(Window.partitionBy("record_id", "expected_revision").orderBy("content"))
-    met = writes.distinct().withColumn("nth", first).join(last, F.col("record_id") == F.col("s_id"), "left")
-    outcome = (
-        F.when(F.col("content") == F.col("s_content"), "REPLAYED").when(~F.col("expected_revision").eqNullSafe(F.col("s_revision")), "REVISION_CONFLICT")
-        .when(F.col("nth") > 1, "REVISION_CONFLICT").otherwise("STORED")
-    )
+    met = writes.distinct().join(last, F.col("record_id") == F.col("s_id"), "left")
+    replayed = F.col("s_id").isNotNull() & F.col("content").eqNullSafe(F.col("s_content"))
+    fits = F.col("record_id").isNotNull() & ~replayed & F.col("expected_revision").eqNullSafe(F.col("s_revision"))
+    first = F.row_number().over(Window.partitionBy("record_id", "fits").orderBy("content"))
+    met = met.withColumn("fits", fits).withColumn("nth", first)
+    outcome = F.when(replayed, "REPLAYED").when(F.col("fits") & (F.col("nth") == 1), "STORED").otherwise("REVISION_CONFLICT")
     revision = F.when(F.col("outcome") == "STORED", F.coalesce("s_revision", F.lit(0)) + 1).when(F.col("outcome") == "REPLAYED", F.col("s_revision"))
     done = met.withColumn("outcome", outcome).withColumn("revision", revision.cast("int"))
     new = done.filter("outcome = 'STORED'").select("record_id", "revision", "content")

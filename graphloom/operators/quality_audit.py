@@ -54,9 +54,10 @@ def property_cardinality(entities: DataFrame, facts: DataFrame, required: bool,
 def hierarchy(edges: DataFrame, spark: SparkSession) -> DataFrame:
     """(node, depth, root) below the roots of child -> parent edges, level by level to the last.
 
-    Nodes on cycles, or between two, never appear, and nothing is reached through them.
+    A node that is reached by ways of several lengths has a row for each of these depths, and one only for ways of one length. Nodes on
+    cycles, or between two, never appear, and nothing is reached through them. Null ends are no edges.
     """
-    edges = stage(edges.select("child", "parent").distinct(), "hierarchy-edges")
+    edges = stage(edges.select("child", "parent").dropna().distinct(), "hierarchy-edges")
     roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
     level = stage(roots.select("node", F.lit(0).alias("depth"), F.col("node").alias("root")), "hierarchy-level")
     edges = stage(edges.join(in_cycles(edges).select(F.col("node").alias("child")), "child", "left_anti"), "hierarchy-edges")
@@ -65,7 +66,7 @@ def hierarchy(edges: DataFrame, spark: SparkSession) -> DataFrame:
         depth += 1
         level = stage(edges.join(level.select(F.col("node").alias("parent"), "root"), "parent").select(
             F.col("child").alias("node"), F.lit(depth).alias("depth"), "root"
-        ), "hierarchy-level")
+        ).distinct(), "hierarchy-level")
         out = out.unionByName(level)
     return out
 

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import name_key
+from graphloom.staging import stage
 
 
 def resolve_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -97,48 +96,50 @@ def full_ladder(candidates: DataFrame, authorities: DataFrame, identified: bool
     return found.select(F.col("id").alias("candidate_id"), step.otherwise("NO_MATCH").alias("step"), match.alias("match_id"), confidence.alias("confidence"))
 
 
-def similar_names(names: DataFrame, authorities: DataFrame, least: float, most: int, block: int = 10_000) -> DataFrame:
-    """(id, authority_id, ratio, rank): the most similar authorities by matching blocks, of all authorities.
+def _tokens(key: str) -> Column:
+    """A key's characters, each with its number among its likes: what two keys have in common as bags of characters, these share as sets."""
+    chars = F.array_sort(F.regexp_extract_all(F.col(key), F.lit("(?s)."), F.lit(0)))
+    runs = F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c) + 1).cast("string")))
+    return F.when(F.length(key) == 0, F.array(F.lit(""))).otherwise(runs)  # empty keys meet one another
 
-    Authorities are cut into blocks of about ``block`` rows, names into blocks of a tenth; a pair of blocks is a task. Only
-    pairs whose lengths and characters in common, which bound the ratio from above, let it reach ``least`` are aligned.
-    """
 
-    def blocks(rows: DataFrame, columns: list[str], name: str, size: int) -> tuple[DataFrame, int]:
-        rows = rows.select(*columns).dropna(subset=columns[1:])
-        n = max(1, -(-rows.count() // size))
-        dealt = rows.groupBy(F.pmod(F.xxhash64(*columns), F.lit(n)).alias("part"))
-        return dealt.agg(F.collect_list(F.struct(*columns)).alias(name)).drop("part"), n
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for left, right in zip(batch["names"], batch["known"], strict=True):
-                column = {c: k for k, c in enumerate(sorted({c for r in right for c in r["authority_key"]}))}
-                counts = np.zeros((len(right), len(column)), np.int32)
-                for k, r in enumerate(right):
-                    for c, n in Counter(r["authority_key"]).items():
-                        counts[k, column[c]] = n
-                lengths = np.array([len(r["authority_key"]) for r in right])
-                rows = []
-                for x in left:
-                    both = np.zeros(len(right), np.int64)
-                    for c, n in Counter(x["name_key"]).items():
-                        if c in column:
-                            both += np.minimum(counts[:, column[c]], n)
-                    total = lengths + len(x["name_key"])
-                    bound = np.where(total > 0, 2 * both / np.maximum(total, 1), 1.0)
-                    for k in np.flatnonzero(bound >= least - 1e-6).tolist():
-                        ratio = SequenceMatcher(None, x["name_key"], right[k]["authority_key"], autojunk=False).ratio()
-                        if ratio >= least - 1e-6:
-                            rows.append((x["id"], right[k]["authority_id"], ratio))
-                yield pd.DataFrame(rows, columns=["id", "authority_id", "ratio"])
-
-    (left, n), (right, m) = blocks(names, ["id", "name_key"], "names", max(1, block // 10)), blocks(authorities, ["authority_id", "authority_key"], "known", block)
-    kinds = f"id {dict(names.dtypes)['id']}, authority_id {dict(authorities.dtypes)['authority_id']}, ratio double"
+def similar_names(names: DataFrame, authorities: DataFrame, least: float, most: int) -> DataFrame:
+    """(id, authority_id, ratio, rank): for each (id, name_key) the most similar of (authority_id, authority_key) by matching blocks.
+
+    ``least`` is above 0. A ratio of matching blocks is at most 2 * common / total, of the characters in common and in all; so keys that
+    reach ``least`` share one of the rarest characters of both (an inverted index on those, not a comparison of all pairs), and only keys
+    whose lengths and characters allow it are aligned. Equal keys are aligned once. Ties go to the smaller authority_id. Null
+    keys resemble nothing, empty ones one another. Rows that share an id are ranked together; empty tables give no rows.
+    """
+    if not 0 < least <= 1:
+        raise ValueError(f"least is above 0 and at most 1, not {least}")
+    sides, short = {}, {}
+    for x, rows, key in (("a", names, "name_key"), ("b", authorities, "authority_key")):
+        keys = rows.select(F.col(key).alias(x)).dropna().distinct()
+        sides[x] = stage(keys.select(x, _tokens(x).alias(f"t_{x}"), F.length(x).alias(f"n_{x}")), "name-keys")
+    rare = sides["b"].select(F.explode("t_b").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    for x, side in sides.items():
+        # At least t / (2 - t) of a key's characters are in common, so one of the first n - that + 1 is.
+        kept = F.greatest(F.lit(1), F.col(f"n_{x}") - F.ceil(F.col(f"n_{x}") * (least / (2 - least)) - 1e-6) + 1)
+        each = side.select(x, f"n_{x}", F.explode(f"t_{x}").alias("token"))
+        counted = each.join(rare, "token", "left").withColumn("held", F.coalesce("held", F.lit(0).cast("long")))
+        place = F.row_number().over(Window.partitionBy(x).orderBy("held", "token"))
+        short[x] = counted.withColumn("place", place).filter(F.col("place") <= kept).select("token", x, f"n_{x}")
+    total = F.col("n_a") + F.col("n_b")
+    fits = 2 * F.least("n_a", "n_b") >= (least - 1e-6) * total
+    met = short["a"].join(short["b"], "token").filter(fits).select("a", "b").distinct()
+    both = met.join(sides["a"], "a").join(sides["b"], "b").filter(
+        2 * F.size(F.array_intersect("t_a", "t_b")) >= (least - 1e-6) * F.greatest(total, F.lit(1))).select("a", "b")
+
+    def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ratios = [SequenceMatcher(None, x, y).ratio() for x, y in zip(frame["a"], frame["b"], strict=True)]
+            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "ratio": ratios})
+
+    scored = both.mapInPandas(align, "a string, b string, ratio double").withColumn("ratio", F.round("ratio", 6)).filter(F.col("ratio") >= least)
     order = Window.partitionBy("id").orderBy(F.desc("ratio"), "authority_id")
-    scored = left.crossJoin(right).repartition(n * m).mapInPandas(compare, kinds)
-    scored = scored.withColumn("ratio", F.round("ratio", 6)).filter(F.col("ratio") >= least)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("id", "authority_id", "ratio", "rank")
+    found = names.select("id", F.col("name_key").alias("a")).join(scored, "a").join(authorities.select("authority_id", F.col("authority_key").alias("b")), "b")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("id", "authority_id", "ratio", "rank")
 
 
 def classify_facts(new: DataFrame, published: DataFrame) -> DataFrame:

@@ -42,52 +42,78 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return docs.select("id", "text").mapInPandas(sets, "id long, n long, set binary")
 
 
-def _frequent(sets: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of all sets, ascending, and how many sets hold each: a table of at most ``most`` rows."""
+#: Shingles are counted in so many places; which of them share one changes the order in which shingles are looked at, and no result.
+PLACES = 1 << 20
 
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:  # counted in each batch before anything is shuffled
-            values, n = np.unique(np.concatenate([np.frombuffer(s, "<i8") for s in frame["set"]] or [np.zeros(0, np.int64)]), return_counts=True)
-            yield pd.DataFrame({"shingle": values, "n": n})
-
-    totals = sets.select("set").mapInPandas(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).filter("n > 1")
-    first = totals.orderBy(F.desc("n"), "shingle").limit(most).toPandas().sort_values("shingle")
-    return first["shingle"].to_numpy(np.int64), first["n"].to_numpy(np.int64)
 
+def _counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each place: summed in each task, so at most ``PLACES`` rows a task are shuffled, and brought here."""
 
-def near_pairs(docs: DataFrame, width: int = 5, percent: int = 85, frequent: int = 200_000) -> DataFrame:
-    """(a, b, common, together): different texts with 100 * |A n B| >= percent * |A u B| of their shingle sets, a < b.
-
-    Shingles are ordered from the rarest (the most frequent ones by their number, all others before them by hash; any order gives
-    the same pairs); two sets that are similar enough share one among their first n - ceil(percent * n) + 1, so only those are
-    joined. Sizes and places must allow the similarity. Copies count once, by their smallest id; empty texts are copies of one another.
-    Verified on the whole sets. Each text is shingled once.
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen, some, size = np.zeros(PLACES, np.int64), [np.zeros(0, "<u8")], 0
+        for frame in frames:
+            for raw in frame["set"]:
+                some.append(np.frombuffer(raw, "<u8"))
+                size += len(some[-1])
+                if size >= PLACES:
+                    seen += np.bincount((np.concatenate(some) % PLACES).astype(np.int64), minlength=PLACES)
+                    some, size = some[:1], 0
+        seen += np.bincount((np.concatenate(some) % PLACES).astype(np.int64), minlength=PLACES)
+        some = np.flatnonzero(seen)
+        yield pd.DataFrame({"place": some, "n": seen[some]})
+
+    out = np.zeros(PLACES, np.int64)
+    found = sets.select("set").mapInPandas(counted, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    out[found["place"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, percent: int, order) -> DataFrame:
+    """(s, id, n, p): the rarest n - ceil(percent * n) + 1 shingles of each set of n, with their places in order.
+
+    Two sets that are similar enough share one of them, whatever the order is, if it is the same for all sets.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    unique = docs.groupBy(text.alias("text")).agg(F.min("doc_id").alias("id"))
-    sets = stage(shingle_sets(unique, width), "shingle-sets")
-    order = docs.sparkSession.sparkContext.broadcast(_frequent(sets, frequent))  # at most 16 bytes each
 
-    def prefixes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, counts = order.value
+    def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            parts, keys, sizes, places = [], [], [], []
             for key, n, raw in zip(frame["id"], frame["n"], frame["set"], strict=True):
-                values = np.frombuffer(raw, "<i8")
-                at = np.minimum(np.searchsorted(keys, values), max(len(keys) - 1, 0))
-                weight = np.where(keys[at] == values, counts[at], 0) if len(keys) else np.zeros(n, np.int64)
-                first = values[np.lexsort((values, weight))][: n - (percent * n + 99) // 100 + 1]
-                rows.append(pd.DataFrame({"s": first, "id": key, "n": n, "p": np.arange(1, len(first) + 1)}))
-            yield pd.concat(rows) if rows else pd.DataFrame({"s": [], "id": [], "n": [], "p": []})
-
-    prefix = stage(sets.filter("n > 0").mapInPandas(prefixes, "s long, id long, n long, p long"), "prefixes")
-    left, right = (prefix.toDF("s", x, f"n_{x}", f"p_{x}") for x in ("a", "b"))
+                values = np.frombuffer(raw, "<u8")
+                some = n - (percent * n + 99) // 100 + 1
+                rank = np.lexsort((values, order.value[(values % PLACES).astype(np.int64)]))[:some]
+                parts.append(values[rank].astype("<i8"))
+                keys.append(np.full(some, key))
+                sizes.append(np.full(some, n))
+                places.append(np.arange(1, some + 1))
+            if parts:
+                yield pd.DataFrame({"s": np.concatenate(parts), "id": np.concatenate(keys), "n": np.concatenate(sizes), "p": np.concatenate(places)})
+
+    return sets.filter("n > 0").mapInPandas(first, "s long, id long, n long, p long")
+
+
+def _candidates(left: DataFrame, right: DataFrame, percent: int, own) -> DataFrame:
+    """(a, b): ids of sets that share a shingle of their prefixes, at places that leave enough of both behind, of sizes that allow it."""
+    a, b = (prefix.toDF("s", x, f"n_{x}", f"p_{x}") for prefix, x in ((left, "a"), (right, "b")))
     reach = 1 + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    pairs = left.join(right, "s").filter(
-        (F.col("a") < F.col("b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & ((100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b")))
+    return a.join(b, "s").filter(
+        own & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b")))
     ).select("a", "b").distinct()
+
+
+def near_pairs(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
+    """(a, b, common, together): different texts with 100 * |A n B| >= percent * |A u B| of their shingle sets, a < b.
+
+    Shingles are looked at from the rarest, and only sets whose first ones meet are joined and verified as they are. Copies count
+    once, by their smallest id, found by their checksums; null and empty texts have no shingles and no pairs. A null id has no
+    name in a pair and is left out; different texts must have different ids. Repeated rows are copies. An empty table has no pairs.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.col("doc_id").alias("id"), text.alias("text")).filter("id IS NOT NULL AND text <> ''")
+    first = rows.groupBy(checksum(F.col("text")).alias("sum")).agg(F.min("id").alias("id")).select("id")
+    sets = stage(shingle_sets(rows.join(first, "id", "left_semi").dropDuplicates(["id"]), width), "shingle-sets")
+    order = docs.sparkSession.sparkContext.broadcast(_counts(sets))  # 8 MB
+    prefix = stage(_prefixes(sets, percent, order), "prefixes")
+    pairs = _candidates(prefix, prefix, percent, F.col("a") < F.col("b"))
     return _with_overlap(pairs, sets, sets).filter(100 * F.col("common") >= percent * F.col("together"))
 
 
@@ -108,25 +134,22 @@ def preflight(uploads: DataFrame, docs: DataFrame, percent: int = 85, width: int
     """(upload_id, doc_id, kind, similarity) of each upload (upload_id, text) against all documents (doc_id, text).
 
     EXACT for equal texts; SIMILAR for other texts of 0.8 to 1.25 times its length with a shingle Jaccard of at least ``percent``. Texts
-    longer than ``most_chars`` are compared for equality alone, as the check's contract says. Uploads are a stated, small set: lengths
-    are compared first, and only sets of like length meet.
+    longer than ``most_chars`` are compared for equality alone, as the check's contract says. Null and empty texts equal one another and
+    resemble no others. Ids are unique in each table. An empty table gives no rows.
     """
     name = lambda rows, key, x: rows.select(F.col(key).alias(f"{x}_id"), F.coalesce("text", F.lit("")).alias("text"))
     sized = lambda rows, x: rows.select(f"{x}_id", F.length("text").alias(f"{x}_size"), checksum(F.col("text")).alias(f"{x}_sum"))
     u, d = name(uploads, "upload_id", "u"), name(docs, "doc_id", "d")
     us, ds = stage(sized(u, "u"), "uploads"), stage(sized(d, "d"), "documents")
     exact = us.join(ds, F.col("u_sum") == F.col("d_sum")).select("u_id", "d_id", F.lit("EXACT").alias("kind"), F.lit(1.0).alias("similarity"))
-    # Lengths in steps of a quarter: a text within 0.8 to 1.25 of another lies in its step or beside it.
-    step = lambda size: F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit(1.25))).cast("int")
-    like = us.withColumn("step", F.explode(F.array(step(F.col("u_size")) - 1, step(F.col("u_size")), step(F.col("u_size")) + 1))).join(ds.withColumn("step", step(F.col("d_size"))), "step").filter(
-        (F.col("d_size") >= F.ceil(F.col("u_size") * 0.8)) & (F.col("d_size") <= F.floor(F.col("u_size") * 1.25)) & (F.col("u_sum") != F.col("d_sum"))
-        & (F.col("u_size") <= most_chars) & (F.col("d_size") <= most_chars)
-    )
-    pairs = stage(like.select(F.col("u_id").alias("a"), F.col("d_id").alias("b")), "candidates")
-    wanted_u, wanted_d = pairs.select(F.col("a").alias("id")).distinct(), pairs.select(F.col("b").alias("id")).distinct()
-    sets_u = shingle_sets(u.withColumnRenamed("u_id", "id").join(wanted_u, "id", "left_semi"), width)
-    sets_d = shingle_sets(d.withColumnRenamed("d_id", "id").join(wanted_d, "id", "left_semi"), width)
-    scored = _with_overlap(pairs, sets_u, sets_d).withColumnsRenamed({"a": "u_id", "b": "d_id"})
+    # Sets are joined on the rarest shingles that similar ones must share; each text is shingled once.
+    short = lambda rows, x: rows.filter(F.length("text").between(1, most_chars)).withColumnRenamed(f"{x}_id", "id")
+    sets_u, sets_d = stage(shingle_sets(short(u, "u"), width), "upload-sets"), stage(shingle_sets(short(d, "d"), width), "document-sets")
+    order = docs.sparkSession.sparkContext.broadcast(_counts(sets_d))  # 8 MB
+    pairs = _candidates(_prefixes(sets_u, percent, order), _prefixes(sets_d, percent, order), percent, F.lit(True))
+    named = pairs.join(us.select(F.col("u_id").alias("a"), "u_size", "u_sum"), "a").join(ds.select(F.col("d_id").alias("b"), "d_size", "d_sum"), "b")
+    like = named.filter((F.col("d_size") >= F.ceil(F.col("u_size") * 0.8)) & (F.col("d_size") <= F.floor(F.col("u_size") * 1.25)) & (F.col("u_sum") != F.col("d_sum")))
+    scored = _with_overlap(like.select("a", "b"), sets_u, sets_d).withColumnsRenamed({"a": "u_id", "b": "d_id"})
     similar = scored.filter(100 * F.col("common") >= percent * F.col("together")).select(
         "u_id", "d_id", F.lit("SIMILAR").alias("kind"), F.round(F.col("common") / F.col("together"), 6).alias("similarity")
     )

@@ -31,8 +31,8 @@ _STORE_SQL = """b AS (SELECT o_orderkey AS k, o_orderkey::VARCHAR AS record_id,
 w AS (SELECT record_id, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 5 = 0 THEN rev - 1 ELSE rev END AS expected_revision, CASE WHEN k % 3 = 0 THEN status ELSE 'new' END AS content,
     CASE WHEN k % 4 <> 0 THEN rev END AS held, CASE WHEN k % 4 <> 0 THEN status END AS held_content FROM b
   UNION SELECT record_id, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 5 = 0 THEN rev - 1 ELSE rev END, 'zz', CASE WHEN k % 4 <> 0 THEN rev END, CASE WHEN k % 4 <> 0 THEN status END FROM b WHERE k % 7 = 0),
-n AS (SELECT *, row_number() OVER (PARTITION BY record_id, expected_revision ORDER BY content) AS nth FROM w),
-d AS (SELECT *, CASE WHEN content = held_content THEN 'REPLAYED' WHEN expected_revision IS DISTINCT FROM held THEN 'REVISION_CONFLICT' WHEN nth > 1 THEN 'REVISION_CONFLICT' ELSE 'STORED' END AS outcome FROM n)"""
+lawful AS (SELECT record_id, min(content) AS content FROM w WHERE content IS DISTINCT FROM held_content AND expected_revision IS NOT DISTINCT FROM held GROUP BY 1),
+d AS (SELECT w.*, CASE WHEN w.content = held_content THEN 'REPLAYED' WHEN lawful.content = w.content AND expected_revision IS NOT DISTINCT FROM held THEN 'STORED' ELSE 'REVISION_CONFLICT' END AS outcome FROM w LEFT JOIN lawful USING (record_id))"""
 
 
 @query(f"WITH {_STORE_SQL} SELECT record_id, expected_revision, content, outcome, CASE outcome WHEN 'STORED' THEN coalesce(held, 0) + 1 WHEN 'REPLAYED' THEN held END AS revision FROM d")

@@ -52,23 +52,27 @@ def xml_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xml.select(F.col("o_orderkey").alias("record_id"), F.xpath_int("xml", F.lit("count(/order/line)")).cast("long").alias("n_lines"), first.alias("first_line"))
 
 
-@query(r"""WITH v AS (SELECT event_id, event_id % 12 AS kind, value, ts FROM events),
+@query(r"""WITH v AS (SELECT event_id, event_id % 14 AS kind, value, ts FROM events),
 r AS (SELECT event_id, kind, CASE kind WHEN 0 THEN value::VARCHAR WHEN 1 THEN 'True' WHEN 2 THEN '2024-02-' || lpad((event_id % 40)::VARCHAR, 2, '0') WHEN 3 THEN 'yes' WHEN 4 THEN ' 007 '
-   WHEN 5 THEN CASE WHEN event_id % 24 < 12 THEN 'https://a.example/' || event_id ELSE 'https://a.example/ ' || event_id END WHEN 6 THEN '+' || event_id WHEN 7 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:30'
-   WHEN 8 THEN 'P' || event_id || 'DT5M' WHEN 9 THEN '-0.' || event_id || '00' WHEN 10 THEN '{"b": ' || event_id || ', "a": [1, 2]}' ELSE 'P5X' END AS raw, value, ts FROM v)
-SELECT event_id, ['FLOAT','BOOLEAN','DATE','BOOLEAN','INTEGER','URI','INTEGER','DATETIME','DURATION','DECIMAL','JSON','DURATION'][kind + 1] AS datatype,
+   WHEN 5 THEN CASE WHEN event_id % 28 < 14 THEN 'https://a.example/' || event_id ELSE 'https://a.example/ ' || event_id END WHEN 6 THEN '+' || event_id WHEN 7 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+02:30'
+   WHEN 8 THEN 'P' || event_id || 'DT5M' WHEN 9 THEN '-0.' || event_id || '00' WHEN 10 THEN '{"b": ' || event_id || ', "a": [1, 2]}' WHEN 11 THEN 'P5X'
+   WHEN 12 THEN event_id || 'e-19' ELSE '-' || event_id || '.50E+40' END AS raw, value, ts FROM v)
+SELECT event_id, ['FLOAT','BOOLEAN','DATE','BOOLEAN','INTEGER','URI','INTEGER','DATETIME','DURATION','DECIMAL','JSON','DURATION','FLOAT','DECIMAL'][kind + 1] AS datatype,
  CASE kind WHEN 0 THEN CASE WHEN strpos(raw, '.') > 0 THEN regexp_replace(regexp_replace(raw, '0+$', ''), '\.$', '') ELSE raw END WHEN 1 THEN 'true'
  WHEN 2 THEN try_cast(raw AS DATE)::VARCHAR WHEN 5 THEN CASE WHEN strpos(raw, ' ') = 0 THEN raw END WHEN 6 THEN event_id::VARCHAR
  WHEN 7 THEN strftime(date_trunc('second', ts) - INTERVAL 150 MINUTE, '%Y-%m-%dT%H:%M:%SZ') WHEN 8 THEN raw WHEN 9 THEN '-0.' || regexp_replace(event_id::VARCHAR, '0+$', '')
- WHEN 10 THEN '{"a":[1,2],"b":' || event_id || '}' END AS canonical FROM r""")
+ WHEN 10 THEN '{"a":[1,2],"b":' || event_id || '}'
+ WHEN 12 THEN CASE event_id WHEN 0 THEN '0' ELSE regexp_replace('0.' || lpad(event_id::VARCHAR, 19, '0'), '0+$', '') END
+ WHEN 13 THEN '-' || ltrim(event_id || '50', '0') || repeat('0', 38) END AS canonical FROM r""")
 def literal_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical text of typed values; null where the value is not of its type or has blanks at its edges."""
     i, text = F.col("event_id"), lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
     kinds = (
         ("FLOAT", F.col("value").cast("string")), ("BOOLEAN", F.lit("True")), ("DATE", text("2024-02-", F.lpad((i % 40).cast("string"), 2, "0"))),
-        ("BOOLEAN", F.lit("yes")), ("INTEGER", F.lit(" 007 ")), ("URI", text("https://a.example/", F.when(i % 24 < 12, "").otherwise(" "), i)),
+        ("BOOLEAN", F.lit("yes")), ("INTEGER", F.lit(" 007 ")), ("URI", text("https://a.example/", F.when(i % 28 < 14, "").otherwise(" "), i)),
         ("INTEGER", text("+", i)), ("DATETIME", text(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), "+02:30")), ("DURATION", text("P", i, "DT5M")),
         ("DECIMAL", text("-0.", i, "00")), ("JSON", text('{"b": ', i, ', "a": [1, 2]}')), ("DURATION", F.lit("P5X")),
+        ("FLOAT", text(i, "e-19")), ("DECIMAL", text("-", i, ".50E+40")),
     )
     raw, datatype = F.lit(None).cast("string"), F.lit(None).cast("string")
     for k, (name, value) in enumerate(kinds):

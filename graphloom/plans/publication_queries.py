@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from graphloom.operators import published_audit as audit
 from graphloom.plans.registry import query
 from graphloom.sources.tables import load
-from graphloom.staging import stage
+from graphloom.staging import kept, stage
+from graphloom.store import table_version
 
 PUBLICATION, HUB = audit.Publication("t0", "ontology-3"), 560
 
@@ -112,15 +113,10 @@ REVISIONS_SQL = "\nUNION ALL ".join(
 )
 
 
-_runs: dict[tuple[str, str], DataFrame] = {}
-
-
 def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The findings of one audit of all revisions: stored, once in an application, for all that look at them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _runs:
-        _runs[key] = stage(audit.revision_findings(published(spark, sf_dir), PUBLICATION), "audit-run")
-    return _runs[key]
+    """The findings of one audit of all revisions: stored, once in an application and state of the tables, for all that look at them."""
+    key = ("audit", spark.sparkContext.applicationId, sf_dir, *(table_version(load(spark, sf_dir, t)) for t in SUPPLIED))
+    return kept(key, lambda: stage(audit.revision_findings(published(spark, sf_dir), PUBLICATION), "audit-run"))
 
 
 def _by_code(code: str, spark: SparkSession, sf_dir: str) -> DataFrame:

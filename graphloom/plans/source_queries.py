@@ -209,7 +209,7 @@ def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id AS doc_id, turn, role, row_number() OVER (PARTITION BY conv_id, turn ORDER BY role, length(text)) AS k, length(text) AS n FROM conversations),
-u AS (SELECT *, turn || '.' || k AS name, '## [' || turn || '.' || k || '] ' || role || chr(10) || '| turn | size |' || chr(10) || '|---|:-:|' || chr(10) || '| ' || turn || ' | `a|b` ' || n || '\\| |' || chr(10) AS j FROM t),
+u AS (SELECT *, turn || '.' || k AS name, '## [' || turn || '.' || k || '] ' || role || chr(10) || '| turn | size |' || chr(10) || '|---|:---:|' || chr(10) || '| ' || turn || ' | `a|b` ' || n || '\\| |' || chr(10) AS j FROM t),
 p AS (SELECT *, 9 + sum(length(j)) OVER (PARTITION BY doc_id ORDER BY turn, k) - length(j) AS s FROM u),
 bad AS (SELECT doc_id, CASE doc_id % 9 WHEN 1 THEN 'MARKDOWN_FENCE_UNCLOSED' WHEN 2 THEN 'MARKDOWN_UNMAPPED_HEADING_LEVEL' WHEN 3 THEN 'MARKDOWN_DUPLICATE_SECTION' WHEN 4 THEN 'MARKDOWN_TABLE_WIDTH' END AS problem
   FROM (SELECT DISTINCT conv_id AS doc_id FROM conversations))
@@ -222,7 +222,7 @@ def markdown_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as sections with a table each; some sources have a fault."""
     by = Window.partitionBy("conv_id", "turn").orderBy("role", F.length("text"))
     turns = load(spark, sf_dir, "conversations").withColumn("k", F.row_number().over(by))
-    row = F.format_string("## [%d.%d] %s\n| turn | size |\n|---|:-:|\n| %d | `a|b` %d\\| |\n", "turn", "k", "role", "turn", F.length("text"))
+    row = F.format_string("## [%d.%d] %s\n| turn | size |\n|---|:---:|\n| %d | `a|b` %d\\| |\n", "turn", "k", "role", "turn", F.length("text"))
     c = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "k", row.alias("row")))).alias("rows"))
     k = F.col("doc_id") % 9
     end = F.when(k == 1, "```\n").when(k == 2, "### deeper\n").when(k == 3, F.concat(F.lit("## "), F.regexp_extract(F.col("rows.row")[0], r"\[.*?\]", 0), F.lit(" again\n"))).when(

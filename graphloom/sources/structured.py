@@ -177,10 +177,12 @@ def record_collections(nodes: DataFrame, id_column: str = "doc_id") -> DataFrame
 
 
 _FENCE = r"(?P<fence>^ {0,3}(?P<mark>(?P<kind>[`~])(?P=kind){2,}).*$(?:\n.*)*?(?:\n {0,3}(?P=mark)(?P=kind)*[^\S\n]*$|(?P<open>\Z)))"
-_LINES = re.compile(_FENCE + r"|(?P<heading>^(?P<level>\#{1,6})[ \t]+(?P<title>.+?)(?:[ \t]+\#+)?[ \t]*$)|(?P<row>^[^\S\n]*\|.*\|[^\S\n]*$)", re.M)
+_LINES = re.compile(_FENCE + r"|(?P<heading>^ {0,3}(?P<level>\#{1,6})[ \t]+(?P<title>.+?)(?:[ \t]+\#+)?[ \t]*$)|(?P<row>^[^\S\n]*\|.*\|[^\S\n]*$)", re.M)
 #: A cell runs to the next bar that is neither escaped nor in a code span.
 _CELL = re.compile(r"\|(?P<cell>(?:\\.|(?P<tick>`+)(?:.*?[^`])?(?P=tick)(?!`)|[^|\\`])*)(?=\|)")
-_NAMED = re.compile(r"\[(?P<id>[^\[\]]+)\][ \t]*(?P<title>.*)")
+#: An id of its own is followed by a blank and a title; a title in brackets alone is a title.
+_NAMED = re.compile(r"\[(?P<id>[^\]\r\n]{1,256})\]\s+(?P<title>.+)")
+_DELIMITER = re.compile(r":?-{3,}:?")
 
 
 def _cells(text: str, start: int, line: str) -> list[tuple[str, int, int]]:
@@ -218,7 +220,7 @@ def markdown_records(text: str, level: int) -> tuple[str | None, list[tuple]]:
     numbers: dict[int, int] = {}
     for section, rows in tables:
         names = [c for c, _, _ in rows[0]]
-        if len(rows) < 2 or len(rows[1]) != len(names) or not all(re.fullmatch(r":?-+:?", c) for c, _, _ in rows[1]):
+        if len(rows) < 2 or len(rows[1]) != len(names) or not all(_DELIMITER.fullmatch(c) for c, _, _ in rows[1]):
             return "MARKDOWN_TABLE_INVALID", []
         if "" in names or len(set(names)) < len(names):
             return "MARKDOWN_TABLE_HEADER", []

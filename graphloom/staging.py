@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: list[tuple[SparkSession, str]] = []
+_kept: dict[tuple, DataFrame] = {}
 _own_root: str | None = None
 
 
@@ -43,8 +45,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def kept(key: tuple, make) -> DataFrame:
+    """A staged table that several queries read, made once for ``key`` and until ``release``. The key must name the state of what it is made of."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
 def release() -> None:
     """Delete all staged tables. Call it only when the results that read them are written."""
+    _kept.clear()
     while _staged:
         spark, path = _staged.pop()
         try:
@@ -55,4 +65,10 @@ def release() -> None:
             continue
 
 
-atexit.register(release)
+def _leave() -> None:
+    release()
+    if _own_root:
+        shutil.rmtree(_own_root, ignore_errors=True)
+
+
+atexit.register(_leave)

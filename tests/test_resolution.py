@@ -13,21 +13,21 @@ from graphloom.operators import resolution
 def brute(names: list[tuple], authorities: list[tuple], least: float, most: int) -> set[tuple]:
     out = set()
     for i, x in names:
-        found = [(-round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 6), j) for j, y in authorities]
+        found = [(-round(SequenceMatcher(None, x, y).ratio(), 6), j) for j, y in authorities]
         found = sorted(f for f in found if -f[0] >= least)
         out |= {(i, j, -r, k + 1) for k, (r, j) in enumerate(found[:most])}
     return out
 
 
-@pytest.mark.parametrize(("least", "block"), [(0.84, 7), (0.84, 10_000), (0.1, 7)])
-def test_similar_names_equal_brute_force_at_every_size(spark, least, block):
+@pytest.mark.parametrize("least", [0.84, 0.5, 0.1])
+def test_similar_names_equal_brute_force(spark, least):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdeéü日") for _ in range(rng.randint(3, 9)))
-    known = [word() + (" " + word() if rng.random() < 0.5 else "") for _ in range(40)] + ["", "germany"]
+    known = [word() + (" " + word() if rng.random() < 0.5 else "") for _ in range(40)] + ["", "germany", "ab" * 130 + "c"]
     names = [w[:k] + w[k + 1 :] for w in known if w for k in [rng.randrange(len(w))]] + ["germani", "", *known[:5]]
     names, known = list(enumerate(names)), list(enumerate(known))
     n, a = spark.createDataFrame(names, "id long, name_key string"), spark.createDataFrame(known, "authority_id int, authority_key string")
-    got = {tuple(r) for r in resolution.similar_names(n, a, least, 3, block).collect()}
+    got = {tuple(r) for r in resolution.similar_names(n, a, least, 3).collect()}
     assert got == brute(names, known, least, 3)
 
 

@@ -55,15 +55,15 @@ def test_record_collections_leave_out_lists_in_records(spark):
 
 
 def test_markdown_faults_and_cells():
-    table = "## [A] one\n| x | y |\n|:--|--:|\n| 1 | `a|b` \\| |\n"
+    table = "## [A] one\n| x | y |\n|:---|---:|\n| 1 | `a|b` \\| |\n"
     problem, rows = structured.markdown_records("intro\n" + table + "```\n## no\n| a |\n```\n## two ##\n", 2)
     assert problem is None
     assert [(r[0], r[1]) for r in rows if r[2] is None] == [("A", "one"), ("two", "two")]
     assert [r[2:6] for r in rows if r[2] is not None] == [(0, 0, "x", "1"), (0, 0, "y", "`a|b` \\|")]
     for source, code in (
         ("none", "MARKDOWN_SECTION_LIMIT"), ("## a\n### b\n", "MARKDOWN_UNMAPPED_HEADING_LEVEL"), ("## a\n## a\n", "MARKDOWN_DUPLICATE_SECTION"),
-        ("## a\n```\n", "MARKDOWN_FENCE_UNCLOSED"), ("## a\n| x |\n", "MARKDOWN_TABLE_INVALID"), ("## a\n| x | x |\n|-|-|\n", "MARKDOWN_TABLE_HEADER"),
-        ("## a\n| x |\n|-|\n| 1 | 2 |\n", "MARKDOWN_TABLE_WIDTH"),
+        ("## a\n```\n", "MARKDOWN_FENCE_UNCLOSED"), ("## a\n| x |\n", "MARKDOWN_TABLE_INVALID"), ("## a\n| x | x |\n|---|---|\n", "MARKDOWN_TABLE_HEADER"),
+        ("## a\n| x |\n|---|\n| 1 | 2 |\n", "MARKDOWN_TABLE_WIDTH"),
     ):
         assert structured.markdown_records(source, 2) == (code, [])
 
@@ -130,9 +130,11 @@ def test_preflight_and_near_pairs_by_all_pairs(spark):
         (a, b): (len(sets[a] & sets[b]), len(sets[a] | sets[b]))
         for a in first.values() for b in first.values() if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
     }
-    for frequent in (0, 5, 1000):
-        got = {(r.a, r.b): (r.common, r.together) for r in similarity.near_pairs(docs, frequent=frequent).collect()}
+    odd = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, texts[0]), (None, "new")], "doc_id long, text string"))
+    for rows in (docs, docs.repartition(7), odd.withColumn("id", F.lit("x")).withColumn("sum", F.lit(1))):
+        got = {(r.a, r.b): (r.common, r.together) for r in similarity.near_pairs(rows).collect()}
         assert got == want and len(want) > 10
+    assert similarity.near_pairs(docs.limit(0)).count() == 0 and similarity.preflight(docs.limit(0).withColumnRenamed("doc_id", "upload_id"), docs).count() == 0
     found = {(r.upload_id, r.doc_id, r.kind) for r in similarity.preflight(docs.filter("doc_id < 8").withColumnRenamed("doc_id", "upload_id"), docs).collect()}
     expected = set()
     for u in range(8):
