@@ -96,47 +96,71 @@ def full_ladder(candidates: DataFrame, authorities: DataFrame, identified: bool
     return found.select(F.col("id").alias("candidate_id"), step.otherwise("NO_MATCH").alias("step"), match.alias("match_id"), confidence.alias("confidence"))
 
 
-def _tokens(key: str) -> Column:
-    """A key's characters, each with its number among its likes: what two keys have in common as bags of characters, these share as sets."""
-    chars = F.array_sort(F.regexp_extract_all(F.col(key), F.lit("(?s)."), F.lit(0)))
+def _bag(key: Column) -> Column:
+    """A key's characters in order: keys of one bag have all characters in common."""
+    return F.array_join(F.array_sort(F.regexp_extract_all(key, F.lit("(?s)."), F.lit(0))), "")
+
+
+def _tokens(bag: str) -> Column:
+    """A bag's characters, each with its number among its likes: what two bags have in common, these share as sets."""
+    chars = F.regexp_extract_all(F.col(bag), F.lit("(?s)."), F.lit(0))
     runs = F.transform(chars, lambda c, i: F.concat(c, (i - F.array_position(chars, c) + 1).cast("string")))
-    return F.when(F.length(key) == 0, F.array(F.lit(""))).otherwise(runs)  # empty keys meet one another
+    return F.when(F.length(bag) == 0, F.array(F.lit(""))).otherwise(runs)  # empty keys meet one another
 
 
-def similar_names(names: DataFrame, authorities: DataFrame, least: float, most: int) -> DataFrame:
-    """(id, authority_id, ratio, rank): for each (id, name_key) the most similar of (authority_id, authority_key) by matching blocks.
+def _similar_bags(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(a, b, bound): bags (a), (b) whose characters in common, 2 * common / total, let a ratio reach ``least``, with that bound.
 
-    ``least`` is above 0. A ratio of matching blocks is at most 2 * common / total, of the characters in common and in all; so keys that
-    reach ``least`` share one of the rarest characters of both (an inverted index on those, not a comparison of all pairs), and only keys
-    whose lengths and characters allow it are aligned. Equal keys are aligned once. Ties go to the smaller authority_id. Null
-    keys resemble nothing, empty ones one another. Rows that share an id are ranked together; empty tables give no rows.
+    At least t / (2 - t) of a bag's characters must be in common, so one of the rarest n - that + 1 is: bags meet by these.
     """
-    if not 0 < least <= 1:
-        raise ValueError(f"least is above 0 and at most 1, not {least}")
     sides, short = {}, {}
-    for x, rows, key in (("a", names, "name_key"), ("b", authorities, "authority_key")):
-        keys = rows.select(F.col(key).alias(x)).dropna().distinct()
-        sides[x] = stage(keys.select(x, _tokens(x).alias(f"t_{x}"), F.length(x).alias(f"n_{x}")), "name-keys")
+    for x, rows in (("a", left), ("b", right)):
+        sides[x] = stage(rows.select(x).distinct().select(x, _tokens(x).alias(f"t_{x}"), F.length(x).alias(f"n_{x}")), "name-bags")
     rare = sides["b"].select(F.explode("t_b").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("held"))
     for x, side in sides.items():
-        # At least t / (2 - t) of a key's characters are in common, so one of the first n - that + 1 is.
         kept = F.greatest(F.lit(1), F.col(f"n_{x}") - F.ceil(F.col(f"n_{x}") * (least / (2 - least)) - 1e-6) + 1)
         each = side.select(x, f"n_{x}", F.explode(f"t_{x}").alias("token"))
         counted = each.join(rare, "token", "left").withColumn("held", F.coalesce("held", F.lit(0).cast("long")))
         place = F.row_number().over(Window.partitionBy(x).orderBy("held", "token"))
         short[x] = counted.withColumn("place", place).filter(F.col("place") <= kept).select("token", x, f"n_{x}")
-    total = F.col("n_a") + F.col("n_b")
-    fits = 2 * F.least("n_a", "n_b") >= (least - 1e-6) * total
-    met = short["a"].join(short["b"], "token").filter(fits).select("a", "b").distinct()
-    both = met.join(sides["a"], "a").join(sides["b"], "b").filter(
-        2 * F.size(F.array_intersect("t_a", "t_b")) >= (least - 1e-6) * F.greatest(total, F.lit(1))).select("a", "b")
+    total = F.greatest(F.col("n_a") + F.col("n_b"), F.lit(1))
+    met = short["a"].join(short["b"], "token").filter(2 * F.least("n_a", "n_b") >= (least - 1e-6) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    bound = 2 * F.size(F.array_intersect("t_a", "t_b")) / total
+    return met.join(sides["a"], "a").join(sides["b"], "b").select("a", "b", bound.alias("bound")).filter(F.col("bound") >= least - 1e-6)
+
+
+def similar_names(names: DataFrame, authorities: DataFrame, least: float, most: int) -> DataFrame:
+    """(id, authority_id, ratio, rank): for each (id, name_key) the most similar of (authority_id, authority_key) by matching blocks.
+
+    ``least`` is above 0. The characters in common bound the ratio from above, so keys meet by the rarest of these (an inverted index, no
+    comparison of all pairs); keys of one bag of characters meet as one. A name's keys are aligned from the highest bound on, as long
+    as the bound reaches what the ``most`` best have. Equal keys are aligned once. Ties go to the smaller authority_id. Null
+    keys resemble nothing, empty ones one another. Rows that share an id are ranked together; empty tables give no rows.
+    """
+    if not 0 < least <= 1:
+        raise ValueError(f"least is above 0 and at most 1, not {least}")
+    keys = lambda rows, key, x: stage(rows.select(F.col(key).alias(x)).dropna().distinct().withColumn(f"bag_{x}", _bag(F.col(x))), "name-keys")
+    left, right = keys(names, "name_key", "a"), keys(authorities, "authority_key", "b")
+    bags = _similar_bags(left.select(F.col("bag_a").alias("a")), right.select(F.col("bag_b").alias("b")), least).toDF("bag_a", "bag_b", "bound")
+    both = left.join(bags, "bag_a").join(right, "bag_b").select("a", "b", "bound")
 
     def align(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, best = None, []  # of the key at hand, the ``most`` highest ratios
         for frame in frames:
-            ratios = [SequenceMatcher(None, x, y).ratio() for x, y in zip(frame["a"], frame["b"], strict=True)]
-            yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "ratio": ratios})
-
-    scored = both.mapInPandas(align, "a string, b string, ratio double").withColumn("ratio", F.round("ratio", 6)).filter(F.col("ratio") >= least)
+            rows = []
+            for x, y, bound in zip(frame["a"], frame["b"], frame["bound"], strict=True):
+                if x != now:
+                    now, best = x, []
+                if len(best) == most and bound < best[0] - 1e-6:
+                    continue
+                ratio = SequenceMatcher(None, x, y).ratio()
+                if ratio >= least - 1e-6:
+                    rows.append((x, y, ratio))
+                    best = sorted([*best, ratio])[-most:]
+            yield pd.DataFrame(rows, columns=["a", "b", "ratio"])
+
+    dealt = both.repartition("a").sortWithinPartitions("a", F.desc("bound"))
+    scored = dealt.mapInPandas(align, "a string, b string, ratio double").withColumn("ratio", F.round("ratio", 6)).filter(F.col("ratio") >= least)
     order = Window.partitionBy("id").orderBy(F.desc("ratio"), "authority_id")
     found = names.select("id", F.col("name_key").alias("a")).join(scored, "a").join(authorities.select("authority_id", F.col("authority_key").alias("b")), "b")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("id", "authority_id", "ratio", "rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,36 +69,42 @@ def _counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(sets: DataFrame, percent: int, order) -> DataFrame:
-    """(s, id, n, p): the rarest n - ceil(percent * n) + 1 shingles of each set of n, with their places in order.
-
-    Two sets that are similar enough share one of them, whatever the order is, if it is the same for all sets.
-    """
+def _prefixes(sets: DataFrame, order, kept, name: str) -> DataFrame:
+    """(s, step, ``name``, n, p): the rarest shingles of each set of n, ``kept(n)`` of them, with their places, and the step of the set's size."""
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             parts, keys, sizes, places = [], [], [], []
             for key, n, raw in zip(frame["id"], frame["n"], frame["set"], strict=True):
-                values = np.frombuffer(raw, "<u8")
-                some = n - (percent * n + 99) // 100 + 1
-                rank = np.lexsort((values, order.value[(values % PLACES).astype(np.int64)]))[:some]
-                parts.append(values[rank].astype("<i8"))
+                values, some = np.frombuffer(raw, "<u8"), kept(n)
+                parts.append(values[np.lexsort((values, order.value[(values % PLACES).astype(np.int64)]))[:some]].astype("<i8"))
                 keys.append(np.full(some, key))
                 sizes.append(np.full(some, n))
                 places.append(np.arange(1, some + 1))
             if parts:
                 yield pd.DataFrame({"s": np.concatenate(parts), "id": np.concatenate(keys), "n": np.concatenate(sizes), "p": np.concatenate(places)})
 
-    return sets.filter("n > 0").mapInPandas(first, "s long, id long, n long, p long")
+    found = sets.filter("n > 0").mapInPandas(first, "s long, id long, n long, p long")
+    return found.select("s", F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("p").alias(f"p_{name}"))
+
+
+def _candidates(smaller: DataFrame, larger: DataFrame, percent: int) -> DataFrame:
+    """(x, y): ids of sets, x of no more shingles than y, that may be similar enough.
+
+    The sets share a shingle of their prefixes, whatever the order of shingles is, if it is the same for all. Sizes in steps of the ratio that they may
+    differ by are part of the key: y lies in the step of x or the next. Places must leave enough of both sets behind.
+    """
+    step = lambda n: F.floor(F.log(F.col(n)) / math.log(100 / percent) + 1e-9).cast("int")
+    reach = 1 + F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
+    near = F.explode(F.array(step("n_x"), step("n_x") + 1, step("n_x") + 2))  # the last for sizes on a border, by rounding
+    return smaller.withColumn("step", near).join(larger.withColumn("step", step("n_y")), ["s", "step"]).filter(
+        (F.col("n_x") <= F.col("n_y")) & (100 * F.col("n_x") >= percent * F.col("n_y")) & ((100 + percent) * reach >= percent * (F.col("n_x") + F.col("n_y")))
+    ).select("x", "y", "n_x", "n_y").distinct()
 
 
-def _candidates(left: DataFrame, right: DataFrame, percent: int, own) -> DataFrame:
-    """(a, b): ids of sets that share a shingle of their prefixes, at places that leave enough of both behind, of sizes that allow it."""
-    a, b = (prefix.toDF("s", x, f"n_{x}", f"p_{x}") for prefix, x in ((left, "a"), (right, "b")))
-    reach = 1 + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    return a.join(b, "s").filter(
-        own & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * reach >= percent * (F.col("n_a") + F.col("n_b")))
-    ).select("a", "b").distinct()
+def _kept_of(percent: int) -> tuple:
+    """How many shingles a set of n shows: beside larger sets, and beside smaller ones (more are in common than these leave out)."""
+    return lambda n: n - -(-2 * percent * n // (100 + percent)) + 1, lambda n: n - -(-percent * n // 100) + 1
 
 
 def near_pairs(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
@@ -112,8 +119,9 @@ def near_pairs(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     first = rows.groupBy(checksum(F.col("text")).alias("sum")).agg(F.min("id").alias("id")).select("id")
     sets = stage(shingle_sets(rows.join(first, "id", "left_semi").dropDuplicates(["id"]), width), "shingle-sets")
     order = docs.sparkSession.sparkContext.broadcast(_counts(sets))  # 8 MB
-    prefix = stage(_prefixes(sets, percent, order), "prefixes")
-    pairs = _candidates(prefix, prefix, percent, F.col("a") < F.col("b"))
+    few, more = _kept_of(percent)
+    met = _candidates(_prefixes(sets, order, few, "x"), _prefixes(sets, order, more, "y"), percent).filter("n_x < n_y OR x < y")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return _with_overlap(pairs, sets, sets).filter(100 * F.col("common") >= percent * F.col("together"))
 
 
@@ -146,7 +154,10 @@ def preflight(uploads: DataFrame, docs: DataFrame, percent: int = 85, width: int
     short = lambda rows, x: rows.filter(F.length("text").between(1, most_chars)).withColumnRenamed(f"{x}_id", "id")
     sets_u, sets_d = stage(shingle_sets(short(u, "u"), width), "upload-sets"), stage(shingle_sets(short(d, "d"), width), "document-sets")
     order = docs.sparkSession.sparkContext.broadcast(_counts(sets_d))  # 8 MB
-    pairs = _candidates(_prefixes(sets_u, percent, order), _prefixes(sets_d, percent, order), percent, F.lit(True))
+    few, more = _kept_of(percent)
+    below = _candidates(_prefixes(sets_u, order, few, "x"), _prefixes(sets_d, order, more, "y"), percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    above = _candidates(_prefixes(sets_d, order, few, "x"), _prefixes(sets_u, order, more, "y"), percent).filter("n_x < n_y").select(F.col("y").alias("a"), F.col("x").alias("b"))
+    pairs = below.unionByName(above)
     named = pairs.join(us.select(F.col("u_id").alias("a"), "u_size", "u_sum"), "a").join(ds.select(F.col("d_id").alias("b"), "d_size", "d_sum"), "b")
     like = named.filter((F.col("d_size") >= F.ceil(F.col("u_size") * 0.8)) & (F.col("d_size") <= F.floor(F.col("u_size") * 1.25)) & (F.col("u_sum") != F.col("d_sum")))
     scored = _with_overlap(like.select("a", "b"), sets_u, sets_d).withColumnsRenamed({"a": "u_id", "b": "d_id"})
