@@ -14,6 +14,7 @@ from graphloom.plans import (  # noqa: F401  importing them registers their quer
     resolution_queries,
     retrieval_queries,
     source_queries,
+    subgraph_queries,
 )
 from graphloom.plans.registry import ORACLES, QUERIES
 
