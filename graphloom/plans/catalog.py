@@ -7,6 +7,7 @@ from graphloom.plans import (  # noqa: F401  importing them registers their quer
     corpus_queries,
     governance_queries,
     governed_queries,
+    ledger_queries,
     lifecycle_queries,
     mapping_queries,
     metrics_queries,
