@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from graphloom.plans import (  # noqa: F401  importing them registers their queries
     browse_queries,
+    contract_queries,
     corpus_queries,
     governance_queries,
     governed_queries,
