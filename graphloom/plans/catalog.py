@@ -17,6 +17,7 @@ from graphloom.plans import (  # noqa: F401  importing them registers their quer
     retrieval_queries,
     source_queries,
     subgraph_queries,
+    xml_queries,
 )
 from graphloom.plans.registry import ORACLES, QUERIES
 

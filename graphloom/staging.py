@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: list[tuple[SparkSession, str]] = []
-_kept: dict[tuple, DataFrame] = {}
+_kept: dict[tuple, object] = {}
 _own_root: str | None = None
 
 
@@ -45,8 +45,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def kept(key: tuple, make) -> DataFrame:
-    """A staged table that several queries read, made once for ``key`` and until ``release``. The key must name the state of what it is made of."""
+def kept(key: tuple, make):
+    """A staged table (or several) that several queries read, made once for ``key`` and until ``release``. The key must name the state of what it is made of."""
     if key not in _kept:
         _kept[key] = make()
     return _kept[key]
