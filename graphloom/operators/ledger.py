@@ -275,3 +275,53 @@ def inventory(entities: DataFrame, graph: DataFrame, literals: DataFrame) -> Dat
     shown = reduce(DataFrame.unionByName, parts).groupBy("entity_id").agg(
         *[F.sum(c).alias(c) for c in ("n_out", "n_in", "n_literals")], F.min("evidence").alias("evidence"))
     return entities.join(shown, "entity_id").select("entity_id", "entity_type", "name", "n_out", "n_in", "n_literals", "evidence")
+
+
+class Generations:
+    """Embedding generations of a ledger: prepared, filled, and selected only when they cover all that is active."""
+
+    def __init__(self, ledger: Ledger):
+        self.ledger = ledger
+
+    def _profiles(self, state: dict) -> dict:
+        return state.get("generations", {})
+
+    def prepare(self, generation: str, space: str, dimensions: int) -> int:
+        """Declare a generation; the same again changes nothing, another profile under its name is refused."""
+        state, profile = self.ledger.head(), {"space": space, "dimensions": dimensions}
+        known = self._profiles(state).get(generation)
+        if known and known != profile:
+            raise Refused("PROFILE_CONFLICT")
+        if known or dimensions < 1:
+            if known:
+                return state["generation"]
+            raise Refused("PROFILE_INVALID")
+        return self.ledger._commit(state, "PREPARE", f"prepare {generation}", json.dumps(profile), generations=self._profiles(state) | {generation: profile})
+
+    def materialize(self, generation: str, rows: DataFrame, operation: str) -> int:
+        """Add vectors (chunk_id, embedding); refused, with the ids, if any is null, of another length, or without a direction."""
+        profile = self._profiles(self.ledger.head()).get(generation)
+        if profile is None:
+            raise Refused("NOT_PREPARED")
+        squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+        usable = (F.size("embedding") == profile["dimensions"]) & (squares > 0) & (squares < float("inf"))
+        _refuse(rows.filter(~F.coalesce(usable, F.lit(False))), "INVALID_VECTORS", "chunk_id")
+        return self.ledger.load(f"embeddings.{generation}", rows.select("chunk_id", "embedding"), "chunk_id", operation)
+
+    def missing(self, generation: str, active: DataFrame) -> DataFrame:
+        """(chunk_id): the active chunks that the generation has no vector of."""
+        rows = self.ledger.table(f"embeddings.{generation}")
+        ids = active.select("chunk_id").distinct()
+        return ids if rows is None else ids.join(rows.select("chunk_id"), "chunk_id", "left_anti")
+
+    def activate(self, generation: str, active: DataFrame, expected: str | None) -> int:
+        """Select a generation, if ``expected`` is selected now and no active chunk lacks a vector."""
+        state = self.ledger.head()
+        if generation not in self._profiles(state):
+            raise Refused("NOT_PREPARED")
+        if state.get("active_generation") != expected:
+            raise Refused("ACTIVE_CONFLICT")
+        _refuse(self.missing(generation, active), "COVERAGE_INCOMPLETE", "chunk_id")
+        if expected == generation:
+            return state["generation"]
+        return self.ledger._commit(state, "ACTIVATE", f"activate-{uuid.uuid4().hex} {generation}", "", active_generation=generation)

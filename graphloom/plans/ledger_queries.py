@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import checksum
-from graphloom.operators.ledger import Ledger, Refused, inventory
+from graphloom.operators import hierarchies
+from graphloom.operators.ledger import Generations, Ledger, Refused, inventory
 from graphloom.plans.registry import query
 from graphloom.sources.tables import load
 from graphloom.staging import staging_path
@@ -95,3 +96,51 @@ def document_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     alive = ledger.active("documents", "doc_id").select(F.col("doc_id").alias("a_id"))
     return ledger.table("documents").join(alive, F.col("doc_id") == F.col("a_id"), "left").select(
         "doc_id", "version", "batch", F.when(F.col("a_id").isNull(), "RETIRED").otherwise("ACTIVE").alias("state"))
+
+
+@query("""WITH g AS (SELECT 'supplied' AS generation, count(*) AS total, count(e.vec_id) AS covered FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id UNION ALL SELECT 'derived', count(*), count(*) FROM documents)
+SELECT generation, total, covered, generation = 'derived' AS active FROM g""")
+def embedding_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two generations: the supplied vectors, refused as long as documents lack one, and vectors derived for all documents, which is selected."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
+    supplied = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(docs, "chunk_id", "left_semi")
+    generations = Generations(Ledger(spark, staging_path(spark, "ledger")))
+    generations.prepare("supplied", "given", 64)
+    generations.materialize("supplied", supplied, "supplied vectors")
+    generations.prepare("derived", "hashed", 8)
+    generations.materialize("derived", docs.withColumn("embedding", F.array(*[F.xxhash64(F.lit(k), "chunk_id").cast("float") for k in range(8)])), "derived vectors")
+    active = None
+    for name in ("supplied", "derived"):
+        try:
+            generations.activate(name, docs, active)
+            active = name
+        except Refused:
+            continue  # not all documents are covered
+    counted = lambda name: docs.join(generations.missing(name, docs).withColumn("lacks", F.lit(1)), "chunk_id", "left").agg(
+        F.lit(name).alias("generation"), F.count(F.lit(1)).alias("total"), F.count(F.when(F.col("lacks").isNull(), 1)).alias("covered"), F.lit(name == active).alias("active"))
+    return counted("supplied").unionByName(counted("derived"))
+
+
+@query("""WITH v AS (SELECT doc_id AS node, CASE WHEN doc_id % 10 = 3 THEN source WHEN doc_id % 97 = 0 THEN lang END AS own, doc_id % 970 = 0 AS twice FROM documents),
+n AS (SELECT *, last_value(CASE WHEN own IS NOT NULL THEN node END IGNORE NULLS) OVER (ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS scope FROM v)
+SELECT n.node, CASE WHEN n.twice THEN NULL WHEN n.own IS NOT NULL THEN n.own WHEN NOT s.twice THEN s.own END AS value, CASE WHEN NOT n.twice AND n.own IS NOT NULL THEN 'LOCAL' WHEN n.own IS NULL AND NOT s.twice THEN 'INHERITED' ELSE 'MISSING' END AS origin,
+  CASE WHEN NOT n.twice AND n.own IS NOT NULL THEN n.node WHEN n.own IS NULL AND NOT s.twice THEN n.scope END AS scope,
+  CASE WHEN n.twice OR (n.own IS NULL AND s.twice) THEN 'SCOPE_AMBIGUOUS' WHEN n.own IS NOT NULL AND NOT s.twice AND n.own <> s.own THEN 'LOCAL_CONFLICT' END AS code
+FROM n LEFT JOIN v s ON s.node = n.scope""")
+def inherited_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of all documents, each below the one before it: values that some of them give hold for all below, until another does."""
+    d = load(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    nodes = d.select(i.alias("node"), F.when(i > 0, i - 1).alias("parent"))
+    given = d.select(i.alias("node"), F.when(i % 10 == 3, F.col("source")).when(i % 97 == 0, F.col("lang")).alias("value"))
+    return hierarchies.inherited(nodes, given.unionByName(d.filter(i % 970 == 0).select(i.alias("node"), F.lit("another").alias("value"))))
+
+
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS node, CASE WHEN doc_id % 100 = 0 THEN NULL WHEN doc_id % 400 BETWEEN 390 AND 399 THEN doc_id - doc_id % 10 + (doc_id + 1) % 10 ELSE doc_id - 1 END AS parent FROM documents)
+SELECT node, CASE WHEN node % 400 >= 390 THEN NULL ELSE node - node % 100 END AS root, CASE WHEN node % 400 >= 390 THEN NULL ELSE node % 100 END AS depth, CASE WHEN node % 400 >= 390 THEN 'CYCLE' END AS code FROM e""")
+def forest_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of a hundred documents each, of which every fourth ends in a ring of ten: roots and depths, and the ring."""
+    i = F.col("doc_id")
+    ring = F.when(i % 400 >= 390, i - i % 10 + (i + 1) % 10).otherwise(i - 1)
+    found, faults = hierarchies.forest(load(spark, sf_dir, "documents").select(i.alias("node"), F.when(i % 100 != 0, ring).alias("parent")))
+    return found.withColumn("code", F.lit(None).cast("string")).unionByName(faults.select("node", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("depth"), "code"))
