@@ -1,6 +1,7 @@
 r"""Operator 9: exact dedup by content-defined chunk recipes (DataFrame functions only).
 
-Each text is cut where its content says so: after a line end, or after punctuation that follows certain letters. Chunks are
+Each text is cut where its content says so: after a line end, after punctuation and a space that follow certain lower-case letters or
+anything but these (capitals, digits, letters of any other script), and after the punctuation of scripts that set no spaces. Chunks are
 deduplicated by their bytes: map-side first, so that a chunk that all documents share reaches the shuffle once a task, then over
 all documents. A chunk's identifier is its 64-bit hash, verified by that: an identifier of one chunk alone stands for these bytes.
 Where several chunks share a hash, their bytes stay in the recipe beside it. So recipes (ordered identifier lists) are equal if
@@ -10,7 +11,7 @@ Defined results: a null text counts as empty, and empty texts equal one another.
 one with the largest doc_id stays; of rows that share that id too, one stays. A null doc_id is
 smaller than any other. An empty table gives no rows. Groups of any size are summed map-side; joins back to rows leave their
 exchanges to adaptive skew handling. Columns are selected by name, so others may clash. A very long text is cut in one
-task; without any place to cut it is one chunk. ``docs`` is read more than once: a stored table.
+task; a line without any place to cut is one chunk. ``docs`` is read more than once: a stored table.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import common
 
-#: Where a chunk ends: after a line end or after punctuation and a space behind one of these letters.
-CUT = r"(?<=\n)|(?<=[bdgklmpuvyz][.,;:!?] )"
+#: Where a chunk ends: after a line end, after punctuation and a space behind one of these letters or behind none of a to z, or after full-width marks.
+CUT = r"(?<=\n)|(?<=[bdgklmpuvyz][.,;:!?] )|(?<=[^a-z\s][.,;:!?] )|(?<=[\u3001\u3002\uFF01\uFF0C\uFF0E\uFF1A\uFF1B\uFF1F])"
 
 
 def hash64(chunk: Column) -> Column:

@@ -195,7 +195,7 @@ def parse_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_archives(spark: SparkSession, path: str, strict: bool = True, payloads: bool = True) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload, problem) of each archived page.
 
-    Without ``payloads`` they are decoded and checked, but not returned (null).
+    An archive is read by one task, which holds it whole; one of more than 2 GB, such as ``write_archives`` never makes, must be split before. Without ``payloads`` they are decoded and checked, but not returned (null).
     """
     raw = "origin string, segment long, total long, kind string, url string, digest string, refers string, block binary"
     out = (

@@ -177,6 +177,17 @@ def test_chunks_join_to_the_text(spark):
     assert cut.filter("text <> again").count() == 0
 
 
+def test_long_texts_of_any_script_are_cut(spark):
+    sentences = {"cjk": "這是一個句子，不太長。", "cyrillic": "Это короткое предложение. ", "capitals": "A SHORT SENTENCE, IN CAPITALS. ", "digits": "1234, 5678. ", "french": "Une phrase coupée, été. ", "german": "Ein kurzer Satz, gut. "}
+    docs = frame(spark, [s * 20_000 for s in sentences.values()])
+    for r in docs.select(F.size(F.split("text", exact_dedup.CUT, -1)).alias("n")).collect():
+        assert r.n >= 20_000
+    many = frame(spark, [sentences["cjk"] * 150_000, sentences["cjk"] * 150_000, sentences["cjk"] * 149_999, "x" * 3_000_000, "x" * 3_000_000])
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(many).collect()}
+    assert got == {0: (1, 2), 1: (1, 2), 2: (2, 1), 3: (4, 2), 4: (4, 2)}
+
+
+
 def test_identifiers_that_several_chunks_share(spark):
     """With hashes of three values only, the chunks' bytes tell texts apart."""
     rng = random.Random(8)
