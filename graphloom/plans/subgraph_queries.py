@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators import access, chunking, subgraph
+from graphloom.operators import access, subgraph
 from graphloom.plans.registry import query
 from graphloom.sources.tables import load
 from graphloom.staging import stage
@@ -32,7 +32,7 @@ TABLES = (
   CASE WHEN (n + ordinal) % 13 = 5 THEN split('closed', ',') ELSE {_GROUPS} END AS access_groups, CASE WHEN (n + ordinal) % 71 = 1 THEN 'p9' ELSE concat('p', n % 4) END AS policy_id,
   CASE WHEN (n + ordinal) % 19 = 3 THEN 1 ELSE 2 END AS policy_version, char_start, char_end, text, n, ordinal FROM {{piece}}"""),
     ("mark", """SELECT concat('m', n, '-', ordinal, '-', k) AS revision_id, n + ordinal + k AS f, k, concat('e:', lower(substr(text, 40 * k + 6, 3))) AS entity_id, chunk_id, document_id, version_id, policy_id, policy_version,
-  access_groups, char_start + 40 * k + 5 AS char_start, char_start + 40 * k + 9 AS char_end, substr(text, 40 * k + 6, 4) AS quoted, char_start AS base, text, n, ordinal
+  access_groups, char_start + 40 * k + 5 AS char_start, char_start + 40 * k + 9 AS char_end, substr(text, 40 * k + 6, 4) AS quoted, n, ordinal
   FROM {chunk} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) ks WHERE length(text) >= 40 * k + 9"""),
     ("mention", """SELECT revision_id, CASE WHEN f % 71 = 2 THEN 't1' ELSE 't0' END AS tenant_id, CASE WHEN f % 73 = 2 THEN 'APPROVED' ELSE 'PUBLISHED' END AS status,
   CASE WHEN f % 7 = 1 THEN 'SECONDARY' WHEN f % 11 = 2 THEN 'CANDIDATE' ELSE 'AUTHORITATIVE' END AS authority, CASE WHEN f % 79 = 4 THEN 'o1' ELSE 'o2' END AS ontology, entity_id,
@@ -40,12 +40,14 @@ TABLES = (
   CASE WHEN f % 101 = 8 THEN 'v0' ELSE version_id END AS version_id, CASE WHEN f % 103 = 7 THEN 'p8' ELSE policy_id END AS policy_id, CASE WHEN f % 83 = 5 THEN 9 ELSE policy_version END AS policy_version,
   CASE WHEN f % 89 = 6 THEN split('g0', ',') ELSE access_groups END AS access_groups, char_start, char_end, CASE WHEN f % 97 = 7 THEN 'zzzz' ELSE quoted END AS quoted FROM {mark}"""),
     ("entity", "SELECT DISTINCT entity_id, entity_type FROM {mention}"),
-    ("assertion", f"""SELECT concat('a', a.n, '-', a.ordinal, '-', a.k) AS revision_id, CASE WHEN a.f % 71 = 3 THEN 't1' ELSE 't0' END AS tenant_id, CASE WHEN a.f % 73 = 3 THEN 'APPROVED' ELSE 'PUBLISHED' END AS status,
-  CASE WHEN a.f % 11 = 3 THEN 'CANDIDATE' ELSE 'AUTHORITATIVE' END AS authority, CASE WHEN a.f % 79 = 5 THEN 'o1' ELSE 'o2' END AS ontology, CASE WHEN a.f % 109 = 4 THEN 'FAR' WHEN a.k = 0 THEN 'NEAR' ELSE 'WITHIN' END AS predicate,
-  a.entity_id AS subject_id, CASE WHEN a.f % 107 = 3 THEN 'm0-0-0' ELSE a.revision_id END AS subject_mention, 'entity' AS object_kind, b.entity_id AS object_id,
-  CASE WHEN a.f % 113 <> 5 THEN b.revision_id END AS object_mention, CAST(NULL AS STRING) AS literal, a.chunk_id, a.document_id, a.version_id, a.policy_id, a.policy_version, a.access_groups, a.char_start,
-  CASE WHEN a.f % 103 = 9 THEN b.char_end - 2 ELSE b.char_end END AS char_end, substr(a.text, a.char_start - a.base + 1, CASE WHEN a.f % 103 = 9 THEN b.char_end - 2 ELSE b.char_end END - a.char_start) AS quoted
-  FROM {{mark}} a JOIN {{mark}} b ON a.chunk_id = b.chunk_id AND b.k = a.k + 1
+    ("pair", """SELECT concat('a', n, '-', ordinal, '-', k) AS revision_id, n + ordinal + k AS f, k, concat('e:', lower(substr(text, 40 * k + 6, 3))) AS subject_id, concat('m', n, '-', ordinal, '-', k) AS subject_mention,
+  concat('e:', lower(substr(text, 40 * k + 46, 3))) AS object_id, concat('m', n, '-', ordinal, '-', k + 1) AS object_mention, chunk_id, document_id, version_id, policy_id, policy_version, access_groups,
+  char_start + 40 * k + 5 AS char_start, char_start + 40 * k + 49 AS char_end, substr(text, 40 * k + 6, 44) AS quoted FROM {chunk} CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) ks WHERE length(text) >= 40 * k + 49"""),
+    ("assertion", f"""SELECT revision_id, CASE WHEN f % 71 = 3 THEN 't1' ELSE 't0' END AS tenant_id, CASE WHEN f % 73 = 3 THEN 'APPROVED' ELSE 'PUBLISHED' END AS status,
+  CASE WHEN f % 11 = 3 THEN 'CANDIDATE' ELSE 'AUTHORITATIVE' END AS authority, CASE WHEN f % 79 = 5 THEN 'o1' ELSE 'o2' END AS ontology, CASE WHEN f % 109 = 4 THEN 'FAR' WHEN k = 0 THEN 'NEAR' ELSE 'WITHIN' END AS predicate,
+  subject_id, CASE WHEN f % 107 = 3 THEN 'm0-0-0' ELSE subject_mention END AS subject_mention, 'entity' AS object_kind, object_id,
+  CASE WHEN f % 113 <> 5 THEN object_mention END AS object_mention, CAST(NULL AS STRING) AS literal, {_BINDING}, char_start,
+  CASE WHEN f % 103 = 9 THEN char_end - 2 ELSE char_end END AS char_end, CASE WHEN f % 103 = 9 THEN substr(quoted, 1, 42) ELSE quoted END AS quoted FROM {{pair}}
   UNION ALL SELECT concat('l', n, '-', ordinal), 't0', 'PUBLISHED', 'AUTHORITATIVE', 'o2', 'Code', entity_id, revision_id, 'literal', CASE WHEN f % 31 = 2 THEN entity_id END, NULL,
   CASE WHEN f % 19 = 6 THEN '' WHEN f % 23 = 6 THEN 'absent' ELSE substr(quoted, 2, 2) END, {_BINDING}, {_SPAN} FROM {{mark}} WHERE k = 0"""),
     ("request", "SELECT n AS request_id, concat('c', n + CAST(floor(j / 2) AS INT), '-', j % 2) AS chunk_id FROM {whole} CROSS JOIN {beside} WHERE n % 100 = 0 AND (j < 20 OR n % 1000 = 500)"),
@@ -53,11 +55,14 @@ TABLES = (
 
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    docs = load(spark, sf_dir, "documents")
-    pieces = chunking.split_fixed(docs).select("doc_id", "ordinal", "char_start", "char_end", F.col("chunk").alias("text"))
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("n"), "source", "text")
+    size = F.length("text")
+    cut = docs.filter(size > 0).withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / 1200).cast("int"))))
     t = {
-        "whole": docs.select(F.col("doc_id").alias("n"), "source"), "beside": spark.range(25).select(F.col("id").cast("int").alias("j")),
-        "piece": pieces.join(docs.select("doc_id", "source"), "doc_id").withColumnRenamed("doc_id", "n"),
+        "whole": docs.select("n", "source"), "beside": spark.range(25).select(F.col("id").cast("int").alias("j")),
+        "piece": cut.select(
+            "n", "source", "ordinal", (F.col("ordinal") * 1200).alias("char_start"), F.least((F.col("ordinal") + 1) * 1200, size).alias("char_end"),
+            F.substr("text", F.col("ordinal") * 1200 + 1, F.lit(1200)).alias("text")),
     }
     for name, sql in TABLES:
         t[name] = spark.sql(sql, **{k: v for k, v in t.items() if "{" + k + "}" in sql})
