@@ -1,7 +1,7 @@
 r"""Operator 9: exact dedup by content-defined chunk recipes (DataFrame functions only).
 
-Each text is cut where its content says so: after a line end, after punctuation and a space that follow certain lower-case letters or
-anything but these (capitals, digits, letters of any other script), and after the punctuation of scripts that set no spaces. Chunks are
+Each text is cut where its content says so: after a line end, after punctuation and a space that follow anything but certain lower-case
+letters (so capitals, digits and letters of other scripts too), and after the punctuation of scripts that set no spaces. Chunks are
 deduplicated by their bytes: map-side first, so that a chunk that all documents share reaches the shuffle once a task, then over
 all documents. A chunk's identifier is its 64-bit hash, verified by that: an identifier of one chunk alone stands for these bytes.
 Where several chunks share a hash, their bytes stay in the recipe beside it. So recipes (ordered identifier lists) are equal if
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import common
 
-#: Where a chunk ends: after a line end, after punctuation and a space behind one of these letters or behind none of a to z, or after full-width marks.
-CUT = r"(?<=\n)|(?<=[bdgklmpuvyz][.,;:!?] )|(?<=[^a-z\s][.,;:!?] )|(?<=[\u3001\u3002\uFF01\uFF0C\uFF0E\uFF1A\uFF1B\uFF1F])"
+#: Where a chunk ends: after a line end or a mark of full width, or after punctuation and a space behind anything but these letters.
+CUT = r"(?<=\n)|(?<=[.,;:!?] )(?<=[^acefhijnoqrstwx\s]..)|(?<=[\u3001\u3002\uFF01-\uFF1F])"
 
 
 def hash64(chunk: Column) -> Column:
