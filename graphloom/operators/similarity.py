@@ -69,14 +69,14 @@ def _counts(sets: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(sets: DataFrame, order, kept, name: str) -> DataFrame:
-    """(s, step, ``name``, n, p): the rarest shingles of each set of n, ``kept(n)`` of them, with their places, and the step of the set's size."""
+def _prefixes(sets: DataFrame, order, percent: int) -> DataFrame:
+    """(s, id, n, p): the rarest shingles of each set of n, as many as it must show beside smaller sets, with their places."""
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             parts, keys, sizes, places = [], [], [], []
             for key, n, raw in zip(frame["id"], frame["n"], frame["set"], strict=True):
-                values, some = np.frombuffer(raw, "<u8"), kept(n)
+                values, some = np.frombuffer(raw, "<u8"), n - -(-percent * n // 100) + 1
                 parts.append(values[np.lexsort((values, order.value[(values % PLACES).astype(np.int64)]))[:some]].astype("<i8"))
                 keys.append(np.full(some, key))
                 sizes.append(np.full(some, n))
@@ -84,16 +84,19 @@ def _prefixes(sets: DataFrame, order, kept, name: str) -> DataFrame:
             if parts:
                 yield pd.DataFrame({"s": np.concatenate(parts), "id": np.concatenate(keys), "n": np.concatenate(sizes), "p": np.concatenate(places)})
 
-    found = sets.filter("n > 0").mapInPandas(first, "s long, id long, n long, p long")
-    return found.select("s", F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("p").alias(f"p_{name}"))
+    return sets.filter("n > 0").mapInPandas(first, "s long, id long, n long, p long")
 
 
 def _candidates(smaller: DataFrame, larger: DataFrame, percent: int) -> DataFrame:
-    """(x, y): ids of sets, x of no more shingles than y, that may be similar enough.
+    """(x, y): ids of sets, x of no more shingles than y, that may be similar enough, by their prefixes.
 
-    The sets share a shingle of their prefixes, whatever the order of shingles is, if it is the same for all. Sizes in steps of the ratio that they may
-    differ by are part of the key: y lies in the step of x or the next. Places must leave enough of both sets behind.
+    The sets share a shingle of their prefixes, whatever the order of shingles is, if it is the same for all. Beside larger sets a set
+    shows fewer (more must be in common than these leave out). Sizes in steps of the ratio that they may differ by are part of
+    the key: y lies in the step of x or the next. Places must leave enough of both sets behind.
     """
+    few = F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent) - 1e-9) + 1
+    smaller = smaller.filter(F.col("p") <= few).toDF("s", "x", "n_x", "p_x")
+    larger = larger.toDF("s", "y", "n_y", "p_y")
     step = lambda n: F.floor(F.log(F.col(n)) / math.log(100 / percent) + 1e-9).cast("int")
     reach = 1 + F.least(F.col("n_x") - F.col("p_x"), F.col("n_y") - F.col("p_y"))
     near = F.explode(F.array(step("n_x"), step("n_x") + 1, step("n_x") + 2))  # the last for sizes on a border, by rounding
@@ -102,11 +105,6 @@ def _candidates(smaller: DataFrame, larger: DataFrame, percent: int) -> DataFram
     ).select("x", "y", "n_x", "n_y").distinct()
 
 
-def _kept_of(percent: int) -> tuple:
-    """How many shingles a set of n shows: beside larger sets, and beside smaller ones (more are in common than these leave out)."""
-    return lambda n: n - -(-2 * percent * n // (100 + percent)) + 1, lambda n: n - -(-percent * n // 100) + 1
-
-
 def near_pairs(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     """(a, b, common, together): different texts with 100 * |A n B| >= percent * |A u B| of their shingle sets, a < b.
 
@@ -117,11 +115,12 @@ def near_pairs(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").alias("id"), text.alias("text")).filter("id IS NOT NULL AND text <> ''")
     first = rows.groupBy(checksum(F.col("text")).alias("sum")).agg(F.min("id").alias("id")).select("id")
-    sets = stage(shingle_sets(rows.join(first, "id", "left_semi").dropDuplicates(["id"]), width), "shingle-sets")
+    # Sets are eight times as large as their texts, so they are made anew where they are needed; prefixes alone are stored.
+    sets = shingle_sets(stage(rows.join(first, "id", "left_semi").dropDuplicates(["id"]), "different-texts"), width)
     order = docs.sparkSession.sparkContext.broadcast(_counts(sets))  # 8 MB
-    few, more = _kept_of(percent)
-    met = _candidates(_prefixes(sets, order, few, "x"), _prefixes(sets, order, more, "y"), percent).filter("n_x < n_y OR x < y")
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    prefix = stage(_prefixes(sets, order, percent), "prefixes")
+    met = _candidates(prefix, prefix, percent).filter("n_x < n_y OR x < y")
+    pairs = stage(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "candidates")
     return _with_overlap(pairs, sets, sets).filter(100 * F.col("common") >= percent * F.col("together"))
 
 
@@ -150,17 +149,20 @@ def preflight(uploads: DataFrame, docs: DataFrame, percent: int = 85, width: int
     u, d = name(uploads, "upload_id", "u"), name(docs, "doc_id", "d")
     us, ds = stage(sized(u, "u"), "uploads"), stage(sized(d, "d"), "documents")
     exact = us.join(ds, F.col("u_sum") == F.col("d_sum")).select("u_id", "d_id", F.lit("EXACT").alias("kind"), F.lit(1.0).alias("similarity"))
-    # Sets are joined on the rarest shingles that similar ones must share; each text is shingled once.
+    # Sets are joined on the rarest shingles that similar ones must share; eight times as large as their texts, they are never stored.
     short = lambda rows, x: rows.filter(F.length("text").between(1, most_chars)).withColumnRenamed(f"{x}_id", "id")
-    sets_u, sets_d = stage(shingle_sets(short(u, "u"), width), "upload-sets"), stage(shingle_sets(short(d, "d"), width), "document-sets")
-    order = docs.sparkSession.sparkContext.broadcast(_counts(sets_d))  # 8 MB
-    few, more = _kept_of(percent)
-    below = _candidates(_prefixes(sets_u, order, few, "x"), _prefixes(sets_d, order, more, "y"), percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    above = _candidates(_prefixes(sets_d, order, few, "x"), _prefixes(sets_u, order, more, "y"), percent).filter("n_x < n_y").select(F.col("y").alias("a"), F.col("x").alias("b"))
+    order = docs.sparkSession.sparkContext.broadcast(_counts(shingle_sets(short(d, "d"), width)))  # 8 MB
+    of_u, of_d = (_prefixes(shingle_sets(short(rows, x), width), order, percent) for rows, x in ((u, "u"), (d, "d")))
+    of_u = stage(of_u, "upload-prefixes")
+    of_d = stage(of_d.join(of_u.select("s").distinct(), "s", "left_semi"), "document-prefixes")  # only what meets an upload
+    below = _candidates(of_u, of_d, percent).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    above = _candidates(of_d, of_u, percent).filter("n_x < n_y").select(F.col("y").alias("a"), F.col("x").alias("b"))
     pairs = below.unionByName(above)
     named = pairs.join(us.select(F.col("u_id").alias("a"), "u_size", "u_sum"), "a").join(ds.select(F.col("d_id").alias("b"), "d_size", "d_sum"), "b")
     like = named.filter((F.col("d_size") >= F.ceil(F.col("u_size") * 0.8)) & (F.col("d_size") <= F.floor(F.col("u_size") * 1.25)) & (F.col("u_sum") != F.col("d_sum")))
-    scored = _with_overlap(like.select("a", "b"), sets_u, sets_d).withColumnsRenamed({"a": "u_id", "b": "d_id"})
+    like = stage(like.select("a", "b"), "candidates")
+    wanted = lambda rows, x, k: shingle_sets(short(rows, x).join(like.select(F.col(k).alias("id")).distinct(), "id", "left_semi"), width)
+    scored = _with_overlap(like, wanted(u, "u", "a"), wanted(d, "d", "b")).withColumnsRenamed({"a": "u_id", "b": "d_id"})
     similar = scored.filter(100 * F.col("common") >= percent * F.col("together")).select(
         "u_id", "d_id", F.lit("SIMILAR").alias("kind"), F.round(F.col("common") / F.col("together"), 6).alias("similarity")
     )
