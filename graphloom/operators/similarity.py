@@ -44,7 +44,7 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 #: Shingles are counted in so many places; which of them share one changes the order in which shingles are looked at, and no result.
-PLACES = 1 << 20
+PLACES = 1 << 17
 
 
 def _counts(sets: DataFrame) -> np.ndarray:
@@ -117,7 +117,7 @@ def near_pairs(docs: DataFrame, width: int = 5, percent: int = 85) -> DataFrame:
     first = rows.groupBy(checksum(F.col("text")).alias("sum")).agg(F.min("id").alias("id")).select("id")
     # Sets are eight times as large as their texts, so they are made anew where they are needed; prefixes alone are stored.
     sets = shingle_sets(stage(rows.join(first, "id", "left_semi").dropDuplicates(["id"]), "different-texts"), width)
-    order = docs.sparkSession.sparkContext.broadcast(_counts(sets))  # 8 MB
+    order = docs.sparkSession.sparkContext.broadcast(_counts(sets))  # 1 MB
     prefix = stage(_prefixes(sets, order, percent), "prefixes")
     met = _candidates(prefix, prefix, percent).filter("n_x < n_y OR x < y")
     pairs = stage(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), "candidates")
@@ -151,7 +151,7 @@ def preflight(uploads: DataFrame, docs: DataFrame, percent: int = 85, width: int
     exact = us.join(ds, F.col("u_sum") == F.col("d_sum")).select("u_id", "d_id", F.lit("EXACT").alias("kind"), F.lit(1.0).alias("similarity"))
     # Sets are joined on the rarest shingles that similar ones must share; eight times as large as their texts, they are never stored.
     short = lambda rows, x: rows.filter(F.length("text").between(1, most_chars)).withColumnRenamed(f"{x}_id", "id")
-    order = docs.sparkSession.sparkContext.broadcast(_counts(shingle_sets(short(d, "d"), width)))  # 8 MB
+    order = docs.sparkSession.sparkContext.broadcast(_counts(shingle_sets(short(d, "d"), width)))  # 1 MB
     of_u, of_d = (_prefixes(shingle_sets(short(rows, x), width), order, percent) for rows, x in ((u, "u"), (d, "d")))
     of_u = stage(of_u, "upload-prefixes")
     of_d = stage(of_d.join(of_u.select("s").distinct(), "s", "left_semi"), "document-prefixes")  # only what meets an upload
