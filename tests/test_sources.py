@@ -157,3 +157,44 @@ def test_windows_and_pages(spark):
     # 199 neighbours and the hub are as many nodes as a page may hold.
     assert len(page) == 199 and all(r.has_more and r.kind == "relationship" for r in page)
     assert [r.has_more for r in governed.graph_page(edges.limit(3), none, depths.limit(1).select("node"), depths.limit(1), 10).collect()] == [False] * 4
+
+
+def _of_one_vocabulary(n, least, most):
+    """Texts of few different words, of sizes around where signatures change, and near copies of some."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(least, most))) for _ in range(n)]
+    return texts + [t[: len(t) // 2] + extra + t[len(t) // 2 :] for t in texts[::4] for extra in ("", " new words ", "x" * 90)][1:]
+
+
+def test_texts_of_one_vocabulary_are_no_candidates(spark, monkeypatch):
+    # Rare shingles are shared by most such texts, so by prefixes nearly all pairs of a size were candidates, stored and joined with their sets.
+    texts = _of_one_vocabulary(120, 350, 420)
+    seen, plain = {}, similarity.stage
+
+    def counted(rows, label):
+        out = plain(rows, label)
+        seen[label] = seen.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "stage", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = similarity.near_pairs(docs).count()
+    assert 30 <= found <= seen["candidates"] <= 1.5 * found
+    seen.clear()
+    assert similarity.preflight(docs.filter("doc_id % 10 = 0").withColumnRenamed("doc_id", "upload_id"), docs).count() > 10
+    assert seen["candidates"] <= 60
+
+
+def test_near_pairs_around_signature_sizes(spark, monkeypatch):
+    texts = _of_one_vocabulary(60, 50, 200)  # 300 to 1200 shingles: levels and their guests
+    monkeypatch.setattr(similarity, "GROUP_ROWS", 7)
+    monkeypatch.setattr(similarity, "PAIRS_AT_ONCE", 5)
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    want = {(a, b, len(x & y), len(x | y)) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if texts[a] != texts[b] and 100 * len(x & y) >= 85 * len(x | y)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    twins = {b: a for b, t in enumerate(texts) for a in (texts.index(t),) if a < b}
+    want = {w for w in want if w[0] not in twins and w[1] not in twins}
+    assert {tuple(r) for r in similarity.near_pairs(docs).collect()} == want
+    levels = {max(similarity.LEAST_LEVEL, len(sets[i]).bit_length() - 1) for w in want for i in w[:2]}
+    assert levels == {8, 9, 10} and any(len({len(sets[i]).bit_length() for i in w[:2]}) > 1 for w in want)
