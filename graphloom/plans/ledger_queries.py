@@ -21,8 +21,14 @@ second_members AS (SELECT * FROM record WHERE revision = CASE WHEN nr % 3 = 0 TH
 _GRAPH = "SELECT subject, predicate, object, count(*) AS n, min(chunk_id) AS evidence FROM {} GROUP BY 1, 2, 3"
 
 
+#: Lines that one task groups: the tasks grow with the lines, not the lines of a task.
+LINES_PER_TASK = 500_000
+
+
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("nr")).agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
+    l = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("nr"), "l_suppkey", "l_partkey")
+    dealt = l.repartition(max(16, -(-l.count() // LINES_PER_TASK)), "k", "nr")
+    lines = dealt.groupBy("k", "nr").agg(F.min("l_suppkey").alias("s"), F.min("l_partkey").alias("p"))
     both = lines.withColumn("revision", F.explode(F.when(F.col("nr") % 3 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     return both.select(
         F.concat_ws(":", "k", "nr").alias("record_id"), "revision", F.concat(F.lit("s"), F.col("s") + F.col("revision") - 1).alias("subject"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import store
 from graphloom.operators import ledger as module
 from graphloom.operators.ledger import Ledger, Refused, advanced, navigation
+from graphloom.plans import ledger_queries
 
 KIND = "id string, value int"
 
@@ -163,3 +164,27 @@ def test_advancing_equals_making_anew(spark):
     got = advanced(navigation(of(before)), before, after, records)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, navigation(of(after)).collect()))
     assert advanced(navigation(of(before)), before, before.filter(F.lit(False)), records).count() == 0
+
+
+def test_loads_tell_whole_rows_apart_only_where_keys_repeat(spark, tmp_path, monkeypatch):
+    # One task's groups of whole rows grew with the load; now a load is stored as it comes, and distinct only if it has to be.
+    plans, plain = [], module.stage
+
+    def planned(rows, label):
+        if label == "load":
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return plain(rows, label)
+
+    monkeypatch.setattr(module, "stage", planned)
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int")
+    made = Ledger(spark, f"file://{tmp_path}/l")
+    assert made.load("t", rows, "id", "one") == 1 and len(plans) == 1 and "Aggregate" not in plans[0]
+    assert made.load("t", rows.unionByName(rows), "id", "one") == 1 and len(plans) == 3  # repeated rows are the same load
+    with pytest.raises(Refused, match="DIFFERING_ROWS"):
+        made.load("t", rows.unionByName(rows.withColumn("v", F.lit(9))), "id", "two")
+    assert sorted(tuple(r) for r in made.table("t").collect()) == [("a", 1), ("b", 2)]
+
+
+def test_records_are_grouped_in_tasks_of_bounded_lines(spark, monkeypatch):
+    monkeypatch.setattr(ledger_queries, "LINES_PER_TASK", 100)
+    assert ledger_queries._records(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 60
