@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from graphloom import store
 from graphloom.functions.text import words
@@ -21,15 +21,36 @@ ALL = ""
 SCHEMA = "term string, id long, tf long, length int"
 
 
-@F.arrow_udf(T.ArrayType(T.StructType().add("term", "string").add("tf", "long")))
-def _counted(bags: pa.Array) -> pa.Array:
-    """Each bag's different words and how often they stand in it: all in one row, so nothing is shuffled for it."""
-    lengths = np.asarray(pc.list_value_length(bags), np.int64)
-    words_ = pc.dictionary_encode(bags.flatten())
-    terms = max(1, len(words_.dictionary))
-    pairs, n = np.unique(np.repeat(np.arange(len(bags)), lengths) * terms + np.asarray(words_.indices, np.int64), return_counts=True)
-    found = pa.StructArray.from_arrays([words_.dictionary.take(pa.array(pairs % terms)), pa.array(n, pa.int64())], ["term", "tf"])
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(pairs // terms, np.arange(len(bags) + 1)), pa.int32()), found)
+#: Words that are counted at once; a longer document is counted by itself.
+WORDS_AT_ONCE = 200_000
+
+
+def _slices(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(start, stop) of consecutive documents of at most ``WORDS_AT_ONCE`` words."""
+    total, start = np.cumsum(lengths), 0
+    while start < len(lengths):
+        before = int(total[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(total, before + WORDS_AT_ONCE, "right")))
+        yield start, stop
+        start = stop
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, id, tf, length) of documents (id, bag): slice by slice, so that what is held beside a batch does not grow with its texts."""
+    for batch in batches:
+        ids, bags = batch.column(0), batch.column(1)
+        all_lengths = np.asarray(pc.list_value_length(bags), np.int64)
+        for start, stop in _slices(all_lengths):
+            lengths, n = all_lengths[start:stop], stop - start
+            words_ = pc.dictionary_encode(bags[start:stop].flatten())
+            terms = max(1, len(words_.dictionary))
+            pairs, tf = np.unique(np.repeat(np.arange(n), lengths) * terms + np.asarray(words_.indices, np.int64), return_counts=True)
+            rows = np.concatenate([np.arange(n), pairs // terms])
+            found = pa.concat_arrays([pa.array([ALL] * n, words_.dictionary.type), words_.dictionary.take(pa.array(pairs % terms))])
+            yield pa.RecordBatch.from_arrays(
+                [found, ids[start:stop].take(pa.array(rows)), pa.array(np.concatenate([np.ones(n, np.int64), tf]), pa.int64()), pa.array(lengths[rows], pa.int32())],
+                names=["term", "id", "tf", "length"])
+        pa.default_memory_pool().release_unused()
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -38,9 +59,7 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     A null or empty text has no words and its row under ``ALL``. Ids are taken as they are: rows that share one count as several documents.
     """
     bags = docs.select(F.col(key).alias("id"), F.coalesce(words(F.col(text)), F.array().cast("array<string>")).alias("bag"))
-    own = F.array(F.struct(F.lit(ALL).alias("term"), F.lit(1).cast("long").alias("tf")))
-    each = bags.select("id", F.size("bag").alias("length"), F.explode(F.concat(own, _counted("bag"))).alias("p"))
-    return each.select("p.term", "id", "p.tf", "length")
+    return bags.mapInArrow(_counted, f"term string, id {dict(bags.dtypes)['id']}, tf long, length int")
 
 
 def write_index(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:

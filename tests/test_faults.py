@@ -8,6 +8,7 @@ import re
 import threading
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,15 @@ def test_of_many_writers_one_publishes(spark, tmp_path):
         t.join()
     assert len(won) == 1 and store.read_text(spark, path) == f"writer {won[0]}" * 1000
     assert store.names_in(spark, f"file://{tmp_path}/deep") == ["pointer"] and store.read_text(spark, f"{path}2") is None
+
+
+def test_the_index_counts_words_in_slices(monkeypatch):
+    # Memory of the Python workers grew with the texts of a batch of ten thousand documents.
+    monkeypatch.setattr(fulltext, "WORDS_AT_ONCE", 50)
+    bags = [["a", "b", "a"] * 10, None, [], ["c"] * 200, *[["d", "a"]] * 40]
+    batch = pa.RecordBatch.from_arrays([pa.array([5, None, 7, 8, *range(40)], pa.int64()), pa.array([b or [] for b in bags], pa.list_(pa.string()))], names=["id", "bag"])
+    parts = list(fulltext._counted(iter([batch.slice(0, 0), batch])))
+    assert len(parts) >= 4 and max(len(p) for p in parts) <= 3 * 50
+    got = sorted((r["id"] is None, r["id"] or 0, r["term"], r["tf"], r["length"]) for p in parts for r in p.to_pylist())
+    want = [(k is None, k or 0, t, b.count(t) if t else 1, len(b)) for k, b in zip(batch["id"].to_pylist(), batch["bag"].to_pylist(), strict=True) for t in {"", *b}]
+    assert got == sorted(want)
