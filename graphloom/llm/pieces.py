@@ -19,7 +19,8 @@ from graphloom.llm import common
 _SPACE_AFTER_SPACE = re.compile(r"\s[ ]")
 _CUT = re.compile(r"(?<=\S)(?=[ ])")
 _LETTER_DIGIT = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,!?;:$%&#*]*)")
+_MARKS = ".,!?;:$%&#*"
+_PLAIN = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]*)([{_MARKS}]*)")
 #: Longer pieces are left to the library.
 LONG_PIECE = 64
 #: The memo is emptied before a batch when its pieces have so many characters; long pieces without spaces fill it early.
@@ -43,7 +44,7 @@ class PieceEncoder:
     white space is dropped and letters are lower-cased (word vocabularies).
     """
 
-    def __init__(self, path: str, spaced: bool, most: int = 300_000):
+    def __init__(self, path: str, spaced: bool, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -101,7 +102,7 @@ class PieceEncoder:
     def _learn(self, new: list) -> None:
         """Encode the pieces of ``new``."""
         odd, keys, lens, flat = [], [], [], []
-        words, tokenize = not self.spaced, self.model.tokenize
+        words, tokenize, mark_ids = not self.spaced, self.model.tokenize, self._mark_ids
         for key in new:
             if type(key) is tuple:
                 ids = None
@@ -109,8 +110,10 @@ class PieceEncoder:
             elif len(key) > LONG_PIECE:
                 ids = None
                 self.chars += len(key)
-            elif words and key.isascii() and key.isalpha():
-                ids = [t.id for t in tokenize(key.lower())]
+            elif words and key.isascii() and (word := key.rstrip(_MARKS)).isalpha():
+                ids = [t.id for t in tokenize(word.lower())]
+                if len(word) < len(key):
+                    ids += mark_ids(key[len(word) :])
             else:
                 ids = self._plain_ids(key)
             if ids is None:

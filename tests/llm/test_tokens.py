@@ -160,3 +160,15 @@ def test_packing(spark, plan_rows, monkeypatch):
         assert at <= 64
     assert packing.pack_documents(docs.limit(0), public_tokenizers.path(FILES[False]), 64).count() == 0
     assert packing.pack_documents(frame(spark, ODD, extra=True), public_tokenizers.path(FILES[False])).select("doc_id").distinct().count() == len(ODD) + 1
+
+
+def test_plain_words_and_their_marks_take_the_short_way(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(FILES[False])
+    words = ["Word,", "word", "WORD...", "plain!?", "a$%", "x&&&"]
+    encoder, whole = PieceEncoder(path, False), Tokenizer.from_file(path)
+    monkeypatch.setattr(encoder, "_plain_ids", lambda piece: pytest.fail(f"{piece} took the long way"))
+    ids, counts = encoder.ids([*words, " ".join(words)])
+    want = [whole.encode(t, add_special_tokens=False).ids for t in (*words, " ".join(words))]
+    assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == [len(w) for w in want]
