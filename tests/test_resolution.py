@@ -31,6 +31,52 @@ def test_similar_names_equal_brute_force(spark, least):
     assert got == brute(names, known, least, 3)
 
 
+def numbered(rng: random.Random, n: int, least_id: int) -> list[tuple]:
+    """Names that are told apart by digits, of several lengths and frames; some twice, some ids twice."""
+    out = []
+    for i in range(n):
+        frame = rng.choice(["party {}", "party {}", "partner {}", "plant {} b"])
+        out.append((least_id + i - i % 7 // 6, frame.format(str(rng.randrange(10**5)).zfill(rng.choice([5, 5, 6])))))
+    return out + [(least_id + n + k, out[k][1]) for k in range(9)]
+
+
+@pytest.mark.parametrize("least", [0.84, 0.7])
+def test_nearest_of_numbered_names_equals_brute_force(spark, least):
+    rng = random.Random(11)
+    names, known = [*numbered(rng, 260, 0), (900, ""), (901, None)], [*numbered(rng, 200, 500), (3, "ab" * 130 + "c"), (2, "ab" * 130 + "c"), (1, "")]
+    names.append((902, "ab" * 130 + "d"))
+    rng.shuffle(known)
+    n, a = spark.createDataFrame(names, "id long, name_key string"), spark.createDataFrame([(str(i), k) for i, k in known], "authority_id string, authority_key string")
+    got = {tuple(r) for r in resolution.similar_names(n, a, least, 1).collect()}
+    found = {}
+    for i, j, ratio, _ in brute([x for x in names if x[1] is not None], [(str(i), k) for i, k in known], least, 1):
+        found[i] = min(found.get(i, (0, "")), (-ratio, j))  # rows that share an id are ranked together
+    assert got == {(i, j, -unlike, 1) for i, (unlike, j) in found.items()}
+
+
+def _shuffled_rows(spark) -> int:
+    jvm, context = spark._jvm, spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_names_that_differ_in_digits_are_not_all_paired(spark):
+    names = spark.range(2000, 6000).selectExpr("id", "concat('party ', lpad(id, 9, '0')) AS name_key")
+    known = spark.range(0, 2000).selectExpr("id AS authority_id", "concat('party ', lpad(id, 9, '0')) AS authority_key")
+    before = _shuffled_rows(spark)
+    found = resolution.similar_names(names, known, 0.84, 1).collect()
+    assert len(found) == 4000
+    # Without a bound, nearly each name would meet some hundred of others.
+    assert _shuffled_rows(spark) - before < 60 * 6000
+
+
+def test_authorities_of_one_name_do_not_multiply_its_finds(spark):
+    names = spark.range(300).selectExpr("id", "'party 1234' AS name_key")
+    known = spark.range(300).selectExpr("id + 5 AS authority_id", "'party 1235' AS authority_key")
+    found = resolution.similar_names(names, known, 0.84, 2).collect()
+    assert {(r.authority_id, r.ratio, r.rank) for r in found} == {(5, 0.9, 1), (6, 0.9, 2)} and len(found) == 600
+
+
 PARTY = "id long, code string, identity string, name string, aliases array<string>"
 
 
