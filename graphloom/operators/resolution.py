@@ -140,8 +140,8 @@ def _frame(key: Column) -> Column:
     return _bag(F.regexp_replace(key, "[0-9]", "0"))
 
 
-def _each_rest(rows: DataFrame, key: str, n: str) -> DataFrame:
-    """``rows`` (key, n, n_a, n_b, m) with ``rest``: the hash of each different text of m characters that deletions leave of the key.
+def _each_rest(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (key, n_a, n_b, m) without these sizes and with ``rest``: the hash of each different text of m characters that deletions leave of the key.
 
     Keys have m characters in common, in their order, if and only if they share such a text; equal hashes of different ones only add pairs.
     """
@@ -159,7 +159,7 @@ def _each_rest(rows: DataFrame, key: str, n: str) -> DataFrame:
             yield _taken(batch, at, "rest", pa.array(rest, pa.string()))
 
     each = rows.mapInArrow(deleted, StructType([*rows.schema.fields, StructField("rest", StringType())]))
-    return each.withColumn("rest", F.xxhash64("rest", "n_a", "n_b")).drop("m", *[x for x in ("n_a", "n_b") if x != n])
+    return each.withColumn("rest", F.xxhash64("rest", "n_a", "n_b")).drop("m", "n_a", "n_b")
 
 
 def _taken(batch: pa.RecordBatch, at: list[int], name: str, values: pa.Array) -> pa.RecordBatch:
@@ -217,9 +217,9 @@ def _nearest_by_rest(left: DataFrame, right: DataFrame, frames: DataFrame, least
         open_ = stage(open_.drop("held_a").join(many.select("frame_a", "frame_b", "held_a"), ["frame_a", "frame_b"]), "name-frames")
         asked = wanted.join(many.select("frame_a", "frame_b"), ["frame_a", "frame_b"]).select("a", "n_a", "n_b", "m").distinct()
         known = right.join(many.select("frame_b", "n_a", "n_b", "m").distinct(), "frame_b").select("b", "first", "n_a", "n_b", "m")
-        of_b = stage(_each_rest(known, "b", "n_a").drop("n_a"), "name-rests")
+        of_b = stage(_each_rest(known, "b"), "name-rests")
         first = of_b.groupBy("rest").agg(F.min(F.struct("first", "b")).alias("top"), F.count(F.lit(1)).alias("n"))
-        of_a = _each_rest(asked.withColumn("bound", bound), "a", "n_a").drop("n_a")
+        of_a = _each_rest(asked.withColumn("bound", bound), "a")
         tried = of_a.join(first, "rest").select("a", "rest", "bound", "top.first", "top.b", "n")
         tried = stage(_aligned(tried), "name-tries")
         short = tried.filter("n > 1 AND ratio < bound - 1e-9").select("a", "rest", "bound", F.col("first").alias("tried"))
