@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from graphloom.functions.text import name_key
-from graphloom.staging import stage
+from graphloom.staging import many, stage
 
 
 def resolve_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def full_ladder(candidates: DataFrame, authorities: DataFrame, identified: bool
     def hits(wanted: DataFrame, known: DataFrame, x: str) -> DataFrame:
         # None, one or several: the least and the greatest of a key's authorities tell, so copies of a name are not paired.
         ends = known.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-        both = wanted.join(ends, "key").groupBy("id").agg(F.min("least").alias(f"{x}_id"), F.max("most").alias("most"))
+        both = wanted.join(many(ends), "key").groupBy("id").agg(F.min("least").alias(f"{x}_id"), F.max("most").alias("most"))
         n = F.when(F.col(f"{x}_id") != F.col("most"), 2).when(F.col("most").isNotNull(), 1).otherwise(0)
         return both.select("id", n.alias(f"{x}_n"), f"{x}_id")
 
@@ -130,9 +130,9 @@ def _similar_bags(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
         place = F.row_number().over(Window.partitionBy(x).orderBy("held", "token"))
         short[x] = counted.withColumn("place", place).filter(F.col("place") <= kept).select("token", x, f"n_{x}")
     total = F.greatest(F.col("n_a") + F.col("n_b"), F.lit(1))
-    met = short["a"].join(short["b"], "token").filter(2 * F.least("n_a", "n_b") >= (least - 1e-6) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    met = short["a"].join(many(short["b"]), "token").filter(2 * F.least("n_a", "n_b") >= (least - 1e-6) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
     bound = 2 * F.size(F.array_intersect("t_a", "t_b")) / total
-    return met.join(sides["a"], "a").join(sides["b"], "b").select("a", "b", bound.alias("bound")).filter(F.col("bound") >= least - 1e-6)
+    return met.join(many(sides["a"]), "a").join(many(sides["b"]), "b").select("a", "b", bound.alias("bound")).filter(F.col("bound") >= least - 1e-6)
 
 
 def _frame(key: Column) -> Column:
@@ -202,25 +202,25 @@ def _nearest_by_rest(left: DataFrame, right: DataFrame, frames: DataFrame, least
     deletions = lambda n, p: F.when(p < 1, 1.0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(p, F.lit(1))), F.lit(1.0), lambda x, i: x * (n - p + i) / i))
     while True:
         level = open_.withColumn("m", F.least("n_a", "n_b") - k).withColumn("bound", bound).filter((F.col("m") >= 0) & (F.col("bound") >= least - 1e-6))
-        had = best.select("a", F.col("ratio").alias("had"))
+        had = many(best.select("a", F.col("ratio").alias("had")))
         wanted = left.join(level, "frame_a").join(had, "a", "left").filter(nearer)
         if k:  # names of a frame that are still to be found
             level = level.drop("held_a").join(wanted.groupBy("frame_a", "frame_b").agg(F.count(F.lit(1)).alias("held_a")), ["frame_a", "frame_b"])
         rests = F.col("held_a") * deletions(F.col("n_a"), F.col("n_a") - F.col("m")) + F.col("held_b") * deletions(F.col("n_b"), F.col("n_b") - F.col("m"))
         level = stage(level.withColumn("few", rests >= F.col("held_a").cast("double") * F.col("held_b")), "name-levels")
         n, n_few = level.agg(F.count(F.lit(1)), F.count_if("few")).first()
-        few, many = level.filter("few"), level.filter("NOT few")
+        few, rich = level.filter("few"), level.filter("NOT few")
         if n_few:
             far = far.unionByName(few.select("frame_a", "frame_b"))
         if n == n_few:
             return best, far
-        open_ = stage(open_.drop("held_a").join(many.select("frame_a", "frame_b", "held_a"), ["frame_a", "frame_b"]), "name-frames")
-        asked = wanted.join(many.select("frame_a", "frame_b"), ["frame_a", "frame_b"]).select("a", "n_a", "n_b", "m").distinct()
-        known = right.join(many.select("frame_b", "n_a", "n_b", "m").distinct(), "frame_b").select("b", "first", "n_a", "n_b", "m")
+        open_ = stage(open_.drop("held_a").join(rich.select("frame_a", "frame_b", "held_a"), ["frame_a", "frame_b"]), "name-frames")
+        asked = wanted.join(rich.select("frame_a", "frame_b"), ["frame_a", "frame_b"]).select("a", "n_a", "n_b", "m").distinct()
+        known = right.join(rich.select("frame_b", "n_a", "n_b", "m").distinct(), "frame_b").select("b", "first", "n_a", "n_b", "m")
         of_b = stage(_each_rest(known, "b"), "name-rests")
         first = of_b.groupBy("rest").agg(F.min(F.struct("first", "b")).alias("top"), F.count(F.lit(1)).alias("n"))
         of_a = _each_rest(asked.withColumn("bound", bound), "a")
-        tried = of_a.join(first, "rest").select("a", "rest", "bound", "top.first", "top.b", "n")
+        tried = of_a.join(many(first), "rest").select("a", "rest", "bound", "top.first", "top.b", "n")
         tried = stage(_aligned(tried), "name-tries")
         short = tried.filter("n > 1 AND ratio < bound - 1e-9").select("a", "rest", "bound", F.col("first").alias("tried"))
 
@@ -230,10 +230,10 @@ def _nearest_by_rest(left: DataFrame, right: DataFrame, frames: DataFrame, least
             return stage(top.select("a", "top.first", "top.b", (-F.col("top.unlike")).alias("ratio")), "name-nearest")
 
         best = better(tried)
-        after = best.select("a", F.col("ratio").alias("had"), F.col("first").alias("had_first"))
+        after = many(best.select("a", F.col("ratio").alias("had"), F.col("first").alias("had_first")))
         behind = F.col("had").isNull() | (F.round("bound", 6) > F.col("had")) | ((F.round("bound", 6) == F.col("had")) & (F.col("tried") < F.col("had_first")))
         short = short.join(after, "a", "left").filter(behind).select("a", "rest", "bound", "tried")
-        others = short.join(of_b, "rest").filter(F.col("first") > F.col("tried")).select("a", "rest", "bound", "first", "b")
+        others = short.join(many(of_b), "rest").filter(F.col("first") > F.col("tried")).select("a", "rest", "bound", "first", "b")
         best = better(_aligned(others.sortWithinPartitions("a", "rest", "first")))
         k += 1
 
@@ -260,11 +260,11 @@ def similar_names(names: DataFrame, authorities: DataFrame, least: float, most:
     bagged = lambda rows, x: rows.withColumn(f"bag_{x}", _bag(F.col(x)))
     l, r = bagged(left.join(frames, "frame_a"), "a"), bagged(right.join(frames.select("frame_b").distinct(), "frame_b"), "b")
     if best is not None:
-        l = l.join(best.select("a", F.col("ratio").alias("had")), "a", "left")
+        l = l.join(many(best.select("a", F.col("ratio").alias("had"))), "a", "left")
     sides = l.select("bag_a", "frame_b").distinct().withColumn("t_a", _tokens("bag_a")).join(r.select("bag_b", "frame_b").distinct().withColumn("t_b", _tokens("bag_b")), "frame_b")
     bound = 2 * F.size(F.array_intersect("t_a", "t_b")) / F.greatest(F.length("bag_a") + F.length("bag_b"), F.lit(1))
     bags = stage(sides.select("bag_a", "bag_b", "frame_b", bound.alias("bound")).filter(F.col("bound") >= least - 1e-6), "name-bags")
-    both = l.join(bags, ["bag_a", "frame_b"]).join(r.select("b", "bag_b"), "bag_b")
+    both = l.join(many(bags), ["bag_a", "frame_b"]).join(many(r.select("b", "bag_b")), "bag_b")
     if best is not None:
         both = both.filter("had IS NULL OR bound >= had - 1e-6")
 
@@ -290,8 +290,8 @@ def similar_names(names: DataFrame, authorities: DataFrame, least: float, most:
     # Of the authorities of one key, and of what one key found, no more than ``most`` can be among the best.
     first = lambda rows, by, *order: rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= most)
     order = (F.desc("ratio"), "authority_id")
-    found = first(scored.join(first(known, "b", "authority_id").drop("rank"), "b"), "a", *order).drop("rank")
-    return first(names.select("id", F.col("name_key").alias("a")).join(found, "a"), "id", *order).select("id", "authority_id", "ratio", "rank")
+    found = first(scored.join(many(first(known, "b", "authority_id").drop("rank")), "b"), "a", *order).drop("rank")
+    return first(names.select("id", F.col("name_key").alias("a")).join(many(found), "a"), "id", *order).select("id", "authority_id", "ratio", "rank")
 
 
 def classify_facts(new: DataFrame, published: DataFrame) -> DataFrame:

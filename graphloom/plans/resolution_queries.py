@@ -9,6 +9,7 @@ from graphloom.functions.text import name_key
 from graphloom.operators import resolution
 from graphloom.plans.registry import query
 from graphloom.sources.tables import load
+from graphloom.staging import many
 
 KEY = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
@@ -72,7 +73,7 @@ def resolution_ladder_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All steps: canonical key, governed alias, exact name, similar name of at least 0.84; parties declare no identity properties."""
     c, s = _parties(spark, sf_dir)
     named = lambda rows, table, key, name: rows.join(
-        load(spark, sf_dir, table).select(F.col(key).alias("id"), F.array(name).alias("aliases")), "id"
+        many(load(spark, sf_dir, table).select(F.col(key).alias("id"), F.array(name).alias("aliases"))), "id"
     ).withColumn("identity", F.lit(None).cast("string"))
     return resolution.full_ladder(named(c, "customer", "c_custkey", "c_name"), named(s.filter("entity_type = 'PARTY'"), "supplier", "s_suppkey", "s_name"))
 

@@ -70,6 +70,23 @@ def test_names_that_differ_in_digits_are_not_all_paired(spark):
     assert _shuffled_rows(spark) - before < 60 * 6000
 
 
+def test_tables_that_grow_with_the_names_are_not_broadcast(spark, monkeypatch):
+    # Names that are much alike make small files, whatever their number; sent to all, they filled the driver.
+    plans, plain = [], resolution.stage
+
+    def planned(rows, label):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return plain(rows, label)
+
+    monkeypatch.setattr(resolution, "stage", planned)
+    names = spark.range(2000, 2400).selectExpr("id", "concat('party ', lpad(id, 9, '0')) AS name_key")
+    known = spark.range(0, 300).selectExpr("id AS authority_id", "concat('party ', lpad(id, 9, '0')) AS authority_key")
+    plans.append(resolution.similar_names(names, known, 0.84, 1)._jdf.queryExecution().executedPlan().toString())
+    joins = [line for plan in plans for line in plan.splitlines() if "Join [" in line]
+    assert [line for line in joins if "SortMergeJoin [rest#" in line]
+    assert not [line for line in joins if any(f"HashJoin [{key}#" in line for key in ("a", "b", "rest", "bag_a", "bag_b"))]
+
+
 def test_authorities_of_one_name_do_not_multiply_its_finds(spark):
     names = spark.range(300).selectExpr("id", "'party 1234' AS name_key")
     known = spark.range(300).selectExpr("id + 5 AS authority_id", "'party 1235' AS authority_key")
