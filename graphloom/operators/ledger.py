@@ -13,15 +13,15 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from graphloom import store
-from graphloom.operators.lifecycle import diff
-from graphloom.staging import stage
+from graphloom.staging import drop, many, sparing, stage, staged_path
 
 EMPTY = {"generation": 0, "tables": {}, "schemas": {}, "operations": {}, "publications": {}, "active": None}
+EDGE = ("subject", "predicate", "object")
 #: A refusal names so many of the ids that it counts.
 NAMED = 100
 
@@ -36,9 +36,20 @@ class Refused(ValueError):
 
 def _digest(rows: DataFrame) -> tuple[int, int, int]:
     """Number and two order-free sums of hashes of the rows."""
-    columns = [F.col(f"`{c}`") for c in rows.columns]
-    mark = lambda seed: F.coalesce(F.bit_xor(F.xxhash64(F.lit(seed), *columns)), F.lit(0))
-    return tuple(rows.agg(F.count(F.lit(1)), mark(0), mark(1)).first())
+    return tuple(rows.agg(*_marks(rows.columns)).first())
+
+
+def _marks(columns: list[str], of: Column | None = None) -> list[Column]:
+    """What ``_digest`` counts and sums of these columns, in the rows for which ``of`` holds if it is given."""
+    own = [F.col(f"`{c}`") for c in columns]
+    wanted = F.lit(True) if of is None else of
+    mark = lambda seed: F.coalesce(F.bit_xor(F.when(wanted, F.xxhash64(F.lit(seed), *own))), F.lit(0))
+    return [F.count_if(wanted).alias("n"), mark(0).alias("a"), mark(1).alias("b")]
+
+
+def _seen(passed: Observation) -> tuple[int, int, int]:
+    """The digest of the rows that have passed, once they have."""
+    return tuple(passed.get[c] for c in ("n", "a", "b"))
 
 
 def _refuse(rows: DataFrame, code: str, key: str) -> None:
@@ -51,20 +62,30 @@ def _refuse(rows: DataFrame, code: str, key: str) -> None:
 
 def navigation(records: DataFrame) -> DataFrame:
     """(subject, predicate, object, n, evidence): the edges that records (subject, predicate, object, chunk_id) support, how often, and by which chunk first."""
-    return records.groupBy("subject", "predicate", "object").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("evidence"))
+    return records.groupBy(*EDGE).agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("evidence"))
 
 
-def advanced(graph: DataFrame, before: DataFrame, after: DataFrame, records: DataFrame) -> DataFrame:
+def advanced(graph: DataFrame, before: DataFrame, after: DataFrame, records: DataFrame, seen: Observation | None = None) -> DataFrame:
     """The navigation graph of manifest ``after``, from that of ``before``: only edges that a changed record touches are made again.
 
-    Manifests are (record_id, revision), records (record_id, revision, subject, predicate, object, chunk_id) in all revisions.
+    Manifests are (record_id, revision), records (record_id, revision, subject, predicate, object, chunk_id) in all revisions. Records are
+    shuffled once, to their places in both manifests, and edges once, the graph's and the records' together. ``seen`` gets the digest of the members.
     """
-    edge = ["subject", "predicate", "object"]
-    changes = diff(before, after).filter("change <> 'UNCHANGED'")
-    touched = changes.select("record_id", F.explode(F.array_compact(F.array("old_revision", "new_revision"))).alias("revision"))
-    keys = stage(records.join(touched, ["record_id", "revision"], "left_semi").select(*edge).distinct(), "touched-edges")
-    again = records.join(keys, edge, "left_semi").join(after, ["record_id", "revision"], "left_semi")
-    return graph.join(keys, edge, "left_anti").unionByName(navigation(again))
+    none = F.lit(None)
+    places = before.select("record_id", F.col("revision").alias("old"), none.alias("new")).unionByName(after.select("record_id", none.alias("old"), F.col("revision").alias("new")))
+    places = places.groupBy("record_id").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    found = records.select("record_id", "revision", *EDGE, "chunk_id").join(many(places), "record_id").filter("revision = old OR revision = new")
+    member = F.coalesce(F.col("revision") == F.col("new"), F.lit(False))
+    found = found.select("record_id", "revision", *EDGE, "chunk_id", member.alias("member"), F.coalesce(F.col("old") != F.col("new"), F.lit(True)).alias("touched"))
+    if seen is not None:
+        found = found.observe(seen, *_marks(["record_id", "revision"], F.col("member")))
+    edges = found.select(*EDGE, "member", "touched", "chunk_id", none.alias("was"), none.alias("by")).unionByName(
+        graph.select(*EDGE, none.alias("member"), none.alias("touched"), none.alias("chunk_id"), F.col("n").alias("was"), F.col("evidence").alias("by")))
+    made = edges.groupBy(*EDGE).agg(
+        F.coalesce(F.max("touched"), F.lit(False)).alias("touched"), F.count_if("member").alias("n"), F.min(F.when(F.col("member"), F.col("chunk_id"))).alias("evidence"),
+        F.max("was").alias("was"), F.min("by").alias("by"))
+    either = lambda again, kept: F.when(F.col("touched"), F.col(again)).otherwise(F.col(kept)).alias(again)
+    return made.select(*EDGE, either("n", "was"), either("evidence", "by")).filter("n > 0")
 
 
 class Ledger:
@@ -101,12 +122,23 @@ class Ledger:
             raise Refused("OPERATION_CONFLICT")
         return done[1] if done else None
 
+    def _new_path(self) -> str:
+        return f"{self.root}/data/{uuid.uuid4().hex}"
+
     def _write(self, rows: DataFrame) -> str:
-        """Rows under a new name, read back and verified against what was to be written."""
-        path = f"{self.root}/data/{uuid.uuid4().hex}"
-        rows = stage(rows, "to-write")  # what is compared was computed once
-        rows.write.parquet(path)
-        if _digest(self.spark.read.schema(rows.schema).parquet(path)) != _digest(rows):
+        """Rows under a new name, read back and verified against those that were written: they are told as they pass, computed once and stored once."""
+        path, passed = self._new_path(), Observation()
+        rows.observe(passed, *_marks(rows.columns)).write.parquet(path)
+        return self._verified(path, rows.schema, _seen(passed))
+
+    def _keep(self, rows: DataFrame, digest: tuple[int, int, int]) -> str:
+        """Staged rows as they are, under a new name instead of a second time."""
+        path = self._new_path()
+        store.move(self.spark, staged_path(rows), path)
+        return self._verified(path, rows.schema, digest)
+
+    def _verified(self, path: str, schema: StructType, digest: tuple[int, int, int]) -> str:
+        if _digest(self.spark.read.schema(schema).parquet(path)) != digest:
             store.remove(self.spark, path)
             raise Refused("VERIFICATION_FAILED")
         return path
@@ -132,27 +164,36 @@ class Ledger:
         key with two different rows, here or in the table, null keys, keys that are retired, and an operation name that stood for other rows.
         """
         state = self._expect(expected)
-        rows = stage(rows, "load")
-        counted = lambda: rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        repeated = not counted().isEmpty()
-        if repeated:  # only then are whole rows told apart, which takes as much memory as they do
-            rows = stage(rows.distinct(), "load")
+        with sparing(self.spark):
+            passed = Observation()
+            given = stage(rows.observe(passed, *_marks(rows.columns)), "load")
+            counted = given.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+            repeated = not counted.isEmpty()
+            # Only then are whole rows told apart, which takes as much memory as they do.
+            rows = stage(given.distinct(), "load") if repeated else given
+            try:
+                return self._load(state, name, rows, key, operation, repeated, _seen(passed))
+            finally:
+                drop(given)
+                drop(rows)
+
+    def _load(self, state: dict, name: str, rows: DataFrame, key: str, operation: str, repeated: bool, passed: tuple[int, int, int]) -> int:
         fingerprint = "/".join(map(str, (name, *_digest(rows))))
         done = self._replayed(state, operation, fingerprint)
         if done:
             return done
         _refuse(rows.filter(F.col(key).isNull()).select(F.lit("null").alias(key)), "NULL_KEY", key)
         if repeated:
-            _refuse(counted(), "DIFFERING_ROWS", key)
+            _refuse(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "DIFFERING_ROWS", key)
         retired = self.table(f"{name}.retired", state)
         if retired is not None:
-            _refuse(rows.join(retired.select(F.col("id").alias(key)), key, "left_semi"), "RETIRED", key)
+            _refuse(rows.join(many(retired.select(F.col("id").alias(key))), key, "left_semi"), "RETIRED", key)
         known = self.table(name, state)
         if known is not None:
-            other = rows.join(known.select(key), key, "left_semi").exceptAll(known)
+            other = rows.join(many(known.select(key)), key, "left_semi").exceptAll(known)
             _refuse(other, "DIFFERING_ROWS", key)
-            rows = rows.join(known.select(key), key, "left_anti").select(*known.columns)
-        path = self._write(rows)
+            rows = rows.join(many(known.select(key)), key, "left_anti").select(*known.columns)
+        path = self._keep(rows, passed) if known is None and not repeated and staged_path(rows) else self._write(rows)
         tables = state["tables"] | {name: [*state["tables"].get(name, []), path]}
         schemas = {name: rows.schema.jsonValue()} | state["schemas"]
         return self._commit(state, "LOAD", operation, fingerprint, tables=tables, schemas=schemas)
@@ -163,7 +204,14 @@ class Ledger:
         ``asked`` has the key and the version that is expected there. Refused, with the ids: keys that aren't there, of another version, or retired.
         """
         state = self._expect(expected)
-        asked = stage(asked.select(key, version).distinct(), "retire")
+        with sparing(self.spark):
+            asked = stage(asked.select(key, version).distinct(), "retire")
+            try:
+                return self._retire(state, name, asked, key, version, operation)
+            finally:
+                drop(asked)
+
+    def _retire(self, state: dict, name: str, asked: DataFrame, key: str, version: str, operation: str) -> int:
         fingerprint = "/".join(map(str, ("retire", name, *_digest(asked))))
         done = self._replayed(state, operation, fingerprint)
         if done:
@@ -171,11 +219,11 @@ class Ledger:
         known = self.table(name, state)
         if known is None:
             raise Refused("NOT_FOUND", 0)
-        _refuse(asked.join(known.select(key), key, "left_anti"), "NOT_FOUND", key)
-        _refuse(asked.join(known.select(key, version), [key, version], "left_anti"), "VERSION_CONFLICT", key)
+        _refuse(asked.join(many(known.select(key)), key, "left_anti"), "NOT_FOUND", key)
+        _refuse(asked.join(many(known.select(key, version)), [key, version], "left_anti"), "VERSION_CONFLICT", key)
         old = self.table(f"{name}.retired", state)
         if old is not None:
-            _refuse(asked.join(old.select(F.col("id").alias(key)), key, "left_semi"), "RETIRED", key)
+            _refuse(asked.join(many(old.select(F.col("id").alias(key))), key, "left_semi"), "RETIRED", key)
         rows = asked.select(F.col(key).alias("id"), F.col(version).alias("version"), F.lit(operation).alias("operation"))
         path, own = self._write(rows), f"{name}.retired"
         return self._commit(
@@ -186,7 +234,7 @@ class Ledger:
         """The rows of a table that no tombstone names."""
         state = self.head()
         rows, retired = self.table(name, state), self.table(f"{name}.retired", state)
-        return rows if retired is None else rows.join(retired.select(F.col("id").alias(key)), key, "left_anti")
+        return rows if retired is None else rows.join(many(retired.select(F.col("id").alias(key))), key, "left_anti")
 
     def compact(self, name: str) -> int:
         """One list of files for a table of many loads; its rows stay the same."""
@@ -194,12 +242,11 @@ class Ledger:
         path = self._write(self.table(name, state))
         return self._commit(state, "COMPACT", f"compact-{uuid.uuid4().hex}", "", tables=state["tables"] | {name: [path]})
 
-    def _checked(self, manifest: DataFrame, records: DataFrame, validate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """The manifest's records, all there and without findings."""
-        found = records.join(manifest, ["record_id", "revision"], "left_semi")
-        _refuse(manifest.join(records.select("record_id", "revision"), ["record_id", "revision"], "left_anti"), "MEMBER_NOT_FOUND", "record_id")
-        _refuse(validate(found), "INVALID_RECORDS", "record_id")
-        return found
+    def _check(self, manifest: DataFrame, records: DataFrame, validate: Callable[[DataFrame], DataFrame], there: bool = False) -> None:
+        """Refuse a manifest that isn't ``there`` as a whole among the records, or has findings."""
+        if not there:
+            _refuse(manifest.join(many(records.select("record_id", "revision")), ["record_id", "revision"], "left_anti"), "MEMBER_NOT_FOUND", "record_id")
+        _refuse(validate(records.join(many(manifest), ["record_id", "revision"], "left_semi")), "INVALID_RECORDS", "record_id")
 
     def publish(
         self, publication: str, manifest: DataFrame, records: DataFrame, validate: Callable[[DataFrame], DataFrame], expected_active: str | None
@@ -209,21 +256,46 @@ class Ledger:
         Refused: another active publication, a record with several revisions, revisions that aren't among ``records``, findings of ``validate``
         (record_id, ...), and a publication id that stood for another manifest. The active publication published again changes nothing.
         """
-        state = self.head()
-        manifest = stage(manifest.select("record_id", "revision").distinct(), "manifest")
-        fingerprint = "/".join(map(str, ("publish", *_digest(manifest))))
+        with sparing(self.spark):
+            # One shuffle by record drops repeated members and counts a record's revisions.
+            given = manifest.select("record_id", "revision")
+            members = stage(given.repartition("record_id").distinct().groupBy("record_id").agg(F.min("revision").alias("revision"), F.count(F.lit(1)).alias("n")), "manifest")
+            twice = members.filter("n > 1")
+            members = members.select("record_id", "revision") if twice.isEmpty() else stage(given.distinct(), "manifest")
+            try:
+                return self._publish(publication, members, twice, records, validate, expected_active)
+            finally:
+                drop(twice)
+                drop(members)
+
+    def _publish(
+        self, publication: str, manifest: DataFrame, twice: DataFrame, records: DataFrame, validate: Callable[[DataFrame], DataFrame], expected_active: str | None
+    ) -> int:
+        state, digest = self.head(), _digest(manifest)
+        fingerprint = "/".join(map(str, ("publish", *digest)))
         if publication in state["publications"]:
             self._replayed(state, f"publish {publication}", fingerprint)
             if state["active"] != publication:
                 raise Refused("NOT_ACTIVE")  # use rollback
-            self._checked(manifest, records, validate)
+            self._check(manifest, records, validate)
             return state["generation"]
         if state["active"] != expected_active:
             raise Refused("ACTIVE_CONFLICT")
-        _refuse(manifest.groupBy("record_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "DUPLICATE_RECORD", "record_id")
-        members = self._checked(manifest, records, validate)
-        graph = navigation(members) if state["active"] is None else advanced(self.graph(state), self.manifest(state), manifest, records)
-        own = {"manifest": self._write(manifest), "graph": self._write(graph)}
+        _refuse(twice, "DUPLICATE_RECORD", "record_id")
+        seen = Observation()
+        if state["active"] is None:
+            members = records.select("record_id", "revision", *EDGE, "chunk_id").join(many(manifest), ["record_id", "revision"], "left_semi")
+            graph = navigation(members.observe(seen, *_marks(["record_id", "revision"])))
+        else:
+            graph = advanced(self.graph(state), self.manifest(state), manifest, records, seen)
+        path = self._write(graph)
+        try:
+            # The records that passed into the graph tell that the manifest is there; if they are more or others, both are compared.
+            self._check(manifest, records, validate, there=_seen(seen) == digest)
+        except Refused:
+            store.remove(self.spark, path)
+            raise
+        own = {"manifest": self._write(manifest), "graph": path}
         schemas = {"manifest": manifest.schema.jsonValue(), "graph": graph.schema.jsonValue()} | state["schemas"]
         return self._commit(
             state, "PUBLISH", f"publish {publication}", fingerprint, publications=state["publications"] | {publication: own}, schemas=schemas, active=publication)
@@ -235,7 +307,8 @@ class Ledger:
             raise Refused("NOT_FOUND")
         if state["active"] != expected_active:
             raise Refused("ACTIVE_CONFLICT")
-        self._checked(self.manifest(state, target), records, validate)
+        with sparing(self.spark):
+            self._check(self.manifest(state, target), records, validate)
         if state["active"] == target:
             return state["generation"]
         return self._commit(state, "ROLLBACK", f"rollback-{uuid.uuid4().hex} to {target}", "", active=target)
@@ -279,7 +352,7 @@ def inventory(entities: DataFrame, graph: DataFrame, literals: DataFrame) -> Dat
              facts.select("entity_id", F.lit(0).alias("n_out"), F.lit(0).alias("n_in"), "n_literals", F.lit(None).cast(dict(graph.dtypes)["evidence"]).alias("evidence"))]
     shown = reduce(DataFrame.unionByName, parts).groupBy("entity_id").agg(
         *[F.sum(c).alias(c) for c in ("n_out", "n_in", "n_literals")], F.min("evidence").alias("evidence"))
-    return entities.join(shown, "entity_id").select("entity_id", "entity_type", "name", "n_out", "n_in", "n_literals", "evidence")
+    return entities.join(many(shown), "entity_id").select("entity_id", "entity_type", "name", "n_out", "n_in", "n_literals", "evidence")
 
 
 class Generations:

@@ -73,6 +73,17 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder a new name; into another file system it is copied."""
+    fs, source = _files(spark, path)
+    other, target = _files(spark, to)
+    other.mkdirs(target.getParent())
+    if fs.getUri() != other.getUri() or not fs.rename(source, target):
+        jvm = spark.sparkContext._jvm
+        if not jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, other, target, True, spark.sparkContext._jsc.hadoopConfiguration()):
+            raise OSError(f"{path} was not moved to {to}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, target = _files(spark, path)
     fs.delete(target, True)

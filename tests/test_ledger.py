@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import store
+from graphloom import staging, store
 from graphloom.operators import ledger as module
 from graphloom.operators.ledger import Ledger, Refused, advanced, navigation
 from graphloom.plans import ledger_queries
@@ -188,3 +188,25 @@ def test_loads_tell_whole_rows_apart_only_where_keys_repeat(spark, tmp_path, mon
 def test_records_are_grouped_in_tasks_of_bounded_lines(spark, monkeypatch):
     monkeypatch.setattr(ledger_queries, "LINES_PER_TASK", 100)
     assert ledger_queries._records(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 60
+
+
+def _written_rows(spark) -> int:
+    jvm, context = spark._jvm, spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, context._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).outputRecords() for i in range(stages.size()))
+
+
+def test_what_is_loaded_and_published_is_written_once(spark, tmp_path):
+    # Loads were written three times and graphs twice, and what was staged for them stayed to the end.
+    n, before, staged = 600, _written_rows(spark), len(staging._staged)
+    rows = spark.range(n).selectExpr("cast(id AS string) AS record_id", "1 AS revision", "concat('s', id % 7) AS subject", "'P' AS predicate", "concat('o', id) AS object", "id AS chunk_id")
+    made = Ledger(spark, f"{tmp_path}/l")
+    made.load("records", rows, "record_id", "load")
+    assert _written_rows(spark) - before == n
+    records, before = made.table("records"), _written_rows(spark)
+    fine = lambda found: found.filter("subject IS NULL")
+    made.publish("one", records.select("record_id", "revision"), records, fine, None)
+    assert _written_rows(spark) - before <= 3 * n  # the manifest, staged and stored, and the graph
+    made.publish("two", records.filter("chunk_id % 2 = 0").select("record_id", "revision"), records, fine, "one")
+    assert sorted(tuple(r) for r in made.graph().collect()) == sorted(tuple(r) for r in navigation(records.filter("chunk_id % 2 = 0")).collect())
+    assert len(staging._staged) == staged
